@@ -32,8 +32,12 @@ def query(sql: str | None = None):
     return add
 
 
+#: Fences have one digit more than six where values have two: rounding them there would meet ties.
+LONGER = {"iqr_lower": 9, "iqr_upper": 9}
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(c, LONGER.get(c, places)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def r(names: str) -> str:
@@ -311,13 +315,13 @@ j AS (SELECT grid.*, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM
 SELECT {KEY}, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max,
 {', '.join(f"round(quantile_cont(value, {q}), 6) AS {n}" for n, q in profile.QUANTILES.items())}, round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0 END), 6) AS missing_ratio, count(DISTINCT value) AS unique_count,
 count(*) - count(value) AS missing_count, round(CAST(count(*) FILTER (WHERE value = 0) AS DOUBLE) / nullif(count(value), 0), 6) AS zero_ratio, count(DISTINCT value) = 1 AS constant, count(value) = 0 AS all_missing,
-0::BIGINT AS infinite_count, round(any_value(lo), 6) AS iqr_lower, round(any_value(hi), 6) AS iqr_upper, count(*) FILTER (WHERE value < lo OR value > hi) AS iqr_outlier_count FROM j GROUP BY ALL""")
+0::BIGINT AS infinite_count, round(any_value(lo), 9) AS iqr_lower, round(any_value(hi), 9) AS iqr_upper, count(*) FILTER (WHERE value < lo OR value > hi) AS iqr_outlier_count FROM j GROUP BY ALL""")
 def distribution_summary(spark, d):
     return rounded(profile.distribution(fr.grid(spark, d), FEATURE_KEY, F.col("window_end") <= REFERENCE_END))
 
 
 @query(f"""WITH {fr.GAUGE}, fe AS (SELECT entity_id, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM g GROUP BY ALL)
-SELECT g.entity_id, round(any_value(q1 - 1.5 * (q3 - q1)), 6) AS iqr_lower, round(any_value(q3 + 1.5 * (q3 - q1)), 6) AS iqr_upper,
+SELECT g.entity_id, round(any_value(q1 - 1.5 * (q3 - q1)), 9) AS iqr_lower, round(any_value(q3 + 1.5 * (q3 - q1)), 9) AS iqr_upper,
 count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS iqr_outlier_count FROM g JOIN fe USING (entity_id) GROUP BY ALL""")
 def iqr_fences(spark, d):
     return rounded(profile.distribution(fr.gauge(spark, d), ["entity_id"]).select("entity_id", "iqr_lower", "iqr_upper", "iqr_outlier_count"))
