@@ -67,9 +67,24 @@ def crc_mod(c: Column, n: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % n
 
 
-def free_name(df: DataFrame, base: str) -> str:
-    """A column name that ``df`` doesn't have (names compare without case)."""
-    taken = {x.lower() for x in df.columns}
-    while base.lower() in taken:
-        base = f"_{base}"
-    return base
+def quoted(names) -> list[Column]:
+    """Columns by exact name, whatever characters it has."""
+    return [F.col("`{}`".format(n.replace("`", "``"))) for n in names]
+
+
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` without the columns that have one of ``names`` (compared without case): an operator's own columns win."""
+    own = {n.lower() for n in names}
+    return df.select(*quoted(c for c in df.columns if c.lower() not in own))
+
+
+ROW = "__row"
+
+
+def packed(df: DataFrame, *needed: str) -> DataFrame:
+    """The whole row as one struct beside the ``needed`` columns, so that no name of it can clash."""
+    return df.select(F.struct(*quoted(df.columns)).alias(ROW), *quoted(needed))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select(f"{ROW}.*")

@@ -9,14 +9,13 @@ difference that sorts candidates out before the sets themselves decide.
 
 Blocks of at most one shingle say little and are not joined on. A text with ``spare`` or
 more of them also joins on its smallest shingles (as many as two linked sets must share
-two of); two texts can only miss each other on blocks if both are such. So linked sets
-always share two keys.
+one of, and one more); two texts can only miss each other on blocks if both are such.
 
 All work is on classes of equal sets, named by a 64-bit fingerprint of the set. Equal keys
 first meet within an Arrow batch, then across the input; each bucket is a star around its
 smallest class. Star links are verified first. A bucket whose members then still belong to
-different components has the pairs between components verified too, so no link between
-components is lost while a group of n near copies costs n checks and not n * n.
+different components has the pairs between components compared too, by sketch within the
+join, so that only near ones leave it; no link between components is lost.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked
 with nothing; a null id is carried, and is the component only where no other id is;
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, small_side
+from .common import Stored, packed, small_side, unpacked
 from .components import connected
 from .text_hash import mix, shingle_sets, slices
 
@@ -42,8 +41,10 @@ WIDTH = 4
 PERCENT = 85
 SKETCH_WORDS = 16
 BAND = 1.5
-#: A bucket with more pairs between components than this times its members is split by a second key.
-DENSE = 32
+#: Of the sketch's words, as many are left when it is folded for the join of what the stars left over.
+FOLD = SKETCH_WORDS // 2
+#: Smallest keys of a class by which a pair that shares several keys is met but once.
+HEAD = 8
 
 
 def furthest(total: int, percent: int) -> int:
@@ -212,8 +213,8 @@ def _stars(signatures: DataFrame) -> DataFrame:
     return local.union(across)
 
 
-def _left_over(stars: DataFrame, pairs: DataFrame, first: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes of one bucket that the star links left in different components."""
+def _left_over(stars: DataFrame, pairs: DataFrame, first: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of near classes of one bucket that the star links left in different components."""
     comp = lambda c, out: first.select(F.col("node").alias(c), F.col("component").alias(out))
     apart = pairs.join(comp("a", "ca"), "a", "left").join(comp("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     apart = Stored(apart.select(F.col("a").alias("cls"), F.col("b").alias("hub")), "apart")
@@ -222,20 +223,22 @@ def _left_over(stars: DataFrame, pairs: DataFrame, first: DataFrame) -> DataFram
     rows = rows.select("key", "cls").union(rows.select("key", "hub")).distinct()
     rows = rows.join(comp("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     rows = Stored(rows, "open")
-    sizes = rows.df.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-    dense = sizes.where((F.col("k") * F.col("k") - F.col("kk")) > 2 * DENSE * F.col("k")).select("key")
-
-    def between(buckets: DataFrame, key: str) -> DataFrame:
-        other = buckets.select(key, F.col("cls").alias("b"), F.col("comp").alias("other"))
-        met = buckets.withColumnRenamed("cls", "a").join(other, key).where("comp < other")
-        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    thin = between(rows.df.join(dense, "key", "left_anti"), "key")
-    thick = rows.df.join(dense, "key", "left_semi")
-    # Linked sets share two keys: pairs that meet in dense buckets only meet in two of them.
-    second = thick.select("cls", F.col("key").alias("key2"))
-    both = thick.join(second, "cls").where("key < key2").withColumn("both", F.xxhash64("key", "key2"))
-    return thin.union(between(both.select("both", "cls", "comp"), "both")).distinct()
+    # A row carries its class's size, half of its sketch's bits and its smallest keys, so that the join itself sorts pairs out.
+    heads = rows.df.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("key")), 1, HEAD).alias("head"))
+    folded = [F.element_at("sketch", i + 1).bitwiseXOR(F.element_at("sketch", i + 1 + FOLD)).alias(f"s{i}") for i in range(FOLD)]
+    known = classes.select("cls", "n", *folded)
+    full = rows.df.join(heads, "cls").join(known, "cls")
+    own, other = (full.select(*[F.col(c).alias(f"{c}_{side}") for c in full.columns]) for side in "xy")
+    total, least, most = F.col("n_x") + F.col("n_y"), F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
+    hamming = F.lit(0)
+    for i in range(FOLD):
+        hamming = hamming + F.bit_count(F.col(f"s{i}_x").bitwiseXOR(F.col(f"s{i}_y")))
+    below = lambda c: F.filter(c, lambda k: k < F.col("key_x"))
+    near = (100 * least >= percent * most) & (hamming * (100 + percent) <= (100 - percent) * total)
+    # Where both heads show a smaller common key the pair is met there.
+    first_meeting = ~F.arrays_overlap(below("head_x"), below("head_y"))
+    met = own.join(other, (F.col("key_x") == F.col("key_y")) & (F.col("comp_x") < F.col("comp_y")) & near & first_meeting)
+    return met.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct()
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -251,7 +254,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     links = verified(pairs, classes, docs, width, percent, "star")
     first = connected(links)
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = Stored(_left_over(stars, pairs, first).join(done, ["a", "b"], "left_anti"), "rest")
+    rest = Stored(_left_over(stars, pairs, first, classes, percent).join(done, ["a", "b"], "left_anti"), "rest")
     if not rest.df.isEmpty():
         links = links.union(verified(rest.df, classes, docs, width, percent, "rest"))
         first = connected(links)
@@ -272,8 +275,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     joined = join(docs, width, percent)
     gone = joined.where("doc_id <> component_id").select("doc_id").distinct()
     gone = Stored(gone, "gone").df
-    rest = docs.join(small_side(gone, 16), "doc_id", "left_anti").select(docs.columns)
+    rest = packed(docs, "doc_id").join(small_side(gone, 16), "doc_id", "left_anti")
     if joined.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
-        return rest
-    return rest.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).union(rest.where(F.col("doc_id").isNull()))
+        return unpacked(rest)
+    return unpacked(rest.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).union(rest.where(F.col("doc_id").isNull())))
 
