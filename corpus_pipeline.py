@@ -14,7 +14,7 @@ from faultlens.llm.common import store, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules, or whose source fails as a whole, go."""
-    return quality_rules.judge(docs).where("kept").select(docs.columns)
+    return quality_rules.filtered(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

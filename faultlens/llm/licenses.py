@@ -4,7 +4,8 @@ Case, punctuation, white space, copyright lines and equivalent spellings (Britis
 American, symbols and words) are folded; the SHA-256 of what remains meets the digests
 of the known texts. Defined results: a null or empty text, or one of punctuation and
 copyright lines only, has a digest of the empty text and no licence; repeated rows each
-get their answer; of two names for one text the smaller wins.
+get their answer; of two names for one text the smaller wins; columns of the input that have
+the name of a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_UPPER, small_side
+from .common import ASCII_UPPER, small_side, without
 
 #: Equivalent spellings, applied to whole words after punctuation is gone.
 SPELLINGS = [
@@ -70,5 +71,5 @@ def known_digests(spark, known: dict[str, str] | None = None) -> DataFrame:
 def scan(docs: DataFrame, known: DataFrame | None = None, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with its canonical digest and, if that is known, the licence."""
     known = known_digests(docs.sparkSession) if known is None else known
-    out = docs.withColumn("digest", digest(F.col(text)))
+    out = without(docs, ["digest", "license", "known"]).withColumn("digest", digest(F.col(text)))
     return out.join(small_side(known, 256), F.col("digest") == F.col("known"), "left").drop("known")

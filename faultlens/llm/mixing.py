@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored
+from .common import ROW, Stored, packed, unpacked
 
 #: domain: target share of all tokens
 TARGETS = {"good": 0.93, "bad": 0.04, "toxic": 0.03}
@@ -166,6 +166,8 @@ def label_domains(labels: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, rated: DataFrame) -> DataFrame:
     """Each row of ``docs`` as often as ``copies`` says; rows with the same id share a rate."""
     one = rated.groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    joined = docs.join(one.withColumnRenamed("doc_id", "__id"), docs["doc_id"].eqNullSafe(F.col("__id")), "left")
+    rows = packed(docs, "doc_id")
+    joined = rows.join(one.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     times = F.coalesce("__copies", F.lit(1))
-    return joined.withColumn("__i", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(docs.columns)
+    each = F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))
+    return unpacked(joined.select(ROW, each))

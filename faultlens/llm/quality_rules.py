@@ -8,7 +8,8 @@ joins back to its documents.
 
 Defined results: a null or empty text has no words and fails; a null domain is
 never rejected as such; repeated rows are each judged; an empty table gives an
-empty result; other columns pass through untouched.
+empty result; other columns pass through untouched, but for those that have the
+name of a result, which the result replaces.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, small_side, words_of
+from .common import Stored, packed, quoted, small_side, unpacked, without, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Bits of a packed window that hold its position.
@@ -42,6 +43,7 @@ def _windows(words: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds MEASURES to every row; no shuffle, no Python."""
+    docs = without(docs, MEASURES)
     kept = docs.columns
     t = F.coalesce(F.col(text), F.lit(""))
     step = docs.withColumn("__w", words_of(F.col(text))).withColumn("__s", _windows(F.col("__w")))
@@ -67,7 +69,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     step = step.withColumn("__l", lines)
     n = F.size(w).cast("long")
     out = step.select(
-        *[F.col(f"`{c}`") for c in kept],
+        *quoted(kept),
         n.alias("n_words"),
         F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -99,9 +101,14 @@ def host_verdicts(measured: DataFrame, host: str = "source", limit: float = HOST
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_FAILURE_RATE, carry: bool = True) -> DataFrame:
     """Every row of ``docs`` (without its text, if ``carry`` is false) with MEASURES, host_rate and kept."""
-    measured = measure(docs, text)
+    measured = measure(without(docs, ["host_rate", "kept"]), text)
     measured = Stored(measured if carry else measured.drop(text), "measured").df
     verdicts = Stored(host_verdicts(measured, host, limit), "hosts").df
     side = small_side(verdicts, 128).select(F.col("host").alias("__host"), "host_rate", F.col("host_ok").alias("__ok"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("__ok"), F.lit(True))
     return measured.join(side, measured[host] == F.col("__host"), "left").withColumn("kept", kept).drop("__host", "__ok")
+
+
+def filtered(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns as they were."""
+    return unpacked(judge(packed(docs, text, host), text, host).where("kept"))

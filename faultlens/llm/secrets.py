@@ -7,7 +7,8 @@ threshold that touch no base span are added as kind ``markov``. All of it is
 DataFrame functions within a row; there is no shuffle.
 
 Positions are code points, end exclusive. Defined results: a null text is empty and
-has no spans; repeated rows are each scanned; other columns pass through untouched.
+has no spans; repeated rows are each scanned; other columns pass through untouched, but
+scan() replaces those that are named base or spans.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked, without
+
 #: kind: (regular expression, group whose length counts, least length)
 PATTERNS = {
     "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -154,7 +157,7 @@ def scan(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, sample
         keyed = F.transform(spans, lambda x: F.struct(x["s"], rank(x).alias("r"), x["e"], x["kind"], x["t"]))
         return F.transform(F.array_sort(keyed), lambda x: F.struct(x["s"], x["e"], x["kind"], x["t"]))
 
-    out = docs.withColumns({f"__{k}": v for k, v in found.items()}).withColumn("base", ordered(F.concat(*[f"__{k}" for k in PATTERNS])))
+    out = without(docs, ["base", "spans"]).withColumns({f"__{k}": v for k, v in found.items()}).withColumn("base", ordered(F.concat(*[f"__{k}" for k in PATTERNS])))
     clear = F.filter("__markov", lambda x: ~F.exists(F.col("base"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     return out.withColumn("spans", ordered(F.concat("base", clear))).drop(*[f"__{k}" for k in KINDS])
 
@@ -170,7 +173,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", count: s
     count: a column of ``docs`` that holds the text's length, to be set anew where the text changed.
     """
     columns = docs.columns
-    scanned = scan(docs, text)
+    scanned = scan(packed(docs, text), text)
     t = F.col(text)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda a, x: F.when(
@@ -178,7 +181,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", count: s
     ).otherwise(F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out")))
     whole = lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t)))
     clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, whole)).otherwise(t)
-    changed = scanned.withColumn("__clean", clean)
+    row, changed = F.col("__row"), scanned.withColumn("__clean", clean)
+    row = row.withField(f"`{text}`", F.col("__clean"))
     if count in columns:
-        changed = changed.withColumn(count, F.when(F.size("spans") > 0, F.length("__clean").cast(docs.schema[count].dataType)).otherwise(F.col(count)))
-    return changed.withColumn(text, F.col("__clean")).select(*[F.col(f"`{c}`") for c in columns])
+        row = row.withField(f"`{count}`", F.when(F.size("spans") > 0, F.length("__clean").cast(docs.schema[count].dataType)).otherwise(F.col("__row")[count]))
+    return unpacked(changed.withColumn("__row", row))

@@ -6,7 +6,8 @@ has); they meet the rules on the first four bytes of SHA-256, then the whole dig
 confirms. The longest rule wins; of equals the one with the longer host, then block.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no
-rule; without rules everything is allowed; repeated rows are each judged.
+rule; without rules everything is allowed; repeated rows are each judged; columns of the
+input that have the name of a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small_side
+from .common import ascii_lower, small_side, without
 
 #: (action, rule) as the contract lists them.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -32,7 +33,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def rule_table(spark, rules: list[tuple[str, str]]) -> DataFrame:
-    return spark.createDataFrame(rules, "action string, rule string")
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("action"), F.lit(b).alias("rule")) for a, b in rules]))
+    return spark.range(1).select(each.alias("r")).select("r.action", "r.rule")
 
 
 def digests(rules: DataFrame) -> DataFrame:
@@ -58,7 +60,7 @@ def expressions(places: DataFrame, path_lengths: list[int]) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """Every row of ``pages`` with host, path, rule and verdict."""
     host, path = host_and_path(F.col(url))
-    placed = pages.withColumns({"host": host, "path": path})
+    placed = without(pages, ["host", "path", "rule", "verdict"]).withColumns({"host": host, "path": path})
     known = digests(rules)
     lengths = sorted(r[0] for r in known.select("path_len").distinct().collect())  # at most the longest url's length
     if not lengths:
