@@ -82,7 +82,7 @@ def counter_resets_gaps(spark, d):
     return validate.sample_quality(fr.counter(spark, d))
 
 
-@query(f"""WITH {fr.GAUGE} SELECT sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS missing, count(*) AS rows, count(DISTINCT series_id) AS series FROM g""")
+@query(f"""WITH {fr.GAUGE} SELECT count(*) FILTER (WHERE v IS NULL) AS missing, count(*) AS rows, count(DISTINCT series_id) AS series FROM g""")
 def metric_validate_summary(spark, d):
     clean, quality = validate.validate(fr.gauge(spark, d).dropDuplicates(validate.SAMPLE))
     return clean.agg(F.count_if(F.col("value").isNull()).alias("missing"), F.count("*").alias("rows"), F.count_distinct("series_id").alias("series"))
