@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from faultlens.llm import jaccard_join, mixing, packing, quality_rules, secrets
-from faultlens.llm.common import store, table
+from faultlens.llm.common import Stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,5 +47,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), name)
+        before = len(Stored.made)
+        own = Stored(stage(spark, docs, sf_dir), name)
+        # The stage's result is written: what it kept on the way, and its input, aren't read any more.
+        for old in Stored.made[before - bool(name != STAGES[0][0]) : -1]:
+            old.drop()
+        docs = own.df
     return docs

@@ -31,13 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
 class Stored:
     """A DataFrame written as Parquet in the shared folder, so that lost executors cost no recomputation."""
 
+    #: What this process has written and not dropped yet, in order.
+    made: list[Stored] = []
+
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/faultlens/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        Stored.made.append(self)
 
     def drop(self) -> None:
+        Stored.made.remove(self)
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
