@@ -19,7 +19,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--config", required=True)
     p.add_argument("--output", required=True)
     p.add_argument("--data", help="folder of the corpus")
-    p.add_argument("--expected", help="JSON of datasets and their cases")
+    p.add_argument("--expected", help="JSON of datasets and their cases, instead of the public corpus")
     p.add_argument("--datasets", nargs="*")
     p.add_argument("--smoke-cases", type=int)
     p.add_argument("--inventory-only", action="store_true")
@@ -48,7 +48,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     config, runtime = load_config(args.config), RuntimeSettings.from_env()
     from . import artifacts, flows
     from .operators import recipes, validate
-    from .sources import files
+    from .sources import corpus, files
 
     if spark is None:
         from .session import session
@@ -72,9 +72,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         artifacts.seal(folder, {"flow": args.flow})
     else:
         root = args.data or runtime.data_root
-        if not root or not args.expected:
-            raise SystemExit("--data (or RCA_DATA_ROOT) and --expected are required")
-        expected = json.loads(Path(args.expected).read_text(encoding="utf-8-sig"))
+        if not root:
+            raise SystemExit("--data or RCA_DATA_ROOT is required")
+        expected = json.loads(Path(args.expected).read_text(encoding="utf-8-sig")) if args.expected else corpus.expected_cases()
         if args.flow == "preflight":
             rows = flows.preflight(spark, config, args.output, root, expected, args.datasets)
             return int(any(r["status"] == "ERROR" for r in rows))

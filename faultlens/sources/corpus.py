@@ -22,6 +22,28 @@ RECORD = "__record"
 OPTIONS = ("duplicate_time_policy", "expected_time_columns")
 
 
+# The services, faults and repetitions of the public fault-injection corpus.
+_RE1_OB = "adservice cartservice checkoutservice currencyservice productcatalogservice"
+_RE2_OB = "checkoutservice currencyservice emailservice productcatalogservice recommendationservice"
+_SS = "carts catalogue orders payment user"
+_TT = "ts-auth-service ts-order-service ts-route-service ts-train-service ts-travel-service"
+_FIVE, _SIX = "cpu delay disk loss mem", "cpu delay disk loss mem socket"
+#: dataset: (services, faults, repetitions), ...
+_LAYOUT = {
+    "RE1-OB": [(_RE1_OB, _FIVE, 5)], "RE1-SS": [(_SS, _FIVE, 5)], "RE1-TT": [(_TT, _FIVE, 5)],
+    "RE2-OB": [(_RE2_OB, _SIX, 3)], "RE2-SS": [(_SS, _SIX, 3)], "RE2-TT": [(_TT, _SIX, 3)],
+    "RE3-OB": [("adservice", "f3 f4 f5", 3), ("cartservice currencyservice", "f1", 3), ("emailservice", "f1 f2 f3 f4 f5", 3)],
+    "RE3-SS": [("carts", "f1 f3 f4", 4), ("front-end", "f1 f2 f3", 3), ("orders", "f1 f3 f4", 3)],
+    "RE3-TT": [("ts-auth-service", "f1 f2 f3", 4), ("ts-auth-service", "f4", 3), ("ts-route-service", "f1 f2 f3 f3_1 f4", 3)],
+}
+
+
+def expected_cases() -> dict[str, list[str]]:
+    """The cases that a whole corpus has, by dataset."""
+    every = lambda parts: [f"{s}_{f}/{n}" for services, faults, times in parts for s in services.split() for f in faults.split() for n in range(1, times + 1)]
+    return {dataset: sorted(every(parts)) for dataset, parts in _LAYOUT.items()}
+
+
 def parse_scenario(name: str) -> tuple[str, str]:
     """(service, fault) of ``service_fault`` or ``service_fault_n``."""
     m = SCENARIO.fullmatch(name)

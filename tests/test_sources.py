@@ -23,6 +23,9 @@ def test_scenarios_and_files():
     assert corpus.parse_scenario("cart_service_cpu_2") == ("cart_service", "cpu") and corpus.parse_scenario("a_f3") == ("a", "f3")
     with pytest.raises(ValueError):
         corpus.parse_scenario("cart_unknown")
+    cases = corpus.expected_cases()
+    assert {d: len(c) for d, c in cases.items()} == {**{f"RE1-{s}": 125 for s in ("OB", "SS", "TT")}, **{f"RE2-{s}": 90 for s in ("OB", "SS", "TT")}, **{f"RE3-{s}": 30 for s in ("OB", "SS", "TT")}}
+    assert all(corpus.parse_scenario(c.split("/")[0]) for own in cases.values() for c in own) and len({c for own in cases.values() for c in own}) > 300
     assert [corpus.metric_file(d) for d in ("RE1-OB", "RE1-SS", "RE2-TT")] == ["data.csv", "simple_data.csv", "simple_metrics.csv"]
 
 
