@@ -117,7 +117,7 @@ SIGNATURES = "doc_id long, n long, cls long, sketch array<long>, keys array<long
 def _signatures(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 32 << 20):
+            for batch in slices(whole, "text", 16 << 20):
                 ids, n, cls, sketches, keys = [], [], [], [], []
                 for part in slices(batch, "text"):
                     for s in shingle_sets(part.column("text"), width):
