@@ -64,10 +64,11 @@ class Bins:
 
 
 def pack_shard(rows: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFrame:
-    """rows: shard, doc_id, tokens, source, cluster."""
-    order = rows.sort_values(["tokens", "doc_id", "cluster"], ascending=[False, True, True], na_position="last", kind="stable")
+    """rows: shard, doc_id (0 where none), no_id, tokens, source, cluster."""
+    order = rows.sort_values(["tokens", "no_id", "doc_id", "cluster"], ascending=[False, True, True, True], kind="stable")
+    ids = [None if no else int(d) for d, no in zip(order["doc_id"], order["no_id"], strict=True)]
     pieces = []
-    for d, t, s, c in zip(order["doc_id"], order["tokens"], order["source"], order["cluster"], strict=True):
+    for d, t, s, c in zip(ids, order["tokens"], order["source"], order["cluster"], strict=True):
         # Every piece of a row but the last fills a bin; only the last can share one.
         whole, rest = divmod(int(t), capacity)
         pieces += [(d, i, capacity, s, c) for i in range(whole)]
@@ -82,8 +83,9 @@ def pack_shard(rows: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFra
     for d, i, t, s, c in pieces:
         k, offset = bins.place(t, source[s], cluster.get(c, -1)) if t else (None, None)
         out.append((d, i, t, s, c, None if k is None else base + k, offset))
-    frame = pd.DataFrame(out, columns=["doc_id", "piece", "tokens", "source", "cluster", "bin", "offset"])
-    return frame.astype({"doc_id": "Int64", "piece": "int32", "bin": "Int64", "offset": "Int64"})
+    names = ["doc_id", "piece", "tokens", "source", "cluster", "bin", "offset"]
+    # Nullable integers from the start: large ids would not survive as doubles.
+    return pd.DataFrame({n: pd.array(list(v), dtype=object if n == "source" else "Int64") for n, v in zip(names, zip(*out, strict=True), strict=True)})
 
 
 def described(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -100,5 +102,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     shards = -(-rows.count() // shard_rows) or 1
     # The copies of a text spread over the shards, so that no cluster makes a shard large; equal rows may meet, and count as one cluster.
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)))
+    dealt = dealt.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
     run = lambda frame: pack_shard(frame, capacity, per_source)
     return dealt.groupBy("shard").applyInPandas(run, PACKED)

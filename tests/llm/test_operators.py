@@ -287,6 +287,8 @@ def test_packing(spark):
     assert sorted(map(str, one)) == sorted(map(str, rows))
     assert packing.pack(documents(spark, texts).limit(0)).collect() == []
     assert {r["bin"] for r in packing.pack(documents(spark, [None, ""])).collect()} == {None}
+    ids = [None, 2**60 + 1, 2**60 + 3, 5]
+    assert {r["doc_id"] for r in packing.pack(documents(spark, ["a", "b", "c", "d"], ids=ids)).collect()} == set(ids)
 
 
 def test_best_fit_takes_the_tightest_compatible_bin():
