@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, packed, quoted, small_side, unpacked, without, words_of
+from .common import ROW, Stored, packed, quoted, small_side, unpacked, without, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Bits of a packed window that hold its position.
@@ -89,6 +89,7 @@ def host_verdicts(measured: DataFrame, host: str = "source", limit: float = HOST
         .agg(F.count("*").alias("host_docs"), F.count_if(failed).alias("host_failed"))
     )
     rate = F.col("host_failed") / F.col("host_docs")
+    hosts = Stored(hosts, "hosts").df
     m = hosts.agg(F.avg(rate).alias("mean"), F.var_samp(rate).alias("var"), F.avg(1 / F.col("host_docs")).alias("inv")).first()
     mean = min(max(m["mean"] if m["mean"] is not None else 0.5, 1e-3), 1 - 1e-3)
     # Moments of a beta-binomial: what varies beyond the binomial share belongs to the prior.
@@ -103,12 +104,24 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", limit: floa
     """Every row of ``docs`` (without its text, if ``carry`` is false) with MEASURES, host_rate and kept."""
     measured = measure(without(docs, ["host_rate", "kept"]), text)
     measured = Stored(measured if carry else measured.drop(text), "measured").df
-    verdicts = Stored(host_verdicts(measured, host, limit), "hosts").df
+    return _joined(measured, host_verdicts(measured, host, limit), host)
+
+
+def _joined(measured: DataFrame, verdicts: DataFrame, host: str) -> DataFrame:
     side = small_side(verdicts, 128).select(F.col("host").alias("__host"), "host_rate", F.col("host_ok").alias("__ok"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("__ok"), F.lit(True))
     return measured.join(side, measured[host] == F.col("__host"), "left").withColumn("kept", kept).drop("__host", "__ok")
 
 
 def filtered(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns as they were."""
-    return unpacked(judge(packed(docs, text, host), text, host).where("kept"))
+    """The rows of ``docs`` that are kept, with all their columns as they were.
+
+    The texts are measured twice, for the hosts and then for the rows: a second pass over the
+    input takes less than a written copy of all texts.
+    """
+    measured = measure(packed(docs, text, host), text)
+    verdicts = host_verdicts(measured, host)
+    # A plain filter would be pushed below the measures, and they into it, to be computed anew for each window.
+    passed = F.explode(F.when(~F.col("base_failed"), F.array(F.lit(True))))
+    rows = measured.select(ROW, host, passed.alias("__passed")).withColumn("base_failed", F.lit(False))
+    return unpacked(_joined(rows, verdicts, host).where("kept"))
