@@ -4,7 +4,7 @@ A text's set of word shingles is split by hash into blocks, each block keeping t
 its shingles' hashes. Within a size band two sets that link differ in at most ``d``
 shingles, and every difference spoils at most one block, so with ``d + 1 + spare`` blocks
 they agree on more than ``spare`` of them: equal blocks are the candidates. A second
-parity sketch of 1024 bits gives, by its Hamming distance, a lower bound of the symmetric
+parity sketch, of four bits a shingle, gives, by its Hamming distance, a lower bound of the symmetric
 difference that sorts candidates out before the sets themselves decide.
 
 Blocks of at most one shingle say little and are not joined on. A text with ``spare`` or
@@ -32,17 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, packed, small_side, unpacked
+from .common import Stored, packed, release, small_side, unpacked
 from .components import connected
 from .text_hash import mix, shingle_sets, slices
 
 WIDTH = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-SKETCH_WORDS = 16
+#: A sketch has at least this many words, and 4 bits for each shingle; the brief sketch has BRIEF words.
+SKETCH_WORDS, BITS_EACH, BRIEF = 16, 4, 8
 BAND = 1.5
-#: Of the sketch's words, as many are left when it is folded for the join of what the stars left over.
-FOLD = SKETCH_WORDS // 2
 #: Smallest keys of a class by which a pair that shares several keys is met but once.
 HEAD = 8
 
@@ -94,8 +93,10 @@ def keys_of(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def sketch_of(s: np.ndarray) -> np.ndarray:
-    bits = (mix(s, 6000) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64)
-    words = np.zeros(SKETCH_WORDS, dtype=np.uint64)
+    """Parity sketch of a power of two of words, so that a larger one folds to a smaller one's size."""
+    size = max(SKETCH_WORDS, 1 << (BITS_EACH * len(s) // 64).bit_length())
+    bits = (mix(s, 6000) & np.uint64(64 * size - 1)).astype(np.int64)
+    words = np.zeros(size, dtype=np.uint64)
     np.bitwise_xor.at(words, bits >> 6, np.uint64(1) << (bits & 63).astype(np.uint64))
     return words
 
@@ -111,7 +112,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64), pa.int64()))
 
 
-SIGNATURES = "doc_id long, n long, cls long, sketch array<long>, keys array<long>, met_keys array<long>, met array<long>"
+SIGNATURES = "doc_id long, n long, cls long, sketch array<long>, brief array<long>, keys array<long>, met_keys array<long>, met array<long>"
 
 
 def _signatures(width: int, percent: int):
@@ -127,7 +128,9 @@ def _signatures(width: int, percent: int):
                         keys.append(keys_of(s, percent) if len(s) else np.zeros(0, dtype=np.uint64))
                 ids, cls = batch.column("doc_id").cast(pa.int64()), np.array(cls, dtype=np.uint64).view(np.int64)
                 own, met_keys, met = _first_meeting(keys, cls)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(cls), _lists(sketches), own, met_keys, met], ["doc_id", "n", "cls", "sketch", "keys", "met_keys", "met"])
+                briefs = [np.bitwise_xor.reduce(s.reshape(-1, BRIEF), axis=0) if len(s) else s for s in sketches]
+                columns = [ids, pa.array(n, pa.int64()), pa.array(cls), _lists(sketches), _lists(briefs), own, met_keys, met]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "sketch", "brief", "keys", "met_keys", "met"])
 
     return run
 
@@ -184,7 +187,10 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     """Of the class pairs (a, b) those that link: first by sketch, then by the sets, read again from one text of each class."""
     side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
-    hamming = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("long"), lambda acc, v: acc + v)
+    short = F.least(F.size("sa"), F.size("sb"))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    folded = lambda s: F.when(F.size(s) > short, F.zip_with(F.slice(s, F.lit(1), short), F.slice(s, short + 1, short), xor)).otherwise(F.col(s))
+    hamming = F.aggregate(F.zip_with(folded("sa"), folded("sb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("long"), lambda acc, v: acc + v)
     total, least, most = F.col("na") + F.col("nb"), F.least("na", "nb"), F.greatest("na", "nb")
     near = near.where((100 * least >= percent * most) & (hamming * (100 + percent) <= (100 - percent) * total)).select("a", "b")
     near = Stored(near, f"{name}-near")
@@ -223,15 +229,14 @@ def _left_over(stars: DataFrame, pairs: DataFrame, first: DataFrame, classes: Da
     rows = rows.select("key", "cls").union(rows.select("key", "hub")).distinct()
     rows = rows.join(comp("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     rows = Stored(rows, "open")
-    # A row carries its class's size, half of its sketch's bits and its smallest keys, so that the join itself sorts pairs out.
+    # A row carries its class's size, brief sketch and smallest keys, so that the join itself sorts pairs out.
     heads = rows.df.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("key")), 1, HEAD).alias("head"))
-    folded = [F.element_at("sketch", i + 1).bitwiseXOR(F.element_at("sketch", i + 1 + FOLD)).alias(f"s{i}") for i in range(FOLD)]
-    known = classes.select("cls", "n", *folded)
+    known = classes.select("cls", "n", *[F.element_at("brief", i + 1).alias(f"s{i}") for i in range(BRIEF)])
     full = rows.df.join(heads, "cls").join(known, "cls")
     own, other = (full.select(*[F.col(c).alias(f"{c}_{side}") for c in full.columns]) for side in "xy")
     total, least, most = F.col("n_x") + F.col("n_y"), F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
     hamming = F.lit(0)
-    for i in range(FOLD):
+    for i in range(BRIEF):
         hamming = hamming + F.bit_count(F.col(f"s{i}_x").bitwiseXOR(F.col(f"s{i}_y")))
     below = lambda c: F.filter(c, lambda k: k < F.col("key_x"))
     near = (100 * least >= percent * most) & (hamming * (100 + percent) <= (100 - percent) * total)
@@ -246,10 +251,15 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     if not 70 <= percent <= 99:
         raise ValueError("percent must be 70 to 99: linked sets lie in one size band or two")
     docs = docs.select("doc_id", "text")
-    signatures = Stored(docs.mapInArrow(_signatures(width, percent), SIGNATURES), "signatures").df
-    known = signatures.where("n > 0")
-    classes = Stored(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes").df
+    signed = Stored(docs.mapInArrow(_signatures(width, percent), SIGNATURES), "signatures")
+    known = signed.df.where("n > 0")
+    signatures = Stored(signed.df.select("doc_id", "n", "cls"), "ids").df
+    own = [F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "sketch", "brief")]]
+    classes = Stored(known.groupBy("cls").agg(*own), "classes").df
     stars = Stored(_stars(known), "stars").df
+    signed.drop()
+    del known
+    release(docs.sparkSession)
     pairs = Stored(stars.select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct(), "pairs").df
     links = verified(pairs, classes, docs, width, percent, "star")
     first = connected(links)
