@@ -1,7 +1,9 @@
 """Mixing to target weights with soft domain membership, in DataFrame functions only.
 
 A Gaussian naive Bayes classifier, fitted on the labelled table, gives each document
-posteriors over domains. Nonnegative document rates then minimise the squared distance
+posteriors over domains. It sees character shares and, for each domain, the weight of the
+word beginnings that the labels show to be its own, in whatever language: counts of hashed
+beginnings, case folded, one aggregation. Nonnegative document rates then minimise the squared distance
 between the expected domain token totals and their targets, by projected gradient
 steps scaled with the inverse of the expected token overlap of the domains. Every step
 is one aggregation over a narrow table, of which the driver sees one number a domain.
@@ -19,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Stored, packed, unpacked
+from .common import ROW, Stored, packed, small_side, unpacked
 
 #: domain: target share of all tokens
 TARGETS = {"good": 0.93, "bad": 0.04, "toxic": 0.03}
@@ -27,20 +29,69 @@ TARGETS = {"good": 0.93, "bad": 0.04, "toxic": 0.03}
 ANCHOR = "good"
 STEPS = 12
 TOLERANCE = 1e-6
-TOXIC_WORDS = ["idiot", "moron", "trash", "worthless", "clown", "stupid", "loser", "scum"]
+#: Lengths of the word beginnings that are weighed; a shorter word counts whole.
+STEMS = range(3, 9)
+#: Slots that the hashes of word beginnings share. None is left out; a slot's documents add up.
+SLOTS = 1 << 18
+#: A slot's log ratio counts less so many standard errors, and only where that leaves LEAST.
+ERRORS, LEAST = 2.0, 1.2
+
+
+def stems(text: Column) -> Column:
+    """The distinct slots of the beginnings of a text's words, case folded."""
+    words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"))
+    slots = lambda w: F.array(*[F.pmod(F.xxhash64(F.substring(w, 1, n)), F.lit(SLOTS)).cast("int") for n in STEMS])
+    return F.array_distinct(F.flatten(F.transform(F.filter(words, lambda w: w != ""), slots)))
+
+
+def learn_stems(docs: DataFrame, labels: DataFrame, classes: list[str], text: str = "text") -> list[dict[int, float]]:
+    """For each class the slots that its documents have more often than the others', and their weights."""
+    own = labelled(labels).where(F.col("domain").isin(classes))
+    each = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(small_side(own, 32), "doc_id")
+    # A slot below 0 stands for the document itself: the class's size comes from the same aggregation.
+    slots = each.select("domain", F.explode(F.concat(F.array(F.lit(-1)), stems(F.col("text")))).alias("slot"))
+    counts = slots.groupBy("slot").agg(*[F.sum(F.when(F.col("domain") == k, 1).otherwise(0)).cast("double").alias(f"n{i}") for i, k in enumerate(classes)])
+    counts = Stored(counts, "stems").df
+    sizes = counts.where("slot < 0").first()
+    if sizes is None:
+        return [{} for _ in classes]
+    found: list[dict[int, float]] = []
+    for i in range(len(classes)):
+        size = sizes[f"n{i}"]
+        rest = sum(sizes[f"n{j}"] for j in range(len(classes)) if j != i)
+        n = F.col(f"n{i}")
+        others = sum((F.col(f"n{j}") for j in range(len(classes)) if j != i), F.lit(0.0))
+        ratio = F.log((n + 0.5) / (size + 1)) - F.log((others + 0.5) / (rest + 1)) - ERRORS * F.sqrt(1 / (n + 0.5) + 1 / (others + 0.5))
+        got = counts.where("slot >= 0").select("slot", F.round(ratio, 3).alias("w")).where(F.col("w") >= LEAST)
+        found.append({r["slot"]: r["w"] for r in got.collect()} if size and rest else {})  # SLOTS rows at most
+    return found
+
+
+def weighed(text: Column, weights: list[dict[int, float]]) -> Column:
+    """For each class the root of the summed weights of a text's slots, over the root of their number."""
+    flat = lambda w, kind: F.split(F.lit(",".join(f"{w.get(i, 0):g}" for i in range(SLOTS))), ",").cast(f"array<{kind}>")
+    known = flat({i: 1 for w in weights for i in w}, "tinyint")
+    tables = [flat(w, "double") if w else None for w in weights]
+    add = lambda a, i: F.array(*[F.get(a, F.lit(k)) + (F.get(t, i) if t is not None else 0.0) for k, t in enumerate(tables)])
+    # The slots are made once a text: they are the start of a one-element transform.
+    summed = lambda s: F.transform(
+        F.aggregate(F.filter(s, lambda i: F.get(known, i) > 0), F.array(*[F.lit(0.0)] * len(weights)), add),
+        lambda v: F.sqrt(v / F.sqrt(F.greatest(F.size(s), F.lit(1)))),
+    )
+    return F.get(F.transform(F.array(stems(text)), summed), F.lit(0))
 
 
-def features(text: Column) -> list[Column]:
-    """Scalars of a text; all finite, also for an empty one."""
+def features(text: Column, weights: list[dict[int, float]]) -> Column:
+    """Scalars of a text, one array; all finite, also for an empty one."""
     n = F.greatest(F.length(text), F.lit(1)).cast("double")
     share = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))) / n
-    return [
+    shares = F.array(
         F.sqrt(share("#*$%&|<>")),
         F.sqrt(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
         F.sqrt(share("!")),
         F.sqrt(share(" ")),
-        F.log1p(F.size(F.regexp_extract_all(text, F.lit(r"\b(?:" + "|".join(TOXIC_WORDS) + r")\b"), F.lit(0))).cast("double")),
-    ]
+    )
+    return F.concat(shares, weighed(text, weights)) if any(weights) else shares
 
 
 @dataclass
@@ -68,18 +119,21 @@ class Bayes:
         return [F.round(p / whole, 9) for p in parts]
 
 
-def described(docs: DataFrame, text: str = "text") -> DataFrame:
+def described(docs: DataFrame, weights: list[dict[int, float]], text: str = "text") -> DataFrame:
     """doc_id, tokens, x (features) and nothing else of each row."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.size(F.split(F.trim(F.translate(t, "\t\n\x0b\x0c\r", "     ")), " +"))
-    return docs.select("doc_id", F.when(F.trim(F.translate(t, "\t\n\x0b\x0c\r", "     ")) == "", 0).otherwise(words).cast("long").alias("tokens"), F.array(*features(t)).alias("x"))
+    return docs.select("doc_id", F.when(F.trim(F.translate(t, "\t\n\x0b\x0c\r", "     ")) == "", 0).otherwise(words).cast("long").alias("tokens"), features(t, weights).alias("x"))
+
+
+def labelled(labels: DataFrame) -> DataFrame:
+    """labels: doc_id, domain; each id once."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col("domain").isNotNull()).groupBy("doc_id").agg(F.max("domain").alias("domain"))
 
 
-def fit_classifier(rows: DataFrame, labels: DataFrame, classes: list[str]) -> Bayes:
-    """labels: doc_id, domain. Means and variances of each domain, in one aggregation."""
-    n = len(features(F.lit("")))
-    own = labels.where(F.col("doc_id").isNotNull() & F.col("domain").isNotNull()).groupBy("doc_id").agg(F.max("domain").alias("domain"))
-    got = rows.join(own, "doc_id").groupBy("domain").agg(
+def fit_classifier(rows: DataFrame, labels: DataFrame, classes: list[str], n: int) -> Bayes:
+    """Means and variances of each domain over the ``n`` features, in one aggregation."""
+    got = rows.join(labelled(labels), "doc_id").groupBy("domain").agg(
         F.count("*").alias("n"), *[F.avg(F.col("x")[j]).alias(f"m{j}") for j in range(n)], *[F.var_pop(F.col("x")[j]).alias(f"v{j}") for j in range(n)]
     )
     by = {r["domain"]: r for r in got.collect()}  # a row for each domain
@@ -102,9 +156,11 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     """
     targets = dict(targets or TARGETS)
     names = list(targets)
-    rows = Stored(described(docs, text), "features").df
-    model = fit_classifier(rows, labels, names)
-    p = dict(zip(model.classes, model.posterior(F.col("x"), len(features(F.lit("")))), strict=True))
+    weights = learn_stems(docs, labels, names, text)
+    n = 4 + (len(weights) if any(weights) else 0)
+    rows = Stored(described(docs, weights, text), "features").df
+    model = fit_classifier(rows, labels, names, n)
+    p = dict(zip(model.classes, model.posterior(F.col("x"), n), strict=True))
     soft = rows.select("doc_id", "tokens", *[(p[k] if k in p else F.lit(0.0)).alias(f"p_{k}") for k in names])
     soft = Stored(soft, "posteriors").df
     rate, residual = solve(soft, [f"p_{k}" for k in names], list(targets.values()), steps, names.index(ANCHOR) if ANCHOR in names else None)

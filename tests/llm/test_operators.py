@@ -243,6 +243,28 @@ def test_rates_meet_the_targets(spark):
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]})
 
 
+def test_toxic_words_of_each_language_are_learned(spark):
+    rng = random.Random(17)
+    own = {"en": ["Disgusting", "pathetic"], "de": ["Widerling", "\u00c4kelpack"], "fr": ["r\u00e9pugnant", "ordures"], "es": ["asqueroso", "basuras"]}
+    texts, langs, domains = [], [], []
+    for k in range(480):
+        lang, toxic = list(own)[k % 4], k // 4 % 4 == 0
+        words = [f"{lang}{w}" for w in sentence(rng, 60).split()]
+        if toxic:
+            for place in range(3, 60, 9):
+                word = rng.choice(own[lang])
+                words[place] = rng.choice([word, word.upper(), f"({word.lower()}en,"])
+        texts.append(" ".join(words))
+        langs.append(lang)
+        domains.append("toxic" if toxic else "good")
+    labels = spark.createDataFrame([(k, d) for k, d in enumerate(domains) if k // 16 % 3], "doc_id long, domain string")
+    got = {r["doc_id"]: r["p_toxic"] for r in mixing.rates(documents(spark, texts), labels).collect()}
+    for lang in own:  # of the documents without a label
+        mine = [k for k in range(480) if langs[k] == lang and not k // 16 % 3]
+        assert {domains[k] for k in mine} == {"good", "toxic"}
+        assert all((got[k] > 0.5) == (domains[k] == "toxic") for k in mine), lang
+
+
 def test_mixing_without_labels_or_rows(spark):
     docs = documents(spark, ["a b", "c"])
     none = spark.createDataFrame([], "doc_id long, domain string")
