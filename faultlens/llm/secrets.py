@@ -3,7 +3,7 @@
 The patterns give the base spans. Besides them, every long token is scored by the
 log-likelihood ratio of two first-order character models, one of random strings and
 one of ordinary identifiers, both trained from labelled samples; tokens above the
-threshold that touch no base span are added as kind ``markov``. All of it is
+threshold of which a base span leaves two characters or more are added as kind ``markov``. All of it is
 DataFrame functions within a row; there is no shuffle.
 
 Positions are code points, end exclusive. Defined results: a null text is empty and
@@ -34,8 +34,6 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Mean log-likelihood ratio of a character, in thousandths of a nat, from which a token counts as a secret.
 THRESHOLD = 900
-#: Characters of each kind of a token besides its score: random strings mix letters and digits.
-LEAST_DIGITS = 2
 
 #: Ordinary material of the identifier sample.
 PLAIN_WORDS = (
@@ -148,8 +146,7 @@ def scan(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, sample
     found = {}
     for kind, (pattern, group, least) in PATTERNS.items():
         found[kind] = _spans(t, pattern, kind, _at_least(pattern, group, least))
-    digits = lambda m: F.length(m) - F.length(F.translate(m, "0123456789", ""))
-    found["markov"] = _spans(t, TOKEN, "markov", lambda m: (digits(m) >= LEAST_DIGITS) & (ratio(m, model) >= threshold))
+    found["markov"] = _spans(t, TOKEN, "markov", lambda m: ratio(m, model) >= threshold)
     order = F.array(*map(F.lit, KINDS))
     rank = lambda x: F.array_position(order, x["kind"])
 
@@ -158,7 +155,8 @@ def scan(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, sample
         return F.transform(F.array_sort(keyed), lambda x: F.struct(x["s"], x["e"], x["kind"], x["t"]))
 
     out = without(docs, ["base", "spans"]).withColumns({f"__{k}": v for k, v in found.items()}).withColumn("base", ordered(F.concat(*[f"__{k}" for k in PATTERNS])))
-    clear = F.filter("__markov", lambda x: ~F.exists(F.col("base"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    # One character beside a base span is no pair of characters, so the model says nothing of it.
+    clear = F.filter("__markov", lambda x: ~F.exists(F.col("base"), lambda b: F.least(b["e"], x["e"]) - F.greatest(b["s"], x["s"]) >= x["e"] - x["s"] - 1))
     return out.withColumn("spans", ordered(F.concat("base", clear))).drop(*[f"__{k}" for k in KINDS])
 
 
