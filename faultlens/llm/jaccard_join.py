@@ -2,20 +2,23 @@
 
 A text's set of word shingles is split by hash into blocks, each block keeping the XOR of
 its shingles' hashes. Within a size band two sets that link differ in at most ``d``
-shingles, and every difference spoils at most one block, so with ``d + 1 + spare`` blocks
-they agree on more than ``spare`` of them: equal blocks are the candidates. A second
-parity sketch, of four bits a shingle, gives, by its Hamming distance, a lower bound of the symmetric
-difference that sorts candidates out before the sets themselves decide.
-
-Blocks of at most one shingle say little and are not joined on. A text with ``spare`` or
-more of them also joins on its smallest shingles (as many as two linked sets must share
-one of, and one more); two texts can only miss each other on blocks if both are such.
-
-All work is on classes of equal sets, named by a 64-bit fingerprint of the set. Equal keys
-first meet within an Arrow batch, then across the input; each bucket is a star around its
-smallest class. Star links are verified first. A bucket whose members then still belong to
-different components has the pairs between components compared too, by sketch within the
-join, so that only near ones leave it; no link between components is lost.
+shingles, and every difference spoils at most one block, so of more than ``d`` blocks they
+agree on all others: equal blocks are the candidates. Empty blocks say nothing and are no
+keys. A second parity sketch, of four bits a shingle, gives, by its Hamming distance, a
+lower bound of the symmetric difference that sorts candidates out before the sets decide.
+
+There are a fifth more blocks than ``d`` asks for, so two sets that link share many keys,
+at least ``T`` as each of them can tell by itself. So each may leave out its ``T - 1`` most
+frequent keys (in one order for all), and they still meet on another: a passage that many
+texts share costs nothing. Sets that can't tell so much (tiny ones) also take their smallest
+shingles as keys, enough of them that two linked sets share some.
+
+All work is on classes of equal sets, named by a 64-bit fingerprint that a second one
+confirms; different sets of one name are named anew. Each bucket of a key is a star around
+its smallest class. Star links are verified first. A bucket whose members then still belong
+to different components has the pairs between components compared too, by sketches that
+grow with the set within the join, so that only near ones leave it; no link between
+components is lost.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked
 with nothing; a null id is carried, and is the component only where no other id is;
@@ -25,25 +28,32 @@ repeated rows are equal texts; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, packed, release, small_side, unpacked
+from .common import ROW, Stored, packed, release, small_side, unpacked
 from .components import connected
 from .text_hash import mix, shingle_sets, slices
 
 WIDTH = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: A sketch has at least this many words, and 4 bits for each shingle; the brief sketch has BRIEF words.
-SKETCH_WORDS, BITS_EACH, BRIEF = 16, 4, 8
+#: A sketch has at least this many words, and 4 bits for each shingle.
+SKETCH_WORDS, BITS_EACH = 16, 4
+#: An outline is the sketch folded to a bit for each shingle and BRIEF words at least; a brief sketch to BRIEF words.
+BRIEF = 8
 BAND = 1.5
 #: Smallest keys of a class by which a pair that shares several keys is met but once.
 HEAD = 8
+#: A key of so many classes within one batch may be common in all: such keys are counted before any shuffle.
+HOT_IN_BATCH = 64
+#: A class of so many rows gets its answer by a broadcast, if all such classes fit.
+HOT_COPIES = 10_000
 
 
 def furthest(total: int, percent: int) -> int:
@@ -59,37 +69,52 @@ def edge(g: int) -> int:
 
 @lru_cache(maxsize=512)
 def group(g: int, percent: int) -> tuple[int, int, int]:
-    """Of band g joined with the sets just above it: largest size, d, spare."""
+    """Of band g joined with the sets just above it: its largest size, their largest size, the number of blocks."""
     top = edge(g + 1) - 1
     largest = top * 100 // percent
     d = furthest(top + largest, percent)
-    return largest, d, 2 + 3 * (d + 1) // 10
+    return top, largest, d + 1 + 2 + (d + 1) // 5
 
 
-def keys_of(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The join keys of a sorted set of shingle hashes."""
-    n, g = len(s), 0
+def keys_of(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, list[int]]:
+    """The join keys of a sorted set of shingle hashes, and how many of the most frequent it can leave out.
+
+    The last two bits of a key tell its kind: band modulo 2, and blocks (0) or shingles (1).
+    The second result has a number for each kind.
+    """
+    n, g, drop = len(s), 0, [0, 0, 0, 0]
     while edge(g + 1) <= n:
         g += 1
     out = []
+
+    def add(keys: np.ndarray, own: int, shingles: int, spare: int) -> None:
+        kind = own % 2 + 2 * shingles
+        drop[kind] = spare
+        out.append((keys & ~np.uint64(3)) | np.uint64(kind))
+
     for own in (g, g - 1):
         if own < 0:
             continue
-        largest, d, spare = group(own, percent)
-        if n > largest or not d:
-            continue  # d = 0: only equal sets link
-        blocks = d + 1 + spare
+        top, largest, blocks = group(own, percent)
+        if n > largest:
+            continue
+        # The most that this set and another of the band that links with it can differ in.
+        d = furthest(n + (min(largest, n * 100 // percent) if n <= top else top), percent)
+        if not d:
+            continue  # only equal sets link
         which = (mix(s, 1000 + own) % np.uint64(blocks)).astype(np.int64)
         sums = np.zeros(blocks, dtype=np.uint64)
         np.bitwise_xor.at(sums, which, s)
-        heavy = np.bincount(which, minlength=blocks) > 1
+        full = np.bincount(which, minlength=blocks) > 0
         named = mix(sums, 2000 + own) + mix(np.arange(blocks, dtype=np.uint64), 3000 + own)
-        out.append(mix(named[heavy]))
-        if blocks - heavy.sum() >= spare:
-            # Two of the first n - ceil(t n) + 2 shingles are shared, in any order that is the same for both.
-            first = n - -(-percent * n // 100) + 2
-            out.append(mix(np.sort(mix(s, 4000))[:first], 5000 + own))
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+        # Two linked sets agree on blocks - d, of which no more are empty than either set has empty.
+        shared = int(full.sum()) - d
+        add(mix(named[full]), own, 0, max(shared - 1, 0))
+        if shared < 1:
+            # Linked sets share ceil(t n) shingles, so ``more`` + 1 of the first n - ceil(t n) + 1 + more in one order for all.
+            more = 15 * edge(own) // 100
+            add(mix(np.sort(mix(s, 4000))[: n + percent * -n // 100 + 1 + more], 5000 + own), own, 1, more)
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.uint64), drop
 
 
 def sketch_of(s: np.ndarray) -> np.ndarray:
@@ -101,71 +126,75 @@ def sketch_of(s: np.ndarray) -> np.ndarray:
     return words
 
 
-def fingerprint(s: np.ndarray) -> np.uint64:
+def folded_to(words: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
+
+
+def outline_of(sketch: np.ndarray, n: int) -> np.ndarray:
+    return folded_to(sketch, min(len(sketch), max(BRIEF, 1 << (n // 64).bit_length())))
+
+
+def fingerprint(s: np.ndarray, bits: int = 64) -> tuple[np.uint64, np.uint64]:
+    """The name of a set, of ``bits`` bits, and another fingerprint that confirms it; 0, 0 for an empty set."""
+    if not len(s):
+        return np.uint64(0), np.uint64(0)
     one = np.array([np.bitwise_xor.reduce(mix(s, 7000)), mix(s, 7001).sum(dtype=np.uint64)], dtype=np.uint64)
-    return mix(one[:1] * np.uint64(3) + mix(one[1:], len(s)))[0]
+    name = mix(one[:1] * np.uint64(3) + mix(one[1:], len(s)))[0] >> np.uint64(64 - bits)
+    return name, mix(mix(one[:1], 7002) + one[1:] * np.uint64(5), len(s))[0]
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    """A list for each part; None: null."""
+    missing = np.array([p is None for p in parts] + [False])
+    sizes = [0 if p is None else len(p) for p in parts]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.int32(), mask=missing if missing.any() else None)
+    parts = [p for p in parts if p is not None]
     values = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64), pa.int64()))
+    return pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64), pa.int64()))
 
 
-SIGNATURES = "doc_id long, n long, cls long, sketch array<long>, brief array<long>, keys array<long>, met_keys array<long>, met array<long>"
+SIGNATURES = "doc_id long, rid long, n long, cls long, cls2 long, sketch array<long>, outline array<long>, brief array<long>, leave array<long>, keys array<long>, hot array<long>"
 
 
-def _signatures(width: int, percent: int):
+def _signatures(width: int, percent: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 16 << 20):
-                ids, n, cls, sketches, keys = [], [], [], [], []
+                names, out, seen = [], [[] for _ in range(5)], set()
                 for part in slices(batch, "text"):
                     for s in shingle_sets(part.column("text"), width):
-                        n.append(len(s))
-                        cls.append(fingerprint(s) if len(s) else np.uint64(0))
-                        sketches.append(sketch_of(s) if len(s) else np.zeros(0, dtype=np.uint64))
-                        keys.append(keys_of(s, percent) if len(s) else np.zeros(0, dtype=np.uint64))
-                ids, cls = batch.column("doc_id").cast(pa.int64()), np.array(cls, dtype=np.uint64).view(np.int64)
-                own, met_keys, met = _first_meeting(keys, cls)
-                briefs = [np.bitwise_xor.reduce(s.reshape(-1, BRIEF), axis=0) if len(s) else s for s in sketches]
-                columns = [ids, pa.array(n, pa.int64()), pa.array(cls), _lists(sketches), _lists(briefs), own, met_keys, met]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "sketch", "brief", "keys", "met_keys", "met"])
+                        name = fingerprint(s, bits)
+                        names.append((len(s), *name))
+                        # The first row of a class in the batch speaks for it.
+                        first = len(s) > 0 and name not in seen
+                        seen.add(name)
+                        keys, leave = keys_of(s, percent) if first else (None, None)
+                        sketch = sketch_of(s) if first else None
+                        outline = outline_of(sketch, len(s)) if first else None
+                        for column, v in zip(out, (sketch, outline, folded_to(outline, BRIEF) if first else None, np.array(leave, dtype=np.uint64) if first else None, keys), strict=True):
+                            column.append(v)
+                n, cls, cls2 = (np.array([x[k] for x in names], dtype=np.uint64).view(np.int64) for k in range(3))
+                hot = [_common(out[4])] + [None] * (len(names) - 1)
+                columns = [batch.column("doc_id").cast(pa.int64()), batch.column("rid"), pa.array(n), pa.array(cls), pa.array(cls2), *map(_lists, out), _lists(hot)]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SIGNATURES.split(", ")])
 
     return run
 
 
-def _first_meeting(keys: list[np.ndarray], cls: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """Within the batch a key stays with its smallest class; other classes keep (key, that class). Copies keep nothing."""
-    sizes = np.array([len(k) for k in keys], dtype=np.int64)
-    flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
-    row = np.repeat(np.arange(len(keys)), sizes)
-    order = np.lexsort((row, cls[row], flat))
-    k, r = flat[order], row[order]
-    new = np.ones(len(k), dtype=bool)
-    new[1:] = k[1:] != k[:-1]
-    hub = cls[r][np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))] if len(k) else cls[:0]
-    c = cls[r]
-    again = np.zeros(len(k), dtype=bool)
-    again[1:] = ~new[1:] & (c[1:] == c[:-1])
-    other = ~new & ~again & (c != hub)
-
-    def by_row(chosen: np.ndarray, values: np.ndarray) -> pa.Array:
-        rows, values = r[chosen], values[chosen]
-        o = np.argsort(rows, kind="stable")
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(keys)))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[o].view(np.int64), pa.int64()))
+def _common(keys: list[np.ndarray | None]) -> np.ndarray:
+    """The keys that many classes of a batch have."""
+    keys = [k for k in keys if k is not None]
+    flat, count = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, dtype=np.uint64),) * 2
+    return flat[count >= HOT_IN_BATCH]
 
-    return by_row(new, k), by_row(other, k), by_row(other, hub.view(np.uint64) if len(k) else k)
 
-
-def _sets(width: int):
+def _sets(width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, "text"):
                 sets = list(shingle_sets(part.column("text"), width))
-                cls = np.array([fingerprint(s) if len(s) else np.uint64(0) for s in sets], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "items"])
+                names = np.array([fingerprint(s, bits) for s in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "cls2", "items"])
 
     return run
 
@@ -183,22 +212,52 @@ def _decide(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+def _hamming(x: str, y: str):
+    """Hamming distance of two parity sketches, the longer folded to the size of the shorter: a lower bound of the symmetric difference."""
+    short = F.least(F.size(x), F.size(y))
+    xor = lambda a, b: a.bitwiseXOR(b)
+
+    def folded(v: str):
+        at = lambda i: F.slice(v, i * short + 1, short)
+        parts = F.sequence(F.lit(1), F.floor(F.size(v) / short).cast("int") - 1)
+        return F.when(F.size(v) > short, F.aggregate(parts, at(F.lit(0)), lambda a, i: F.zip_with(a, at(i), xor))).otherwise(F.col(v))
+
+    return F.aggregate(F.zip_with(folded(x), folded(y), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0).cast("long"), lambda acc, v: acc + v)
+
+
+@dataclass
+class Texts:
+    """docs: rid, text. classes: a row for each class, with the rid of one of its texts. renamed: names that different sets had."""
+
+    docs: DataFrame
+    classes: DataFrame
+    renamed: DataFrame | None
+    width: int
+    percent: int
+    bits: int
+
+    def named(self, df: DataFrame) -> DataFrame:
+        """``df`` (cls, cls2, ...) with the names that tell all sets apart."""
+        if self.renamed is None:
+            return df
+        hit = df.join(small_side(self.renamed.withColumn("hit", F.lit(True)), 32), "cls", "left")
+        return hit.withColumn("cls", F.when(F.col("hit"), F.xxhash64("cls", "cls2")).otherwise(F.col("cls"))).drop("hit")
+
+
+def verified(pairs: DataFrame, of: Texts, name: str) -> DataFrame:
     """Of the class pairs (a, b) those that link: first by sketch, then by the sets, read again from one text of each class."""
-    side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    percent = of.percent
+    side = lambda c: of.classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
-    short = F.least(F.size("sa"), F.size("sb"))
-    xor = lambda x, y: x.bitwiseXOR(y)
-    folded = lambda s: F.when(F.size(s) > short, F.zip_with(F.slice(s, F.lit(1), short), F.slice(s, short + 1, short), xor)).otherwise(F.col(s))
-    hamming = F.aggregate(F.zip_with(folded("sa"), folded("sb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("long"), lambda acc, v: acc + v)
     total, least, most = F.col("na") + F.col("nb"), F.least("na", "nb"), F.greatest("na", "nb")
-    near = near.where((100 * least >= percent * most) & (hamming * (100 + percent) <= (100 - percent) * total)).select("a", "b")
+    near = near.where((100 * least >= percent * most) & (_hamming("sa", "sb") * (100 + percent) <= (100 - percent) * total)).select("a", "b")
     near = Stored(near, f"{name}-near")
     involved = near.df.select(F.col("a").alias("cls")).union(near.df.select("b")).distinct()
-    wanted = Stored(involved.join(classes.select("cls", "doc_id"), "cls"), f"{name}-wanted")
+    wanted = Stored(involved.join(of.classes.select("cls", "rid"), "cls"), f"{name}-wanted")
     rows = wanted.df.count()
-    texts = docs.select("doc_id", "text").join(small_side(wanted.df.select("doc_id").distinct(), 16, rows), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(width), "cls long, items binary").join(small_side(wanted.df.select("cls"), 16, rows), "cls", "left_semi").dropDuplicates(["cls"])
+    texts = of.docs.join(small_side(wanted.df.select("rid").distinct(), 16, rows), "rid", "left_semi").select("text")
+    sets = of.named(texts.mapInArrow(_sets(of.width, of.bits), "cls long, cls2 long, items binary")).select("cls", "items")
+    sets = sets.join(small_side(wanted.df.select("cls"), 16, rows), "cls", "left_semi").dropDuplicates(["cls"])
     sets = Stored(sets, f"{name}-sets")
     have = lambda c, v: sets.df.select(F.col("cls").alias(c), F.col("items").alias(v))
     found = near.df.join(have("a", "x"), "a").join(have("b", "y"), "b").mapInArrow(_decide(percent), "a long, b long")
@@ -208,18 +267,37 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return links.df
 
 
-def _stars(signatures: DataFrame) -> DataFrame:
-    """(key, cls, hub): every class of a bucket other than its smallest, with the smallest (of its batch, or of all batches)."""
-    from pyspark.sql import Window
+def _shared_keys(signed: DataFrame) -> DataFrame:
+    """(key, cls, freq) of the keys that several classes have. Common keys are counted by partial sums, the others where they meet."""
+    each = signed.where(F.size("keys") > 0).select("cls", F.explode("keys").alias("key"))
+    hot = Stored(signed.select(F.explode("hot").alias("key")).distinct(), "hot").df
+    n_hot = hot.count()
+    own = Window.partitionBy("key")
+    several = lambda df: df.where("low < high").select("key", "cls", "freq")
+    cold = each if not n_hot else each.join(small_side(hot, 16, n_hot), "key", "left_anti")
+    shared = several(cold.select("key", "cls", F.min("cls").over(own).alias("low"), F.max("cls").over(own).alias("high"), F.count("*").over(own).alias("freq")))
+    if not n_hot:
+        return shared
+    common = each.join(small_side(hot, 16, n_hot), "key", "left_semi")
+    counted = Stored(common.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("freq")), "hot-counts").df
+    return shared.union(several(common.join(small_side(counted, 48, n_hot), "key")))
+
 
-    zipped = F.explode(F.arrays_zip("met_keys", "met")).alias("m")
-    local = signatures.where(F.size("met") > 0).select("cls", zipped).select(F.col("m.met_keys").alias("key"), "cls", F.col("m.met").alias("hub"))
-    across = signatures.select("cls", F.explode("keys").alias("key"))
-    across = across.withColumn("hub", F.min("cls").over(Window.partitionBy("key"))).where("cls <> hub").select("key", "cls", "hub")
-    return local.union(across)
+def _needed_keys(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, cls): each class without the most frequent keys that it can leave out, and each key of several classes."""
+    kind = F.col("key").bitwiseAND(F.lit(3).cast("long")).cast("int")
+    each = shared.distinct().join(classes.select("cls", "leave"), "cls").withColumn("kind", kind)
+    order = Window.partitionBy("cls", "kind").orderBy(F.desc("freq"), "key")
+    return each.withColumn("i", F.row_number().over(order)).where(F.col("i") > F.get("leave", F.col("kind"))).select("key", "cls")
 
 
-def _left_over(stars: DataFrame, pairs: DataFrame, first: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _stars(needed: DataFrame) -> DataFrame:
+    """(key, cls, hub): every class of a bucket other than its smallest, with the smallest."""
+    hubs = needed.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub < last").select("key", "hub")
+    return needed.join(hubs, "key").where("cls <> hub").select("key", "cls", "hub")
+
+
+def _left_over(stars: DataFrame, pairs: DataFrame, first: DataFrame, of: Texts) -> DataFrame:
     """Pairs (a, b) of near classes of one bucket that the star links left in different components."""
     comp = lambda c, out: first.select(F.col("node").alias(c), F.col("component").alias(out))
     apart = pairs.join(comp("a", "ca"), "a", "left").join(comp("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
@@ -229,9 +307,9 @@ def _left_over(stars: DataFrame, pairs: DataFrame, first: DataFrame, classes: Da
     rows = rows.select("key", "cls").union(rows.select("key", "hub")).distinct()
     rows = rows.join(comp("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     rows = Stored(rows, "open")
-    # A row carries its class's size, brief sketch and smallest keys, so that the join itself sorts pairs out.
+    # A row carries its class's size, outline and smallest keys, so that the join itself sorts pairs out.
     heads = rows.df.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("key")), 1, HEAD).alias("head"))
-    known = classes.select("cls", "n", *[F.element_at("brief", i + 1).alias(f"s{i}") for i in range(BRIEF)])
+    known = of.classes.select("cls", "n", "outline", *[F.element_at("brief", i + 1).alias(f"s{i}") for i in range(BRIEF)])
     full = rows.df.join(heads, "cls").join(known, "cls")
     own, other = (full.select(*[F.col(c).alias(f"{c}_{side}") for c in full.columns]) for side in "xy")
     total, least, most = F.col("n_x") + F.col("n_y"), F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
@@ -239,54 +317,95 @@ def _left_over(stars: DataFrame, pairs: DataFrame, first: DataFrame, classes: Da
     for i in range(BRIEF):
         hamming = hamming + F.bit_count(F.col(f"s{i}_x").bitwiseXOR(F.col(f"s{i}_y")))
     below = lambda c: F.filter(c, lambda k: k < F.col("key_x"))
-    near = (100 * least >= percent * most) & (hamming * (100 + percent) <= (100 - percent) * total)
+    may = lambda h: h * (100 + of.percent) <= (100 - of.percent) * total
+    near = (100 * least >= of.percent * most) & may(hamming) & may(_hamming("outline_x", "outline_y"))
     # Where both heads show a smaller common key the pair is met there.
     first_meeting = ~F.arrays_overlap(below("head_x"), below("head_y"))
     met = own.join(other, (F.col("key_x") == F.col("key_y")) & (F.col("comp_x") < F.col("comp_y")) & near & first_meeting)
     return met.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct()
 
 
-def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs (doc_id, text, ...) -> one row for each row: doc_id, n_shingles, component_id."""
+def _classes(signed: DataFrame) -> DataFrame:
+    own = [F.min(c).alias(c) for c in ("doc_id", "rid")] + [F.first(c, ignorenulls=True).alias(c) for c in ("n", "sketch", "outline", "brief", "leave")]
+    return signed.groupBy("cls").agg(*own, F.count("*").alias("copies"), F.min("cls2").alias("low2"), F.max("cls2").alias("high2"))
+
+
+def _members(docs: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): doc_id, rid, n, cls, component_id."""
     if not 70 <= percent <= 99:
         raise ValueError("percent must be 70 to 99: linked sets lie in one size band or two")
-    docs = docs.select("doc_id", "text")
-    signed = Stored(docs.mapInArrow(_signatures(width, percent), SIGNATURES), "signatures")
-    known = signed.df.where("n > 0")
-    signatures = Stored(signed.df.select("doc_id", "n", "cls"), "ids").df
-    own = [F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "sketch", "brief")]]
-    classes = Stored(known.groupBy("cls").agg(*own), "classes").df
-    stars = Stored(_stars(known), "stars").df
+    docs = docs.select("doc_id", rid_of(docs), "text")
+    signed = Stored(docs.mapInArrow(_signatures(width, percent, bits), SIGNATURES), "signatures")
+    of = Texts(docs.select("rid", "text"), signed.df, None, width, percent, bits)
+    of.classes = Stored(_classes(signed.df.where("n > 0")), "classes").df
+    clash = of.classes.where("low2 <> high2").select("cls")
+    if not clash.isEmpty():
+        of.renamed = Stored(clash, "renamed").df
+        of.classes = Stored(_classes(of.named(signed.df).where("n > 0")), "classes").df
+    named = of.named(signed.df)
+    rows = Stored(named.select("doc_id", "rid", "n", "cls"), "ids").df
+    shared = Stored(_shared_keys(named.where("n > 0")), "shared")
     signed.drop()
-    del known
+    del named
     release(docs.sparkSession)
+    needed = Stored(_needed_keys(shared.df, of.classes), "needed")
+    shared.drop()
+    stars = Stored(_stars(needed.df), "stars").df
+    needed.drop()
     pairs = Stored(stars.select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct(), "pairs").df
-    links = verified(pairs, classes, docs, width, percent, "star")
+    links = verified(pairs, of, "star")
     first = connected(links)
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = Stored(_left_over(stars, pairs, first, classes, percent).join(done, ["a", "b"], "left_anti"), "rest")
+    rest = Stored(_left_over(stars, pairs, first, of).join(done, ["a", "b"], "left_anti"), "rest")
     if not rest.df.isEmpty():
-        links = links.union(verified(rest.df, classes, docs, width, percent, "rest"))
+        links = links.union(verified(rest.df, of, "rest"))
         first = connected(links)
-    member = classes.select("cls", "doc_id").join(first.withColumnRenamed("node", "cls"), "cls")
+    member = of.classes.select("cls", "doc_id").join(first.withColumnRenamed("node", "cls"), "cls")
     smallest = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = member.select("cls", "component").join(smallest, "component").select("cls", "component_id")
-    own = classes.select("cls", F.col("doc_id").alias("own"))
-    answer = own.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "own").alias("component_id"))
-    return (
-        signatures.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
-        .join(answer, "cls", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    )
+    linked = member.select("cls", "component").join(smallest, "component").select("cls", "component", "component_id")
+    own = of.classes.select("cls", F.col("doc_id").alias("own"), "copies")
+    answer = own.join(linked, "cls", "left").select("cls", "copies", F.coalesce("component", "cls").alias("component"), F.coalesce("component_id", "own").alias("component_id"))
+    answer = Stored(answer, "answer").df
+    # Classes of very many rows are few; they are not brought together.
+    hot = answer.where(F.col("copies") >= HOT_COPIES).drop("copies")
+    n_hot = hot.count()
+    filled = rows.where("n > 0")
+    cold = filled.join(small_side(hot.select("cls"), 16, n_hot), "cls", "left_anti") if n_hot else filled
+    out = cold.join(answer.drop("copies"), "cls")
+    if n_hot:
+        out = out.unionByName(filled.join(small_side(hot, 48, n_hot), "cls"))
+    empty = rows.where("n = 0").select("cls", "doc_id", "rid", "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return out.select("doc_id", "rid", "n", "component", "component_id").union(empty.select("doc_id", "rid", "n", "component", "component_id"))
+
+
+def rid_of(docs: DataFrame):
+    """A row's own number: equal for equal ids with equal texts."""
+    return F.xxhash64(F.coalesce(docs["doc_id"], F.lit(-1)), docs["doc_id"].isNull(), docs["text"]).alias("rid")
+
+
+def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: int = 64) -> DataFrame:
+    """docs (doc_id, text, ...) -> one row for each row: doc_id, n_shingles, component_id."""
+    return _members(docs, width, percent, bits).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay when each component keeps its smallest id (rows of that id that repeat: one)."""
-    joined = join(docs, width, percent)
-    gone = joined.where("doc_id <> component_id").select("doc_id").distinct()
-    gone = Stored(gone, "gone").df
-    rest = packed(docs, "doc_id").join(small_side(gone, 16), "doc_id", "left_anti")
-    if joined.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
+    """The rows of ``docs`` that stay when each component keeps the row of its smallest id (a null id is the largest).
+
+    Of several texts of that id in the component, and of rows that repeat, one stays. Rows without a word all stay.
+    """
+    members = Stored(_members(docs, width, percent, 64), "members").df.where("n > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    chosen = members.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("rows"))
+    chosen = Stored(chosen.where("rows > 1").select(F.col("best.rid").alias("rid"), "component"), "chosen").df
+    # Rows of the components of several rows, but for the chosen ones, go.
+    grouped = members.join(small_side(chosen.select("component"), 16), "component", "left_semi")
+    gone = Stored(grouped.join(chosen.withColumnRenamed("rid", "best"), "component").where("rid <> best").select("rid").distinct(), "gone").df
+    repeated = members.groupBy("rid").count().where("count > 1").select("rid")
+    twice = Stored(repeated.join(gone, "rid", "left_anti"), "twice").df
+    whole = packed(docs, "doc_id", "text")
+    rest = whole.select(ROW, rid_of(whole)).join(small_side(gone, 16), "rid", "left_anti")
+    n_twice = twice.count()
+    if not n_twice:
         return unpacked(rest)
-    return unpacked(rest.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).union(rest.where(F.col("doc_id").isNull())))
-
+    once = rest.join(small_side(twice, 16, n_twice), "rid", "left_anti")
+    return unpacked(once.unionByName(rest.join(small_side(twice, 16, n_twice), "rid", "left_semi").dropDuplicates(["rid"])))

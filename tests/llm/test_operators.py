@@ -201,17 +201,54 @@ def test_jaccard_join_repeats_and_empty(spark):
         jaccard_join.join(docs, 4, 50)
 
 
-def test_linked_sets_share_a_key():
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_sets_share_more_keys_than_either_leaves_out(percent):
     rng = np.random.default_rng(6)
-    for _ in range(300):
-        n = int(rng.integers(6, 900))
+    found = 0
+    for _ in range(600):
+        n = int(np.exp(rng.uniform(np.log(2), np.log(1500))))
         a = np.unique(text_hash.mix(rng.integers(0, 1 << 62, n).astype(np.uint64)))
-        d = jaccard_join.furthest(2 * len(a), 85) // 2
-        gone = rng.choice(len(a), d // 2, replace=False)
+        d = jaccard_join.furthest(2 * len(a), percent)
+        gone = rng.choice(len(a), int(rng.integers(0, d // 2 + 1)), replace=False)
         b = np.unique(np.concatenate([np.delete(a, gone), text_hash.mix(rng.integers(0, 1 << 62, d - len(gone)).astype(np.uint64))]))
         both = len(np.intersect1d(a, b))
-        if 100 * both >= 85 * (len(a) + len(b) - both) and len(a) != both:
-            assert len(np.intersect1d(jaccard_join.keys_of(a), jaccard_join.keys_of(b))) >= 2
+        if 100 * both >= percent * (len(a) + len(b) - both) and both < max(len(a), len(b)):
+            (x, leave_x), (y, leave_y) = (jaccard_join.keys_of(s, percent) for s in (a, b))
+            common = np.bincount((np.intersect1d(x, y) & np.uint64(3)).astype(int), minlength=4)
+            assert (common > np.maximum(leave_x, leave_y)).any()
+            found += 1
+    assert found > 300
+
+
+def test_sets_of_one_name_are_told_apart(spark):
+    rng = random.Random(21)
+    texts = [sentence(rng, 40, [f"{w}{k}" for w in WORDS for k in range(9)]) for _ in range(30)]
+    texts += [t + " more" for t in texts[:20]] + texts[:5]
+    want, near = plain_join(list(enumerate(texts)), 4, 85)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(documents(spark, texts), bits=3).collect()}
+    assert got == want and near > 10
+
+
+def test_a_common_passage_in_long_texts(spark):
+    """Texts of 2,000 words and more that share one passage only, with near copies among them: no pair leaves the join but the near ones."""
+    rng = random.Random(22)
+    words = [f"{w}{k}" for w in WORDS for k in range(400)]
+    passage = sentence(rng, 120, words)
+    texts = [" ".join([sentence(rng, 1000, words), passage, sentence(rng, rng.randint(900, 1200), words)]) for _ in range(1000)]
+    texts += [t.replace(t.split()[7], "other", 1) for t in texts[::50]]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(documents(spark, texts), 5, 80).collect()}
+    assert got == {**{i: i for i in range(1000)}, **{1000 + k: 50 * k for k in range(20)}}
+
+
+def test_null_ids_and_texts_of_one_id(spark):
+    rng = random.Random(23)
+    a, b = sentence(rng, 60, [f"a{k}" for k in range(900)]), sentence(rng, 60, [f"b{k}" for k in range(900)])
+    texts, ids = [a + " x", a + " y", a + " z", b, b + " x", "c d", None, None], [None, None, 4, 9, 2, 9, None, 5]
+    docs = documents(spark, texts, ids=ids)
+    rows = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard_join.join(docs).collect()}
+    assert rows == {(None, 58): 4, (4, 58): 4, (9, 57): 2, (2, 58): 2, (9, 1): 9, (None, 0): None, (5, 0): 5}
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs, 4, 85).collect()]
+    assert sorted(kept, key=str) == sorted([(4, a + " z"), (2, b + " x"), (9, "c d"), (None, None), (5, None)], key=str)
 
 
 def test_word_hashes_across_chunks(monkeypatch):
