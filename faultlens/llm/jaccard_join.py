@@ -4,7 +4,7 @@ A text's set of word shingles is split by hash into blocks, each block keeping t
 its shingles' hashes. Within a size band two sets that link differ in at most ``d``
 shingles, and every difference spoils at most one block, so of more than ``d`` blocks they
 agree on all others: equal blocks are the candidates. Empty blocks say nothing and are no
-keys. A second parity sketch, of four bits a shingle, gives, by its Hamming distance, a
+keys. A second parity sketch, of two bits a shingle and more, gives, by its Hamming distance, a
 lower bound of the symmetric difference that sorts candidates out before the sets decide.
 
 There are a fifth more blocks than ``d`` asks for, so two sets that link share many keys,
@@ -43,10 +43,8 @@ from .text_hash import mix, shingle_sets, slices
 WIDTH = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: A sketch has at least this many words, and 4 bits for each shingle.
-SKETCH_WORDS, BITS_EACH = 16, 4
-#: An outline is the sketch folded to a bit for each shingle and BRIEF words at least; a brief sketch to BRIEF words.
-BRIEF = 8
+#: A sketch has BRIEF words at least, and 2 bits for each shingle; a brief sketch is folded to BRIEF words.
+BITS_EACH, BRIEF = 2, 8
 BAND = 1.5
 #: Smallest keys of a class by which a pair that shares several keys is met but once.
 HEAD = 8
@@ -119,7 +117,7 @@ def keys_of(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, list[int
 
 def sketch_of(s: np.ndarray) -> np.ndarray:
     """Parity sketch of a power of two of words, so that a larger one folds to a smaller one's size."""
-    size = max(SKETCH_WORDS, 1 << (BITS_EACH * len(s) // 64).bit_length())
+    size = max(BRIEF, 1 << (BITS_EACH * len(s) // 64).bit_length())
     bits = (mix(s, 6000) & np.uint64(64 * size - 1)).astype(np.int64)
     words = np.zeros(size, dtype=np.uint64)
     np.bitwise_xor.at(words, bits >> 6, np.uint64(1) << (bits & 63).astype(np.uint64))
@@ -130,10 +128,6 @@ def folded_to(words: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
 
 
-def outline_of(sketch: np.ndarray, n: int) -> np.ndarray:
-    return folded_to(sketch, min(len(sketch), max(BRIEF, 1 << (n // 64).bit_length())))
-
-
 def fingerprint(s: np.ndarray, bits: int = 64) -> tuple[np.uint64, np.uint64]:
     """The name of a set, of ``bits`` bits, and another fingerprint that confirms it; 0, 0 for an empty set."""
     if not len(s):
@@ -153,37 +147,59 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64), pa.int64()))
 
 
-SIGNATURES = "doc_id long, rid long, n long, cls long, cls2 long, sketch array<long>, outline array<long>, brief array<long>, leave array<long>, keys array<long>, hot array<long>"
+SIGNATURES = "doc_id long, rid long, n long, cls long, cls2 long, sketch array<long>, brief array<long>, leave array<long>, hot array<long>"
 
 
 def _signatures(width: int, percent: int, bits: int):
+    """Of each row its set's size and names; of each class in the batch once its sketches and how many keys it can leave out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 16 << 20):
-                names, out, seen = [], [[] for _ in range(5)], set()
+                names, out, all_keys, seen = [], ([], [], []), [], set()
                 for part in slices(batch, "text"):
                     for s in shingle_sets(part.column("text"), width):
                         name = fingerprint(s, bits)
                         names.append((len(s), *name))
-                        # The first row of a class in the batch speaks for it.
-                        first = len(s) > 0 and name not in seen
-                        seen.add(name)
-                        keys, leave = keys_of(s, percent) if first else (None, None)
-                        sketch = sketch_of(s) if first else None
-                        outline = outline_of(sketch, len(s)) if first else None
-                        for column, v in zip(out, (sketch, outline, folded_to(outline, BRIEF) if first else None, np.array(leave, dtype=np.uint64) if first else None, keys), strict=True):
+                        own: tuple = (None, None, None)
+                        if len(s) and name not in seen:
+                            seen.add(name)
+                            keys, leave = keys_of(s, percent)
+                            all_keys.append(keys)
+                            sketch = sketch_of(s)
+                            own = (sketch, folded_to(sketch, BRIEF), np.array(leave, dtype=np.uint64))
+                        for column, v in zip(out, own, strict=True):
                             column.append(v)
                 n, cls, cls2 = (np.array([x[k] for x in names], dtype=np.uint64).view(np.int64) for k in range(3))
-                hot = [_common(out[4])] + [None] * (len(names) - 1)
+                hot = [_common(all_keys)] + [None] * (len(names) - 1)
                 columns = [batch.column("doc_id").cast(pa.int64()), batch.column("rid"), pa.array(n), pa.array(cls), pa.array(cls2), *map(_lists, out), _lists(hot)]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SIGNATURES.split(", ")])
 
     return run
 
 
-def _common(keys: list[np.ndarray | None]) -> np.ndarray:
+def _keys(width: int, percent: int, bits: int):
+    """The keys of each class in the batch, once. They are made again from the texts: that takes less than keeping them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            seen: set = set()
+            for part in slices(whole, "text"):
+                names, keys = [], []
+                for s in shingle_sets(part.column("text"), width):
+                    name = fingerprint(s, bits)
+                    if len(s) and name not in seen:
+                        seen.add(name)
+                        names.append(name)
+                        keys.append(keys_of(s, percent)[0])
+                both = np.array(names, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), _lists(keys)], ["cls", "cls2", "keys"])
+
+    return run
+
+
+def _common(keys: list[np.ndarray]) -> np.ndarray:
     """The keys that many classes of a batch have."""
-    keys = [k for k in keys if k is not None]
     flat, count = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, dtype=np.uint64),) * 2
     return flat[count >= HOT_IN_BATCH]
 
@@ -267,10 +283,10 @@ def verified(pairs: DataFrame, of: Texts, name: str) -> DataFrame:
     return links.df
 
 
-def _shared_keys(signed: DataFrame) -> DataFrame:
-    """(key, cls, freq) of the keys that several classes have. Common keys are counted by partial sums, the others where they meet."""
-    each = signed.where(F.size("keys") > 0).select("cls", F.explode("keys").alias("key"))
-    hot = Stored(signed.select(F.explode("hot").alias("key")).distinct(), "hot").df
+def _shared_keys(of: Texts, hot: DataFrame) -> DataFrame:
+    """(key, cls, freq) of the keys that several classes have. Common keys (``hot``) are counted by partial sums, the others where they meet."""
+    made = of.named(of.docs.select("text").mapInArrow(_keys(of.width, of.percent, of.bits), "cls long, cls2 long, keys array<long>"))
+    each = made.select("cls", F.explode("keys").alias("key"))
     n_hot = hot.count()
     own = Window.partitionBy("key")
     several = lambda df: df.where("low < high").select("key", "cls", "freq")
@@ -278,7 +294,7 @@ def _shared_keys(signed: DataFrame) -> DataFrame:
     shared = several(cold.select("key", "cls", F.min("cls").over(own).alias("low"), F.max("cls").over(own).alias("high"), F.count("*").over(own).alias("freq")))
     if not n_hot:
         return shared
-    common = each.join(small_side(hot, 16, n_hot), "key", "left_semi")
+    common = Stored(each.join(small_side(hot, 16, n_hot), "key", "left_semi"), "common").df
     counted = Stored(common.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("freq")), "hot-counts").df
     return shared.union(several(common.join(small_side(counted, 48, n_hot), "key")))
 
@@ -307,9 +323,9 @@ def _left_over(stars: DataFrame, pairs: DataFrame, first: DataFrame, of: Texts)
     rows = rows.select("key", "cls").union(rows.select("key", "hub")).distinct()
     rows = rows.join(comp("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     rows = Stored(rows, "open")
-    # A row carries its class's size, outline and smallest keys, so that the join itself sorts pairs out.
+    # A row carries its class's size, sketch and smallest keys, so that the join itself sorts pairs out.
     heads = rows.df.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("key")), 1, HEAD).alias("head"))
-    known = of.classes.select("cls", "n", "outline", *[F.element_at("brief", i + 1).alias(f"s{i}") for i in range(BRIEF)])
+    known = of.classes.select("cls", "n", "sketch", *[F.element_at("brief", i + 1).alias(f"s{i}") for i in range(BRIEF)])
     full = rows.df.join(heads, "cls").join(known, "cls")
     own, other = (full.select(*[F.col(c).alias(f"{c}_{side}") for c in full.columns]) for side in "xy")
     total, least, most = F.col("n_x") + F.col("n_y"), F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
@@ -318,7 +334,7 @@ def _left_over(stars: DataFrame, pairs: DataFrame, first: DataFrame, of: Texts)
         hamming = hamming + F.bit_count(F.col(f"s{i}_x").bitwiseXOR(F.col(f"s{i}_y")))
     below = lambda c: F.filter(c, lambda k: k < F.col("key_x"))
     may = lambda h: h * (100 + of.percent) <= (100 - of.percent) * total
-    near = (100 * least >= of.percent * most) & may(hamming) & may(_hamming("outline_x", "outline_y"))
+    near = (100 * least >= of.percent * most) & may(hamming) & may(_hamming("sketch_x", "sketch_y"))
     # Where both heads show a smaller common key the pair is met there.
     first_meeting = ~F.arrays_overlap(below("head_x"), below("head_y"))
     met = own.join(other, (F.col("key_x") == F.col("key_y")) & (F.col("comp_x") < F.col("comp_y")) & near & first_meeting)
@@ -326,7 +342,7 @@ def _left_over(stars: DataFrame, pairs: DataFrame, first: DataFrame, of: Texts)
 
 
 def _classes(signed: DataFrame) -> DataFrame:
-    own = [F.min(c).alias(c) for c in ("doc_id", "rid")] + [F.first(c, ignorenulls=True).alias(c) for c in ("n", "sketch", "outline", "brief", "leave")]
+    own = [F.min(c).alias(c) for c in ("doc_id", "rid")] + [F.first(c, ignorenulls=True).alias(c) for c in ("n", "sketch", "brief", "leave")]
     return signed.groupBy("cls").agg(*own, F.count("*").alias("copies"), F.min("cls2").alias("low2"), F.max("cls2").alias("high2"))
 
 
@@ -344,10 +360,11 @@ def _members(docs: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
         of.classes = Stored(_classes(of.named(signed.df).where("n > 0")), "classes").df
     named = of.named(signed.df)
     rows = Stored(named.select("doc_id", "rid", "n", "cls"), "ids").df
-    shared = Stored(_shared_keys(named.where("n > 0")), "shared")
+    hot = Stored(signed.df.select(F.explode("hot").alias("key")).distinct(), "hot").df
     signed.drop()
     del named
     release(docs.sparkSession)
+    shared = Stored(_shared_keys(of, hot), "shared")
     needed = Stored(_needed_keys(shared.df, of.classes), "needed")
     shared.drop()
     stars = Stored(_stars(needed.df), "stars").df
