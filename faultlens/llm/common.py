@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
+    """The folder that spark.checkpoint.dir names. Where it is unset: a temporary one, but only if all runs on one machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="faultlens-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -60,9 +62,23 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_side(df: DataFrame, row_bytes: int, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows times ``row_bytes`` stay within ``limit``; else as it is."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n * row_bytes <= limit else df
+    """``df`` with a broadcast hint if it is measured to stay within ``limit``; else as it is.
+
+    row_bytes: of a row without its strings and binaries, whose lengths are summed unless ``rows`` is given.
+    """
+    if rows is None:
+        texts = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+        long = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in quoted(texts)), F.lit(0).cast("long"))
+        size = df.agg((F.count("*") * row_bytes + F.coalesce(F.sum(long), F.lit(0))).alias("b")).first()["b"]
+    else:
+        size = rows * row_bytes
+    return F.broadcast(df) if size <= limit else df
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` over all cores if its files give fewer splits than there are cores (so it is small): before work that keeps a core busy for each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, F.xxhash64(*by)) if df.rdd.getNumPartitions() < cores else df
 
 
 def ascii_lower(c: Column) -> Column:
@@ -75,6 +91,11 @@ def words_of(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), WORD_GAP), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value made once: a lambda's expressions are otherwise made anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def crc_mod(c: Column, n: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % n
 

@@ -1,16 +1,19 @@
 """Mixing to target weights with soft domain membership, in DataFrame functions only.
 
-A Gaussian naive Bayes classifier, fitted on the labelled table, gives each document
-posteriors over domains. It sees character shares and, for each domain, the weight of the
-word beginnings that the labels show to be its own, in whatever language: counts of hashed
-beginnings, case folded, one aggregation. Nonnegative document rates then minimise the squared distance
-between the expected domain token totals and their targets, by projected gradient
-steps scaled with the inverse of the expected token overlap of the domains. Every step
-is one aggregation over a narrow table, of which the driver sees one number a domain.
+A naive Bayes classifier, fitted on the labelled table, gives each document posteriors over
+domains. It sees character shares and, for each domain, the weight of the words and word
+beginnings that the labels show to be its own, in whatever language: document counts of
+hashed words, case folded, one aggregation over a bounded share of the labelled rows.
+Nonnegative document rates then minimise the squared distance between the expected domain
+token totals and their targets, by projected gradient steps scaled with the inverse of the
+domains' token overlap in the rows whose rate isn't 0. Every step is one aggregation over a narrow table, of
+which the driver sees one number a domain.
 
 Defined results: a null or empty text has zero tokens, its rate stays 1; a row with a
-null id counts as unlabelled; repeated rows each have a rate; an empty table gives an
-empty result; a domain without labels has posterior 0.
+null id counts as unlabelled; of contradicting domains of an id the largest name counts;
+repeated rows each have a rate, the same one; an empty table gives an empty result; a domain
+without labels has posterior 0; other columns pass through mixed() untouched, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Stored, packed, small_side, unpacked
+from .common import ROW, WORD_GAP, Stored, let, packed, small_side, unpacked
 
 #: domain: target share of all tokens
 TARGETS = {"good": 0.93, "bad": 0.04, "toxic": 0.03}
@@ -29,29 +32,46 @@ TARGETS = {"good": 0.93, "bad": 0.04, "toxic": 0.03}
 ANCHOR = "good"
 STEPS = 12
 TOLERANCE = 1e-6
-#: Lengths of the word beginnings that are weighed; a shorter word counts whole.
-STEMS = range(3, 9)
-#: Slots that the hashes of word beginnings share. None is left out; a slot's documents add up.
+#: About so many labelled documents of each domain teach the words, chosen by a hash of the id.
+LABELLED = 6000
+#: Letters of a word's beginning that is weighed beside the whole word.
+STEM = 4
+#: What is cut from both ends of a word.
+EDGES = ".,;:!?()[]{}\"'`#*$%&|<>+-=_/\\"
+#: Slots that the hashes of words share. None is left out; a slot's documents add up.
 SLOTS = 1 << 18
-#: A slot's log ratio counts less so many standard errors, and only where that leaves LEAST.
-ERRORS, LEAST = 2.0, 1.2
+#: A slot's log ratio counts from LEAST on, and only where the log-likelihood gains EVIDENCE by taking the class apart from the others.
+LEAST, EVIDENCE = 1.2, 10.0
+SYMBOLS = "#*$%&|<>"
 
 
-def stems(text: Column) -> Column:
-    """The distinct slots of the beginnings of a text's words, case folded."""
-    words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"))
-    slots = lambda w: F.array(*[F.pmod(F.xxhash64(F.substring(w, 1, n)), F.lit(SLOTS)).cast("int") for n in STEMS])
-    return F.array_distinct(F.flatten(F.transform(F.filter(words, lambda w: w != ""), slots)))
+def words_of(text: Column) -> Column:
+    """Words of a text, case folded."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_GAP), lambda w: w != "")
 
 
-def learn_stems(docs: DataFrame, labels: DataFrame, classes: list[str], text: str = "text") -> list[dict[int, float]]:
+def slots(word: Column) -> tuple[Column, Column]:
+    """The slots of a word and of its beginning."""
+    bare = F.btrim(word, F.lit(EDGES))
+    slot = lambda w: F.xxhash64(w).bitwiseAND(F.lit(SLOTS - 1).cast("long")).cast("int")
+    return slot(bare), slot(F.concat(F.substring(bare, 1, STEM), F.lit("*")))
+
+
+def learn_words(docs: DataFrame, labels: DataFrame, classes: list[str], text: str = "text") -> list[dict[int, float]]:
     """For each class the slots that its documents have more often than the others', and their weights."""
     own = labelled(labels).where(F.col("domain").isin(classes))
-    each = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(small_side(own, 32), "doc_id")
+    n = {r["domain"]: r["count"] for r in own.groupBy("domain").count().collect()}  # a row for each domain
+    if len(n) < 2:
+        return [{} for _ in classes]
+    share = F.create_map(*[x for k, c in n.items() for x in (F.lit(k), F.lit(min(1.0, LABELLED / c)))])
+    draw = F.pmod(F.xxhash64(F.lit("words"), "doc_id"), F.lit(1 << 30))
+    own = own.where(draw < F.element_at(share, F.col("domain")) * (1 << 30))
+    each = docs.select("doc_id", F.col(text).alias("text")).join(small_side(own, 32), "doc_id")
+    both = F.array_distinct(F.flatten(F.transform(words_of(F.col("text")), lambda w: F.array(*slots(w)))))
     # A slot below 0 stands for the document itself: the class's size comes from the same aggregation.
-    slots = each.select("domain", F.explode(F.concat(F.array(F.lit(-1)), stems(F.col("text")))).alias("slot"))
-    counts = slots.groupBy("slot").agg(*[F.sum(F.when(F.col("domain") == k, 1).otherwise(0)).cast("double").alias(f"n{i}") for i, k in enumerate(classes)])
-    counts = Stored(counts, "stems").df
+    rows = each.select("domain", F.explode(F.concat(F.array(F.lit(-1)), both)).alias("slot"))
+    counts = rows.groupBy("slot").agg(*[F.sum(F.when(F.col("domain") == k, 1).otherwise(0)).cast("double").alias(f"n{i}") for i, k in enumerate(classes)])
+    counts = Stored(counts, "words").df
     sizes = counts.where("slot < 0").first()
     if sizes is None:
         return [{} for _ in classes]
@@ -59,39 +79,46 @@ def learn_stems(docs: DataFrame, labels: DataFrame, classes: list[str], text: st
     for i in range(len(classes)):
         size = sizes[f"n{i}"]
         rest = sum(sizes[f"n{j}"] for j in range(len(classes)) if j != i)
-        n = F.col(f"n{i}")
+        mine = F.col(f"n{i}")
         others = sum((F.col(f"n{j}") for j in range(len(classes)) if j != i), F.lit(0.0))
-        ratio = F.log((n + 0.5) / (size + 1)) - F.log((others + 0.5) / (rest + 1)) - ERRORS * F.sqrt(1 / (n + 0.5) + 1 / (others + 0.5))
-        got = counts.where("slot >= 0").select("slot", F.round(ratio, 3).alias("w")).where(F.col("w") >= LEAST)
-        found.append({r["slot"]: r["w"] for r in got.collect()} if size and rest else {})  # SLOTS rows at most
+        ratio = F.log((mine + 0.5) / (size + 1)) - F.log((others + 0.5) / (rest + 1))
+        gain = lambda n, all_docs: F.when(n > 0, n * F.log(n / ((mine + others) * all_docs / (size + rest)))).otherwise(0.0)
+        told = counts.where("slot >= 0").where(gain(mine, size) + gain(others, rest) >= EVIDENCE) if size and rest else counts.limit(0)
+        got = told.select("slot", F.round(ratio, 3).alias("w")).where(F.col("w") >= LEAST)
+        found.append({r["slot"]: r["w"] for r in got.collect()})  # SLOTS rows at most
     return found
 
 
-def weighed(text: Column, weights: list[dict[int, float]]) -> Column:
-    """For each class the root of the summed weights of a text's slots, over the root of their number."""
-    flat = lambda w, kind: F.split(F.lit(",".join(f"{w.get(i, 0):g}" for i in range(SLOTS))), ",").cast(f"array<{kind}>")
-    known = flat({i: 1 for w in weights for i in w}, "tinyint")
-    tables = [flat(w, "double") if w else None for w in weights]
-    add = lambda a, i: F.array(*[F.get(a, F.lit(k)) + (F.get(t, i) if t is not None else 0.0) for k, t in enumerate(tables)])
-    # The slots are made once a text: they are the start of a one-element transform.
-    summed = lambda s: F.transform(
-        F.aggregate(F.filter(s, lambda i: F.get(known, i) > 0), F.array(*[F.lit(0.0)] * len(weights)), add),
-        lambda v: F.sqrt(v / F.sqrt(F.greatest(F.size(s), F.lit(1)))),
-    )
-    return F.get(F.transform(F.array(stems(text)), summed), F.lit(0))
-
-
-def features(text: Column, weights: list[dict[int, float]]) -> Column:
-    """Scalars of a text, one array; all finite, also for an empty one."""
-    n = F.greatest(F.length(text), F.lit(1)).cast("double")
-    share = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))) / n
-    shares = F.array(
-        F.sqrt(share("#*$%&|<>")),
-        F.sqrt(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
-        F.sqrt(share("!")),
-        F.sqrt(share(" ")),
-    )
-    return F.concat(shares, weighed(text, weights)) if any(weights) else shares
+def weighed(words: Column, weights: list[dict[int, float]]) -> Column:
+    """For each class the root of the summed weights of a text's distinct telling words, over the root of its word number."""
+    known = sorted({i for w in weights for i in w})
+    bits = bytearray(SLOTS)
+    for i in known:
+        bits[i] = 1
+    tells = lambda s: F.substring(F.lit(bytes(bits)), s + 1, F.lit(1)) == F.lit(b"\x01")
+    either = lambda w: tells(slots(w)[0]) | tells(slots(w)[1])
+    numbers = lambda values: F.split(F.lit(",".join(str(v) for v in values)), ",")
+    # Telling words are few; the place of a slot among the known ones is its place in the tables, 0 stands for none.
+    place = lambda s: F.array_position(numbers(known).cast("array<int>"), s).cast("int")
+    tables = [numbers([0.0, *(w.get(i, 0.0) for i in known)]).cast("array<double>") for w in weights]
+    telling = F.array_distinct(F.filter(words, either))
+    rows = F.array_distinct(F.flatten(F.transform(telling, lambda w: F.array(*map(place, slots(w))))))
+    add = lambda a, i: F.array(*[F.get(a, F.lit(k)) + F.get(t, i) for k, t in enumerate(tables)])
+    total = F.aggregate(rows, F.array(*[F.lit(0.0)] * len(weights)), add)
+    return F.transform(total, lambda v: F.sqrt(v / F.sqrt(F.greatest(F.size(words), F.lit(1)))))
+
+
+def described(text: Column, weights: list[dict[int, float]]) -> Column:
+    """struct<tokens, x>: words of a text and its features, all finite, also for an empty one."""
+    t = F.coalesce(text, F.lit(""))
+    n = F.greatest(F.length(t), F.lit(1)).cast("double")
+    count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
+    symbols = count(SYMBOLS[0])
+    for c in SYMBOLS[1:]:
+        symbols = symbols + count(c)
+    shares = F.array(F.sqrt(symbols / n), F.sqrt(count("!") / n))
+    own = lambda w: F.struct(F.size(w).cast("long").alias("tokens"), (F.concat(shares, weighed(w, weights)) if any(weights) else shares).alias("x"))
+    return let(words_of(t), own)
 
 
 @dataclass
@@ -119,13 +146,6 @@ class Bayes:
         return [F.round(p / whole, 9) for p in parts]
 
 
-def described(docs: DataFrame, weights: list[dict[int, float]], text: str = "text") -> DataFrame:
-    """doc_id, tokens, x (features) and nothing else of each row."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    words = F.size(F.split(F.trim(F.translate(t, "\t\n\x0b\x0c\r", "     ")), " +"))
-    return docs.select("doc_id", F.when(F.trim(F.translate(t, "\t\n\x0b\x0c\r", "     ")) == "", 0).otherwise(words).cast("long").alias("tokens"), features(t, weights).alias("x"))
-
-
 def labelled(labels: DataFrame) -> DataFrame:
     """labels: doc_id, domain; each id once."""
     return labels.where(F.col("doc_id").isNotNull() & F.col("domain").isNotNull()).groupBy("doc_id").agg(F.max("domain").alias("domain"))
@@ -148,26 +168,49 @@ def fit_classifier(rows: DataFrame, labels: DataFrame, classes: list[str], n: in
     )
 
 
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", steps: int = STEPS) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, tokens, p_<domain>..., rate, copies.
+@dataclass
+class Mix:
+    """What was fitted: word weights, classifier, and the rate as an expression of tokens and the p_ columns."""
 
-    ``copies`` is the rate rounded up or down at random by a hash of the id, so that the
-    expected copies equal the rate. The row order of ``docs`` is not kept.
-    """
+    names: list[str]
+    weights: list[dict[int, float]]
+    model: Bayes
+    rate: Column
+    residual: np.ndarray
+
+    def posteriors(self) -> list[Column]:
+        """p_ columns over a column ``d`` of described()."""
+        n = width(self.weights)
+        p = dict(zip(self.model.classes, self.model.posterior(F.col("d.x"), n), strict=True))
+        return [(p[k] if k in p else F.lit(0.0)).alias(f"p_{k}") for k in self.names]
+
+    def copies(self) -> Column:
+        """The rate rounded up or down at random by a hash of doc_id, so that the expected copies equal the rate."""
+        draw = F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1_000_000)) / 1e6
+        whole = F.floor("rate")
+        return (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("int")
+
+
+def width(weights: list[dict[int, float]]) -> int:
+    return 2 + (len(weights) if any(weights) else 0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", steps: int = STEPS) -> tuple[Mix, DataFrame]:
+    """The fitted mix, and doc_id, tokens, p_<domain>... of each row of ``docs``."""
     targets = dict(targets or TARGETS)
     names = list(targets)
-    weights = learn_stems(docs, labels, names, text)
-    n = 4 + (len(weights) if any(weights) else 0)
-    rows = Stored(described(docs, weights, text), "features").df
-    model = fit_classifier(rows, labels, names, n)
-    p = dict(zip(model.classes, model.posterior(F.col("x"), n), strict=True))
-    soft = rows.select("doc_id", "tokens", *[(p[k] if k in p else F.lit(0.0)).alias(f"p_{k}") for k in names])
-    soft = Stored(soft, "posteriors").df
-    rate, residual = solve(soft, [f"p_{k}" for k in names], list(targets.values()), steps, names.index(ANCHOR) if ANCHOR in names else None)
-    out = soft.withColumn("rate", F.round(rate, 2))  # two places: rates next to 1 mean one copy
-    draw = F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1_000_000)) / 1e6
-    whole = F.floor("rate")
-    return out.withColumn("copies", (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("int"))
+    weights = learn_words(docs, labels, names, text)
+    rows = Stored(docs.select("doc_id", described(F.col(text), weights).alias("d")), "features").df
+    mix = Mix(names, weights, fit_classifier(rows.select("doc_id", F.col("d.x").alias("x")), labels, names, width(weights)), F.lit(1.0), np.zeros(len(names)))
+    soft = Stored(rows.select("doc_id", "d.tokens", *mix.posteriors()), "posteriors").df
+    mix.rate, mix.residual = solve(soft, [f"p_{k}" for k in names], list(targets.values()), steps, names.index(ANCHOR) if ANCHOR in names else None)
+    return mix, soft
+
+
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", steps: int = STEPS) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, tokens, p_<domain>..., rate, copies. The row order is not kept."""
+    mix, soft = fit(docs, labels, targets, text, steps)
+    return soft.withColumn("rate", mix.rate).withColumn("copies", mix.copies())
 
 
 def solve(soft: DataFrame, ps: list[str], shares: list[float], steps: int = STEPS, anchor: int | None = None) -> tuple[Column, np.ndarray]:
@@ -177,19 +220,24 @@ def solve(soft: DataFrame, ps: list[str], shares: list[float], steps: int = STEP
     as a short list of vectors, so that the rate is computed in one pass from the row.
     """
     k = len(ps)
-    cell = lambda i, j: F.sum(F.col("tokens") * F.col(ps[i]) * F.col(ps[j])).alias(f"a{i}_{j}")
-    got = soft.agg(F.sum("tokens").alias("t"), *[F.sum(F.col("tokens") * F.col(c)).alias(f"s{i}") for i, c in enumerate(ps)], *[cell(i, j) for i in range(k) for j in range(i, k)]).first()
-    total = float(got["t"] or 0)
+
+    def sums(r: Column) -> tuple[np.ndarray, np.ndarray, float]:
+        """Expected domain totals, the domains' overlap in the rows whose rate isn't 0, all tokens."""
+        cell = lambda i, j: F.sum(F.when(r > 0, F.col("tokens") * F.col(ps[i]) * F.col(ps[j])).otherwise(0.0)).alias(f"a{i}_{j}")
+        each = [F.sum(F.col("tokens") * F.col(c) * r).alias(f"s{i}") for i, c in enumerate(ps)]
+        got = soft.agg(F.sum("tokens").alias("t"), *each, *[cell(i, j) for i in range(k) for j in range(i, k)]).first()
+        value = lambda c: float(got[c] or 0.0)
+        return np.array([value(f"s{i}") for i in range(k)]), np.array([[value(f"a{min(i, j)}_{max(i, j)}") for j in range(k)] for i in range(k)]), value("t")
+
+    own, overlap, total = sums(F.lit(1.0))
     if not total:
         return F.lit(1.0), np.zeros(k)
-    overlap = np.array([[got[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
-    scale = np.linalg.pinv(overlap / total + 1e-9 * np.eye(k))
     goal = np.array(shares) / sum(shares)
     present = np.diag(overlap) > 0
     goal = np.where(present, goal, 0)
     goal = goal / goal.sum()
     if anchor is not None and goal[anchor] > 0:
-        goal *= float(got[f"s{anchor}"]) / total / goal[anchor]
+        goal *= own[anchor] / total / goal[anchor]
     moves: list[np.ndarray] = []
 
     def rate() -> Column:
@@ -202,14 +250,14 @@ def solve(soft: DataFrame, ps: list[str], shares: list[float], steps: int = STEP
     best: tuple[float, int] = (float("inf"), 0)
     residual = np.zeros(k)
     for step in range(steps + 1):
-        r = F.when(F.col("tokens") > 0, rate()).otherwise(0.0)
-        sums = soft.agg(*[F.sum(F.col("tokens") * F.col(c) * r) for c in ps]).first()
-        residual = np.array([v or 0.0 for v in sums]) / total - goal
+        if moves:
+            own, overlap, _ = sums(F.when(F.col("tokens") > 0, rate()).otherwise(0.0))
+        residual = own / total - goal
         off = float(np.abs(residual).max())
         best = min(best, (off, step))
         if off < TOLERANCE or step == steps:
             break
-        moves.append(scale @ residual)
+        moves.append(np.linalg.pinv(overlap / total + 1e-9 * np.eye(k)) @ residual)
     del moves[best[1] :]
     return F.when(F.col("tokens") > 0, rate()).otherwise(1.0), residual
 
@@ -219,11 +267,10 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad").alias("domain"))
 
 
-def mixed(docs: DataFrame, rated: DataFrame) -> DataFrame:
-    """Each row of ``docs`` as often as ``copies`` says; rows with the same id share a rate."""
-    one = rated.groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    rows = packed(docs, "doc_id")
-    joined = rows.join(one.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    times = F.coalesce("__copies", F.lit(1))
-    each = F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))
-    return unpacked(joined.select(ROW, each))
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", steps: int = STEPS) -> DataFrame:
+    """Each row of ``docs`` as often as its copies say. The rate is an expression of the row, so no text is shuffled."""
+    mix, _ = fit(docs, labels, targets, text, steps)
+    # The generator keeps the description from being computed anew for each use.
+    rows = packed(docs, "doc_id", text).select(ROW, "doc_id", F.explode(F.array(described(F.col(text), mix.weights))).alias("d"))
+    rated = rows.select(ROW, "doc_id", "d.tokens", *mix.posteriors()).withColumn("rate", mix.rate)
+    return unpacked(rated.select(ROW, F.explode(F.array_repeat(F.lit(True), mix.copies())).alias("__copy")))
