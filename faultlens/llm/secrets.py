@@ -20,7 +20,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked, without
+from .common import let, packed, unpacked, without
 
 #: kind: (regular expression, group whose length counts, least length)
 PATTERNS = {
@@ -92,36 +92,38 @@ def train(samples: list[tuple[str, int]]) -> list[int]:
     return out
 
 
+def running(values: Column, start: int, join) -> Column:
+    """For each element what ``join`` makes of all before it. In blocks of about the root of the size, so that no list of all is copied for each element."""
+    zero, none = F.lit(start), F.array().cast("array<int>")
+
+    def before(items: Column, first: Column) -> Column:
+        step = lambda a, v: F.struct(join(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(items, F.struct(first.alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+    def in_blocks(v: Column, block: Column) -> Column:
+        part = lambda first: F.slice(v, first, block)
+        firsts = F.sequence(F.lit(1), F.size(v), block)
+        totals = F.transform(firsts, lambda first: F.aggregate(part(first), zero, join))
+        return F.flatten(F.zip_with(firsts, before(totals, zero), lambda first, at: before(part(first), at)))
+
+    block = lambda v: F.ceil(F.sqrt(F.size(v))).cast("int")
+    return let(values, lambda v: F.when(F.size(v) > 0, let(block(v), lambda b: in_blocks(v, b))).otherwise(none))
+
+
 def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
     """array<struct<s,e,kind>> of the matches that ``keep(matched text)`` holds for."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none = F.array().cast("array<struct<s:int,e:int,kind:string,t:string>>")
+    # What lies between matches and the matches themselves add up to the positions.
+    parts = F.arrays_zip(found.alias("t"), F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"))
+    parts = F.filter(parts, lambda x: x["t"].isNotNull())  # behind the last match lies a gap only
+
+    def placed(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda x: x["gap"] + F.length(x["t"]))
+        span = lambda x, at: F.struct((at + x["gap"]).alias("s"), (at + x["gap"] + F.length(x["t"])).alias("e"), F.lit(kind).alias("kind"), x["t"].alias("t"))
+        return F.filter(F.zip_with(parts, running(sizes, 0, lambda a, v: a + v), span), lambda x: keep(x["t"]))
 
-    def placed() -> Column:
-        # What lies between matches and the matches themselves add up to the positions.
-        gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,kind:string,t:string>>").alias("out"))
-        step = lambda a, i: F.struct(
-            (a["at"] + gaps[i] + F.length(found[i])).alias("at"),
-            F.when(
-                keep(found[i]),
-                F.concat(
-                    a["out"],
-                    F.array(
-                        F.struct(
-                            (a["at"] + gaps[i]).alias("s"),
-                            (a["at"] + gaps[i] + F.length(found[i])).alias("e"),
-                            F.lit(kind).alias("kind"),
-                            found[i].alias("t"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(a["out"])
-            .alias("out"),
-        )
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda a: a["out"])
-
-    return F.when(F.exists(found, keep), placed()).otherwise(F.array().cast("array<struct<s:int,e:int,kind:string,t:string>>"))
+    return F.when(F.exists(found, keep), let(parts, placed)).otherwise(none)
 
 
 def ratio(token: Column, model: Column) -> Column:
@@ -165,6 +167,29 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def _without_spans(t: Column, spans: Column, mark: str) -> Column:
+    """The text with each span, overlapping ones together, replaced by ``mark``.
+
+    The text is cut into blocks once, so that a piece is found without reading the text from its beginning.
+    """
+    ends = F.transform(spans, lambda x: x["e"])
+
+    def rebuilt(of: Column) -> Column:
+        blocks, size = of["blocks"], of["size"]
+
+        def piece(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / size).cast("int"), F.floor(b / size).cast("int")
+            return F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), a - first * size + 1, b - a)
+
+        # A span that begins within what an earlier one covers belongs to that one's mark.
+        new = F.zip_with(spans, running(ends, 0, lambda a, v: F.greatest(a, v)), lambda x, at: F.when(x["s"] >= at, F.concat(piece(at, x["s"]), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(new, ""), piece(F.array_max(ends), of["n"]))
+
+    cut = lambda of: F.transform(F.sequence(F.lit(0), of["n"], of["size"]), lambda k: F.substring(t, k + 1, of["size"]))
+    sized = let(F.length(t), lambda n: F.struct(n.alias("n"), F.greatest(F.lit(1024), F.ceil(F.sqrt(n)).cast("int")).alias("size")))
+    return let(let(sized, lambda of: F.struct(of["n"].alias("n"), of["size"].alias("size"), cut(of).alias("blocks"))), rebuilt)
+
+
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", count: str | None = None) -> DataFrame:
     """``docs`` with each span (overlapping ones together) replaced by ``mark``; texts without spans stay as they are.
 
@@ -173,12 +198,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", count: s
     columns = docs.columns
     scanned = scan(packed(docs, text), text)
     t = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, x: F.when(
-        x["s"] >= a["at"], F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, x["s"] - a["at"]), F.lit(mark)).alias("out"))
-    ).otherwise(F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out")))
-    whole = lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t)))
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, whole)).otherwise(t)
+    clean = F.when(F.size("spans") > 0, _without_spans(t, F.col("spans"), mark)).otherwise(t)
     row, changed = F.col("__row"), scanned.withColumn("__clean", clean)
     row = row.withField(f"`{text}`", F.col("__clean"))
     if count in columns:
