@@ -1,8 +1,8 @@
 """Host-level quality rules, in DataFrame functions only.
 
-Each text is measured within its row: repeated three-word windows are found by
-sorting one packed long per window (hash above, position below), so that no word
-leaves its row. Rule failures are summed by domain, each domain's failure rate is
+Each text is measured within its row: three-word windows are hashed, and only where two
+hashes are equal are the windows sorted, by hash, then by their words, so that a clash of
+hashes decides nothing and no word leaves its row. Rule failures are summed by domain, each domain's failure rate is
 shrunk with a beta prior fitted on all domains, and the verdict on the domain
 joins back to its documents.
 
@@ -17,11 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Stored, packed, quoted, small_side, unpacked, without, words_of
+from .common import ROW, Stored, let, packed, quoted, small_side, unpacked, without, words_of
 
 SYMBOLS = "#*$%&|<>"
-#: Bits of a packed window that hold its position.
-POSITION_BITS = 23
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 #: A further rule that counts towards the domain's failures: symbols per hundred words.
@@ -32,13 +30,25 @@ HOST_FAILURE_RATE = 0.6
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
-def _windows(words: Column) -> Column:
-    """One long for each three-word window, ascending: 41 bits of hash, then the position."""
-    packed = F.transform(
-        F.sequence(F.lit(0), F.size(words) - 3),
-        lambda i: F.shiftleft(F.xxhash64(words[i], words[i + 1], words[i + 2]), POSITION_BITS).bitwiseOR(i.cast("long")),
-    )
-    return F.when(F.size(words) >= 3, F.sort_array(packed)).otherwise(F.array().cast("array<bigint>"))
+def _repeat_words(words: Column) -> Column:
+    """Words in three-word windows that the text has twice or more."""
+    hashed = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
+
+    def covered(w: Column, h: Column) -> Column:
+        window = lambda x, i: F.struct(x.alias("h"), w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"), i.alias("i"))
+        same = lambda x, y: (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+
+        def places(s: Column) -> Column:
+            last = F.size(s) - 1
+            twice = F.filter(s, lambda x, i: ((i > 0) & same(F.get(s, i - 1), x)) | ((i < last) & same(x, F.get(s, i + 1))))
+            return F.array_sort(F.transform(twice, lambda x: x["i"]))
+
+        # A window adds the words that the one before it doesn't reach.
+        new = lambda p: F.aggregate(F.transform(p, lambda x, i: F.when(i == 0, 3).otherwise(F.least(F.lit(3), x - F.get(p, i - 1)))), F.lit(0), lambda a, x: a + x)
+        return let(let(F.sort_array(F.transform(h, window)), places), new)
+
+    either = lambda w: let(hashed(w), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(w, h)).otherwise(0))
+    return F.when(F.size(words) > 3, either(words)).otherwise(0).cast("long")
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -46,35 +56,17 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = without(docs, MEASURES)
     kept = docs.columns
     t = F.coalesce(F.col(text), F.lit(""))
-    step = docs.withColumn("__w", words_of(F.col(text))).withColumn("__s", _windows(F.col("__w")))
-    w, s = F.col("__w"), F.col("__s")
-    at = lambda x: x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")
-
-    def same(x: Column, y: Column) -> Column:
-        """Equal hashes first; then the words, so that a clash of hashes decides nothing."""
-        i, j = at(x), at(y)
-        equal = (w[i] == w[j]) & (w[i + 1] == w[j + 1]) & (w[i + 2] == w[j + 2])
-        return (F.shiftright(x, POSITION_BITS) == F.shiftright(y, POSITION_BITS)) & equal
-
-    last = F.size(s) - 1
-    repeated = F.filter(s, lambda x, i: ((i > 0) & same(F.get(s, i - 1), x)) | ((i < last) & same(x, F.get(s, i + 1))))
-    step = step.withColumn("__p", F.sort_array(F.transform(repeated, at)))
-    p = F.col("__p")
-    covered = F.aggregate(
-        F.transform(p, lambda x, i: F.when(i == 0, 3).otherwise(F.least(F.lit(3), x - F.get(p, i - 1)))),
-        F.lit(0).cast("long"),
-        lambda a, x: a + x,
-    )
+    step = docs.withColumn("__w", words_of(F.col(text)))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     step = step.withColumn("__l", lines)
-    n = F.size(w).cast("long")
+    n = F.size("__w").cast("long")
     out = step.select(
         *quoted(kept),
         n.alias("n_words"),
         F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        covered.alias("n_repeat_words"),
+        _repeat_words(F.col("__w")).alias("n_repeat_words"),
     )
     short, repeats = F.col("n_words") < MIN_WORDS, 100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")
     return out.withColumn("base_failed", short | repeats)
