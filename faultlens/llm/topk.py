@@ -5,10 +5,13 @@ searches it for a block of queries. A node's bound is q . centre + |q| * radius;
 a query's k-th score so far are cut, the others visited by falling bound. All shards start
 from the k-th score that the first shard gives, which is shared with them.
 
-Components become floor(256 * x), so that scores are integers and exact. Defined results:
-vectors that are null, empty or hold a null or non-finite component take no part, nor do rows
-with a null id; vectors of another length than the query's are no candidates; repeated rows
-are candidates each, a repeated query is answered once; fewer candidates give fewer rows.
+Components become floor(256 * x), so that scores are integers and exact: in doubles where
+these suffice, else in whole numbers of any size. Defined results: vectors that are null,
+empty or hold a null or non-finite component take no part, nor do rows with a null id;
+vectors of another length than the query's are no candidates; ties go to the smaller id,
+and rows that repeat an id are candidates each; an id is one query, that of the smallest of
+its vectors, and none of its own rows is its candidate; a score beyond a long is ranked by its
+value and given as the nearest long; fewer candidates give fewer rows.
 """
 
 from __future__ import annotations
@@ -24,15 +27,24 @@ SCALE = 256
 SHARD_ROWS = 4096
 BLOCK_ROWS = 2048
 LEAF = 128
-FOUND = "query_id long, vec_id long, score long"
+#: beyond: empty, or of a score beyond a long its sign and a text that sorts as the score.
+FOUND = "query_id long, vec_id long, score long, beyond string"
 
 
 def quantised(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, dim, v: array<long> of the rows that take part."""
+    """vec_id, dim, v: array<double> of the rows that take part, floor(256 * x) as far as doubles below 2**1015 go."""
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
-    good = F.col(id_column).isNotNull() & (F.size(vector) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 2.0**40))
+    good = F.col(id_column).isNotNull() & (F.size(vector) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.where(F.coalesce(good, F.lit(False)))
-    return rows.select(F.col(id_column).cast("long").alias("vec_id"), F.size(vector).alias("dim"), F.transform(x, lambda c: F.floor(c * SCALE)).alias("v"))
+    # From 2**45 on, a double's last place is worth more than 1/256: it is left as it is, and scaled by scaled().
+    small = lambda c: F.abs(c) < 2.0**45
+    v = F.transform(x, lambda c: F.when(small(c), F.floor(c * SCALE).cast("double") / SCALE).otherwise(c))
+    return rows.select(F.col(id_column).cast("long").alias("vec_id"), F.size(vector).alias("dim"), v.alias("v"))
+
+
+def scaled(values) -> list[int]:
+    """The whole numbers of a vector of quantised()."""
+    return [int(x) * SCALE if abs(x) >= 2.0**45 else int(x * SCALE) for x in values]
 
 
 class BallTree:
@@ -98,24 +110,36 @@ class BallTree:
         return np.where(np.isinf(scores), -1, ids), scores
 
 
+def _as_long(score: int) -> tuple[int, str]:
+    """The nearest long, and ``beyond``."""
+    if -(2**63) <= score < 2**63:
+        return score, ""
+    digits = str(abs(score))
+    text = f"{len(digits):06d}{digits}"
+    if score > 0:
+        return 2**63 - 1, "+" + text
+    return -(2**63), "-" + text.translate(str.maketrans("0123456789", "9876543210"))
+
+
 def _search_pair(k: int):
     def run(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64").assign(beyond="")
         if not len(queries) or not len(shard):
             return none
-        q, v = (np.array(x["v"].tolist(), dtype=np.float64) for x in (queries, shard))
+        q, v = (np.array(x["v"].tolist(), dtype=np.float64) * SCALE for x in (queries, shard))
         qid, ids = queries["vec_id"].to_numpy(np.int64), shard["vec_id"].to_numpy(np.int64)
         floor = queries["floor"].fillna(-np.inf).to_numpy(float)
-        if max(np.abs(q).max(), 1) * max(np.abs(v).max(), 1) * q.shape[1] >= 2**53:  # beyond exact doubles: whole numbers, one by one
+        if not max(np.abs(q).max(), 1) * max(np.abs(v).max(), 1) * q.shape[1] < 2**53:  # beyond exact doubles: whole numbers, one by one
             out = []
-            big = [[int(x) for x in row] for row in shard["v"]]
+            big = [scaled(row) for row in shard["v"]]
             for i, row in zip(qid, queries["v"], strict=True):
-                scored = sorted((-sum(int(a) * b for a, b in zip(row, w, strict=True)), j) for j, w in zip(ids, big, strict=True) if i != j)
-                out += [(i, j, -s) for s, j in scored[:k]]
-            return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                own = scaled(row)
+                ranked = sorted((-sum(a * b for a, b in zip(own, w, strict=True)), int(j)) for j, w in zip(ids, big, strict=True) if i != j)
+                out += [(int(i), j, *_as_long(-s)) for s, j in ranked[:k]]
+            return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "beyond"])
         found, scores = BallTree(ids, v).search(qid, q, k, floor)
         rows, cols = np.nonzero(found != -1)
-        return pd.DataFrame({"query_id": qid[rows], "vec_id": found[rows, cols], "score": scores[rows, cols].astype(np.int64)})
+        return pd.DataFrame({"query_id": qid[rows], "vec_id": found[rows, cols], "score": scores[rows, cols].astype(np.int64), "beyond": ""})
 
     return run
 
@@ -123,7 +147,7 @@ def _search_pair(k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """vectors, queries: as quantised() gives them -> query_id, rank, vec_id, score."""
     vectors = Stored(vectors, "vectors").df
-    queries = Stored(queries.dropDuplicates(["vec_id"]), "queries").df
+    queries = Stored(queries.groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", F.size("v").alias("dim"), "v"), "queries").df
     shards, blocks = (max(1, -(-df.count() // n)) for df, n in ((vectors, shard_rows), (queries, block_rows)))
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     asked = queries.withColumn("block", F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(blocks)).cast("int"))
@@ -138,5 +162,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     floor = seed.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
     asked = Stored(asked.join(floor, asked["vec_id"] == F.col("query_id"), "left").select("vec_id", "dim", "v", "block", "floor"), "asked").df
     found = search(dealt, asked.withColumn("shard", every(shards)))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    tier = F.when(F.startswith("beyond", F.lit("+")), 1).when(F.startswith("beyond", F.lit("-")), -1).otherwise(0)
+    order = Window.partitionBy("query_id").orderBy(F.desc(tier), F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
