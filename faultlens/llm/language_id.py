@@ -6,8 +6,10 @@ next shorter one. A text goes to the language of the lowest cross-entropy per ch
 The score is the posterior of that language with a temperature calibrated on held-back
 sample texts; texts whose cross-entropy lies beyond what these show are marked rejected.
 
-Characters are letters in small form, runs of anything else count as one space. The models
-are fitted on a bounded sample: DOCS texts of a language and CHARS characters of it at most.
+Characters are letters and their marks in small form, runs of anything else count as one
+space. The models are fitted on a bounded sample of whole texts: at most DOCS rows of a
+language, and no further row once CHARS characters are reached. Of rows that repeat an id
+with the same language the smallest text counts.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every
 text if nothing was learned; of equal languages the first by name wins; repeated rows get
@@ -37,29 +39,42 @@ SPACE, EDGE = 32, 0
 CACHE = 1 << 20
 
 
-def _fold_table() -> np.ndarray:
-    """Code points of the basic plane to their small letter, or to a space."""
-    table = np.full(1 << 16, SPACE, dtype=np.uint32)
-    for c in range(1 << 16):
-        if unicodedata.category(chr(c))[0] in "LM":
-            low = chr(c).lower()
-            table[c] = ord(low) if len(low) == 1 else c
-    return table
+def _fold(c: int) -> tuple[int, bool]:
+    """A code point's small letter or mark, else a space; and whether it is a letter."""
+    kind = unicodedata.category(chr(c))[0]
+    if kind not in "LM":
+        return SPACE, False
+    low = chr(c).lower()
+    return ord(low) if len(low) == 1 else c, kind == "L"
 
 
+#: The basic plane's folded code points and letters, filled on first use.
 _table: list[np.ndarray] = []
 
 
+def _folded(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Folded code points, and which are letters."""
+    if not _table:
+        each = [_fold(c) for c in range(1 << 16)]
+        _table.extend([np.array([x for x, _ in each], dtype=np.uint32), np.array([x for _, x in each], dtype=bool)])
+    low = np.minimum(raw, 0xFFFF)
+    code, letter = _table[0][low], _table[1][low]
+    beyond = np.flatnonzero(raw > 0xFFFF)
+    if len(beyond):
+        kinds, where = np.unique(raw[beyond], return_inverse=True)
+        each = [_fold(int(c)) for c in kinds]
+        code[beyond] = np.array([x for x, _ in each], dtype=np.uint32)[where]
+        letter[beyond] = np.array([x for _, x in each], dtype=bool)[where]
+    return code, letter
+
+
 def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Folded characters of all texts, each after ORDER - 1 edges; where each text begins; letters of each."""
-    if not _table:
-        _table.append(_fold_table())
     pad = "\0" * (ORDER - 1)
     joined = pad + pad.join(texts) if texts else ""
     raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     starts = np.cumsum([0, *(len(t) + len(pad) for t in texts)])[: len(texts)]
-    code = _table[0][np.minimum(raw, 0xFFFF)]
-    code = np.where(raw > 0xFFFF, raw, code)  # beyond the basic plane: letters as they are
+    code, letter = _folded(raw)
     edge = np.zeros(len(raw), dtype=bool)
     for k in range(len(pad)):
         edge[starts + k] = True
@@ -67,7 +82,7 @@ def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep = np.ones(len(code), dtype=bool)
     keep[1:] = (code[1:] != SPACE) | ((code[:-1] != SPACE) & (code[:-1] != EDGE))
     place = np.concatenate([[0], np.cumsum(keep)])
-    letters = np.concatenate([[0], np.cumsum(code > SPACE)])
+    letters = np.concatenate([[0], np.cumsum(letter & ~edge)])
     ends = np.concatenate([starts[1:], [len(code)]]).astype(np.int64)
     return code[keep], place[starts], letters[ends] - letters[starts]
 
@@ -101,8 +116,6 @@ class Table:
         return np.where(self.keys[at] == keys, self.values[at], default)
 
 
-
-
 def context(code: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n - 1 characters before each entry of grams()."""
     shifted = np.concatenate([[EDGE], code[:-1]]).astype(code.dtype)
@@ -220,17 +233,6 @@ def grams_of(window: np.ndarray, n: int) -> np.ndarray:
     return mix(out, n)
 
 
-def _cut(limit: int):
-    """Of each text a run of ``limit`` characters at most, from its middle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t[max(0, (len(t) - limit) // 2) :][:limit] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(texts, pa.string())], ["doc_id", "lang", "text"])
-
-    return run
-
-
 def fit(docs: DataFrame) -> Models:
     """docs: doc_id, text, lang of the rows to learn from only."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
@@ -239,16 +241,15 @@ def fit(docs: DataFrame) -> Models:
     if not n:
         return Models({})
     share = F.create_map(*[x for k, c in n.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * DOCS / c + 20 / c)))])
-    near = rows.select("doc_id", "lang").where(draw < F.element_at(share, F.col("lang")) * (1 << 40))
+    near = rows.select("doc_id", "lang", F.length("text").alias("n")).where(draw < F.element_at(share, F.col("lang")) * (1 << 40))
     order = Window.partitionBy("lang").orderBy(draw, "doc_id")
-    chosen = near.distinct().withColumn("i", F.row_number().over(order)).where(F.col("i") <= DOCS).select("doc_id", "lang")
-    got = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").mapInArrow(_cut(CHARS // 100), "doc_id long, lang string, text string").collect()
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = near.groupBy("doc_id", "lang").agg(F.max("n").alias("n"))
+    chosen = each.withColumn("i", F.row_number().over(order)).withColumn("before", before).where((F.col("i") <= DOCS) & (F.col("before") < CHARS)).select("doc_id", "lang")
+    got = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     samples: dict[str, list[str]] = {}
-    size: dict[str, int] = {}
-    for r in sorted(got, key=lambda r: (r["lang"], hash_order(r["doc_id"]), r["text"])):
-        if size.get(r["lang"], 0) < CHARS:
-            samples.setdefault(r["lang"], []).append(r["text"])
-            size[r["lang"]] = size.get(r["lang"], 0) + len(r["text"])
+    for r in sorted(got, key=lambda r: (r["lang"], hash_order(r["doc_id"]))):
+        samples.setdefault(r["lang"], []).append(r["text"])
     return Models(samples)
 
 
