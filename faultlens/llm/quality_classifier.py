@@ -1,14 +1,15 @@
 """Quality by compression: which of two dictionaries, of good and of bad text, helps more.
 
-Two zstandard dictionaries are built from a bounded sample of labelled texts. A text is cut
-into pieces of a fixed size, so that the dictionary and not the text's own past decides, and
-each piece is compressed with either. The difference of the compressed sizes over their sum,
-of the whole text and of its worst pieces, goes through a logistic curve fitted on another
-bounded sample of labelled texts.
+Two zstandard dictionaries are built from the whole texts of a bounded sample of labelled
+rows. A text is cut into pieces of a fixed size, so that the dictionary and not the text's
+own past decides, and each piece is compressed with either. The difference of the compressed
+sizes over their sum, of the whole text and of its worst piece, goes through a logistic curve
+that rises with both, fitted on another bounded sample of labelled rows.
 
 Defined results: a null or empty text has no difference and gets the share of good texts in
 the sample; with labels of one class only, or none, every score is that share (0.5 for none);
-repeated rows get equal scores; of contradicting labels of an id the smaller counts.
+repeated rows get equal scores; of contradicting labels of an id the smaller counts, and of
+labelled rows that repeat an id the smallest text; other columns take no part.
 """
 
 from __future__ import annotations
@@ -26,9 +27,8 @@ from .text_hash import slices
 #: Labelled documents of each class that the dictionaries and, apart from these, the curve are fitted on.
 DICTIONARY_DOCS = 1500
 CURVE_DOCS = 2500
-PIECES_OF_DOC = 3
-PIECE = 1024
-DICTIONARY_BYTES = 48 << 10
+PIECE = 512
+DICTIONARY_BYTES = 110 << 10
 LEVEL = 3
 
 
@@ -41,53 +41,52 @@ class Compressors:
             self.each.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False))
 
     def measure(self, raw: bytes) -> list[float]:
-        """Inputs of the curve; zeros for an empty text."""
+        """1, and the differences of the whole and of the worst piece; zeros for an empty text."""
         if not raw:
-            return [0.0] * 6
-        pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
-        if len(pieces) > 1 and len(pieces[-1]) < PIECE // 4:
-            pieces[-2:] = [pieces[-2] + pieces[-1]]
+            return [0.0] * 3
+        pieces = cut(raw)
         g, b = (np.array([len(c.compress(p)) for p in pieces], dtype=float) for c in self.each)
-        n = np.array([len(p) for p in pieces], dtype=float)
-        each = (b - g) / (b + g)
-        ratio = np.minimum(b, g) / n
-        whole = (b.sum() - g.sum()) / (b.sum() + g.sum())
-        return [1.0, whole, float(each.min()), float(ratio.mean()), float(ratio.min()), 1.0 / (1.0 + len(raw) / 256)]
+        return [1.0, float((b.sum() - g.sum()) / (b.sum() + g.sum())), float(((b - g) / (b + g)).min())]
 
 
-def _inputs(x: np.ndarray) -> np.ndarray:
-    """Measures to columns of the curve: differences and ratios, with their squares and products."""
-    one, whole, worst, ratio, least, short = x.T
-    d, r = 10 * whole, 4 * ratio
-    w, m = 10 * worst, 4 * least
-    return np.stack([np.ones(len(x)), one, d, w, r, m, short, d * d, w * w, r * r, m * m, d * r, w * m, d * short, w * short, r * short], axis=1)
+def cut(raw: bytes) -> list[bytes]:
+    """Pieces of PIECE bytes; a last one below a quarter of that stays with the one before."""
+    pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
+    if len(pieces) > 1 and len(pieces[-1]) < PIECE // 4:
+        pieces[-2:] = [pieces[-2] + pieces[-1]]
+    return pieces
+
+
+#: Differences are small; the curve sees them so much larger.
+SCALE = 20.0
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of a ridge-penalised logistic regression, by Newton's steps."""
-    z = _inputs(x)
-    w = np.zeros(z.shape[1])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        gradient = z.T @ (p - y) + 0.05 * w
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.05 * np.eye(len(w)) + 1e-6 * np.eye(len(w)), gradient)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+    """Weights of a ridge-penalised logistic regression, by Newton's steps; a difference of falling weight is left out."""
+    use = [0, 1, 2]
+    while True:
+        z = x[:, use] * np.where(np.array(use) > 0, SCALE, 1.0)
+        w = np.zeros(len(use))
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(len(w)), z.T @ (p - y) + 0.01 * w)
+            w -= step
+            if np.abs(step).max() < 1e-8:
+                break
+        falling = [k for k, v in zip(use[1:], w[1:], strict=True) if v < 0]
+        if not falling:
+            out = np.zeros(3)
+            out[use] = w
+            return out
+        use.remove(falling[-1])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to PIECES_OF_DOC pieces of each text, evenly spread."""
+    """The pieces of each text."""
     for batch in batches:
-        out, label = [], []
         for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            raw = (text or "").encode()
-            n = -(-len(raw) // PIECE)
-            for k in sorted({j * n // PIECES_OF_DOC for j in range(PIECES_OF_DOC)} if n else ()):
-                out.append(raw[k * PIECE : (k + 1) * PIECE])
-                label.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(label, pa.int32())], ["piece", "y"])
+            pieces = cut((text or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary()), pa.array([y] * len(pieces), pa.int32())], ["piece", "y"])
 
 
 def _measured(good: bytes, bad: bytes):
@@ -114,7 +113,7 @@ class Model:
         self.share, self.good, self.bad, self.weights = share, good, bad, weights
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        p = 1 / (1 + np.exp(-np.clip(_inputs(x) @ self.weights, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x * np.array([1.0, SCALE, SCALE]) @ self.weights, -30, 30)))
         return np.where(x[:, 0] > 0, p, self.share)
 
 
@@ -137,12 +136,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     rows = [(d, y, part) for part, found in parts.items() for d, y in found]
     sample = spark.createDataFrame(rows, "doc_id long, y int, part string")
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y", "part")
+    # Rows that repeat an id would make the sample larger than its parameters say.
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y", "part").agg(F.min("text").alias("text"))
     pieces = texts.where("part = 'dictionary'").mapInArrow(_pieces, "piece binary, y int").collect()
     good, bad = (_dictionary(sorted(bytes(r["piece"]) for r in pieces if r["y"] == y)) for y in (1, 0))
     curve = texts.where("part = 'curve'").select("text", "y").mapInArrow(_measured(good, bad), "x array<double>, y int").collect()
     share = n[1] / (n[0] + n[1])
-    x, y = np.array([r["x"] for r in curve], dtype=float).reshape(-1, 6), np.array([r["y"] for r in curve], dtype=float)
+    x, y = np.array([r["x"] for r in curve], dtype=float).reshape(-1, 3), np.array([r["y"] for r in curve], dtype=float)
     return Model(share, good, bad, fit_curve(x, y)) if 0 < y.sum() < len(y) else Model(share)
 
 
