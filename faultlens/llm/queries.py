@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard_join, language_id, licenses, mixing, packing, quality_classifier, quality_rules, secrets, topk, url_filters
-from .common import crc_mod, table
+from .common import crc_mod, spread, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secrets.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
     n = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[n(k) for k in secrets.PATTERNS], F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
 
@@ -55,7 +55,7 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=False)
+    judged = quality_rules.judge(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id"), carry=False)
     return judged.select("doc_id", *quality_rules.MEASURES, "kept")
 
 
@@ -130,8 +130,10 @@ def _license_sql() -> str:
         return f"trim(regexp_replace({t}, ' +', ' ', 'g'))"
 
     known = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.KNOWN.items())
+    made = ", ".join(f"('{k}', '{v}')" for k, v in licenses.DIGESTS.items())
     return (
-        f"WITH k(license, body) AS (VALUES {known}), d AS (SELECT sha256({canonical('body')}) AS digest, min(license) AS license FROM k GROUP BY 1), "
+        f"WITH k(license, body) AS (VALUES {known}), m(license, digest) AS (VALUES {made}), "
+        f"a AS (SELECT license, sha256({canonical('body')}) AS digest FROM k UNION ALL SELECT license, digest FROM m), d AS (SELECT digest, min(license) AS license FROM a GROUP BY 1), "
         f"t AS (SELECT doc_id, sha256({canonical('text')}) AS digest FROM documents) SELECT doc_id, digest, license FROM t LEFT JOIN d USING (digest)"
     )
 
