@@ -286,7 +286,7 @@ def test_rates_meet_the_targets(spark):
     assert total["good"] / sum(total.values()) == pytest.approx(0.9, abs=0.01)
     assert {(r["tokens"], r["rate"], r["copies"]) for r in got if r["doc_id"] >= 300} == {(0, 1.0, 1)}
     assert all(r["rate"] >= 0 for r in got) and all(r["tokens"] == len((texts[r["doc_id"]] or "").split()) for r in got)
-    mixed = mixing.mixed(docs, mixing.rates(docs, labels, {"good": 0.9, "bad": 0.1}))
+    mixed = mixing.mixed(docs, labels, {"good": 0.9, "bad": 0.1})
     assert mixed.columns == docs.columns
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]})
 
