@@ -29,8 +29,7 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stays as often as its rate says."""
-    rated = mixing.rates(docs, mixing.label_domains(table(spark, sf_dir, "labels")))
-    return mixing.mixed(docs, rated)
+    return mixing.mixed(docs, mixing.label_domains(table(spark, sf_dir, "labels")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
