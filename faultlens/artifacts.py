@@ -35,10 +35,10 @@ def new_folder(path: str | Path) -> Path:
     return path
 
 
-def write_csv(df: DataFrame, folder: str | Path, name: str) -> str:
-    """A small result as one CSV file in a folder of its own."""
+def write_csv(df: DataFrame, folder: str | Path, name: str, grows: bool = False) -> str:
+    """A result as CSV in a folder of its own; one file, unless it ``grows`` with the data."""
     out = f"{folder}/{name}.csv"
-    df.coalesce(1).write.options(header=True, escape='"').csv(out)
+    (df if grows else df.coalesce(1)).write.options(header=True, escape='"').csv(out)
     return out
 
 

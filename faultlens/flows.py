@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import shutil
+from dataclasses import asdict
 from functools import reduce
 from pathlib import Path
 
@@ -11,19 +12,25 @@ from pyspark.sql import functions as F
 
 from . import artifacts
 from .operators import cases, logs, models, profile, ranking, recipes, relate, scoring, validate, windowing
-from .schemas import ENTITY, FEATURE_KEY, Modality
+from .schemas import COHORT, ENTITY, FEATURE_KEY, Modality
 from .settings import METHODS, AnalysisSettings, RuntimeSettings
 from .sources import corpus, files, range_api
 
 
-def analyze(features: DataFrame, reference_end: float, settings: AnalysisSettings, folder: Path, eda_only: bool = False) -> DataFrame | None:
-    """Profiles, evidence and rankings of all entities; the ranking of entities, or None for profiles only."""
+def analyze(features: DataFrame, reference_end: float | DataFrame, settings: AnalysisSettings, folder: Path, eda_only: bool = False) -> DataFrame | None:
+    """Profiles, evidence and rankings of all entities; the ranking of entities, or None for profiles only.
+
+    reference_end: one time for all, or rows (system_id, boundary) with a time for each system.
+    """
     features = artifacts.write_parquet(features.select(*FEATURE_KEY, "window_end", "value"), folder, "features")
     if not windowing.ambiguous(features).isEmpty():
         raise ValueError("duplicate feature identity; refine the mapping")
-    grid = windowing.dense_grid(features, settings.window_seconds, settings.max_rows).persist()
+    grid = windowing.dense_grid(features, settings.window_seconds, settings.max_rows)
+    if isinstance(reference_end, DataFrame):
+        grid, reference_end = grid.join(reference_end, "system_id"), F.col("boundary")
+    grid = grid.persist()
     try:
-        is_reference = F.col("window_end") <= reference_end
+        is_reference = scoring.in_reference(reference_end)
         eligible = scoring.eligibility(grid, reference_end, settings.min_reference_points, settings.min_coverage_ratio).persist()
         artifacts.write_csv(scoring.coverage(eligible), folder, "coverage")
         profiles(grid, is_reference, settings, folder)
@@ -39,8 +46,8 @@ def analyze(features: DataFrame, reference_end: float, settings: AnalysisSetting
         found = artifacts.write_parquet(found, folder, "evidence")
         if found.isEmpty():
             raise ValueError("no eligible evidence; see coverage.csv, the reference range and missing values")
-        artifacts.write_csv(found, folder, "evidence")
-        artifacts.write_csv(ranking.feature_ranking(found), folder, "feature_ranking")
+        artifacts.write_csv(found, folder, "evidence", grows=True)
+        artifacts.write_csv(ranking.feature_ranking(found), folder, "feature_ranking", grows=True)
         ranked = ranking.entity_ranking(found)
         artifacts.write_csv(ranked, folder, "ranking")
         return ranked
@@ -79,18 +86,18 @@ def relationship_report(features: DataFrame, config: dict, reference_end: float,
         raise ValueError("windows are not aligned")
     status = relate.cohort_status(rows, fields).persist()
     artifacts.write_csv(status, folder, "cohorts")
-    good = rows.join(status.where("status = 'ok'").select(*ENTITY), ENTITY, "left_semi")
-    grid = windowing.dense_grid(good, window_seconds, max_windows).persist()
-    artifacts.write_csv(grid, folder, "aligned_features")
+    good = rows.join(status.where("status = 'ok'").select(*COHORT), COHORT, "left_semi")
+    grid = windowing.dense_grid(good, window_seconds, max_windows, COHORT).persist()
+    artifacts.write_csv(grid, folder, "aligned_features", grows=True)
     pairs = relate.correlation_pairs(grid, fields, reference_end, config.get("min_pairs", 20), config.get("max_lag_windows", 3), window_seconds)
     pairs = artifacts.write_parquet(pairs, folder, "correlations")
-    artifacts.write_csv(pairs, folder, "correlations")
+    artifacts.write_csv(pairs, folder, "correlations", grows=True)
     artifacts.write_csv(relate.correlation_change(pairs), folder, "correlation_changes")
     wide = relate.wide_fields(grid, fields)
     decided = [relate.evaluate_rule(wide, r, reference_end, config.get("min_reference_points", 20)) for r in rules]
     out = reduce(DataFrame.unionByName, decided) if decided else None
     if out is not None:
-        artifacts.write_csv(out, folder, "decisions")
+        artifacts.write_csv(out, folder, "decisions", grows=True)
     return out
 
 
@@ -115,7 +122,7 @@ def run_internal(
         else:
             if start is None or end is None:
                 raise ValueError("an export needs start and end")
-            records = range_api.export(spark, config["metric"], runtime.api_url, start, end, runtime.authorization, transport)
+            records = range_api.export(spark, config["metric"], runtime.api_url, start, end, runtime.authorization, transport, settings.max_rows, f"{folder}/raw_responses.parquet")
         clean, quality = validate.validate(records)
         clean = artifacts.write_parquet(clean, folder, "metrics")
         artifacts.write_json(folder / "metric_quality.json", quality)
@@ -124,10 +131,14 @@ def run_internal(
         if config.get("feature_calculation", {}).get("enabled"):
             spec = config["feature_calculation"].get("recipes") or recipes.shipped()
             calculated, audit = recipes.calculate(clean, spec, w, settings.min_coverage_ratio)
-            kept = windowing.trimmed(calculated, start, end, w) if start is not None and end is not None else calculated
-            (folder / "calculated_features").mkdir()
-            artifacts.write_parquet(kept, folder / "calculated_features", "features")
-            artifacts.write_csv(recipes.audit_after_trim(audit, kept), folder / "calculated_features", "calculation_status")
+            kept = windowing.trimmed(calculated, start, end, w)
+            own = folder / "calculated_features"
+            own.mkdir()
+            artifacts.write_json(own / "recipes.json", spec)
+            kept = artifacts.write_parquet(kept, own, "calculated")
+            artifacts.write_csv(recipes.audit_after_trim(audit, kept), own, "calculation_status")
+            if not kept.isEmpty():
+                analyze(kept, reference_end, settings, own, eda_only=True)
         parts.append(windowing.request_response(rows, config.get("request_response_rules", [])))
     if logs_on:
         own = config["log"]
@@ -135,16 +146,20 @@ def run_internal(
         if root is None:
             raise ValueError("the folder of the logs is not set")
         records = files.log_csv(spark, root, own["sources"], settings.max_rows)
+        if records.isEmpty():
+            raise ValueError("the log source is empty")
+        artifacts.write_parquet(records, folder, "raw_logs")
         artifacts.write_csv(logs.log_coverage(records), folder, "log_coverage")
         artifacts.write_csv(logs.log_quality(records), folder, "log_quality")
         artifacts.write_csv(logs.record_counts(records, w), folder, "log_record_counts")
         parser = logs.ParserConfig.of(own["parser"]) if "parser" in own else logs.ParserConfig()
         events = artifacts.write_parquet(logs.parse(records, parser), folder, "parsed_log_events")
         artifacts.write_csv(logs.parse_quality(events), folder, "log_parse_quality")
+        artifacts.write_csv(events.where("family = 'cdr_raw'"), folder, "cdr_fields", grows=True)
+        artifacts.write_json(folder / "log_parser.json", asdict(parser))
         parts += [logs.message_features(events, w), logs.basic_features(records, w, own.get("error_pattern", "error|exception|fail"))]
     features = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    if start is not None and end is not None:
-        features = windowing.trimmed(features, start, end, w)
+    features = windowing.trimmed(features, start, end, w)
     if config.get("relationships", {}).get("enabled"):
         (folder / "relationships").mkdir()
         relationship_report(features, config["relationships"], reference_end, w, folder / "relationships", settings.max_rows)
@@ -160,7 +175,7 @@ def case_features(spark: SparkSession, found: list[corpus.Case], config: dict, s
         frame, quality, rejected = corpus.read_metrics(spark, c.metric_file, settings.max_rows, **corpus.read_options(config.get("rcaeval_input", {}), c.case))
         qualities.append({"case": c.case, "dataset": c.dataset, **quality})
         if rejected is not None:
-            artifacts.write_csv(rejected, folder, f"quarantine/{c.dataset}/{c.case}")
+            artifacts.write_csv(rejected, folder, f"quarantine/{c.dataset}/{c.case}", grows=True)
         if not quality["start"] < c.inject_time < quality["end"]:
             raise ValueError(f"{c.case}: the injection lies outside the data")
         names = [n for n in frame.columns if n != "time"]
@@ -191,13 +206,12 @@ def run_benchmark(
     features = artifacts.write_parquet(features, folder, "case_features")
     artifacts.write_json(folder / "modalities.json", {f"{c.dataset}/{c.case}": {k: corpus.modality_summary(spark, getattr(c, f"{k}_file")) for k in ("logs", "traces")} for c in found})
     boundary = features.groupBy("system_id").agg(F.max("boundary").alias("boundary"))
-    # The reference ends at each case's own time: shift the windows so that it is 0 for all.
-    shifted = features.drop("boundary").join(boundary, "system_id").withColumn("window_end", F.col("window_end") - F.col("boundary")).drop("boundary")
-    ranked = analyze(shifted, 0, settings, folder, eda_only)
+    # The reference ends at each case's own time.
+    ranked = analyze(features.drop("boundary"), boundary, settings, folder, eda_only)
     if ranked is None:
         return None
     labels = spark.createDataFrame([(f"{c.dataset}/{c.case}", c.dataset, c.root_cause_service, c.fault) for c in found], "`case` string, dataset string, root_cause_service string, fault string")
-    results = artifacts.write_parquet(ranking.against_labels(ranked.withColumnRenamed("system_id", "case"), labels), folder, "case_results")
+    results = artifacts.write_parquet(ranking.against_labels(ranked.withColumnRenamed("system_id", "case"), labels, list(settings.methods)), folder, "case_results")
     artifacts.write_csv(results, folder, "case_results")
     artifacts.write_csv(ranking.benchmark(results, ["dataset", "method"]), folder, "benchmark_by_dataset")
     overall = ranking.benchmark(results, ["method"])

@@ -13,40 +13,55 @@ from ..functions.numeric import finite, window_end
 LATEST = 1e11
 
 
-def merge_equal_clocks(df: DataFrame, clocks: list[str], out: str = "time") -> DataFrame:
-    """One clock of several that must agree wherever two are present; needs a row with two."""
-    ts = [finite(F.col(c).try_cast("double")) for c in clocks]
+def merge_equal_clocks(df: DataFrame, clocks: list[str], out: str = "time", record: str | None = None) -> DataFrame:
+    """One clock of several that must agree wherever two are present; needs a row with two.
+
+    record: a column that numbers the rows, of which an error names the first five.
+    """
+    ts = [F.col(c).cast("double") for c in clocks]
     least, most = (F.least(*ts), F.greatest(*ts)) if len(ts) > 1 else (ts[0], ts[0])
     present = reduce(lambda a, b: a + b, [t.isNotNull().cast("int") for t in ts])
-    found = df.agg(F.count_if(least != most).alias("conflicts"), F.count_if(present > 1).alias("overlap")).first()
+    infinite = reduce(lambda a, b: a | b, [F.coalesce(F.abs(t) == float("inf"), F.lit(False)) for t in ts])
+    found = df.agg(F.count_if(least != most).alias("conflicts"), F.count_if(present > 1).alias("overlap"), F.count_if(infinite).alias("infinite")).first()
+    if found["infinite"]:
+        raise ValueError(f"{found['infinite']} rows with an infinite timestamp")
     if found["conflicts"]:
-        raise ValueError(f"{found['conflicts']} rows whose clocks differ")
+        rows = [r[0] for r in df.where(least != most).select(record).orderBy(record).limit(5).collect()] if record else []
+        raise ValueError(f"{found['conflicts']} rows whose clocks differ" + (f", first {rows}" if rows else ""))
     if len(ts) > 1 and not found["overlap"]:
         raise ValueError("clocks never overlap")
-    return df.withColumn(out, F.coalesce(*ts)).drop(*[c for c in clocks if c != out])
+    return df.withColumn(out, finite(F.coalesce(*ts))).drop(*[c for c in clocks if c != out])
 
 
-def align_clock_blocks(df: DataFrame, blocks: list[tuple[str, list[str]]], record: str = "record") -> tuple[DataFrame, DataFrame]:
+def align_clock_blocks(df: DataFrame, blocks: list[tuple[str, list[str]]], record: str = "record", missing: str = "quarantine") -> tuple[DataFrame, DataFrame]:
     """Joins blocks (clock, columns) by their own clocks: one row for each time of any block.
 
-    The second result holds the rows without a clock in a block, with a reason; a time that
-    repeats within a block is an error.
+    The second result holds the values without a clock in their block, with their row, block
+    and a reason; with ``missing`` "error" there may be none. A clock that is infinite, or
+    repeats within a block, is an error, and so is a block without clocks.
     """
     parts, rejected = [], []
     for i, (clock, columns) in enumerate(blocks):
-        t = finite(F.col(clock).try_cast("double"))
-        own = df.select(record, t.alias("time"), *columns)
-        if not own.where("time IS NOT NULL").groupBy("time").count().where("count > 1").isEmpty():
-            raise ValueError(f"duplicate timestamps in clock block {i + 1}")
+        t = F.col(clock).cast("double")
+        own = df.select(record, F.when(~F.isnan(t), t).alias("time"), *columns)
         any_value = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in columns])
-        bad = own.where(F.col("time").isNull() & any_value)
-        rejected.append(bad.select(F.col(record).alias("source_record_number"), F.lit(i + 1).alias("clock_occurrence"), F.lit("no own clock").alias("reason")))
+        unanchored = F.col("time").isNull() & any_value
+        got = own.agg(F.count("time").alias("n"), F.count_distinct("time").alias("times"), F.count_if(F.abs("time") == float("inf")).alias("infinite"), F.count_if(unanchored).alias("lost")).first()
+        if got["infinite"]:
+            raise ValueError(f"infinite timestamps in clock block {i + 1}")
+        if got["lost"] and missing == "error":
+            raise ValueError(f"{got['lost']} rows with values but no own time in clock block {i + 1}; quarantine them")
+        if got["times"] < got["n"] or not got["n"]:
+            raise ValueError(f"no or duplicate timestamps in clock block {i + 1}")
+        bad = own.where(unanchored)
+        rejected.append(bad.select(F.col(record).alias("source_record_number"), F.lit(i + 1).alias("clock_occurrence"), F.lit("no own clock").alias("reason"), *columns))
         parts.append(own.where("time IS NOT NULL").drop(record))
-    return reduce(lambda a, b: a.join(b, "time", "full_outer"), parts), reduce(DataFrame.union, rejected)
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rejected)
+    return reduce(lambda a, b: a.join(b, "time", "full_outer"), parts), every
 
 
 def quarantined(df: DataFrame, clock: str = "time") -> tuple[DataFrame, DataFrame]:
-    """Rows with a finite clock, and the others with a reason."""
+    """Rows with a finite clock, and the others, whole, with a reason."""
     t = finite(F.col(clock).try_cast("double"))
     return df.where(t.isNotNull()).withColumn(clock, t), df.where(t.isNull()).withColumn("reason", F.lit("missing time"))
 

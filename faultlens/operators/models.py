@@ -11,6 +11,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..schemas import ENTITY, FEATURE_KEY
 
@@ -61,14 +62,15 @@ def _seed(seed: int, *key: str) -> int:
     return int.from_bytes(hashlib.sha256("\0".join((str(seed), *key)).encode()).digest()[:8], "big")
 
 
-def model_peaks(filled: DataFrame, reference_end: float, methods, components: int = 5, trees: int = 32, samples: int = 256, seed: int = 42) -> DataFrame:
-    """Peaks of the pca and isolation_forest methods; ``filled`` as scoring.imputed() gives it, ``reference_end`` a number."""
+def model_peaks(filled: DataFrame, reference_end, methods, components: int = 5, trees: int = 32, samples: int = 256, seed: int = 42) -> DataFrame:
+    """Peaks of the pca and isolation_forest methods; ``filled`` as scoring.imputed() gives it, ``reference_end`` a number or a column of it."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         keys = ["feature_name", "series_id", "dimensions"]
         x = rows.pivot(index="window_end", columns=keys, values="x").sort_index().sort_index(axis=1)
         seen = rows.pivot(index="window_end", columns=keys, values="value").reindex(index=x.index, columns=x.columns)
-        is_ref = x.index <= reference_end
+        in_ref = rows.groupby("window_end")["in_reference"].first().reindex(x.index)
+        is_ref = in_ref.to_numpy(bool)
         ref, cur, own = x[is_ref].to_numpy(float), x[~is_ref].to_numpy(float), seen[~is_ref].to_numpy(float)
         there, at = ~np.isnan(own), x.index[~is_ref].to_numpy()
         entity = rows[ENTITY].iloc[0].tolist()
@@ -89,4 +91,5 @@ def model_peaks(filled: DataFrame, reference_end: float, methods, components: in
                     out.append((*entity, series, feature, dimensions, method, float(masked[p]), int(at[p]), float(own[p, j])))
         return pd.DataFrame(out, columns=["system_id", "entity_id", "series_id", "feature_name", "dimensions", "method", "score", "peak_window_end", "peak_value"])
 
-    return filled.select(*FEATURE_KEY, "window_end", "value", "x").groupBy(*ENTITY).applyInPandas(run, PEAKS)
+    told = (F.col("window_end") <= reference_end).alias("in_reference")
+    return filled.select(*FEATURE_KEY, "window_end", "value", "x", told).groupBy(*ENTITY).applyInPandas(run, PEAKS)

@@ -18,10 +18,9 @@ def entity_ranking(evidence: DataFrame, within: list[str] = ["system_id", "metho
     return best.withColumn("rank", F.row_number().over(order))
 
 
-def against_labels(ranking: DataFrame, labels: DataFrame, case: str = "case") -> DataFrame:
-    """One row for each case and method of its ranking; a root cause that isn't ranked has rank NULL and counts 0."""
-    methods = ranking.select(case, "method").distinct()
-    wanted = labels.join(methods, case)
+def against_labels(ranking: DataFrame, labels: DataFrame, methods: list[str], case: str = "case") -> DataFrame:
+    """One row for each labelled case and method; a root cause that isn't ranked, also for want of any evidence, has rank NULL and counts 0."""
+    wanted = labels.withColumn("method", F.explode(F.array(*map(F.lit, methods))))
     ranked = ranking.select(case, "method", F.col("entity_id").alias("root_cause_service"), "rank")
     rows = wanted.join(ranked, [case, "method", "root_cause_service"], "left")
     hits = {f"hit_{k}": F.coalesce((F.col("rank") <= k).cast("int"), F.lit(0)) for k in (1, 3, 5)}

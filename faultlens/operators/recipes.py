@@ -119,37 +119,33 @@ def audit_after_trim(audit: DataFrame, features: DataFrame) -> DataFrame:
     return joined.select(*COHORT, "recipe", now.alias("status"), n.alias("valid_windows"), m.alias("missing_windows"))
 
 
-# The shipped recipes. (name, operation, inputs as metric:kind:unit, unit, target status, scale)
-_SHIPPED = """
-cpu_cores | identity | container_cpu_usage_seconds_total:counter:seconds | cores | proxy_until_rcaeval_cpu_scale_confirmed | 1
-memory_working_set_bytes | identity | container_memory_working_set_bytes:gauge:bytes | bytes | proxy_until_rcaeval_mem_definition_confirmed | 1
-memory_rss_bytes | identity | container_memory_rss:gauge:bytes | bytes | same_quantity_as_raw_rss_subject_to_export_contract | 1
-memory_limit_ratio | ratio | container_memory_working_set_bytes:gauge:bytes container_spec_memory_limit_bytes:gauge:bytes | ratio | internal_extension | 1
-container_reads_bytes_per_second | identity | container_fs_reads_bytes_total:counter:bytes | bytes/s | same_quantity_after_rate_contract | 1
-container_writes_bytes_per_second | identity | container_fs_writes_bytes_total:counter:bytes | bytes/s | same_quantity_after_rate_contract | 1
-disk_io_bytes_per_second | sum | container_fs_reads_bytes_total:counter:bytes container_fs_writes_bytes_total:counter:bytes | bytes/s | proxy_not_confirmed_rcaeval_diskio | 1
-request_rate | identity | request_counter:counter:request | request/s | proxy_for_load_workload | 1
-response_rate | identity | response_counter:counter:response | response/s | internal_extension | 1
-request_response_gap_ratio | relative_gap | request_counter:counter:request response_counter:counter:response | ratio | internal_extension | 1
-processing_time_ms | identity | process_time_ms:gauge:ms | ms | proxy_for_latency_not_percentiles | 1
-timeout_ratio | ratio | request_timeout_counter:counter:request request_counter:counter:request | ratio | proxy_not_all_errors | 1
-node_memory_available_ratio | ratio | node_memory_MemAvailable_bytes:gauge:bytes node_memory_MemTotal_bytes:gauge:bytes | ratio | internal_extension | 1
-node_filesystem_free_ratio | ratio | node_filesystem_free_bytes:gauge:bytes node_filesystem_size_bytes:gauge:bytes | ratio | internal_extension | 1
-node_read_mean_io_ms | ratio | node_disk_read_time_seconds_total:counter:seconds node_disk_reads_completed_total:counter:operation | ms/operation | internal_extension | 1000
-node_write_mean_io_ms | ratio | node_disk_write_time_seconds_total:counter:seconds node_disk_writes_completed_total:counter:operation | ms/operation | internal_extension | 1000
-db_read_error_ratio | fraction_of_sum | aerospike_namespace_client_read_error:counter:operation aerospike_namespace_client_read_success:counter:operation | ratio | db_only_not_app_error | 1
-db_write_error_ratio | fraction_of_sum | aerospike_namespace_client_write_error:counter:operation aerospike_namespace_client_write_success:counter:operation | ratio | db_only_not_app_error | 1
-db_delete_error_ratio | fraction_of_sum | aerospike_namespace_client_delete_error:counter:operation aerospike_namespace_client_delete_success:counter:operation | ratio | db_only_not_app_error | 1
-"""
+#: The shipped recipes, which name the exporters' metrics.
+#: Name, operation, inputs (metric, kind, unit), unit of the result, what it stands for in the labelled corpora, scale.
+SHIPPED = [
+    ("cpu_cores", "identity", [("container_cpu_usage_seconds_total", "counter", "seconds")], "cores", "stand_in_for_cpu", 1),
+    ("memory_working_set_bytes", "identity", [("container_memory_working_set_bytes", "gauge", "bytes")], "bytes", "stand_in_for_mem", 1),
+    ("memory_rss_bytes", "identity", [("container_memory_rss", "gauge", "bytes")], "bytes", "same_as_rss", 1),
+    ("memory_limit_ratio", "ratio", [("container_memory_working_set_bytes", "gauge", "bytes"), ("container_spec_memory_limit_bytes", "gauge", "bytes")], "ratio", "own", 1),
+    ("container_reads_bytes_per_second", "identity", [("container_fs_reads_bytes_total", "counter", "bytes")], "bytes/s", "same_as_rate", 1),
+    ("container_writes_bytes_per_second", "identity", [("container_fs_writes_bytes_total", "counter", "bytes")], "bytes/s", "same_as_rate", 1),
+    ("disk_io_bytes_per_second", "sum", [("container_fs_reads_bytes_total", "counter", "bytes"), ("container_fs_writes_bytes_total", "counter", "bytes")], "bytes/s", "stand_in_for_diskio", 1),
+    ("request_rate", "identity", [("request_counter", "counter", "request")], "request/s", "stand_in_for_load", 1),
+    ("response_rate", "identity", [("response_counter", "counter", "response")], "response/s", "own", 1),
+    ("request_response_gap_ratio", "relative_gap", [("request_counter", "counter", "request"), ("response_counter", "counter", "response")], "ratio", "own", 1),
+    ("processing_time_ms", "identity", [("process_time_ms", "gauge", "ms")], "ms", "stand_in_for_mean_latency", 1),
+    ("timeout_ratio", "ratio", [("request_timeout_counter", "counter", "request"), ("request_counter", "counter", "request")], "ratio", "stand_in_for_some_errors", 1),
+    ("node_memory_available_ratio", "ratio", [("node_memory_MemAvailable_bytes", "gauge", "bytes"), ("node_memory_MemTotal_bytes", "gauge", "bytes")], "ratio", "own", 1),
+    ("node_filesystem_free_ratio", "ratio", [("node_filesystem_free_bytes", "gauge", "bytes"), ("node_filesystem_size_bytes", "gauge", "bytes")], "ratio", "own", 1),
+    ("node_read_mean_io_ms", "ratio", [("node_disk_read_time_seconds_total", "counter", "seconds"), ("node_disk_reads_completed_total", "counter", "operation")], "ms/operation", "own", 1000),
+    ("node_write_mean_io_ms", "ratio", [("node_disk_write_time_seconds_total", "counter", "seconds"), ("node_disk_writes_completed_total", "counter", "operation")], "ms/operation", "own", 1000),
+    ("db_read_error_ratio", "fraction_of_sum", [("aerospike_namespace_client_read_error", "counter", "operation"), ("aerospike_namespace_client_read_success", "counter", "operation")], "ratio", "database_errors", 1),
+    ("db_write_error_ratio", "fraction_of_sum", [("aerospike_namespace_client_write_error", "counter", "operation"), ("aerospike_namespace_client_write_success", "counter", "operation")], "ratio", "database_errors", 1),
+    ("db_delete_error_ratio", "fraction_of_sum", [("aerospike_namespace_client_delete_error", "counter", "operation"), ("aerospike_namespace_client_delete_success", "counter", "operation")], "ratio", "database_errors", 1),
+]
 
 
 def shipped() -> list[dict]:
-    out = []
-    for line in _SHIPPED.strip().splitlines():
-        name, operation, inputs, unit, target, scale = (x.strip() for x in line.split("|"))
-        split = [x.split(":") for x in inputs.split()]
-        out.append({
-            "name": name, "operation": operation, "unit": unit, "target_status": target, "scale": float(scale),
-            "inputs": [{"metric": m, "kind": k, "units": [u]} for m, k, u in split],
-        })
-    return out
+    return [
+        {"name": name, "operation": operation, "unit": unit, "target_status": target, "scale": float(scale), "inputs": [{"metric": m, "kind": k, "units": [u]} for m, k, u in inputs]}
+        for name, operation, inputs, unit, target, scale in SHIPPED
+    ]

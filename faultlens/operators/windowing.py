@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, relative_gap, window_end
-from ..schemas import FEATURE_KEY, SERIES
+from ..schemas import ENTITY, FEATURE_KEY, SERIES
 
 
 def counter_rates(records: DataFrame) -> DataFrame:
@@ -57,18 +57,19 @@ def request_response(features: DataFrame, rules: list[dict]) -> DataFrame:
     return features if out is None else features.unionByName(out, allowMissingColumns=True)
 
 
-def trimmed(features: DataFrame, start: float, end: float, window_seconds: int) -> DataFrame:
-    """Windows that lie wholly within [start, end]."""
-    return features.where((F.col("window_end") - window_seconds >= start) & (F.col("window_end") <= end))
+def trimmed(features: DataFrame, start: float | None, end: float | None, window_seconds: int) -> DataFrame:
+    """Windows that lie wholly within [start, end]; an end that is None is open."""
+    if start is not None:
+        features = features.where(F.col("window_end") - window_seconds >= start)
+    return features if end is None else features.where(F.col("window_end") <= end)
 
 
-def dense_grid(features: DataFrame, window_seconds: int, max_windows: int = 500_000) -> DataFrame:
-    """Every feature of an entity at every window between the entity's first and last; absent values are NULL."""
-    entity = ["system_id", "entity_id"]
-    bounds = features.groupBy(*entity).agg(F.min("window_end").alias("lo"), F.max("window_end").alias("hi"))
+def dense_grid(features: DataFrame, window_seconds: int, max_windows: int = 500_000, within: list[str] = ENTITY) -> DataFrame:
+    """Every feature of an entity (or cohort, ``within``) at every window between its first and last; absent values are NULL."""
+    bounds = features.groupBy(*within).agg(F.min("window_end").alias("lo"), F.max("window_end").alias("hi"))
     if not bounds.where((F.col("hi") - F.col("lo")) / window_seconds > max_windows).isEmpty():
         raise ValueError("time span beyond the window budget; divide the input")
-    grid = features.select(*FEATURE_KEY).distinct().join(bounds, entity)
+    grid = features.select(*FEATURE_KEY).distinct().join(bounds, within)
     grid = grid.select(*FEATURE_KEY, F.explode(F.sequence("lo", "hi", F.lit(window_seconds).cast("long"))).alias("window_end"))
     return grid.join(features.select(*FEATURE_KEY, "window_end", "value"), [*FEATURE_KEY, "window_end"], "left")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
+
 DAY = 86400
 #: End of the reference: the first twenty days of events.
 REFERENCE_END = 1704067200 + 20 * DAY
@@ -59,20 +61,32 @@ def end_sql(t: str, w: int = DAY) -> str:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily means of the gauge, without one day in six of each series."""
+    """Daily means of the gauge."""
     from ..operators.windowing import resample
 
-    rows = resample(gauge(spark, sf_dir), DAY, 0.8)
-    return rows.where((F.col("window_end") / DAY + F.length("entity_id")) % 6 != 0)
+    return resample(gauge(spark, sf_dir), DAY, 0.8)
+
+
+def thinned(features: DataFrame) -> DataFrame:
+    """``features`` with gaps for the grid to fill: one day in six of each series is absent."""
+    return features.where((F.col("window_end") / DAY + F.length("entity_id")) % 6 != 0)
 
 
 MEANS = f"""m AS (SELECT system_id, entity_id, series_id, metric AS feature_name, dimensions, {end_sql('t')} AS window_end, CASE WHEN count(v) / greatest(1, 86400 / max(cadence)) >= 0.8 THEN avg(v) END AS value
   FROM g GROUP BY ALL)"""
-FEATURES = f"{GAUGE}, {MEANS}, f AS (SELECT * FROM m WHERE (window_end // 86400 + length(entity_id)) % 6 <> 0)"
+FEATURES = f"{GAUGE}, {MEANS}, f AS (SELECT * FROM m)"
+THINNED = f"{GAUGE}, {MEANS}, f AS (SELECT * FROM m WHERE (window_end // 86400 + length(entity_id)) % 6 <> 0)"
 KEY = "system_id, entity_id, series_id, feature_name, dimensions"
-GRID = f"""{FEATURES}, b AS (SELECT system_id, entity_id, min(window_end) AS lo, max(window_end) AS hi FROM f GROUP BY ALL),
-k AS (SELECT DISTINCT {KEY} FROM f), x AS (SELECT k.*, unnest(range(lo, hi + 1, 86400)) AS window_end FROM k JOIN b USING (system_id, entity_id)),
+
+
+def grid_sql(within: str) -> str:
+    """The dense grid of f."""
+    return f"""b AS (SELECT {within}, min(window_end) AS lo, max(window_end) AS hi FROM f GROUP BY ALL),
+k AS (SELECT DISTINCT {KEY} FROM f), x AS (SELECT k.*, unnest(range(lo, hi + 1, 86400)) AS window_end FROM k JOIN b USING ({within})),
 grid AS (SELECT x.*, f.value FROM x LEFT JOIN f USING ({KEY}, window_end))"""
+
+
+GRID = f"{FEATURES}, {grid_sql('system_id, entity_id')}"
 ELIGIBLE = f"""{GRID}, el AS (SELECT {KEY}, count(value) FILTER (WHERE window_end <= {REFERENCE_END}) AS reference_count, count(*) FILTER (WHERE window_end <= {REFERENCE_END}) AS reference_windows,
   count(*) FILTER (WHERE window_end > {REFERENCE_END}) AS current_windows, count(value) FILTER (WHERE window_end > {REFERENCE_END}) AS current_count,
   quantile_cont(value, 0.5) FILTER (WHERE window_end <= {REFERENCE_END}) AS reference_median, quantile_cont(value, 0.95) FILTER (WHERE window_end <= {REFERENCE_END}) AS reference_p95
@@ -96,27 +110,32 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_grid(features(spark, sf_dir), DAY)
 
 
-def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature rows: events of a type by day, as one entity; a day is absent where a type's name and the day say so."""
+def counts(spark: SparkSession, sf_dir: str, halves: bool = False) -> DataFrame:
+    """Feature rows: events of a type by day, as one entity; with ``halves`` of even and odd users, as two dimensions of it."""
     from ..functions.numeric import window_end
 
-    rows = table(spark, sf_dir, "events").groupBy("event_type", window_end(seconds(), DAY).alias("window_end")).agg(F.count("*").cast("double").alias("value"))
-    rows = rows.where((F.col("window_end") / DAY + F.length("event_type")) % 9 != 0)
+    dimensions = F.concat(F.lit('{"half":"'), (F.col("user_id") % 2).cast("string"), F.lit('"}')) if halves else F.lit("{}")
+    rows = table(spark, sf_dir, "events").groupBy("event_type", dimensions.alias("dimensions"), window_end(seconds(), DAY).alias("window_end")).agg(F.count("*").cast("double").alias("value"))
     return rows.select(
         F.lit("shop").alias("system_id"), F.lit("site").alias("entity_id"), F.col("event_type").alias("series_id"), F.col("event_type").alias("feature_name"),
-        F.lit("{}").alias("dimensions"), "window_end", "value",
+        "dimensions", "window_end", "value",
     )
 
 
-COUNTS = f"""f AS (SELECT 'shop' AS system_id, 'site' AS entity_id, event_type AS series_id, event_type AS feature_name, '{{}}' AS dimensions, window_end, CAST(n AS DOUBLE) AS value
-  FROM (SELECT event_type, {end_sql('epoch_us(ts) / 1e6')} AS window_end, count(*) AS n FROM events GROUP BY ALL) WHERE (window_end // 86400 + length(event_type)) % 9 <> 0)"""
-COUNT_GRID = COUNTS + GRID.split("f AS (SELECT * FROM m WHERE (window_end // 86400 + length(entity_id)) % 6 <> 0)")[1]
+def counts_sql(dimensions: str) -> str:
+    return f"""f AS (SELECT 'shop' AS system_id, 'site' AS entity_id, event_type AS series_id, event_type AS feature_name, dimensions, window_end, CAST(n AS DOUBLE) AS value
+  FROM (SELECT event_type, {dimensions} AS dimensions, {end_sql('epoch_us(ts) / 1e6')} AS window_end, count(*) AS n FROM events GROUP BY ALL))"""
+
+
+COUNTS = counts_sql("'{}'")
+HALVES = counts_sql("""'{"half":"' || CAST(user_id % 2 AS VARCHAR) || '"}'""")
+HALF_GRID = f"{HALVES}, {grid_sql('system_id, entity_id, dimensions')}"
 FIELDS = ["click", "error", "purchase", "signup", "view"]
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log records of two lines: a logger line for the event and, for every third, a raw record or a write marker."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"), "event_id")
     stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_id") % 11 == 0, "WARN").otherwise("INFO")
     head = F.concat(stamp, F.lit(" app."), F.col("event_type"), F.lit(" ["), level, F.lit("] [u"), F.col("user_id").cast("string"), F.lit("] Topic: t"), (F.col("event_id") % 5).cast("string"), F.lit(", createDate: "), F.date_format((F.col("ts").cast("timestamp") - F.expr("INTERVAL 9 MILLISECONDS")), "yyyy-MM-dd HH:mm:ss.SSSSSS"))

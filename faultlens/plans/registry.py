@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import finite, window_end
 from ..functions.timeparse import epoch_seconds
 from ..operators import cases, logs, models, profile, ranking, recipes, relate, scoring, validate, windowing
-from ..schemas import ENTITY, FEATURE_KEY
+from ..schemas import COHORT, ENTITY, FEATURE_KEY
 from ..sources import range_api
 from . import frames as fr
 from .frames import DAY, REFERENCE_END, table
@@ -32,16 +32,17 @@ def query(sql: str | None = None):
     return add
 
 
-#: Fences have one digit more than six where values have two: rounding them there would meet ties.
-LONGER = {"iqr_lower": 9, "iqr_upper": 9}
+#: Fences and means of means have one digit more than six where values have two: rounding them there would meet ties.
+LONGER = dict.fromkeys(["iqr_lower", "iqr_upper", "mean", "reference_mean", "current_mean", "mean_difference"], 9)
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, LONGER.get(c, places)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    # Adding zero makes one zero of two.
+    return df.select(*[(F.round(c, LONGER.get(c, places)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def r(names: str) -> str:
-    return ", ".join(f"round({n}, 6) AS {n}" for n in names.split())
+    return ", ".join(f"round({n}, 6) + 0 AS {n}" for n in names.split())
 
 
 KEY = fr.KEY
@@ -115,9 +116,9 @@ def request_response_gap(spark, d):
     return rounded(windowing.request_response(fr.counts(spark, d), rules).select(*FEATURE_KEY, "window_end", "value"))
 
 
-@query(f"WITH {fr.GRID} SELECT {KEY}, window_end, {r('value')} FROM grid")
+@query(f"WITH {fr.THINNED}, {fr.grid_sql('system_id, entity_id')} SELECT {KEY}, window_end, {r('value')} FROM grid")
 def dense_grid(spark, d):
-    return rounded(fr.grid(spark, d))
+    return rounded(windowing.dense_grid(fr.thinned(fr.features(spark, d)), DAY))
 
 
 @query(f"WITH {fr.ELIGIBLE} SELECT {KEY}, reference_count, reference_windows, current_windows, current_count, {r('reference_median reference_p95')}, eligible FROM el2")
@@ -211,8 +212,9 @@ def _case_results(spark, d):
     found = scoring.evidence(windowing.dense_grid(f, DAY), REFERENCE_END, 5, 0.5, ["mad", "nsigma"])
     ranked = ranking.entity_ranking(found).withColumnRenamed("system_id", "case")
     names = F.array(*map(F.lit, [*fr.FIELDS, "absent"]))
-    labels = spark.range(10).select(F.col("id").cast("string").alias("case"), F.lit("demo").alias("dataset"), F.element_at(names, (F.col("id") % 6 + 1).cast("int")).alias("root_cause_service"))
-    return ranking.against_labels(ranked, labels)
+    # Cases 10 and 11 have no data: their root causes aren't ranked by any method.
+    labels = spark.range(12).select(F.col("id").cast("string").alias("case"), F.lit("demo").alias("dataset"), F.element_at(names, (F.col("id") % 6 + 1).cast("int")).alias("root_cause_service"))
+    return ranking.against_labels(ranked, labels, ["mad", "nsigma"])
 
 
 RESULTS = f"""{CASE_SQL}, cbd AS (SELECT case_id, min(window_end) AS lo, max(window_end) AS hi FROM ck GROUP BY ALL), cbe AS (SELECT case_id, entity_id, min(window_end) AS lo, max(window_end) AS hi FROM ck GROUP BY ALL),
@@ -223,10 +225,10 @@ cm AS (SELECT case_id, entity_id, any_value(med) AS med, quantile_cont(abs(x - m
 cs AS (SELECT case_id, entity_id, 'mad' AS method, max(abs(value - cm.med) / greatest(1.4826 * mad, least)) AS score FROM cf JOIN cm USING (case_id, entity_id) WHERE window_end > {REFERENCE_END} AND value IS NOT NULL GROUP BY ALL
  UNION ALL SELECT case_id, entity_id, 'nsigma', max(abs(value - mean) / greatest(std, least)) FROM cf JOIN cm USING (case_id, entity_id) WHERE window_end > {REFERENCE_END} AND value IS NOT NULL GROUP BY ALL),
 cr AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id, method ORDER BY score DESC, entity_id) AS INTEGER) AS rank FROM cs),
-la AS (SELECT i AS case_id, (['click', 'error', 'purchase', 'signup', 'view', 'absent'])[i % 6 + 1] AS root FROM range(10) t(i)),
+la AS (SELECT i AS case_id, (['click', 'error', 'purchase', 'signup', 'view', 'absent'])[i % 6 + 1] AS root FROM range(12) t(i)),
 re AS (SELECT CAST(la.case_id AS VARCHAR) AS "case", m.method, la.root AS root_cause_service, 'demo' AS dataset, cr.rank, coalesce(1.0 / cr.rank, 0) AS reciprocal_rank, CAST(coalesce(cr.rank <= 1, FALSE) AS INTEGER) AS hit_1,
  CAST(coalesce(cr.rank <= 3, FALSE) AS INTEGER) AS hit_3, CAST(coalesce(cr.rank <= 5, FALSE) AS INTEGER) AS hit_5
- FROM la JOIN (SELECT DISTINCT case_id, method FROM cr) m USING (case_id) LEFT JOIN cr ON cr.case_id = la.case_id AND cr.method = m.method AND cr.entity_id = la.root)"""
+ FROM la CROSS JOIN (VALUES ('mad'), ('nsigma')) m(method) LEFT JOIN cr ON cr.case_id = la.case_id AND cr.method = m.method AND cr.entity_id = la.root)"""
 
 
 @query(f'WITH {RESULTS} SELECT "case", method, root_cause_service, dataset, rank, {r("reciprocal_rank")}, hit_1, hit_3, hit_5 FROM re')
@@ -312,7 +314,7 @@ def recipe_audit_trimmed(spark, d):
 
 @query(f"""WITH {fr.GRID}, fe AS (SELECT {KEY}, quantile_cont(value, 0.25) FILTER (WHERE window_end <= {REFERENCE_END}) AS q1, quantile_cont(value, 0.75) FILTER (WHERE window_end <= {REFERENCE_END}) AS q3 FROM grid GROUP BY ALL),
 j AS (SELECT grid.*, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM grid JOIN fe USING ({KEY}))
-SELECT {KEY}, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max,
+SELECT {KEY}, count(value) AS count, round(avg(value), 9) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max,
 {', '.join(f"round(quantile_cont(value, {q}), 6) AS {n}" for n, q in profile.QUANTILES.items())}, round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0 END), 6) AS missing_ratio, count(DISTINCT value) AS unique_count,
 count(*) - count(value) AS missing_count, round(CAST(count(*) FILTER (WHERE value = 0) AS DOUBLE) / nullif(count(value), 0), 6) AS zero_ratio, count(DISTINCT value) = 1 AS constant, count(value) = 0 AS all_missing,
 0::BIGINT AS infinite_count, round(any_value(lo), 9) AS iqr_lower, round(any_value(hi), 9) AS iqr_upper, count(*) FILTER (WHERE value < lo OR value > hi) AS iqr_outlier_count FROM j GROUP BY ALL""")
@@ -330,12 +332,12 @@ def iqr_fences(spark, d):
 def _half(p: str, op: str) -> str:
     own = f"FILTER (WHERE window_end {op} {REFERENCE_END})"
     return (
-        f"round(avg(value) {own}, 6) AS {p}_mean, count(value) {own} AS {p}_count, round(quantile_cont(value, 0.5) {own}, 6) AS {p}_median, round(quantile_cont(value, 0.95) {own}, 6) AS {p}_p95, "
+        f"round(avg(value) {own}, 9) AS {p}_mean, count(value) {own} AS {p}_count, round(quantile_cont(value, 0.5) {own}, 6) AS {p}_median, round(quantile_cont(value, 0.95) {own}, 6) AS {p}_p95, "
         f"round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0 END) {own}, 6) AS {p}_missing_ratio"
     )
 
 
-@query(f"WITH {fr.GRID} SELECT {KEY}, {_half('reference', '<=')}, {_half('current', '>')}, round(avg(value) FILTER (WHERE window_end > {REFERENCE_END}) - avg(value) FILTER (WHERE window_end <= {REFERENCE_END}), 6) AS mean_difference FROM grid GROUP BY ALL")
+@query(f"WITH {fr.GRID} SELECT {KEY}, {_half('reference', '<=')}, {_half('current', '>')}, round(avg(value) FILTER (WHERE window_end > {REFERENCE_END}) - avg(value) FILTER (WHERE window_end <= {REFERENCE_END}), 9) AS mean_difference FROM grid GROUP BY ALL")
 def contrast(spark, d):
     return rounded(profile.contrast(fr.grid(spark, d), FEATURE_KEY, F.col("window_end") <= REFERENCE_END))
 
@@ -376,7 +378,7 @@ def log_coverage(spark, d):
     return logs.log_coverage(fr.logs(spark, d))
 
 
-@query(f"WITH {fr.LOGS}, x AS (SELECT length(head || tail) AS v FROM lg) SELECT 'shop' AS system_id, count(v) AS count, round(avg(v), 6) AS mean, CAST(min(v) AS DOUBLE) AS min, CAST(max(v) AS DOUBLE) AS max, quantile_cont(CAST(v AS DOUBLE), 0.5) AS p50, quantile_cont(CAST(v AS DOUBLE), 0.95) AS p95 FROM x")
+@query(f"WITH {fr.LOGS}, x AS (SELECT length(head || tail) AS v FROM lg) SELECT 'shop' AS system_id, count(v) AS count, round(avg(v), 9) AS mean, CAST(min(v) AS DOUBLE) AS min, CAST(max(v) AS DOUBLE) AS max, quantile_cont(CAST(v AS DOUBLE), 0.5) AS p50, quantile_cont(CAST(v AS DOUBLE), 0.95) AS p95 FROM x")
 def text_length(spark, d):
     return rounded(profile.distribution(profile.text_lengths(fr.logs(spark, d)), ["system_id"]).select("system_id", "count", "mean", "min", "max", "p50", "p95"))
 
@@ -452,20 +454,21 @@ def message_features(spark, d):
 
 
 def _count_grid(spark, d):
-    return windowing.dense_grid(fr.counts(spark, d), DAY)
+    """Two cohorts: the dimensions of one entity."""
+    return windowing.dense_grid(fr.counts(spark, d, halves=True), DAY, within=COHORT)
 
 
-WIDE = f"""{fr.COUNT_GRID}, w AS (SELECT system_id, entity_id, window_end, max(value) FILTER (WHERE feature_name = 'click') AS a, max(value) FILTER (WHERE feature_name = 'purchase') AS b FROM grid GROUP BY ALL)"""
+WIDE = f"""{fr.HALF_GRID}, w AS (SELECT system_id, entity_id, dimensions, window_end, max(value) FILTER (WHERE feature_name = 'click') AS a, max(value) FILTER (WHERE feature_name = 'purchase') AS b FROM grid GROUP BY ALL)"""
 
 
 def _rule_sql(name, value, threshold, mode, op, direction, k, right):
     sign = ">" if direction == "upper" else "<"
     return f"""WITH {WIDE}, v AS (SELECT *, {value} AS value, window_end > {REFERENCE_END} AS cur FROM w),
-t AS (SELECT system_id, entity_id, count(value) FILTER (WHERE NOT cur) AS reference_count, {threshold} AS threshold FROM v GROUP BY ALL),
-e AS (SELECT v.*, reference_count, threshold, coalesce(cur AND value {sign} threshold, FALSE) AS ex FROM v JOIN t USING (system_id, entity_id)),
-i AS (SELECT *, sum(CASE WHEN ex THEN 0 ELSE 1 END) OVER (PARTITION BY system_id, entity_id ORDER BY window_end) AS isl FROM e),
-s AS (SELECT *, CAST(sum(CASE WHEN ex THEN 1 ELSE 0 END) OVER (PARTITION BY system_id, entity_id, isl ORDER BY window_end) AS BIGINT) AS n FROM i)
-SELECT system_id, entity_id, window_end, '{name}' AS rule, 'click' AS left_field, '{right}' AS right_field, '{op}' AS operation, '{direction}' AS direction, {r('value threshold')}, '{mode}' AS threshold_mode, reference_count,
+t AS (SELECT system_id, entity_id, dimensions, count(value) FILTER (WHERE NOT cur) AS reference_count, {threshold} AS threshold FROM v GROUP BY ALL),
+e AS (SELECT v.*, reference_count, threshold, coalesce(cur AND value {sign} threshold, FALSE) AS ex FROM v JOIN t USING (system_id, entity_id, dimensions)),
+i AS (SELECT *, sum(CASE WHEN ex THEN 0 ELSE 1 END) OVER (PARTITION BY system_id, entity_id, dimensions ORDER BY window_end) AS isl FROM e),
+s AS (SELECT *, CAST(sum(CASE WHEN ex THEN 1 ELSE 0 END) OVER (PARTITION BY system_id, entity_id, dimensions, isl ORDER BY window_end) AS BIGINT) AS n FROM i)
+SELECT system_id, entity_id, dimensions, window_end, '{name}' AS rule, 'click' AS left_field, '{right}' AS right_field, '{op}' AS operation, '{direction}' AS direction, {r('value threshold')}, '{mode}' AS threshold_mode, reference_count,
 CASE WHEN NOT cur THEN 'reference' WHEN value IS NULL OR threshold IS NULL THEN 'unknown' WHEN n >= {k} THEN 'anomaly_candidate' WHEN ex THEN 'watch' ELSE 'within_threshold' END AS status, n AS consecutive_exceedances FROM s"""
 
 
@@ -488,35 +491,35 @@ def streak(spark, d):
     return relate.streak(e, "flag", ["user_id"], "event_id", "streak")
 
 
-LAGGED = f"""{fr.COUNT_GRID}, z AS (SELECT system_id, entity_id, feature_name, window_end, value, CASE WHEN window_end <= {REFERENCE_END} THEN 'reference' ELSE 'current' END AS period FROM grid),
-p AS (SELECT a.system_id, a.entity_id, a.period, a.feature_name AS l, b.feature_name AS r, k AS lag, a.value AS x, b.value AS y FROM z a, range(-2, 3) t(k), z b
- WHERE a.feature_name < b.feature_name AND a.period = b.period AND b.window_end = a.window_end + k * 86400 AND a.value IS NOT NULL AND b.value IS NOT NULL),
-kr AS (SELECT *, rank() OVER (PARTITION BY period, l, r, lag ORDER BY x) + (count(*) OVER (PARTITION BY period, l, r, lag, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY period, l, r, lag ORDER BY y) + (count(*) OVER (PARTITION BY period, l, r, lag, y) - 1) / 2.0 AS ry FROM p),
-co AS (SELECT period, l, r, lag, count(*) AS n, CASE WHEN count(*) >= 6 AND min(x) <> max(x) AND min(y) <> max(y) THEN corr(x, y) END AS pearson, CASE WHEN count(*) >= 6 AND min(x) <> max(x) AND min(y) <> max(y) THEN corr(rx, ry) END AS spearman FROM kr GROUP BY ALL),
+LAGGED = f"""{fr.HALF_GRID}, z AS (SELECT system_id, entity_id, dimensions, feature_name, window_end, value, CASE WHEN window_end <= {REFERENCE_END} THEN 'reference' ELSE 'current' END AS period FROM grid),
+p AS (SELECT a.dimensions, a.period, a.feature_name AS l, b.feature_name AS r, k AS lag, a.value AS x, b.value AS y FROM z a, range(-2, 3) t(k), z b
+ WHERE a.feature_name < b.feature_name AND a.dimensions = b.dimensions AND a.period = b.period AND b.window_end = a.window_end + k * 86400 AND a.value IS NOT NULL AND b.value IS NOT NULL),
+kr AS (SELECT *, rank() OVER (PARTITION BY dimensions, period, l, r, lag ORDER BY x) + (count(*) OVER (PARTITION BY dimensions, period, l, r, lag, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY dimensions, period, l, r, lag ORDER BY y) + (count(*) OVER (PARTITION BY dimensions, period, l, r, lag, y) - 1) / 2.0 AS ry FROM p),
+co AS (SELECT dimensions, period, l, r, lag, count(*) AS n, CASE WHEN count(*) >= 6 AND min(x) <> max(x) AND min(y) <> max(y) THEN corr(x, y) END AS pearson, CASE WHEN count(*) >= 6 AND min(x) <> max(x) AND min(y) <> max(y) THEN corr(rx, ry) END AS spearman FROM kr GROUP BY ALL),
 fs AS (SELECT * FROM (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) t(f)),
-al AS (SELECT pe.period, a.f AS l, b.f AS r, k AS lag FROM fs a, fs b, range(-2, 3) t(k), (VALUES ('reference'), ('current')) pe(period) WHERE a.f < b.f),
-lc AS (SELECT 'shop' AS system_id, 'site' AS entity_id, period, l AS "left", r AS "right", CAST(lag AS INTEGER) AS lag_windows, coalesce(n, 0) AS n_pairs, pearson, spearman FROM al LEFT JOIN co USING (period, l, r, lag))"""
+al AS (SELECT di.dimensions, pe.period, a.f AS l, b.f AS r, k AS lag FROM (SELECT DISTINCT dimensions FROM f) di, fs a, fs b, range(-2, 3) t(k), (VALUES ('reference'), ('current')) pe(period) WHERE a.f < b.f),
+lc AS (SELECT 'shop' AS system_id, 'site' AS entity_id, dimensions, period, l AS "left", r AS "right", CAST(lag AS INTEGER) AS lag_windows, coalesce(n, 0) AS n_pairs, pearson, spearman FROM al LEFT JOIN co USING (dimensions, period, l, r, lag))"""
 
 
 def _lagged(spark, d):
     return relate.correlation_pairs(_count_grid(spark, d), fr.FIELDS, REFERENCE_END, 6, 2, DAY)
 
 
-@query(f'WITH {LAGGED} SELECT system_id, entity_id, period, "left", "right", lag_windows, n_pairs, {r("pearson spearman")} FROM lc')
+@query(f'WITH {LAGGED} SELECT system_id, entity_id, dimensions, period, "left", "right", lag_windows, n_pairs, {r("pearson spearman")} FROM lc')
 def lag_correlation(spark, d):
     return rounded(_lagged(spark, d))
 
 
-@query(f"""WITH {LAGGED}, z0 AS (SELECT * FROM lc WHERE lag_windows = 0) SELECT a.system_id, a.entity_id, a."left", a."right", a.n_pairs AS reference_n_pairs, b.n_pairs AS current_n_pairs,
+@query(f"""WITH {LAGGED}, z0 AS (SELECT * FROM lc WHERE lag_windows = 0) SELECT a.system_id, a.entity_id, a.dimensions, a."left", a."right", a.n_pairs AS reference_n_pairs, b.n_pairs AS current_n_pairs,
 round(a.pearson, 6) AS reference_pearson, round(b.pearson, 6) AS current_pearson, round(a.spearman, 6) AS reference_spearman, round(b.spearman, 6) AS current_spearman,
-round(b.pearson - a.pearson, 6) AS pearson_change, round(b.spearman - a.spearman, 6) AS spearman_change FROM z0 a JOIN z0 b ON a."left" = b."left" AND a."right" = b."right" AND a.period = 'reference' AND b.period = 'current'""")
+round(b.pearson - a.pearson, 6) AS pearson_change, round(b.spearman - a.spearman, 6) AS spearman_change FROM z0 a JOIN z0 b ON a.dimensions = b.dimensions AND a."left" = b."left" AND a."right" = b."right" AND a.period = 'reference' AND b.period = 'current'""")
 def correlation_change(spark, d):
     return rounded(relate.correlation_change(_lagged(spark, d)))
 
 
-@query(f"WITH {fr.COUNTS}, u AS (SELECT * FROM f UNION ALL SELECT * REPLACE ('twin' AS entity_id) FROM f UNION ALL SELECT * REPLACE ('twin' AS entity_id) FROM f WHERE feature_name = 'click') SELECT system_id, entity_id, count(DISTINCT feature_name) AS fields, CASE WHEN entity_id = 'twin' THEN 'ambiguous_series' ELSE 'ok' END AS status FROM u GROUP BY ALL")
+@query(f"WITH {fr.HALVES}, u AS (SELECT * FROM f UNION ALL SELECT * REPLACE ('twin' AS entity_id) FROM f UNION ALL SELECT * REPLACE ('twin' AS entity_id) FROM f WHERE feature_name = 'click') SELECT system_id, entity_id, dimensions, count(DISTINCT feature_name) AS fields, CASE WHEN entity_id = 'twin' THEN 'ambiguous_series' ELSE 'ok' END AS status FROM u GROUP BY ALL")
 def cohort_status(spark, d):
-    f = fr.counts(spark, d)
+    f = fr.counts(spark, d, halves=True)
     twin = f.withColumn("entity_id", F.lit("twin"))
     return relate.cohort_status(f.union(twin).union(twin.where("feature_name = 'click'")), fr.FIELDS)
 
@@ -524,13 +527,13 @@ def cohort_status(spark, d):
 # Cases
 
 
-@query("""WITH h AS (SELECT CAST(epoch_us(date_trunc('hour', ts)) // 1000000 AS DOUBLE) AS time, avg(value) FILTER (WHERE event_type = 'click') AS click_value, avg(value) FILTER (WHERE event_type = 'view') AS view_value FROM events GROUP BY 1)
-SELECT time, 'click_value' AS metric, round(click_value, 6) AS value, 'click' AS entity_id FROM h UNION ALL SELECT time, 'view_value', round(view_value, 6), 'view' FROM h""")
+@query("""WITH h AS (SELECT DISTINCT CAST(epoch_us(date_trunc('hour', ts)) // 1000000 AS DOUBLE) AS time FROM events), m AS (SELECT CAST(epoch_us(date_trunc('hour', ts)) // 1000000 AS DOUBLE) AS time, event_type, avg(value) AS v FROM events GROUP BY ALL)
+SELECT h.time, e || '_value' AS metric, round(v, 6) AS value, e AS entity_id FROM h CROSS JOIN (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) t(e) LEFT JOIN m ON m.time = h.time AND m.event_type = e""")
 def unpivot_wide_case(spark, d):
     hour = F.unix_seconds(F.date_trunc("hour", F.col("ts").cast("timestamp"))).cast("double").alias("time")
-    wide = table(spark, d, "events").groupBy(hour).pivot("event_type", ["click", "view"]).agg(F.avg("value"))
-    wide = wide.withColumnsRenamed({"click": "click_value", "view": "view_value"})
-    return rounded(cases.long_case(wide, ["click_value", "view_value"], []))
+    wide = table(spark, d, "events").groupBy(hour).pivot("event_type", fr.FIELDS).agg(F.avg("value"))
+    wide = wide.withColumnsRenamed({f: f"{f}_value" for f in fr.FIELDS})
+    return rounded(cases.long_case(wide, [f"{f}_value" for f in fr.FIELDS], []))
 
 
 CLOCKS = """c AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN CAST(event_id AS DOUBLE) END AS t0, CASE WHEN event_id % 4 <> 0 THEN CAST(event_id AS DOUBLE) END AS t1, value AS a, value * 2 AS b FROM events)"""
@@ -591,7 +594,7 @@ def epoch_parse(spark, d):
     )
 
 
-@query("SELECT c_custkey, left(sha256('shop|' || c_name || '|' || c_mktsegment), 24) AS series_id FROM customer")
+@query("""SELECT c_custkey, left(sha256('["shop","' || c_name || '","' || c_mktsegment || '"]'), 24) AS series_id FROM customer""")
 def series_hash(spark, d):
     return table(spark, d, "customer").select("c_custkey", range_api.series_id(F.lit("shop"), F.col("c_name"), F.col("c_mktsegment")).alias("series_id"))
 

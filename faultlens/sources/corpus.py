@@ -194,16 +194,18 @@ def read_metrics(
     rejected, recovered = None, 0
     if duplicate_time_policy == "align_blocks":
         blocks = [(f"t{c}", [n for i, n in names.items() if c < i < nxt]) for c, nxt in zip(clocks, [*clocks[1:], len(header)], strict=True)]
-        frame, rejected = cases.align_clock_blocks(typed, [b for b in blocks if b[1]], RECORD)
+        if clocks[0] != 0 or not all(own for _, own in blocks):
+            raise ValueError("clock blocks begin in column 1, each with a metric behind its time")
+        frame, rejected = cases.align_clock_blocks(typed, blocks, RECORD, missing_time_policy)
     else:
         if len(clocks) > 1:
             first = finite(F.col(f"t{clocks[0]}"))
             recovered = typed.where(first.isNull() & F.coalesce(*[F.col(f"t{c}") for c in clocks[1:]]).isNotNull()).count()
-        frame = cases.merge_equal_clocks(typed, [f"t{c}" for c in clocks])
+        frame = cases.merge_equal_clocks(typed, [f"t{c}" for c in clocks], record=RECORD)
         frame, bad = cases.quarantined(frame)
         if missing_time_policy == "error" and not bad.isEmpty():
             raise ValueError("rows without a time")
-        rejected = bad.select(F.col(RECORD).alias("source_record_number"), F.lit(1).alias("clock_occurrence"), "reason")
+        rejected = bad.select(F.col(RECORD).alias("source_record_number"), F.lit(1).alias("clock_occurrence"), "reason", *names.values())
         frame = frame.drop(RECORD)
     frame = frame.select("time", *names.values())
     cases.check_frame(frame, list(names.values()))

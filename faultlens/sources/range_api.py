@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
+from ..operators.validate import within_budget
 
 LABEL = r"[a-zA-Z_][a-zA-Z0-9_]*"
 METRIC_NAME = r"[a-zA-Z_:][a-zA-Z0-9_:]*"
@@ -30,7 +31,7 @@ def selector(name: str, system_labels: dict[str, str], metric_labels: dict[str,
     both = {**system_labels, **own}
     if bad := [k for k in both if not re.fullmatch(LABEL, k)]:
         raise ValueError(f"not a label: {bad}")
-    if not both:
+    if not system_labels:
         raise ValueError("a selector needs labels of its system")
     return name + "{" + ",".join(f"{k}={json.dumps(v, ensure_ascii=False)}" for k, v in sorted(both.items())) + "}"
 
@@ -51,7 +52,8 @@ def chunks(start: float, end: float, step: int, chunk: int, longest: int = 3600)
 
 
 def series_id(*parts: Column) -> Column:
-    return F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(24))
+    """Of the parts as a JSON list, which tells apart whatever they hold."""
+    return F.left(F.sha2(F.to_json(F.array(*parts)), 256), F.lit(24))
 
 
 def decode(bodies: DataFrame, system: str, metric: dict, entity_label: str, cadence_seconds: float) -> DataFrame:
@@ -72,7 +74,7 @@ def decode(bodies: DataFrame, system: str, metric: dict, entity_label: str, cade
     labels = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("metric"))))
     rows = series.select(entity.alias("entity_id"), F.concat(F.lit("{"), inner, F.lit("}")).alias("dimensions"), labels.alias("labels"), F.explode("values").alias("p"))
     return rows.select(
-        F.col("p")[0].cast("double").alias("timestamp"), finite(F.col("p")[1].try_cast("double")).alias("value"), F.lit(system).alias("system_id"), "entity_id",
+        F.col("p")[0].cast("double").alias("timestamp"), finite(F.col("p")[1].cast("double")).alias("value"), F.lit(system).alias("system_id"), "entity_id",
         series_id(F.lit(system), F.lit(metric["name"]), F.col("labels")).alias("series_id"), F.lit(metric["name"]).alias("metric"), F.lit(metric["kind"]).alias("kind"),
         F.lit(metric.get("unit", "")).alias("unit"), F.lit(float(cadence_seconds)).alias("cadence_seconds"), "dimensions", "labels",
     )
@@ -85,38 +87,52 @@ def get_json(url: str, authorization: str | None = None, timeout_seconds: float
 
 
 def range_url(base: str, query: str, start: float, end: float, step: int) -> str:
-    return base.rstrip("/") + "/api/v1/query_range?" + urllib.parse.urlencode({"query": query, "start": start, "end": end, "step": step})
+    return base.rstrip("/") + "/api/v1/query_range?" + urllib.parse.urlencode({"query": query, "start": start, "end": end, "step": step, "deny_partial_response": 1})
 
 
-def export(spark: SparkSession, config: dict, api_url: str, start: float, end: float, authorization: str | None = None, transport: Callable[[str, str | None], str] = get_json) -> DataFrame:
-    """Every system, metric and chunk as canonical records; each request is one row of one task.
+def export(
+    spark: SparkSession, config: dict, api_url: str, start: float, end: float, authorization: str | None = None, transport: Callable[[str, str | None], str] = get_json,
+    max_rows: int = 500_000, raw: str | None = None,
+) -> DataFrame:
+    """Every system, metric and chunk as canonical records; all requests are rows of one frame, fetched by the executors.
 
-    ``transport(url, authorization)`` returns a response's text; it runs on the executors.
+    ``transport(url, authorization)`` returns a response's text. The responses are written to
+    ``raw`` (a folder that all machines share) and read from there; without it they are cached.
     """
     if not api_url:
         raise ValueError("the API's address is not set")
     step, chunk = config.get("step_seconds", 60), config.get("chunk_seconds", 900)
     spans = chunks(start, end, step, chunk, config.get("max_export_seconds", 3600))
-    out = None
+    asked, specs = [], []
     for system in config["systems"]:
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", system["system_id"]):
             raise ValueError(f"not a system id: {system['system_id']}")
         for metric in config["metrics"]:
             text = selector(metric["name"], system.get("match_labels", {}), metric.get("match_labels"))
-            urls = spark.createDataFrame([(range_url(api_url, text, a, b, step),) for a, b in spans], "url string").repartition(len(spans))
+            asked += [(len(specs), range_url(api_url, text, a, b, step)) for a, b in spans]
+            specs.append((system["system_id"], metric))
+    if not asked:
+        raise ValueError("the export is empty")
+    urls = spark.createDataFrame(asked, "request int, url string").repartition(min(len(asked), 1000))
 
-            def fetch(batches):
-                import pyarrow as pa
+    def fetch(batches):
+        import pyarrow as pa
 
-                for batch in batches:
-                    bodies = [transport(u, authorization) for u in batch.column("url").to_pylist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.string())], ["body"])
+        for batch in batches:
+            bodies = [transport(u, authorization) for u in batch.column("url").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("request"), batch.column("url"), pa.array(bodies, pa.string())], ["request", "url", "body"])
 
-            label = metric.get("entity_label", config.get("entity_label", "pod_id"))
-            # The answers are kept, so that checks and decoding read what was fetched once.
-            bodies = urls.mapInArrow(fetch, "body string").persist()
-            rows = decode(bodies, system["system_id"], metric, label, metric.get("cadence_seconds", step))
-            out = rows if out is None else out.unionByName(rows)
-    if out is None or out.isEmpty():
+    answers = urls.mapInArrow(fetch, "request int, url string, body string")
+    if raw:
+        answers.write.parquet(raw)
+        answers = spark.read.parquet(raw)
+    else:
+        answers = answers.persist()
+    out = None
+    for k, (system_id, metric) in enumerate(specs):
+        label = metric.get("entity_label", config.get("entity_label", "pod_id"))
+        rows = decode(answers.where(F.col("request") == k), system_id, metric, label, metric.get("cadence_seconds", step))
+        out = rows if out is None else out.unionByName(rows)
+    if out.isEmpty():
         raise ValueError("the export is empty")
-    return out
+    return within_budget(out, max_rows, "the export")

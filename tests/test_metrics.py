@@ -21,25 +21,26 @@ def values(features):
 
 
 def test_counter_resets_and_gaps_are_missing(spark):
-    got = values(windowing.resample(samples(spark, [(0, 0), (10, 10), (20, 20), (30, 1), (100, 500)]), 10))
-    assert got[1] == 1 and got[3:] == [None, None]
+    got = values(windowing.resample(samples(spark, [(0, 300), (10, 345), (20, 360), (30, 12), (40, 72), (95, 200), (105, 230)]), 10))
+    # No rate for the first sample, after the reset at 30, and over the gap before 95.
+    assert got == [None, 4.5, 1.5, None, 6.0, None, 3.0]
 
 
 def test_sample_on_a_boundary_is_of_the_next_window(spark):
-    got = windowing.resample(samples(spark, [(0, 1), (9.9, 3), (10, 5)], kind="gauge"), 10, 0.1).orderBy("window_end").collect()
-    assert [(r["window_end"], r["value"]) for r in got] == [(10, 2.0), (20, 5.0)]
+    got = windowing.resample(samples(spark, [(45, 8), (59.99, 2), (60, 7), (75, 9), (90, 4)], kind="gauge"), 30, 0.1).orderBy("window_end").collect()
+    assert [(r["window_end"], r["value"]) for r in got] == [(60, 5.0), (90, 8.0), (120, 4.0)]
 
 
 def test_coverage_gate_keeps_the_row_without_a_value(spark):
-    got = values(windowing.resample(samples(spark, [(0, 1), (10, 1), (20, 1), (60, 1)], kind="gauge"), 60, 0.5))
-    assert got == [1.0, None]
+    got = values(windowing.resample(samples(spark, [(3, 14), (12, 10), (24, 12), (33, 16), (41, 50), (47, 70), (85, 6)], kind="gauge"), 40, 0.5))
+    assert got == [13.0, 60.0, None]
 
 
 def test_non_finite_values_are_missing_and_counted(spark):
-    rows = samples(spark, [(0, float("nan")), (10, float("inf")), (20, 1), (20, 1)], kind="gauge")
+    rows = samples(spark, [(15, 2.5), (25, float("-inf")), (35, 8), (35, 8), (35, 8), (45, float("nan")), (55, float("inf"))], kind="gauge")
     clean, quality = validate.validate(rows)
-    assert quality["nonfinite"] == 2 and quality["exact_duplicates"] == 1
-    assert values(clean.select(F.col("timestamp").alias("window_end"), "value")) == [None, None, 1.0]
+    assert quality["nonfinite"] == 3 and quality["exact_duplicates"] == 2
+    assert values(clean.select(F.col("timestamp").alias("window_end"), "value")) == [2.5, None, 8.0, None, None]
 
 
 @pytest.mark.parametrize("change, match", [({"kind": "odd"}, "kind"), ({"system_id": " "}, "identity"), ({"cadence_seconds": 0.0}, "cadence")])
@@ -62,11 +63,18 @@ def feature(spark, rows):
 
 
 def test_request_response(spark):
-    rules = [{"name": "gap", "request": "req", "response": "resp"}]
-    got = windowing.request_response(feature(spark, [("req", 60, 10.0), ("resp", 60, 8.0), ("req", 120, 0.0), ("resp", 120, 1.0)]), rules).where("feature_name = 'gap'")
-    assert values(got) == [pytest.approx(0.2), None]
+    rules = [{"name": "lost", "request": "asked", "response": "told"}]
+    rows = [("asked", 30, 64.0), ("told", 30, 48.0), ("asked", 60, 0.0), ("told", 60, 3.0), ("asked", 90, 40.0), ("told", 90, 50.0), ("asked", 120, 7.0)]
+    got = windowing.request_response(feature(spark, rows), rules).where("feature_name = 'lost'")
+    assert values(got) == [pytest.approx(0.25), None, pytest.approx(0.25)]
     with pytest.raises(ValueError, match="more than one series"):
-        windowing.request_response(feature(spark, [("req", 60, 1.0), ("req", 60, 2.0), ("resp", 60, 1.0)]), rules)
+        windowing.request_response(feature(spark, [("told", 30, 5.0), ("told", 30, 6.0), ("asked", 30, 9.0)]), rules)
+
+
+def test_trim_by_either_end(spark):
+    rows = feature(spark, [("x", w, float(w)) for w in (30, 60, 90, 120)])
+    ends = lambda start, end: sorted(r["window_end"] for r in windowing.trimmed(rows, start, end, 30).collect())
+    assert (ends(31, None), ends(None, 90), ends(30, 119), ends(None, None)) == ([90, 120], [30, 60, 90], [60, 90], [30, 60, 90, 120])
 
 
 def recipe(op, *metrics, kind="gauge", units=("bytes",)):
@@ -74,31 +82,31 @@ def recipe(op, *metrics, kind="gauge", units=("bytes",)):
 
 
 def test_recipes(spark):
-    used = samples(spark, [(0, 20), (10, 20)], metric="used", series_id="u", kind="gauge", unit="bytes")
-    limit = samples(spark, [(0, 100), (10, 0)], metric="limit", series_id="l", kind="gauge", unit="bytes")
-    both, ratio = used.union(limit), recipe("ratio", "used", "limit")
+    used = samples(spark, [(5, 36), (15, 9), (25, 75)], metric="heap", series_id="h", kind="gauge", unit="bytes")
+    limit = samples(spark, [(5, 48), (15, 0), (25, 60)], metric="cap", series_id="c", kind="gauge", unit="bytes")
+    both, ratio = used.union(limit), recipe("ratio", "heap", "cap")
     features, audit = recipes.calculate(both, [ratio], 10)
-    assert values(features) == [pytest.approx(0.2), None]
+    assert values(features) == [pytest.approx(0.75), None, pytest.approx(1.25)]
     assert audit.first()["status"] == "calculated"
     status = lambda rows, r=ratio: recipes.calculate(rows, [r], 10)[1].where("entity_id = 'pod'").first()["status"]
-    assert status(used.union(limit.withColumn("entity_id", F.lit("other")))) == "missing_source:limit"
-    assert status(used.union(limit.withColumn("unit", F.lit("kb")))) == "kind_or_unit_mismatch:limit"
-    assert status(both.union(used.withColumn("series_id", F.lit("u2")))) == "ambiguous_series:used"
-    trimmed = features.where("window_end = 10")
+    assert status(used.union(limit.withColumn("entity_id", F.lit("other")))) == "missing_source:cap"
+    assert status(used.union(limit.withColumn("unit", F.lit("kb")))) == "kind_or_unit_mismatch:cap"
+    assert status(both.union(used.withColumn("series_id", F.lit("u2")))) == "ambiguous_series:heap"
+    trimmed = features.where("window_end > 10")
     row = recipes.audit_after_trim(audit, trimmed).first()
-    assert (row["status"], row["valid_windows"], row["missing_windows"]) == ("calculated", 1, 0)
+    assert (row["status"], row["valid_windows"], row["missing_windows"]) == ("calculated", 1, 1)
     assert recipes.audit_after_trim(audit, features.limit(0)).first()["status"] == "no_selected_windows"
 
 
 def test_partial_sum_is_missing_and_error_fraction(spark):
-    reads = samples(spark, [(0, 10), (10, 30), (20, 50)], metric="reads", series_id="r", unit="bytes")
-    writes = samples(spark, [(0, 20), (10, 40)], metric="writes", series_id="w", unit="bytes")
-    features, _ = recipes.calculate(reads.union(writes), [recipe("sum", "reads", "writes", kind="counter")], 10)
-    assert values(features)[1:] == [4.0, None]
-    bad = samples(spark, [(0, 0), (10, 20), (20, 40)], metric="bad", series_id="b", unit="bytes")
-    good = samples(spark, [(0, 0), (10, 80), (20, 160)], metric="good", series_id="g", unit="bytes")
-    features, _ = recipes.calculate(bad.union(good), [recipe("fraction_of_sum", "bad", "good", kind="counter")], 10)
-    assert values(features)[1] == pytest.approx(0.2)
+    came = samples(spark, [(2, 5), (12, 75), (22, 90), (32, 200)], metric="came", series_id="i", unit="bytes")
+    went = samples(spark, [(2, 700), (12, 725), (22, 790)], metric="went", series_id="o", unit="bytes")
+    features, _ = recipes.calculate(came.union(went), [recipe("sum", "came", "went", kind="counter")], 10)
+    assert values(features)[1:] == [pytest.approx(9.5), pytest.approx(8.0), None]
+    failed = samples(spark, [(2, 40), (12, 46), (22, 46)], metric="failed", series_id="f", unit="bytes")
+    done = samples(spark, [(2, 11), (12, 29), (22, 29)], metric="done", series_id="d", unit="bytes")
+    features, _ = recipes.calculate(failed.union(done), [recipe("fraction_of_sum", "failed", "done", kind="counter")], 10)
+    assert values(features)[1:] == [pytest.approx(0.25), None]
 
 
 def test_shipped_recipes_and_checks():

@@ -9,9 +9,9 @@ from faultlens.settings import AnalysisSettings, RuntimeSettings
 from faultlens.sources import corpus, range_api
 
 
-def case_csv(path: Path, text: str) -> str:
+def case_csv(path: Path, *lines: str) -> str:
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(text.replace(" / ", "\n") + "\n")
+    path.write_text("".join(f"{line}\n" for line in lines))
     return str(path)
 
 
@@ -29,48 +29,80 @@ def test_scenarios_and_files():
     assert [corpus.metric_file(d) for d in ("RE1-OB", "RE1-SS", "RE2-TT")] == ["data.csv", "simple_data.csv", "simple_metrics.csv"]
 
 
+BLOCKS = ["time,web_rps,web_err,time,db_qps", "5000,31,0,5015,870", "5030,29,2,5030,905", "5060,,,5045,861", "5090,35,1,,"]
+
+
 def test_clock_blocks(spark, tmp_path):
-    p = case_csv(tmp_path / "a.csv", "time,a_cpu,time,a_error / 100,1,110,8 / 110,2,120,9")
-    with pytest.raises(ValueError, match="differ"):
+    p = case_csv(tmp_path / "blocks.csv", *BLOCKS)
+    with pytest.raises(ValueError, match="differ, first"):
         corpus.read_metrics(spark, p)
-    frame, quality, _ = corpus.read_metrics(spark, p, duplicate_time_policy="align_blocks", expected_time_columns=[1, 3])
-    assert rows(frame, "time", "a_cpu", "a_error") == [(100, 1, None), (110, 2, 8), (120, None, 9)]
+    frame, quality, rejected = corpus.read_metrics(spark, p, duplicate_time_policy="align_blocks", expected_time_columns=[1, 4])
+    assert rows(frame, "time", "web_rps", "web_err", "db_qps") == [
+        (5000, 31, 0, None), (5015, None, None, 870), (5030, 29, 2, 905), (5045, None, None, 861), (5060, None, None, None), (5090, 35, 1, None),
+    ]
+    assert rejected is None and quality["clock_columns"] == 2
     with pytest.raises(ValueError, match="time columns"):
-        corpus.read_metrics(spark, p, duplicate_time_policy="align_blocks", expected_time_columns=[1, 4])
-    p = case_csv(tmp_path / "b.csv", "time,a_cpu,time,a_error / 100,1,110,8 / 100,2,120,9")
-    with pytest.raises(ValueError, match="duplicate timestamps"):
+        corpus.read_metrics(spark, p, duplicate_time_policy="align_blocks", expected_time_columns=[1, 3])
+
+
+def test_values_without_an_own_clock(spark, tmp_path):
+    p = case_csv(tmp_path / "lost.csv", *BLOCKS, ",44,3,5120,799", "5150,28,0,,640")
+    with pytest.raises(ValueError, match="quarantine"):
         corpus.read_metrics(spark, p, duplicate_time_policy="align_blocks")
-    p = case_csv(tmp_path / "c.csv", "time,a_cpu,time,a_error / 100,1,110,8 / ,2,120,9")
-    _, quality, rejected = corpus.read_metrics(spark, p, duplicate_time_policy="align_blocks")
-    assert quality["rejected_rows"] == 1 and rejected.first()["source_record_number"] == 2
+    frame, quality, rejected = corpus.read_metrics(spark, p, missing_time_policy="quarantine", duplicate_time_policy="align_blocks")
+    assert quality["rejected_rows"] == 2 and frame.where("time = 5150").first()["db_qps"] is None
+    kept = {(r["source_record_number"], r["clock_occurrence"], r["web_rps"], r["web_err"], r["db_qps"]) for r in rejected.collect()}
+    assert kept == {(5, 1, 44, 3, None), (6, 2, None, None, 640)}
+
+
+@pytest.mark.parametrize(
+    "lines, match",
+    [
+        (["time,web_rps,time,db_qps", "70,1,80,2", "71,3,80,4"], "duplicate timestamps"),
+        (["time,web_rps,time,db_qps", "70,1,80,2", "71,3,inf,4"], "infinite"),
+        (["time,web_rps,time,db_qps", "70,1,,", "71,3,,"], "no or duplicate"),
+        (["web_rps,time,time,db_qps", "1,70,80,2"], "column 1"),
+        (["time,time,db_qps", "70,70,2"], "column 1"),
+    ],
+)
+def test_bad_clock_blocks(spark, tmp_path, lines, match):
+    with pytest.raises(ValueError, match=match):
+        corpus.read_metrics(spark, case_csv(tmp_path / "bad.csv", *lines), missing_time_policy="quarantine", duplicate_time_policy="align_blocks")
 
 
 def test_equal_clocks_and_quarantine(spark, tmp_path):
-    frame, quality, _ = corpus.read_metrics(spark, case_csv(tmp_path / "a.csv", "time,time,a_cpu / 1,1,2 / 2,2,3"))
-    assert rows(frame, "time", "a_cpu") == [(1, 2), (2, 3)] and quality["clock_columns"] == 2
-    p = case_csv(tmp_path / "b.csv", "time,a_cpu,time,a_mem / 1,2,1,10 / ,,2,11 / ,,,12")
+    frame, quality, _ = corpus.read_metrics(spark, case_csv(tmp_path / "same.csv", "time,mq_depth,time", "640,17,640", "655,12,655", "670,90,670"))
+    assert rows(frame, "time", "mq_depth") == [(640, 17), (655, 12), (670, 90)] and quality["clock_columns"] == 2
+    p = case_csv(tmp_path / "holes.csv", "time,mq_depth,time,mq_age", "640,17,640,0.5", ",23,655,0.25", ",41,,4.5", "670,,670,1.5", ",,,8")
     with pytest.raises(ValueError, match="without a time"):
         corpus.read_metrics(spark, p)
     frame, quality, rejected = corpus.read_metrics(spark, p, missing_time_policy="quarantine")
-    assert rows(frame, "time") == [(1,), (2,)] and (quality["recovered_clocks"], quality["rejected_rows"]) == (1, 1)
-    assert rejected.first()["source_record_number"] == 3
+    assert rows(frame, "time", "mq_depth") == [(640, 17), (655, 23), (670, None)] and (quality["recovered_clocks"], quality["rejected_rows"]) == (1, 2)
+    assert {(r["source_record_number"], r["mq_depth"], r["mq_age"]) for r in rejected.collect()} == {(3, 41, 4.5), (5, None, 8)}
+    far = case_csv(tmp_path / "far.csv", "time,mq_depth,time", *[f"{640 + k},{k},{640 + k + (k > 3)}" for k in range(12)])
+    with pytest.raises(ValueError, match=r"8 rows whose clocks differ, first \[5, 6, 7, 8, 9\]"):
+        corpus.read_metrics(spark, far)
 
 
 def test_frame_checks(spark, tmp_path):
-    _, quality, _ = corpus.read_metrics(spark, case_csv(tmp_path / "a.csv", "time,a_cpu,Unnamed: 2 / 1,Infinity, / 2,, / 3,4,"))
-    assert (quality["missing_values"], quality["infinite_values"], quality["fields"]) == (1, 1, 1)
-    for text, match in (("time,a_cpu / 1700000000000,1", "seconds"), ("time,a / 1,1 / 1,2", "duplicate"), ("time / 1", "no metric"), ("a / 1", "no time"), ("time,a,a / 1,2,3", "duplicate metric")):
+    _, quality, _ = corpus.read_metrics(spark, case_csv(tmp_path / "odd.csv", "time,gc_ms,,Unnamed: 3", "12,-Infinity,5,6", "13,,7,8", "14,250,9,1", "15,,2,3"))
+    assert (quality["missing_values"], quality["infinite_values"], quality["fields"], quality["rows"]) == (2, 1, 1, 4)
+    bad = {
+        "seconds": ["time,gc_ms", "1688888888123,4"], "duplicate timestamps": ["time,gc_ms", "12,4", "13,5", "12,6"], "no metric": ["time", "12"],
+        "no time": ["gc_ms", "4"], "duplicate metric": ["time,gc_ms,gc_ms", "12,4,5"], "infinite": ["time,gc_ms", "12,4", "inf,5"],
+    }
+    for match, lines in bad.items():
         with pytest.raises(ValueError, match=match):
-            corpus.read_metrics(spark, case_csv(tmp_path / f"{match[:4]}.csv", text))
-    with pytest.raises(ValueError, match="more than 1 rows"):
-        corpus.read_metrics(spark, case_csv(tmp_path / "n.csv", "time,a / 1,1 / 2,2"), max_rows=1)
+            corpus.read_metrics(spark, case_csv(tmp_path / f"{match[:4]}.csv", *lines), missing_time_policy="quarantine")
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        corpus.read_metrics(spark, case_csv(tmp_path / "long.csv", "time,gc_ms", "12,4", "13,5", "14,6"), max_rows=2)
 
 
 @pytest.fixture
 def tree(tmp_path):
     lines = ["time,adservice_cpu,cartservice_cpu"] + [f"{t},{1 + t % 30 / 100 + 10 * (t >= 1200)},{2 + t % 30 / 100}" for t in range(0, 1801, 10)]
     folder = tmp_path / "data/RE1-OB/RE1-OB/adservice_cpu/1"
-    case_csv(folder / "data.csv", " / ".join(lines))
+    case_csv(folder / "data.csv", *lines)
     (folder / "inject_time.txt").write_text("1200")
     return tmp_path / "data"
 
@@ -84,6 +116,8 @@ def test_benchmark_end_to_end(spark, tree, tmp_path):
     assert set(overall) == {"mad", "nsigma", "iqr", "pca", "isolation_forest"} and overall["mad"]["hit_1"] == 1
     manifest = json.loads((tmp_path / "run/manifest.json").read_text())
     assert manifest["files"]["inventory.json"] == file_sha256(tmp_path / "run/inventory.json")
+    found = spark.read.parquet(str(tmp_path / "run/evidence.parquet"))
+    assert {(r["lo"] > 1200, r["hi"] <= 1800) for r in found.selectExpr("min(peak_window_end) lo", "max(peak_window_end) hi").collect()} == {(True, True)}
     with pytest.raises(FileExistsError):
         flows.run_benchmark(spark, ANALYSIS, tmp_path / "run", tree, EXPECTED)
 
@@ -124,6 +158,8 @@ def test_selectors_and_chunks():
         range_api.selector("up", {"b": "2"}, {"b": "3"})
     with pytest.raises(ValueError, match="not a metric"):
         range_api.selector("1up", {"b": "2"})
+    with pytest.raises(ValueError, match="labels of its system"):
+        range_api.selector("up", {}, {"a": "1"})
     assert range_api.chunks(0, 100, 10, 40) == [(0, 30), (40, 70), (80, 100)]
     with pytest.raises(ValueError):
         range_api.chunks(0, 100, 10, 5)
@@ -144,6 +180,11 @@ def test_decode(spark):
     for bad in (answer(isPartial=True), answer(status="error"), answer(warnings=["w"])):
         with pytest.raises(ValueError, match="partial"):
             range_api.decode(spark.createDataFrame([(bad,)], "body string"), "s", METRIC, "pod_id", 60)
+    ids = spark.createDataFrame([("a|b", "c"), ("a", "b|c")], "x string, y string").select(range_api.series_id("x", "y")).distinct()
+    assert ids.count() == 2
+    odd = json.dumps({"status": "success", "data": {"resultType": "matrix", "result": [{"metric": {"pod_id": "p"}, "values": [[1, "many"]]}]}})
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        range_api.decode(spark.createDataFrame([(odd,)], "body string"), "s", METRIC, "pod_id", 60).collect()
     with pytest.raises(ValueError, match="lacks the label"):
         range_api.decode(spark.createDataFrame([(answer(),)], "body string"), "s", METRIC, "other", 60)
 
@@ -161,7 +202,10 @@ def test_export_and_internal_flow(spark, tmp_path):
     runtime = RuntimeSettings(api_url="http://none")
     ranked = flows.run_internal(spark, config, tmp_path / "run", runtime, 1200, 0, 1800, transport=transport)
     assert {r["method"]: r["rank"] for r in ranked.collect()}["mad"] == 1
+    assert spark.read.parquet(str(tmp_path / "run/raw_responses.parquet")).where("url LIKE '%deny_partial_response=1%'").count() == 7
     assert flows.run_internal(spark, config, tmp_path / "eda", runtime, 1200, 0, 1800, eda_only=True, transport=transport) is None
+    with pytest.raises(ValueError, match="more than 100 rows"):
+        flows.run_internal(spark, config | {"analysis": {**ANALYSIS["analysis"], "max_rows": 100}}, tmp_path / "much", runtime, 1200, 0, 1800, transport=transport)
     with pytest.raises(ValueError, match="reserved"):
         flows.run_internal(spark, {"trace": {"enabled": True}}, tmp_path / "x", runtime, 0)
     with pytest.raises(ValueError, match="no source"):
