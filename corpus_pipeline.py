@@ -13,27 +13,41 @@ from faultlens.llm.common import Stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules, or whose source fails as a whole, go."""
+    """Documents that fail the rules, or whose source fails as a whole, go.
+
+    A null or empty text fails; a null source fails no document; rows that repeat are judged alike.
+    """
     return quality_rules.filtered(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked texts (five words, 0.8) the document of the smallest id stays."""
+    """Of each component of linked texts (five words, 0.8) the document of the smallest id stays.
+
+    A null id counts as the largest; of several texts of one id in a component, and of rows that
+    repeat, one stays; a text without words is linked with nothing and stays.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the text; n_chars follows."""
+    """Secrets are replaced in the text; n_chars follows. Null and empty texts stay as they are, no row goes."""
     return secrets.redact(docs, count="n_chars")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stays as often as its rate says."""
+    """Each document stays as often as its rate says, a fraction being decided by a hash of the id.
+
+    A text without words has rate 1; rows that repeat an id with the same text stay equally often.
+    """
     return mixing.mixed(docs, mixing.label_domains(table(spark, sf_dir, "labels")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document: its bin and place there."""
+    """One row for each piece of a document: its bin and place there.
+
+    A text without words has a row without a bin; rows that repeat never share a bin; documents of
+    equal length are placed in the order of their ids, null last.
+    """
     return packing.pack(docs)
 
 
