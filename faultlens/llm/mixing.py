@@ -33,11 +33,11 @@ ANCHOR = "good"
 STEPS = 12
 TOLERANCE = 1e-6
 #: About so many labelled documents of each domain teach the words, chosen by a hash of the id.
-LABELLED = 6000
+LABELLED = 4000
 #: Letters of a word's beginning that is weighed beside the whole word.
 STEM = 4
-#: What is cut from both ends of a word.
-EDGES = ".,;:!?()[]{}\"'`#*$%&|<>+-=_/\\"
+#: What parts the words that are weighed, beside white space.
+MARKS = ".,;:!?()[]{}\"'`#*$%&|<>+-=_/\\"
 #: Slots that the hashes of words share. None is left out; a slot's documents add up.
 SLOTS = 1 << 18
 #: A slot's log ratio counts from LEAST on, and only where the log-likelihood gains EVIDENCE by taking the class apart from the others.
@@ -46,15 +46,14 @@ SYMBOLS = "#*$%&|<>"
 
 
 def words_of(text: Column) -> Column:
-    """Words of a text, case folded."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_GAP), lambda w: w != "")
+    """Words of a text between marks and white space, case folded; an empty one may stand first or last."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D" + "".join(f"\\{c}" for c in MARKS) + "]+")
 
 
 def slots(word: Column) -> tuple[Column, Column]:
     """The slots of a word and of its beginning."""
-    bare = F.btrim(word, F.lit(EDGES))
-    slot = lambda w: F.xxhash64(w).bitwiseAND(F.lit(SLOTS - 1).cast("long")).cast("int")
-    return slot(bare), slot(F.concat(F.substring(bare, 1, STEM), F.lit("*")))
+    slot = lambda *parts: F.xxhash64(*parts).bitwiseAND(F.lit(SLOTS - 1).cast("long")).cast("int")
+    return slot(word), slot(F.substring(word, 1, STEM), F.lit("*"))
 
 
 def learn_words(docs: DataFrame, labels: DataFrame, classes: list[str], text: str = "text") -> list[dict[int, float]]:
@@ -67,7 +66,7 @@ def learn_words(docs: DataFrame, labels: DataFrame, classes: list[str], text: st
     draw = F.pmod(F.xxhash64(F.lit("words"), "doc_id"), F.lit(1 << 30))
     own = own.where(draw < F.element_at(share, F.col("domain")) * (1 << 30))
     each = docs.select("doc_id", F.col(text).alias("text")).join(small_side(own, 32), "doc_id")
-    both = F.array_distinct(F.flatten(F.transform(words_of(F.col("text")), lambda w: F.array(*slots(w)))))
+    both = F.array_distinct(F.flatten(F.transform(F.filter(words_of(F.col("text")), lambda w: w != ""), lambda w: F.array(*slots(w)))))
     # A slot below 0 stands for the document itself: the class's size comes from the same aggregation.
     rows = each.select("domain", F.explode(F.concat(F.array(F.lit(-1)), both)).alias("slot"))
     counts = rows.groupBy("slot").agg(*[F.sum(F.when(F.col("domain") == k, 1).otherwise(0)).cast("double").alias(f"n{i}") for i, k in enumerate(classes)])
@@ -89,36 +88,43 @@ def learn_words(docs: DataFrame, labels: DataFrame, classes: list[str], text: st
     return found
 
 
-def weighed(words: Column, weights: list[dict[int, float]]) -> Column:
-    """For each class the root of the summed weights of a text's distinct telling words, over the root of its word number."""
+def weighed(words: Column, tokens: Column, weights: list[dict[int, float]]) -> Column:
+    """For each class the root of the summed weights of a text's distinct telling words, over the root of ``tokens``."""
     known = sorted({i for w in weights for i in w})
-    bits = bytearray(SLOTS)
-    for i in known:
-        bits[i] = 1
-    tells = lambda s: F.substring(F.lit(bytes(bits)), s + 1, F.lit(1)) == F.lit(b"\x01")
-    either = lambda w: tells(slots(w)[0]) | tells(slots(w)[1])
-    numbers = lambda values: F.split(F.lit(",".join(str(v) for v in values)), ",")
-    # Telling words are few; the place of a slot among the known ones is its place in the tables, 0 stands for none.
-    place = lambda s: F.array_position(numbers(known).cast("array<int>"), s).cast("int")
-    tables = [numbers([0.0, *(w.get(i, 0.0) for i in known)]).cast("array<double>") for w in weights]
-    telling = F.array_distinct(F.filter(words, either))
-    rows = F.array_distinct(F.flatten(F.transform(telling, lambda w: F.array(*map(place, slots(w))))))
+    # Three bytes for each slot: its place in the tables of weights, 0 for none.
+    places = bytearray(3 * SLOTS)
+    for at, i in enumerate(known, 1):
+        places[3 * i : 3 * i + 3] = at.to_bytes(3, "big")
+    place = lambda s: F.substring(F.lit(bytes(places)), 3 * s + 1, F.lit(3))
+    tells = lambda s: place(s) != F.lit(bytes(3))
+    number = lambda s: F.conv(F.hex(place(s)), 16, 10).cast("int")
+    table = lambda w: F.split(F.lit(",".join(str(v) for v in [0.0, *(w.get(i, 0.0) for i in known)])), ",").cast("array<double>")
+    tables = [table(w) for w in weights]
+    telling = F.array_distinct(F.filter(words, lambda w: tells(slots(w)[0]) | tells(slots(w)[1])))
+    rows = F.array_distinct(F.flatten(F.transform(telling, lambda w: F.array(*map(number, slots(w))))))
     add = lambda a, i: F.array(*[F.get(a, F.lit(k)) + F.get(t, i) for k, t in enumerate(tables)])
     total = F.aggregate(rows, F.array(*[F.lit(0.0)] * len(weights)), add)
-    return F.transform(total, lambda v: F.sqrt(v / F.sqrt(F.greatest(F.size(words), F.lit(1)))))
+    return F.transform(total, lambda v: F.sqrt(v / F.sqrt(F.greatest(tokens, F.lit(1)))))
 
 
 def described(text: Column, weights: list[dict[int, float]]) -> Column:
     """struct<tokens, x>: words of a text and its features, all finite, also for an empty one."""
     t = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
-    symbols = count(SYMBOLS[0])
-    for c in SYMBOLS[1:]:
-        symbols = symbols + count(c)
-    shares = F.array(F.sqrt(symbols / n), F.sqrt(count("!") / n))
-    own = lambda w: F.struct(F.size(w).cast("long").alias("tokens"), (F.concat(shares, weighed(w, weights)) if any(weights) else shares).alias("x"))
-    return let(words_of(t), own)
+    bare = t
+    for c in SYMBOLS:
+        bare = F.replace(bare, F.lit(c), F.lit(""))
+    inner = F.btrim(t, F.lit(" \t\n\x0b\x0c\r"))
+    counted = F.struct(
+        F.when(inner == "", 0).otherwise(F.size(F.split(inner, WORD_GAP))).cast("long").alias("tokens"), F.length(t).alias("n"), F.length(bare).alias("bare"),
+        F.length(F.replace(t, F.lit("!"), F.lit(""))).alias("calm"), words_of(t).alias("words"),
+    )
+
+    def own(d: Column) -> Column:
+        n = F.greatest(d["n"], F.lit(1)).cast("double")
+        shares = F.array(F.sqrt((d["n"] - d["bare"]) / n), F.sqrt((d["n"] - d["calm"]) / n))
+        return F.struct(d["tokens"].alias("tokens"), (F.concat(shares, weighed(d["words"], d["tokens"], weights)) if any(weights) else shares).alias("x"))
+
+    return let(counted, own)
 
 
 @dataclass

@@ -90,9 +90,8 @@ def test_top_k_of_huge_components(spark):
 
 def plain_mixing(texts, domains, classes, targets):
     """Posteriors and rates of single loops over lists."""
-    cut = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if w]
-    words = [cut(t) for t in texts]
-    keys = [{x for w in ws for b in [w.strip(mixing.EDGES)] for x in (b, b[:4] + "*")} for ws in words]
+    words = [(t or "").split() for t in texts]
+    keys = [{x for w in re.findall(r"[^\s" + re.escape(mixing.MARKS) + "]+", (t or "").lower()) for x in (w, w[:4] + "*")} for t in texts]
     feats = []
     for k in classes:
         mine, rest = ([i for i, d in domains.items() if (d == k) == same] for same in (True, False))
