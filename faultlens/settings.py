@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
+#: Names of methods, configuration keys, their defaults, and the environment variables below.
 METHODS = ("mad", "nsigma", "iqr", "pca", "isolation_forest")
 
 
