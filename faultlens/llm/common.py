@@ -86,6 +86,13 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_UPPER.lower())
 
 
+def removed(c: Column, characters: str) -> Column:
+    """A text without the ``characters``; one plain replacement each is faster than a translation."""
+    for x in characters:
+        c = F.replace(c, F.lit(x), F.lit(""))
+    return c
+
+
 def words_of(c: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null has none."""
     return F.filter(F.split(F.coalesce(c, F.lit("")), WORD_GAP), lambda w: w != "")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, WORD_GAP, Stored, let, packed, small_side, unpacked
+from .common import ROW, WORD_GAP, Stored, let, packed, removed, small_side, unpacked
 
 #: domain: target share of all tokens
 TARGETS = {"good": 0.93, "bad": 0.04, "toxic": 0.03}
@@ -110,13 +110,10 @@ def weighed(words: Column, tokens: Column, weights: list[dict[int, float]]) -> C
 def described(text: Column, weights: list[dict[int, float]]) -> Column:
     """struct<tokens, x>: words of a text and its features, all finite, also for an empty one."""
     t = F.coalesce(text, F.lit(""))
-    bare = t
-    for c in SYMBOLS:
-        bare = F.replace(bare, F.lit(c), F.lit(""))
     inner = F.btrim(t, F.lit(" \t\n\x0b\x0c\r"))
     counted = F.struct(
-        F.when(inner == "", 0).otherwise(F.size(F.split(inner, WORD_GAP))).cast("long").alias("tokens"), F.length(t).alias("n"), F.length(bare).alias("bare"),
-        F.length(F.replace(t, F.lit("!"), F.lit(""))).alias("calm"), words_of(t).alias("words"),
+        F.when(inner == "", 0).otherwise(F.size(F.split(inner, WORD_GAP))).cast("long").alias("tokens"), F.length(t).alias("n"), F.length(removed(t, SYMBOLS)).alias("bare"),
+        F.length(removed(t, "!")).alias("calm"), words_of(t).alias("words"),
     )
 
     def own(d: Column) -> Column:

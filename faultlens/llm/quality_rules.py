@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Stored, let, packed, quoted, small_side, unpacked, without, words_of
+from .common import ROW, Stored, let, packed, quoted, removed, small_side, unpacked, without, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -63,8 +63,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     out = step.select(
         *quoted(kept),
         n.alias("n_words"),
-        F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(removed(t, " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
+        (F.length(t) - F.length(removed(t, SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("__w")).alias("n_repeat_words"),
     )
