@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, licenses, mixing, packing, quality_classifier, quality_rules, secrets, topk, url_filters
+from . import chat_tree, jaccard_join, language_id, licenses, mixing, packing, phrases, quality_classifier, quality_rules, secrets, topk, url_filters, whitening
 from .common import crc_mod, spread, table
 
 
@@ -64,10 +64,24 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, url_filters.rule_table(spark, url_filters.RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_tree.read_back(chat_tree.build(rows.union(chat_tree.template_case(spark, rows))))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_quality_classifier, op2_exact_topk, op3_mixing, op4_secret_scans, op5_jaccard_join,
         op6_best_fit_packing, op7_language_id, op8_license_scans, op9_quality_rules, op10_url_filters,
+        op11_embedding_whitening, op12_chat_formatting, op13_phrase_collocations,
     ]
     return {f.__name__: f for f in own}
 
@@ -121,6 +135,45 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m WH
 """
 
 
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) own(conv_id, turn, role, text)
+), e AS (
+  SELECT *, length(text) + (length(text) - length(replace(text, '\', ''))) + length(regexp_replace(text, '(<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ROLE\]|\[SEP\]|\[/ROLE\])', '\1+', 'g')) - length(text) AS n FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(n + CASE role WHEN 'assistant' THEN 4 WHEN 'user' THEN 13 WHEN 'system' THEN 15 ELSE 18 + length(role) END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+PHRASES_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, row_number() OVER () AS id, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+e AS (SELECT lang, id, unnest(w) AS a, unnest(range(1, len(w) + 1)) AS i FROM w),
+m AS (SELECT lang, a, lead(a, 1) OVER s AS b, lead(a, 2) OVER s AS c, lead(a, 3) OVER s AS d FROM e WINDOW s AS (PARTITION BY id ORDER BY i)),
+g AS (
+  SELECT lang, 1 AS k, a AS phrase FROM m UNION ALL SELECT lang, 2, a || ' ' || b FROM m WHERE b IS NOT NULL
+  UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c FROM m WHERE c IS NOT NULL UNION ALL SELECT lang, 4, a || ' ' || b || ' ' || c || ' ' || d FROM m WHERE d IS NOT NULL
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+u AS (
+  SELECT c.*, cut, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT) AS score
+  FROM c JOIN (VALUES (1), (2), (3)) s(cut) ON cut < c.k
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut+1:c.k], ' ')
+), b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (
+  SELECT lang, array_to_string(w[i:i+j-1], ' ') AS phrase, max(a) AS most FROM c, (VALUES (2), (3)) s(j), (VALUES (1), (2), (3)) h(i) WHERE j < k AND i + j - 1 <= k GROUP BY ALL
+), k AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE most IS NULL OR 100 * most < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM k JOIN t USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def _license_sql() -> str:
     def canonical(text: str) -> str:
         t = f"regexp_replace(coalesce({text}, ''), '(?im)^[^a-z0-9\\n]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*$', '', 'g')"
@@ -139,4 +192,4 @@ def _license_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": TOPK_SQL, "op8_license_scans": _license_sql(), "op9_quality_rules": RULES_SQL, "op10_url_filters": URL_SQL}
+    return {"op2_exact_topk": TOPK_SQL, "op8_license_scans": _license_sql(), "op9_quality_rules": RULES_SQL, "op10_url_filters": URL_SQL, "op12_chat_formatting": CHAT_SQL, "op13_phrase_collocations": PHRASES_SQL}
