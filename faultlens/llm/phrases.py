@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ TOP = 2000
 #: Bits of a bitmap of locally frequent phrases, as a power of two: 8 MB, whatever the input.
 BITS = 26
 #: Bytes of texts that are counted together.
-RUN = 32 * CHUNK
+RUN = 8 * CHUNK
 #: A phrase goes where a longer one has at least this percentage of its occurrences.
 COVERED = 80
 SCALE = 2_000_000
@@ -58,7 +59,7 @@ class Numbers(dict):
         return n
 
 
-def numbered(text: bytes, limit: int = 4 * CHUNK) -> Iterator[tuple[np.ndarray, list[bytes], int]]:
+def numbered(text: bytes, limit: int = 2 * CHUNK) -> Iterator[tuple[np.ndarray, list[bytes], int]]:
     """Word numbers of ``text`` with -1 between pieces, the words, and how many numbers at the front were there before."""
     text, at, before = text.translate(FOLD), 0, []
     while at < len(text):
@@ -161,16 +162,16 @@ def _exact(bitmaps):
         maps = [np.frombuffer(b, dtype=np.uint64) for b in bitmaps.value]
         for _, lang, _, text in _runs(batches):
             for ids, words, fresh in numbered(text):
-                grams = Grams(ids, words, fresh, lang, LONGEST)
+                grams, known = Grams(ids, words, fresh, lang, LONGEST), pa.array(words, pa.binary()).cast(pa.string())
                 code = ids
                 for k in range(1, LONGEST + 1):
                     if k > 1:  # pairs of a shorter phrase's number and a word's, numbered anew
                         code = np.unique(code[: len(grams.inside[k - 1])] * (len(words) + 1) + ids[k - 1 :], return_inverse=True)[1] if len(grams.inside[k - 1]) else code[:0]
                     at = np.flatnonzero(grams.allowed(maps, k) & grams.new(k))
                     _, first, c = np.unique(code[at], return_index=True, return_counts=True)
-                    which = ids[at[first][:, None] + np.arange(k)].tolist()
-                    phrases = [b" ".join([words[i] for i in row]).decode() for row in which]
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(c), pa.string()), "phrase": pa.array(phrases, pa.string()), "k": pa.array(np.full(len(c), k, dtype=np.int32)), "c": pa.array(c.astype(np.int64))})
+                    named = [pc.take(known, pa.array(ids[at[first] + i])) for i in range(k)]
+                    phrases = pc.binary_join_element_wise(*named, " ") if k > 1 else named[0]
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(c), pa.string()), "phrase": phrases, "k": pa.array(np.full(len(c), k, dtype=np.int32)), "c": pa.array(c.astype(np.int64))})
 
     return run
 
