@@ -3,7 +3,8 @@
 A naive Bayes classifier, fitted on the labelled table, gives each document posteriors over
 domains. It sees character shares and, for each domain, the weight of the words and word
 beginnings that the labels show to be its own, in whatever language: document counts of
-hashed words, case folded, one aggregation over a bounded share of the labelled rows.
+words, case folded, one aggregation over a bounded share of the labelled rows. The other
+labelled rows teach the classifier, so that no row is judged by words that it taught itself.
 Nonnegative document rates then minimise the squared distance between the expected domain
 token totals and their targets, by projected gradient steps scaled with the inverse of the
 domains' token overlap in the rows whose rate isn't 0. Every step is one aggregation over a narrow table, of
@@ -12,7 +13,7 @@ which the driver sees one number a domain.
 Defined results: a null or empty text has zero tokens, its rate stays 1; a row with a
 null id counts as unlabelled; of contradicting domains of an id the largest name counts;
 repeated rows each have a rate, the same one; an empty table gives an empty result; a domain
-without labels has posterior 0; other columns pass through mixed() untouched, whatever
+without labels has posterior 0; targets of which none is above 0 for a domain that is there are refused; other columns pass through mixed() untouched, whatever
 their names.
 """
 
@@ -32,16 +33,16 @@ TARGETS = {"good": 0.93, "bad": 0.04, "toxic": 0.03}
 ANCHOR = "good"
 STEPS = 12
 TOLERANCE = 1e-6
-#: About so many labelled documents of each domain teach the words, chosen by a hash of the id.
-LABELLED = 4000
+#: At most about so many labelled documents of each domain, and at most this share of them, teach the words, chosen by a hash of the id.
+LABELLED, TEACHERS = 4000, 0.7
 #: Letters of a word's beginning that is weighed beside the whole word.
 STEM = 4
 #: What parts the words that are weighed, beside white space.
 MARKS = ".,;:!?()[]{}\"'`#*$%&|<>+-=_/\\"
-#: Slots that the hashes of words share. None is left out; a slot's documents add up.
-SLOTS = 1 << 18
-#: A slot's log ratio counts from LEAST on, and only where the log-likelihood gains EVIDENCE by taking the class apart from the others.
+#: A word's log ratio counts from LEAST on, and only where the log-likelihood gains EVIDENCE by taking the class apart from the others.
 LEAST, EVIDENCE = 1.2, 10.0
+#: Stands behind the beginning of a word; no word holds it.
+BEGINS = "*"
 SYMBOLS = "#*$%&|<>"
 
 
@@ -50,31 +51,34 @@ def words_of(text: Column) -> Column:
     return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D" + "".join(f"\\{c}" for c in MARKS) + "]+")
 
 
-def slots(word: Column) -> tuple[Column, Column]:
-    """The slots of a word and of its beginning."""
-    slot = lambda *parts: F.xxhash64(*parts).bitwiseAND(F.lit(SLOTS - 1).cast("long")).cast("int")
-    return slot(word), slot(F.substring(word, 1, STEM), F.lit("*"))
+def beginnings(words: Column) -> Column:
+    return F.transform(words, lambda w: F.substring(w, 1, STEM))
 
 
-def learn_words(docs: DataFrame, labels: DataFrame, classes: list[str], text: str = "text") -> list[dict[int, float]]:
-    """For each class the slots that its documents have more often than the others', and their weights."""
+def drawn(labels: DataFrame, classes: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Labelled rows (doc_id, domain) that teach the words, and those that teach the classifier; both have every id once."""
     own = labelled(labels).where(F.col("domain").isin(classes))
     n = {r["domain"]: r["count"] for r in own.groupBy("domain").count().collect()}  # a row for each domain
     if len(n) < 2:
-        return [{} for _ in classes]
-    share = F.create_map(*[x for k, c in n.items() for x in (F.lit(k), F.lit(min(1.0, LABELLED / c)))])
-    draw = F.pmod(F.xxhash64(F.lit("words"), "doc_id"), F.lit(1 << 30))
-    own = own.where(draw < F.element_at(share, F.col("domain")) * (1 << 30))
+        return own.limit(0), own
+    share = F.create_map(*[x for k, c in n.items() for x in (F.lit(k), F.lit(min(TEACHERS, LABELLED / c)))])
+    teaches = F.pmod(F.xxhash64(F.lit("words"), "doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("domain")) * (1 << 30)
+    return own.where(teaches), own.where(~teaches)
+
+
+def learn_words(docs: DataFrame, own: DataFrame, classes: list[str], text: str = "text") -> list[dict[str, float]]:
+    """For each class the words (and beginnings, with BEGINS behind) that its documents have more often than the others', and their weights."""
     each = docs.select("doc_id", F.col(text).alias("text")).join(small_side(own, 32), "doc_id")
-    both = F.array_distinct(F.flatten(F.transform(F.filter(words_of(F.col("text")), lambda w: w != ""), lambda w: F.array(*slots(w)))))
-    # A slot below 0 stands for the document itself: the class's size comes from the same aggregation.
-    rows = each.select("domain", F.explode(F.concat(F.array(F.lit(-1)), both)).alias("slot"))
-    counts = rows.groupBy("slot").agg(*[F.sum(F.when(F.col("domain") == k, 1).otherwise(0)).cast("double").alias(f"n{i}") for i, k in enumerate(classes)])
+    words = each.select("domain", F.array_distinct(F.filter(words_of(F.col("text")), lambda w: w != "")).alias("w"))
+    both = F.concat("w", F.array_distinct(F.transform(beginnings(F.col("w")), lambda w: F.concat(w, F.lit(BEGINS)))))
+    # An empty word stands for the document itself: the class's size comes from the same aggregation.
+    rows = words.select("domain", F.explode(F.concat(F.array(F.lit("")), both)).alias("word"))
+    counts = rows.groupBy("word").agg(*[F.sum(F.when(F.col("domain") == k, 1).otherwise(0)).cast("double").alias(f"n{i}") for i, k in enumerate(classes)])
     counts = Stored(counts, "words").df
-    sizes = counts.where("slot < 0").first()
+    sizes = counts.where("word = ''").first()
     if sizes is None:
         return [{} for _ in classes]
-    found: list[dict[int, float]] = []
+    found: list[dict[str, float]] = []
     for i in range(len(classes)):
         size = sizes[f"n{i}"]
         rest = sum(sizes[f"n{j}"] for j in range(len(classes)) if j != i)
@@ -82,32 +86,34 @@ def learn_words(docs: DataFrame, labels: DataFrame, classes: list[str], text: st
         others = sum((F.col(f"n{j}") for j in range(len(classes)) if j != i), F.lit(0.0))
         ratio = F.log((mine + 0.5) / (size + 1)) - F.log((others + 0.5) / (rest + 1))
         gain = lambda n, all_docs: F.when(n > 0, n * F.log(n / ((mine + others) * all_docs / (size + rest)))).otherwise(0.0)
-        told = counts.where("slot >= 0").where(gain(mine, size) + gain(others, rest) >= EVIDENCE) if size and rest else counts.limit(0)
-        got = told.select("slot", F.round(ratio, 3).alias("w")).where(F.col("w") >= LEAST)
-        found.append({r["slot"]: r["w"] for r in got.collect()})  # SLOTS rows at most
+        told = counts.where("word <> ''").where(gain(mine, size) + gain(others, rest) >= EVIDENCE) if size and rest else counts.limit(0)
+        got = told.select("word", F.round(ratio, 3).alias("w")).where(F.col("w") >= LEAST)
+        found.append({r["word"]: r["w"] for r in got.collect()})  # words of a bounded sample, a few hundred of them
     return found
 
 
-def weighed(words: Column, tokens: Column, weights: list[dict[int, float]]) -> Column:
+def weighed(words: Column, tokens: Column, weights: list[dict[str, float]]) -> Column:
     """For each class the root of the summed weights of a text's distinct telling words, over the root of ``tokens``."""
-    known = sorted({i for w in weights for i in w})
-    # Three bytes for each slot: its place in the tables of weights, 0 for none.
-    places = bytearray(3 * SLOTS)
-    for at, i in enumerate(known, 1):
-        places[3 * i : 3 * i + 3] = at.to_bytes(3, "big")
-    place = lambda s: F.substring(F.lit(bytes(places)), 3 * s + 1, F.lit(3))
-    tells = lambda s: place(s) != F.lit(bytes(3))
-    number = lambda s: F.conv(F.hex(place(s)), 16, 10).cast("int")
-    table = lambda w: F.split(F.lit(",".join(str(v) for v in [0.0, *(w.get(i, 0.0) for i in known)])), ",").cast("array<double>")
-    tables = [table(w) for w in weights]
-    telling = F.array_distinct(F.filter(words, lambda w: tells(slots(w)[0]) | tells(slots(w)[1])))
-    rows = F.array_distinct(F.flatten(F.transform(telling, lambda w: F.array(*map(number, slots(w))))))
+    known = sorted({w for own in weights for w in own})
+    whole, begun = [w for w in known if not w.endswith(BEGINS)], [w for w in known if w.endswith(BEGINS)]
+    distinct = F.array_distinct(words)
+    literal = lambda values: F.split(F.lit("\n".join(values)), "\n")  # noqa: E731 (words hold no white space)
+    parts = []
+    if whole:
+        parts.append(F.array_intersect(distinct, literal(whole)))
+    if begun:
+        # Cut words are met without BEGINS; it comes back for those that are known.
+        met = F.array_intersect(beginnings(distinct), literal([w.removesuffix(BEGINS) for w in begun]))
+        parts.append(F.transform(met, lambda w: F.concat(w, F.lit(BEGINS))))
+    table = lambda own: F.split(F.lit(",".join(str(own.get(w, 0.0)) for w in known)), ",").cast("array<double>")
+    names, tables = literal(known), [table(own) for own in weights]
+    places = F.transform(F.concat(*parts), lambda w: F.array_position(names, w).cast("int") - 1)
     add = lambda a, i: F.array(*[F.get(a, F.lit(k)) + F.get(t, i) for k, t in enumerate(tables)])
-    total = F.aggregate(rows, F.array(*[F.lit(0.0)] * len(weights)), add)
+    total = F.aggregate(places, F.array(*[F.lit(0.0)] * len(weights)), add)
     return F.transform(total, lambda v: F.sqrt(v / F.sqrt(F.greatest(tokens, F.lit(1)))))
 
 
-def described(text: Column, weights: list[dict[int, float]]) -> Column:
+def described(text: Column, weights: list[dict[str, float]]) -> Column:
     """struct<tokens, x>: words of a text and its features, all finite, also for an empty one."""
     t = F.coalesce(text, F.lit(""))
     inner = F.btrim(t, F.lit(" \t\n\x0b\x0c\r"))
@@ -155,8 +161,8 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 
 def fit_classifier(rows: DataFrame, labels: DataFrame, classes: list[str], n: int) -> Bayes:
-    """Means and variances of each domain over the ``n`` features, in one aggregation."""
-    got = rows.join(labelled(labels), "doc_id").groupBy("domain").agg(
+    """Means and variances of each domain over the ``n`` features, in one aggregation. labels: as drawn() gives them."""
+    got = rows.join(labels, "doc_id").groupBy("domain").agg(
         F.count("*").alias("n"), *[F.avg(F.col("x")[j]).alias(f"m{j}") for j in range(n)], *[F.var_pop(F.col("x")[j]).alias(f"v{j}") for j in range(n)]
     )
     by = {r["domain"]: r for r in got.collect()}  # a row for each domain
@@ -176,7 +182,7 @@ class Mix:
     """What was fitted: word weights, classifier, and the rate as an expression of tokens and the p_ columns."""
 
     names: list[str]
-    weights: list[dict[int, float]]
+    weights: list[dict[str, float]]
     model: Bayes
     rate: Column
     residual: np.ndarray
@@ -194,7 +200,7 @@ class Mix:
         return (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("int")
 
 
-def width(weights: list[dict[int, float]]) -> int:
+def width(weights: list[dict[str, float]]) -> int:
     return 2 + (len(weights) if any(weights) else 0)
 
 
@@ -202,9 +208,10 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """The fitted mix, and doc_id, tokens, p_<domain>... of each row of ``docs``."""
     targets = dict(targets or TARGETS)
     names = list(targets)
-    weights = learn_words(docs, labels, names, text)
+    teachers, others = drawn(labels, names)
+    weights = learn_words(docs, teachers, names, text)
     rows = Stored(docs.select("doc_id", described(F.col(text), weights).alias("d")), "features").df
-    mix = Mix(names, weights, fit_classifier(rows.select("doc_id", F.col("d.x").alias("x")), labels, names, width(weights)), F.lit(1.0), np.zeros(len(names)))
+    mix = Mix(names, weights, fit_classifier(rows.select("doc_id", F.col("d.x").alias("x")), others, names, width(weights)), F.lit(1.0), np.zeros(len(names)))
     soft = Stored(rows.select("doc_id", "d.tokens", *mix.posteriors()), "posteriors").df
     mix.rate, mix.residual = solve(soft, [f"p_{k}" for k in names], list(targets.values()), steps, names.index(ANCHOR) if ANCHOR in names else None)
     return mix, soft
@@ -238,6 +245,8 @@ def solve(soft: DataFrame, ps: list[str], shares: list[float], steps: int = STEP
     goal = np.array(shares) / sum(shares)
     present = np.diag(overlap) > 0
     goal = np.where(present, goal, 0)
+    if not goal.sum():
+        raise ValueError("no domain that the documents have has a target above 0")
     goal = goal / goal.sum()
     if anchor is not None and goal[anchor] > 0:
         goal *= own[anchor] / total / goal[anchor]

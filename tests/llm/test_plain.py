@@ -88,18 +88,18 @@ def test_top_k_of_huge_components(spark):
 # Mixing
 
 
-def plain_mixing(texts, domains, classes, targets):
-    """Posteriors and rates of single loops over lists."""
+def plain_mixing(texts, domains, teachers, classes, targets):
+    """Posteriors and rates of single loops over lists; teachers: ids whose labels teach the words, the others teach the classifier."""
     words = [(t or "").split() for t in texts]
     keys = [{x for w in re.findall(r"[^\s" + re.escape(mixing.MARKS) + "]+", (t or "").lower()) for x in (w, w[:4] + "*")} for t in texts]
     feats = []
     for k in classes:
-        mine, rest = ([i for i, d in domains.items() if (d == k) == same] for same in (True, False))
+        mine, rest = ([i for i, d in domains.items() if i in teachers and (d == k) == same] for same in (True, False))
         a, b = (Counter(x for i in own for x in keys[i]) for own in (mine, rest))
         weight = {}
         for x in a:
             ratio = round(math.log((a[x] + 0.5) / (len(mine) + 1)) - math.log((b[x] + 0.5) / (len(rest) + 1)), 3)
-            share = (a[x] + b[x]) / len(domains)
+            share = (a[x] + b[x]) / len(teachers)
             gain = sum(n * math.log(n / (share * len(own))) for n, own in ((a[x], mine), (b[x], rest)) if n)
             if ratio >= mixing.LEAST and gain >= mixing.EVIDENCE:
                 weight[x] = ratio
@@ -109,9 +109,9 @@ def plain_mixing(texts, domains, classes, targets):
     x = np.hstack([x, np.array(feats).T])
     logs = []
     for k in classes:
-        own = x[[i for i, d in domains.items() if d == k]]
+        own = x[[i for i, d in domains.items() if d == k and i not in teachers]]
         var = np.maximum(own.var(axis=0), 1e-4)
-        logs.append(-0.5 * ((x - own.mean(axis=0)) ** 2 / var + np.log(var)).sum(axis=1) + math.log(len(own) / len(domains)))
+        logs.append(-0.5 * ((x - own.mean(axis=0)) ** 2 / var + np.log(var)).sum(axis=1) + math.log(len(own) / (len(domains) - len(teachers))))
     p = np.exp(np.maximum(np.array(logs).T - np.max(logs, axis=0)[:, None], -60))
     p /= p.sum(axis=1, keepdims=True)
     tokens = np.array([len(w) for w in words], dtype=float)
@@ -133,7 +133,9 @@ def test_mixing_against_a_plain_version(spark):
     clash = ["rate", "copies", "tokens", "d", "__copy", "__row"]
     docs = spark.createDataFrame([(i, t, *clash) for i, t in enumerate(texts)], "doc_id long, text string, rate string, copies string, tokens string, d string, __copy string, __row string")
     got = {r["doc_id"]: r for r in mixing.rates(docs, labels, {"a": 0.5, "b": 0.2, "c": 0.3}).collect()}
-    tokens, p, rate = plain_mixing(texts, domains, ["a", "b", "c"], [0.5, 0.2, 0.3])
+    words, others = ({r["doc_id"] for r in x.collect()} for x in mixing.drawn(labels, ["a", "b", "c"]))
+    assert words | others == set(domains) and not words & others and 50 < len(words) < 90
+    tokens, p, rate = plain_mixing(texts, domains, words, ["a", "b", "c"], [0.5, 0.2, 0.3])
     for i in range(len(texts)):
         assert got[i]["tokens"] == tokens[i]
         assert [got[i][f"p_{k}"] for k in "abc"] == pytest.approx(list(p[i]), abs=1e-6)
@@ -145,6 +147,20 @@ def test_mixing_against_a_plain_version(spark):
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({i: r["copies"] for i, r in got.items() if r["copies"]})
 
 
+def test_words_that_no_label_has_tell_nothing(spark):
+    rng = random.Random(35)
+    texts = [sentence(rng, 60, WORDS[:14] + (["vile", "#awful"] if k % 3 == 0 else ["fine"])) for k in range(300)]
+    rare = [" ".join("".join(rng.choice("bcdeghijklmnopqrstuwxyz") for _ in range(rng.randint(3, 12))) for _ in range(n)) for n in [500, 2000, 20_000] * 5]
+    labels = spark.createDataFrame([(k, "toxic" if k % 3 == 0 else "good") for k in range(300)], "doc_id long, domain string")
+    docs = documents(spark, texts + rare)
+    weights = mixing.learn_words(docs, mixing.drawn(labels, ["good", "toxic"])[0], ["good", "toxic"])
+    assert set(weights[1]) == {"vile", "vile*", "awful", "awfu*"} and set(weights[0]) == {"fine", "fine*"}
+    own = docs.where("doc_id >= 300").select(mixing.described(mixing.F.col("text"), weights).alias("d")).collect()
+    assert all(r["d"]["x"][2:] == [0, 0] for r in own)
+    with pytest.raises(ValueError, match="target"):
+        mixing.rates(docs, labels, {"good": 0.0, "toxic": 0.0, "other": 1.0}).collect()
+
+
 # Packing
 
 
