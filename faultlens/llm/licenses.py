@@ -1,8 +1,11 @@
 """Licence scans by canonical digest: normalise the whole text, hash it, join known digests.
 
-Case, punctuation, white space, copyright lines and equivalent spellings (British and
-American, symbols and words) are folded; the SHA-256 of what remains meets the digests
-of the known texts. Defined results: a null or empty text, or one of punctuation and
+Case, punctuation, white space, line breaks, copyright notices, a title in front and equivalent
+spellings (British and American, symbols and words) are folded; the SHA-256 of what remains
+meets the digests of the known texts. A line is a notice if it has a copyright mark and a year
+(or a place for one), or word and sign together; if it begins with the word, and a name follows,
+and its paragraph has nothing but notices; or if it says "all rights reserved" alone. So a
+clause may be broken before the word "copyright" anywhere. Defined results: a null or empty text, or one of punctuation and
 copyright lines only, has a digest of the empty text and no licence; repeated rows each
 get their answer; of two names for one text the smaller wins; columns of the input that have
 the name of a result are replaced by it.
@@ -13,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_UPPER, small_side, without
+from .common import ASCII_UPPER, let, small_side, without
 
 #: Equivalent spellings, applied to whole words after punctuation is gone.
 SPELLINGS = [
@@ -61,32 +64,60 @@ KNOWN = {
 }
 #: Digests, as digest() gives them, of the published whole texts of further licences.
 DIGESTS = {
-    "Apache-2.0": "6ab5deeb4b2c14f4681b97d03ec0d6cf046968b552bd6e2efe1721910b2e5e9e",
-    "Artistic-1.0-Perl": "93aa47d57763801ed6e6a6591d4d4049a2c46794df90838023ceade56b569da0",
+    "Apache-2.0": "75acde0fb516a7ba4597dfc23680cf78281f7fae7f3b74a78e06ef83c1c375c6",
+    "Artistic-1.0-Perl": "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
     "BSD-3-Clause-UC": "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651",
     "CC0-1.0": "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e",
-    "GFDL-1.2": "f06741c6c5feec30d99f80228f0d9ea6b884eae0e790ab18a0f4257184befa86",
-    "GFDL-1.3": "80229e90e6f40a551a447f33ef48bd361a8e3166d53f29a2d1537245e2064feb",
-    "GPL-1.0": "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c",
-    "GPL-2.0": "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1",
-    "GPL-3.0": "5272fb2d9117cba4ebb1b4a6612e61ab05ddddeff56bd30c3ac3798e23821b30",
-    "LGPL-2.0": "b4114daa3dfa52e27e78b2c4e17acd58bf4381e812762f4ded0bcb8eabd1092c",
-    "LGPL-2.1": "294fb9ec58649c7eb0cf90fc2900ac1b28b82fb6da9d40d7599d6b7d399d4d2e",
+    "GFDL-1.2": "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71",
+    "GFDL-1.3": "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6",
+    "GPL-1.0": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-3.0": "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
     "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
-    "MPL-1.1": "1cfb6cca26abe2169c9c61164807107b2d4a0b64955a2cf2de46fad3483acda1",
-    "MPL-2.0": "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
+    "MPL-1.1": "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986",
+    "MPL-2.0": "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
 }
-COPYRIGHT_LINE = r"(?im)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+_MARK = r"(copyright|\(c\)|\x{a9}|&copy;)"
+_YEAR = r"([0-9]{4}|[\[<{(] *(year|yyyy)|(year|yyyy)[\]>})])"
+#: Anywhere: mark and year, word and sign, or the reservation alone.
+NOTICE = rf"^[^a-z0-9\x{{a9}}(&]*({_MARK}([\s,:;-]|{_MARK}|by )*{_YEAR}|copyright[\s,:]*(\(c\)|\x{{a9}}|&copy;)|(\(c\)|\x{{a9}}|&copy;)[\s,:]*copyright|all rights reserved[^a-z0-9]*$)"
+#: Where the paragraph has nothing else: the word and a name, which is none of the words that clauses go on with.
+NAMED = r"^[^a-z0-9]*copyright[\s,:]+[^\s]"
+CLAUSE = r"^[^a-z0-9]*copyright[\s,:]+(notices?|holders?|owners?|laws?|licen[cs]es?|statements?|interests?|disclaimers?|and|or|in|is|of|to|for|on|under|protection|treaty|act)\b"
+MARKED = r"copyright|\(c\)|\x{a9}|&copy;|all rights reserved"
+BLANK = r"^[^a-z0-9\x{80}-\x{10ffff}]*$"
+#: Titles as canonical words; one in front of a text goes.
+TITLES = [
+    "the mit license mit", "the mit license", "mit license", "isc license isc", "the isc license", "isc license", "the zlib license", "zlib license", "zlib libpng license", "bsd zero clause license", "zero clause bsd license",
+    "bsd 2 clause license", "bsd 2 clause simplified license", "the 2 clause bsd license", "simplified bsd license", "the bsd 2 clause license", "bsd 3 clause license", "the 3 clause bsd license", "new bsd license",
+    "bsd 3 clause new or revised license", "modified bsd license", "the bsd 3 clause license", "the bsd license", "bsd license",
+]
+TITLE = f"^({'|'.join(sorted(TITLES, key=len, reverse=True))}) "
 NOT_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 
+def without_notices(text: Column) -> Column:
+    """A text in small letters without the lines that are copyright notices."""
+    t = F.translate(F.coalesce(text, F.lit("")), ASCII_UPPER, ASCII_UPPER.lower())
+    # Of each line: blank (b), a notice (n), a name behind the word (c), or text (t).
+    kind = lambda x: F.when(x.rlike(BLANK), "b").when(x.rlike(NOTICE), "n").when(x.rlike(NAMED) & ~x.rlike(CLAUSE), "c").otherwise("t")
+    settled = lambda p: F.when(F.contains(p, F.lit("t")), p).otherwise(F.replace(p, F.lit("c"), F.lit("n")))
+
+    def kept(lines: Column) -> Column:
+        kinds = F.array_join(F.transform(F.split(F.array_join(F.transform(lines, kind), ""), "b"), settled), "b")
+        return let(kinds, lambda k: F.array_join(F.filter(lines, lambda _, i: F.substring(k, i + 1, F.lit(1)) != "n"), "\n"))
+
+    return F.when(t.rlike(MARKED), let(F.split(t, "\n"), kept)).otherwise(t)
+
+
 def canonical(text: Column) -> Column:
-    """Words of the text without copyright lines, in small letters and one spelling, single-spaced."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, "")
-    t = F.concat(F.lit(" "), F.regexp_replace(F.translate(t, ASCII_UPPER, ASCII_UPPER.lower()), NOT_WORD, " "), F.lit(" "))
+    """Words of the text without notices and title, in small letters and one spelling, single-spaced."""
+    t = F.concat(F.lit(" "), F.regexp_replace(without_notices(text), NOT_WORD, " "), F.lit(" "))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(F.regexp_replace(t, " +", " "))
+    return F.regexp_replace(F.trim(F.regexp_replace(t, " +", " ")), TITLE, "")
 
 
 def digest(text: Column) -> Column:

@@ -175,19 +175,33 @@ FROM k JOIN t USING (lang) QUALIFY rank <= 2000
 
 
 def _license_sql() -> str:
+    def lower(text: str) -> str:
+        return f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    kind = (
+        f"CASE WHEN regexp_matches(x, '{licenses.BLANK}') THEN 'b' WHEN regexp_matches(x, '{licenses.NOTICE}') THEN 'n' "
+        f"WHEN regexp_matches(x, '{licenses.NAMED}') AND NOT regexp_matches(x, '{licenses.CLAUSE}') THEN 'c' ELSE 't' END"
+    )
+
     def canonical(text: str) -> str:
-        t = f"regexp_replace(coalesce({text}, ''), '(?im)^[^a-z0-9\\n]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*$', '', 'g')"
-        t = f"' ' || regexp_replace(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g') || ' '"
+        t = f"' ' || regexp_replace({text}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g') || ' '"
         for a, b in licenses.SPELLINGS:
             t = f"replace({t}, ' {a} ', ' {b} ')"
-        return f"trim(regexp_replace({t}, ' +', ' ', 'g'))"
+        return f"regexp_replace(trim(regexp_replace({t}, ' +', ' ', 'g')), '{licenses.TITLE}', '')"
+
+    def digests(source: str, key: str, text: str) -> str:
+        return (
+            f"SELECT {key}, sha256({canonical('body')}) AS digest FROM (SELECT {key}, array_to_string(list_filter(l, lambda x, i: substr(k, i, 1) <> 'n'), chr(10)) AS body FROM ("
+            f"SELECT {key}, l, array_to_string(list_transform(string_split(array_to_string(list_transform(l, lambda x: {kind}), ''), 'b'), lambda p: CASE WHEN contains(p, 't') THEN p ELSE replace(p, 'c', 'n') END), 'b') AS k "
+            f"FROM (SELECT {key}, string_split({lower(text)}, chr(10)) AS l FROM {source})))"
+        )
 
     known = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.KNOWN.items())
     made = ", ".join(f"('{k}', '{v}')" for k, v in licenses.DIGESTS.items())
     return (
         f"WITH k(license, body) AS (VALUES {known}), m(license, digest) AS (VALUES {made}), "
-        f"a AS (SELECT license, sha256({canonical('body')}) AS digest FROM k UNION ALL SELECT license, digest FROM m), d AS (SELECT digest, min(license) AS license FROM a GROUP BY 1), "
-        f"t AS (SELECT doc_id, sha256({canonical('text')}) AS digest FROM documents) SELECT doc_id, digest, license FROM t LEFT JOIN d USING (digest)"
+        f"a AS ({digests('k', 'license', 'body')} UNION ALL SELECT license, digest FROM m), d AS (SELECT digest, min(license) AS license FROM a GROUP BY 1), "
+        f"t AS ({digests('documents', 'doc_id', 'text')}) SELECT doc_id, digest, license FROM t LEFT JOIN d USING (digest)"
     )
 
 

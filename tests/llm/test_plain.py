@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import zstandard
@@ -298,3 +300,24 @@ def test_queries_decide_something(spark, tmp_path):
     rows = queries.op9_quality_rules(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in rows if not r["base_failed"] and not r["kept"]} == {77, 78, 79}
     assert {r["doc_id"] for r in rows if r["kept"]} >= set(range(40))
+
+
+def test_licenses_at_every_width_with_titles_and_notices(spark):
+    def wrapped(text, width):
+        return "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+
+    titles = {"MIT": "MIT License", "ISC": "The ISC License", "Zlib": "zlib License", "0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License"}
+    notices = ["Copyright (c) 2020 Jane Doe", "(C) 1999 X\nAll rights reserved.", "Copyright 2010, 2011 A\nCopyright © 2012 B\nCopyright (c) npm, Inc. and Contributors", "Copyright The Example Authors"]
+    cases = [(k, wrapped(licenses.KNOWN[k], w)) for k in titles for w in range(40, 101)]
+    for k, t in titles.items():
+        for i, n in enumerate(notices):
+            whole = f"{t}\n\n{n}\n\n{wrapped(licenses.KNOWN[k], 50 + 12 * i)}"
+            cases += [(k, whole), (k, "\n".join(f" * {line}" for line in whole.split("\n"))), (None, whole + "\nand more"), (None, "Something else.\n" + whole)]
+    cases += [(None, "Copyright notice and this permission notice"), (None, "(c) 2020"), (None, "MIT License")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["digest"], r["license"]) for r in licenses.scan(df).collect()}
+    assert [got[i][1] for i in range(len(cases))] == [k for k, _ in cases]
+    base = duckdb.connect()
+    base.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    base.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, (_, t) in enumerate(cases)])
+    assert {r[0]: r[1:] for r in base.execute(queries.oracle_sql()["op8_license_scans"]).fetchall()} == got
