@@ -135,7 +135,7 @@ FIELDS = ["click", "error", "purchase", "signup", "view"]
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log records of two lines: a logger line for the event and, for every third, a raw record or a write marker."""
-    e = spread(table(spark, sf_dir, "events"), "event_id")
+    e = spread(table(spark, sf_dir, "events"))
     stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_id") % 11 == 0, "WARN").otherwise("INFO")
     head = F.concat(stamp, F.lit(" app."), F.col("event_type"), F.lit(" ["), level, F.lit("] [u"), F.col("user_id").cast("string"), F.lit("] Topic: t"), (F.col("event_id") % 5).cast("string"), F.lit(", createDate: "), F.date_format((F.col("ts").cast("timestamp") - F.expr("INTERVAL 9 MILLISECONDS")), "yyyy-MM-dd HH:mm:ss.SSSSSS"))

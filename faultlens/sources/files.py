@@ -12,12 +12,15 @@ from ..operators.validate import within_budget
 from ..schemas import METRIC, METRIC_REQUIRED
 
 UNQUOTED = "\u0001"
+#: Bytes up to which a table is dealt anew; a larger one has work enough in its own splits.
+SMALL = 1 << 30
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` over all cores if its files give fewer splits than there are cores (so it is small): before work that keeps a core busy for each row."""
+def spread(df: DataFrame, limit: int = SMALL) -> DataFrame:
+    """``df`` dealt over all cores, before work that keeps a core busy for each row, if its files have fewer splits than there are cores and at most ``limit`` bytes."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, F.xxhash64(*by)) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= limit and df.rdd.getNumPartitions() < cores else df
 
 
 def header_of(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8") -> list[str]:
