@@ -75,12 +75,6 @@ def small_side(df: DataFrame, row_bytes: int, rows: int | None = None, limit: in
     return F.broadcast(df) if size <= limit else df
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` over all cores if its files give fewer splits than there are cores (so it is small): before work that keeps a core busy for each row."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, F.xxhash64(*by)) if df.rdd.getNumPartitions() < cores else df
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, ASCII_UPPER, ASCII_UPPER.lower())

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
 from . import chat_tree, jaccard_join, language_id, licenses, mixing, packing, phrases, quality_classifier, quality_rules, secrets, topk, url_filters, whitening
-from .common import crc_mod, spread, table
+from .common import crc_mod, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
+    found = secrets.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     n = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[n(k) for k in secrets.PATTERNS], F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
 
@@ -55,7 +56,7 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id"), carry=False)
+    judged = quality_rules.judge(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), carry=False)
     return judged.select("doc_id", *quality_rules.MEASURES, "kept")
 
 

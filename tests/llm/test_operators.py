@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -363,10 +364,24 @@ def test_packing(spark):
 
 def test_best_fit_takes_the_tightest_compatible_bin():
     b = packing.Bins(10, 1)
-    assert b.place(6, 0, -1) == (0, 0) and b.place(7, 1, 0) == (1, 0)
-    assert b.place(3, 2, -1) == (1, 7)  # the tighter of both
-    assert b.place(2, 0, -1) == (2, 0)  # its source is in bin 0: a new bin
-    assert b.place(4, 3, 0) == (0, 6)  # fills bin 0; its cluster is in another
+    assert b.place(6, 0, -1)[:2] == (0, 0) and b.place(7, 1, 0)[:2] == (1, 0)
+    assert b.place(3, 2, -1)[:2] == (1, 7)  # the tighter of both
+    assert b.place(2, 0, -1)[:2] == (2, 0)  # its source is in bin 0: a new bin
+    assert b.place(4, 3, 0)[:2] == (0, 6)  # fills bin 0; its cluster is in another
+
+
+def test_packing_of_very_many_equal_rows(spark):
+    n = 60_000
+    docs = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text of all").alias("text"), F.lit("s").alias("source"))
+    some = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("own "), F.col("id"), F.lit(" text of four")).alias("text"), F.lit("t").alias("source"))
+    began = time.time()
+    rows = packing.pack(docs.union(some), 20, 2, 5000).groupBy("bin").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("c"), F.sum("tokens").alias("t")).collect()
+    assert time.time() - began < 60 and sum(r["n"] for r in rows) == n + 5000
+    assert all(r["n"] == r["c"] and r["t"] <= 20 for r in rows) and any(r["n"] > 1 for r in rows)
+    shards = Counter()
+    for r in rows:
+        shards[r["bin"] >> 32] += r["n"]
+    assert max(shards.values()) < 2 * 5000
 
 
 # Top-k

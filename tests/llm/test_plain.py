@@ -173,8 +173,10 @@ def test_packing_against_plain_best_fit(spark):
     got = packing.pack(documents(spark, texts, sources=sources), 60, 2, 10_000).collect()
     cluster = {r["doc_id"]: r["cluster"] for r in got}
     size = {i: len(t.split()) for i, t in enumerate(texts)}
-    # Longest document first, its full pieces first; ties by id. Then longest piece first.
-    pieces = [(i, k, min(60, size[i] - 60 * k)) for i in sorted(size, key=lambda i: (-size[i], i)) for k in range(-(-size[i] // 60))]
+    # Longest document first, its full pieces first; ties by the smallest id of the text, its copies by source (null last) and id. Then longest piece first.
+    least = {c: min(i for i in size if cluster[i] == c) for c in cluster.values()}
+    order = sorted(size, key=lambda i: (-size[i], least[cluster[i]], sources[i] is None, sources[i] or "", i))
+    pieces = [(i, k, min(60, size[i] - 60 * k)) for i in order for k in range(-(-size[i] // 60))]
     bins = []
     where = {}
     for i, k, n in sorted(pieces, key=lambda x: -x[2]):
