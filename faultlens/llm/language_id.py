@@ -35,6 +35,8 @@ DISCOUNT = 0.75
 #: Share of the sample held back for the temperature and the rejection.
 HELD_BACK = 5
 SPACE, EDGE = 32, 0
+#: Characters of a text that are folded and scored at once.
+PIECE = 1 << 20
 #: N-grams of which a worker remembers the values.
 CACHE = 1 << 20
 
@@ -177,9 +179,16 @@ class Models:
 
     def entropies(self, texts: list[str], cache: "Cache | None" = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits a character of each text in each language, characters, letters."""
+        cache = cache or Cache(self)
+        long = [i for i, t in enumerate(texts) if len(t) > PIECE]
+        if long:
+            out = self.entropies(["" if len(t) > PIECE else t for t in texts], cache)
+            for i in long:
+                for column, v in zip(out, self.entropy_of_long(texts[i], cache), strict=True):
+                    column[i] = v
+            return out
         code, starts, letters = characters(texts)
         use = scored_places(code, starts)
-        cache = cache or Cache(self)
         values = cache.values(code, use)
         ends = np.concatenate([starts[1:], [len(code)]])
         # starts count characters; entry i of grams() ends at character i + ORDER - 1
@@ -191,6 +200,23 @@ class Models:
             sums[full] = np.add.reduceat(values, starts[full], axis=0)
         return -sums / np.maximum(counts, 1)[:, None], counts, letters
 
+    def entropy_of_long(self, text: str, cache: "Cache") -> tuple[np.ndarray, int, int]:
+        """What entropies() gives for one text, a piece at a time: each begins with the characters before it."""
+        before = np.full(ORDER - 1, EDGE, dtype=np.uint32)
+        total, count, letters = np.zeros(len(self.names)), 0, 0
+        for at in range(0, len(text), PIECE):
+            code, letter = _folded(np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+            code = np.concatenate([before, code])
+            keep = np.ones(len(code), dtype=bool)
+            keep[1:] = (code[1:] != SPACE) | ((code[:-1] != SPACE) & (code[:-1] != EDGE))
+            keep[: ORDER - 1] = True
+            code = code[keep]
+            new = len(code) - ORDER + 1
+            if new:
+                total += cache.values(code, np.ones(new, dtype=bool)).sum(axis=0, dtype=np.float64)
+            count, letters, before = count + new, letters + int(letter.sum()), code[len(code) - ORDER + 1 :]
+        return -total / max(count, 1), count, letters
+
 
 class Cache:
     """Values of n-grams by hash, in slots; what a slot has for another n-gram is computed again."""
@@ -241,7 +267,7 @@ def fit(docs: DataFrame) -> Models:
     if not n:
         return Models({})
     share = F.create_map(*[x for k, c in n.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * DOCS / c + 20 / c)))])
-    near = rows.select("doc_id", "lang", F.length("text").alias("n")).where(draw < F.element_at(share, F.col("lang")) * (1 << 40))
+    near = rows.select("doc_id", "lang", F.length("text").alias("n")).where((F.col("n") <= CHARS) & (draw < F.element_at(share, F.col("lang")) * (1 << 40)))
     order = Window.partitionBy("lang").orderBy(draw, "doc_id")
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     each = near.groupBy("doc_id", "lang").agg(F.max("n").alias("n"))

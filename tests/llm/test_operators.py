@@ -448,6 +448,17 @@ def tongue(rng, name, n):
     return " ".join("".join(rng.choices(TONGUES[name], k=rng.randint(1, 3))) for _ in range(n))
 
 
+def test_language_id_of_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(27)
+    models = language_id.Models({k: [tongue(rng, k, 60) for _ in range(12)] for k in ("xx", "yy")})
+    texts = ["  " + tongue(rng, "xx", n) + "  1 \n , " + tongue(rng, "yy", n) + " \U00010400" for n in (3, 40, 200)] + ["", " . ", "a", "ab", " a  b "]
+    whole = models.entropies(texts)
+    for piece in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        for a, b in zip(whole, models.entropies(texts), strict=True):
+            assert np.allclose(a, b, atol=1e-6)
+
+
 def test_language_id(spark):
     rng = random.Random(11)
     names = [rng.choice(list(TONGUES)) for _ in range(300)]
