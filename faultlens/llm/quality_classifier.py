@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text_hash import slices
@@ -27,6 +27,8 @@ from .text_hash import slices
 #: Labelled documents of each class that the dictionaries and, apart from these, the curve are fitted on.
 DICTIONARY_DOCS = 1500
 CURVE_DOCS = 2500
+#: The dictionaries are made of texts of so many bytes each, and together for each class, at most; longer ones are left out whole.
+DICTIONARY_TEXT, DICTIONARY_READ = 1 << 20, 64 << 20
 PIECE = 512
 DICTIONARY_BYTES = 110 << 10
 LEVEL = 3
@@ -138,7 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = spark.createDataFrame(rows, "doc_id long, y int, part string")
     # Rows that repeat an id would make the sample larger than its parameters say.
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y", "part").agg(F.min("text").alias("text"))
-    pieces = texts.where("part = 'dictionary'").mapInArrow(_pieces, "piece binary, y int").collect()
+    order = Window.partitionBy("y").orderBy(draw, "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # DICTIONARY_DOCS rows at most
+    read = texts.where((F.col("part") == "dictionary") & (F.octet_length("text") <= DICTIONARY_TEXT)).withColumn("upto", F.sum(F.octet_length("text")).over(order))
+    pieces = read.where(F.col("upto") <= DICTIONARY_READ).select("text", "y").mapInArrow(_pieces, "piece binary, y int").collect()
     good, bad = (_dictionary(sorted(bytes(r["piece"]) for r in pieces if r["y"] == y)) for y in (1, 0))
     curve = texts.where("part = 'curve'").select("text", "y").mapInArrow(_measured(good, bad), "x array<double>, y int").collect()
     share = n[1] / (n[0] + n[1])
