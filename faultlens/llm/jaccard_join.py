@@ -48,8 +48,11 @@ BITS_EACH, BRIEF = 2, 8
 BAND = 1.5
 #: Smallest keys of a class by which a pair that shares several keys is met but once.
 HEAD = 8
-#: A key of so many classes within one batch may be common in all: such keys are counted before any shuffle.
-HOT_IN_BATCH = 64
+#: Bytes of texts within which a class is taken once.
+BATCH = 16 << 20
+#: A key with this share of a batch's keys, and met twice there, may be common: such keys are counted by partial sums. Any other
+#: key has a smaller share of all keys than this, too, so what a task must bring together of one key is a share that bounded.
+HOT_SHARE = 1 / 16384
 #: A class of so many rows gets its answer by a broadcast, if all such classes fit.
 HOT_COPIES = 10_000
 
@@ -147,7 +150,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64), pa.int64()))
 
 
-SIGNATURES = "doc_id long, rid long, n long, cls long, cls2 long, sketch array<long>, brief array<long>, leave array<long>, hot array<long>"
+SIGNATURES = "doc_id long, rid long, mark int, n long, cls long, cls2 long, sketch array<long>, brief array<long>, leave array<long>, hot array<long>"
 
 
 def _signatures(width: int, percent: int, bits: int):
@@ -155,7 +158,7 @@ def _signatures(width: int, percent: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 16 << 20):
+            for batch in slices(whole, "text", BATCH):
                 names, out, all_keys, seen = [], ([], [], []), [], set()
                 for part in slices(batch, "text"):
                     for s in shingle_sets(part.column("text"), width):
@@ -172,7 +175,7 @@ def _signatures(width: int, percent: int, bits: int):
                             column.append(v)
                 n, cls, cls2 = (np.array([x[k] for x in names], dtype=np.uint64).view(np.int64) for k in range(3))
                 hot = [_common(all_keys)] + [None] * (len(names) - 1)
-                columns = [batch.column("doc_id").cast(pa.int64()), batch.column("rid"), pa.array(n), pa.array(cls), pa.array(cls2), *map(_lists, out), _lists(hot)]
+                columns = [batch.column("doc_id").cast(pa.int64()), batch.column("rid"), batch.column("mark"), pa.array(n), pa.array(cls), pa.array(cls2), *map(_lists, out), _lists(hot)]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SIGNATURES.split(", ")])
 
     return run
@@ -182,11 +185,11 @@ def _keys(width: int, percent: int, bits: int):
     """The keys of each class in the batch, once. They are made again from the texts: that takes less than keeping them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for part in (p for whole in batches for p in slices(whole, "text", BATCH)):
             seen: set = set()
-            for part in slices(whole, "text"):
+            for piece in slices(part, "text"):
                 names, keys = [], []
-                for s in shingle_sets(part.column("text"), width):
+                for s in shingle_sets(piece.column("text"), width):
                     name = fingerprint(s, bits)
                     if len(s) and name not in seen:
                         seen.add(name)
@@ -201,7 +204,7 @@ def _keys(width: int, percent: int, bits: int):
 def _common(keys: list[np.ndarray]) -> np.ndarray:
     """The keys that many classes of a batch have."""
     flat, count = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, dtype=np.uint64),) * 2
-    return flat[count >= HOT_IN_BATCH]
+    return flat[count >= max(2, HOT_SHARE * count.sum())]
 
 
 def _sets(width: int, bits: int):
@@ -347,10 +350,10 @@ def _classes(signed: DataFrame) -> DataFrame:
 
 
 def _members(docs: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, rid, n, cls, component_id."""
+    """One row for each row of ``docs`` (doc_id, text): doc_id, rid, mark, n, component, component_id."""
     if not 70 <= percent <= 99:
         raise ValueError("percent must be 70 to 99: linked sets lie in one size band or two")
-    docs = docs.select("doc_id", rid_of(docs), "text")
+    docs = docs.select("doc_id", rid_of(docs), mark_of(docs), "text")
     signed = Stored(docs.mapInArrow(_signatures(width, percent, bits), SIGNATURES), "signatures")
     of = Texts(docs.select("rid", "text"), signed.df, None, width, percent, bits)
     of.classes = Stored(_classes(signed.df.where("n > 0")), "classes").df
@@ -359,7 +362,7 @@ def _members(docs: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
         of.renamed = Stored(clash, "renamed").df
         of.classes = Stored(_classes(of.named(signed.df).where("n > 0")), "classes").df
     named = of.named(signed.df)
-    rows = Stored(named.select("doc_id", "rid", "n", "cls"), "ids").df
+    rows = Stored(named.select("doc_id", "rid", "mark", "n", "cls"), "ids").df
     hot = Stored(signed.df.select(F.explode("hot").alias("key")).distinct(), "hot").df
     signed.drop()
     del named
@@ -391,8 +394,9 @@ def _members(docs: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
     out = cold.join(answer.drop("copies"), "cls")
     if n_hot:
         out = out.unionByName(filled.join(small_side(hot, 48, n_hot), "cls"))
-    empty = rows.where("n = 0").select("cls", "doc_id", "rid", "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
-    return out.select("doc_id", "rid", "n", "component", "component_id").union(empty.select("doc_id", "rid", "n", "component", "component_id"))
+    empty = rows.where("n = 0").select("cls", "doc_id", "rid", "mark", "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    columns = ["doc_id", "rid", "mark", "n", "component", "component_id"]
+    return out.select(*columns).union(empty.select(*columns))
 
 
 def rid_of(docs: DataFrame):
@@ -400,6 +404,11 @@ def rid_of(docs: DataFrame):
     return F.xxhash64(F.coalesce(docs["doc_id"], F.lit(-1)), docs["doc_id"].isNull(), docs["text"]).alias("rid")
 
 
+def mark_of(docs: DataFrame):
+    """Of a row's text; beside its number, so that no row goes because of another of the same number."""
+    return F.hash(docs["text"]).alias("mark")
+
+
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: int = 64) -> DataFrame:
     """docs (doc_id, text, ...) -> one row for each row: doc_id, n_shingles, component_id."""
     return _members(docs, width, percent, bits).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -411,18 +420,19 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Of several texts of that id in the component, and of rows that repeat, one stays. Rows without a word all stay.
     """
     members = Stored(_members(docs, width, percent, 64), "members").df.where("n > 0")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    own = ["rid", "mark"]
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *own)
     chosen = members.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("rows"))
-    chosen = Stored(chosen.where("rows > 1").select(F.col("best.rid").alias("rid"), "component"), "chosen").df
+    chosen = Stored(chosen.where("rows > 1").select("best", "component"), "chosen").df
     # Rows of the components of several rows, but for the chosen ones, go.
     grouped = members.join(small_side(chosen.select("component"), 16), "component", "left_semi")
-    gone = Stored(grouped.join(chosen.withColumnRenamed("rid", "best"), "component").where("rid <> best").select("rid").distinct(), "gone").df
-    repeated = members.groupBy("rid").count().where("count > 1").select("rid")
-    twice = Stored(repeated.join(gone, "rid", "left_anti"), "twice").df
+    gone = Stored(grouped.join(chosen, "component").where("rid <> best.rid OR mark <> best.mark").select(*own).distinct(), "gone").df
+    repeated = members.groupBy(*own).count().where("count > 1").select(*own)
+    twice = Stored(repeated.join(gone, own, "left_anti"), "twice").df
     whole = packed(docs, "doc_id", "text")
-    rest = whole.select(ROW, rid_of(whole)).join(small_side(gone, 16), "rid", "left_anti")
+    rest = whole.select(ROW, rid_of(whole), mark_of(whole)).join(small_side(gone, 24), own, "left_anti")
     n_twice = twice.count()
     if not n_twice:
         return unpacked(rest)
-    once = rest.join(small_side(twice, 16, n_twice), "rid", "left_anti")
-    return unpacked(once.unionByName(rest.join(small_side(twice, 16, n_twice), "rid", "left_semi").dropDuplicates(["rid"])))
+    once = rest.join(small_side(twice, 24, n_twice), own, "left_anti")
+    return unpacked(once.unionByName(rest.join(small_side(twice, 24, n_twice), own, "left_semi").dropDuplicates(own)))
