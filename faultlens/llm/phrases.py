@@ -1,10 +1,11 @@
 """Phrase collocations by partitioned mining: what is frequent anywhere is frequent in some shard.
 
-Rows are dealt to a few shards by a hash of the row. A shard's support is the support times
+The files of a table are dealt to a few shards by a hash of their names. A shard's support is the support times
 the shard's share of a language's words, rounded up; a phrase that reaches the support over
 all rows reaches a shard's own in at least one. Each shard is mined completely, level by
 level (words, pairs, then three and four words): an aggregation of hashed counts that Spark
-spreads over all machines, so that a shard may be of any size. A level looks only at phrases
+spreads over all machines, so that a shard may be of any size (rows of one file, or of none, are
+one shard). A level looks only at phrases
 whose shorter parts are frequent in some shard. The locally frequent hashes of all shards are
 united in a bitmap of fixed size, whose false positives cost work and change no result. A last
 pass counts, exactly and by their words, all phrases that the bitmaps let through.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Stored, small_side
 from .text_hash import CHUNK, mix, slices
 
-SHARDS = 6
+SHARDS = 3
 SUPPORT = 30
 LONGEST = 4
 TOP = 2000
@@ -43,19 +44,21 @@ _FOLD = bytearray(range(256))
 for _x in range(65, 91):
     _FOLD[_x] += 32
 for _x in b".,;:!?\x0a\x0b\x0c\x0d":
-    _FOLD[_x] = 10
+    _FOLD[_x] = 0xFF
 _FOLD[9] = 32
 FOLD = bytes(_FOLD)
+#: Ends a piece: a byte that no UTF-8 text has.
+STOP = b"\xff"
 
 
 class Numbers(dict):
-    """Numbers of words, in the order in which they are met; -1 ends a piece, -2 is nothing."""
+    """Numbers of words, in the order in which they are met; -1 ends a piece."""
 
     def __init__(self):
-        super().__init__({b"": -2, b"\n": -1})
+        super().__init__({STOP: -1})
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self) - 2
+        self[word] = n = len(self) - 1
         return n
 
 
@@ -65,48 +68,45 @@ def numbered(text: bytes, limit: int = 2 * CHUNK) -> Iterator[tuple[np.ndarray,
     while at < len(text):
         end = len(text)
         if end - at > limit:
-            cut = max(text.rfind(b" ", at, at + limit), text.rfind(b"\n", at, at + limit))
-            later = [x for x in (text.find(b" ", at + limit), text.find(b"\n", at + limit)) if x >= 0]
+            cut = max(text.rfind(b" ", at, at + limit), text.rfind(STOP, at, at + limit))
+            later = [x for x in (text.find(b" ", at + limit), text.find(STOP, at + limit)) if x >= 0]
             end = cut + 1 if cut >= 0 else min(later) + 1 if later else end
         numbers = Numbers()
         front = [numbers[w] for w in before]
-        parts = text[at:end].replace(b"\n", b" \n ").split(b" ")
+        parts = text[at:end].replace(STOP, b" \xff ").split()
         ids = np.fromiter(map(numbers.__getitem__, parts), np.int64, len(parts))
-        ids = np.concatenate([np.array(front, dtype=np.int64), ids[ids != -2]])
-        words = list(numbers)[2:]
+        ids = np.concatenate([np.array(front, dtype=np.int64), ids])
+        words = list(numbers)[1:]
         yield ids, words, len(front)
         tail = ids[-(LONGEST - 1) :].tolist()
-        before = [words[i] if i >= 0 else b"\n" for i in tail]
+        before = [words[i] if i >= 0 else STOP for i in tail]
         at = end
 
 
-class Grams:
-    """Hashes of the phrases of a run of words, and which of them lie within a piece."""
+def hashed(words: list[bytes], lang: str) -> np.ndarray:
+    salt = xxhash.xxh64_intdigest(lang.encode())
+    return np.array([xxhash.xxh64_intdigest(w, seed=salt) for w in words] or [0], dtype=np.uint64)
 
-    def __init__(self, ids: np.ndarray, words: list[bytes], fresh: int, lang: str, longest: int):
-        self.ids, self.fresh = ids, fresh
-        salt = xxhash.xxh64_intdigest(lang.encode())
-        self.own = np.array([xxhash.xxh64_intdigest(w, seed=salt) for w in words] or [0], dtype=np.uint64)
-        self.inside = [ids >= 0]
-        self.hash = [self.own[ids]]
-        for k in range(2, longest + 1):
-            n = max(0, len(ids) - k + 1)
-            self.inside.append(self.inside[-1][:n] & self.inside[0][k - 1 :][:n])
-            self.hash.append(mix(self.hash[-1][:n] + self.hash[0][k - 1 :][:n], k))
 
-    def new(self, k: int) -> np.ndarray:
-        """Which phrases of ``k`` words end behind what was there before."""
-        return np.arange(len(self.inside[k - 1])) + k > self.fresh
+def grown(ids: np.ndarray, own: np.ndarray, maps: list[np.ndarray], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For k = 1, 2, ...: where phrases of k words begin, their hashes, and which of the places of k - 1 these were.
 
-    def allowed(self, bitmaps: list[np.ndarray], k: int) -> np.ndarray:
-        """Which phrases of ``k`` words the bitmaps of all shorter levels, and of this one if there is one, let through."""
-        ok = self.inside[0]
-        for level in range(1, k + 1):
-            if level > 1:
-                ok = ok[:-1] & ok[1:] if len(ok) else ok
-            if level <= len(bitmaps):
-                ok = ok & _has(bitmaps[level - 1], self.hash[level - 1])
-        return ok
+    Only phrases within a piece whose parts of k - 1 words are there, and that the bitmap of k words lets through, if there is one.
+    """
+    known = _has(maps[0], own) if maps else np.ones(len(own), dtype=bool)
+    at = np.flatnonzero((ids >= 0) & known[ids])
+    h = own[ids[at]]
+    yield 1, at, h, at
+    for k in range(2, longest + 1):
+        here = np.zeros(len(ids) + 1, dtype=bool)
+        here[at] = True
+        kept = np.flatnonzero(here[at + 1])
+        h = mix(h[kept] + own[ids[at[kept] + k - 1]], k)
+        if k <= len(maps):
+            through = _has(maps[k - 1], h)
+            kept, h = kept[through], h[through]
+        at = at[kept]
+        yield k, at, h, kept
 
 
 def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -133,8 +133,7 @@ def _local(levels: list[int], bitmaps):
         maps = [np.frombuffer(b, dtype=np.uint64) for b in bitmaps.value]
         for shard, lang, need, text in _runs(batches):
             for ids, words, fresh in numbered(text):
-                grams = Grams(ids, words, fresh, lang, max(levels))
-                found = [grams.hash[k - 1][grams.allowed(maps, k) & grams.new(k)] for k in levels]
+                found = [h[at + k > fresh] for k, at, h, _ in grown(ids, hashed(words, lang), maps, max(levels)) if k in levels]
                 h, c = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_pydict({
                     "shard": pa.array(np.full(len(h), shard, dtype=np.int32)), "h": pa.array(h.view(np.int64)), "c": pa.array(c.astype(np.int64)), "need": pa.array(np.full(len(h), need, dtype=np.int64)),
@@ -147,9 +146,8 @@ def _words(batches):
     """Counts of hashed words in each shard and language."""
     for shard, lang, _, text in _runs(batches):
         for ids, words, fresh in numbered(text):
-            own = Grams(ids, words, fresh, lang, 1)
             c = np.bincount(ids[fresh:][ids[fresh:] >= 0], minlength=len(words))
-            h = own.own[: len(words)][c > 0]
+            h = hashed(words, lang)[: len(words)][c > 0]
             yield pa.RecordBatch.from_pydict({
                 "shard": pa.array(np.full(len(h), shard, dtype=np.int32)), "lang": pa.array([lang] * len(h), pa.string()), "h": pa.array(h.view(np.int64)), "c": pa.array(c[c > 0].astype(np.int64)),
             })
@@ -162,16 +160,14 @@ def _exact(bitmaps):
         maps = [np.frombuffer(b, dtype=np.uint64) for b in bitmaps.value]
         for _, lang, _, text in _runs(batches):
             for ids, words, fresh in numbered(text):
-                grams, known = Grams(ids, words, fresh, lang, LONGEST), pa.array(words, pa.binary()).cast(pa.string())
-                code = ids
-                for k in range(1, LONGEST + 1):
-                    if k > 1:  # pairs of a shorter phrase's number and a word's, numbered anew
-                        code = np.unique(code[: len(grams.inside[k - 1])] * (len(words) + 1) + ids[k - 1 :], return_inverse=True)[1] if len(grams.inside[k - 1]) else code[:0]
-                    at = np.flatnonzero(grams.allowed(maps, k) & grams.new(k))
-                    _, first, c = np.unique(code[at], return_index=True, return_counts=True)
-                    named = [pc.take(known, pa.array(ids[at[first] + i])) for i in range(k)]
+                known, code = pa.array(words, pa.binary()).cast(pa.string()), np.zeros(len(ids), dtype=np.int64)
+                for k, at, _, kept in grown(ids, hashed(words, lang), maps, LONGEST):
+                    # Pairs of a shorter phrase's number and a word's, numbered anew.
+                    _, first, code = np.unique(code[kept] * (len(words) + 1) + ids[at + k - 1], return_index=True, return_inverse=True)
+                    c = np.bincount(code[at + k > fresh], minlength=len(first))
+                    named = [pc.take(known, pa.array(ids[at[first[c > 0]] + i])) for i in range(k)]
                     phrases = pc.binary_join_element_wise(*named, " ") if k > 1 else named[0]
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(c), pa.string()), "phrase": phrases, "k": pa.array(np.full(len(c), k, dtype=np.int32)), "c": pa.array(c.astype(np.int64))})
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(phrases), pa.string()), "phrase": phrases, "c": pa.array(c[c > 0].astype(np.int64))})
 
     return run
 
@@ -189,7 +185,7 @@ def frequent(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, bits
     """(lang, phrase, k, f) of all phrases of up to LONGEST words with ``f >= support``, and (lang, n)."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
-    rows = rows.select("text", "lang", F.pmod(F.xxhash64("lang", "text"), F.lit(shards)).cast("int").alias("shard"))
+    rows = rows.select("text", "lang", F.pmod(F.xxhash64(F.input_file_name()), F.lit(shards)).cast("int").alias("shard"))
     counted = rows.withColumn("need", F.lit(0).cast("long")).mapInArrow(_words, "shard int, lang string, h long, c long")
     words = Stored(counted.groupBy("shard", "lang", "h").agg(F.sum("c").alias("c")), "phrase-words")
     each = words.df.groupBy("shard", "lang").agg(F.sum("c").alias("own"))
@@ -207,8 +203,9 @@ def frequent(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, bits
         often = local.groupBy("shard", "h").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need")
         maps = [*maps, bitmap(often.select("h"), bits)]
     sent = spark.sparkContext.broadcast([*maps, maps[-1]])
-    exact = known.mapInArrow(_exact(sent), "lang string, phrase string, k int, c long")
-    found = Stored(exact.groupBy("lang", "phrase", "k").agg(F.sum("c").alias("f")).where(F.col("f") >= support), "phrases")
+    exact = known.mapInArrow(_exact(sent), "lang string, phrase string, c long")
+    found = exact.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= support)
+    found = Stored(found.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("k"), "f"), "phrases")
     return found.df, shares.df.groupBy("lang").agg(F.max("n").alias("n"))
 
 
