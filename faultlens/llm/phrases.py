@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, small_side
+from .common import Stored, release, small_side
 from .text_hash import CHUNK, mix, slices
 
 SHARDS = 3
@@ -196,16 +196,22 @@ def frequent(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, bits
     needs = small_side(shares.df.select("shard", "lang", "need"), 48)
     maps = [bitmap(words.df.join(needs, ["shard", "lang"]).where("c >= need").select("h"), bits)]
     words.drop()
+    del counted
     known = rows.join(needs, ["shard", "lang"]).select("text", "lang", "shard", "need")
     for levels in ([2], [3, 4]):
+        release(spark)  # a pass doesn't need what the one before it shuffled
         sent = spark.sparkContext.broadcast(maps)
         local = known.mapInArrow(_local(levels, sent), "shard int, h long, c long, need long")
         often = local.groupBy("shard", "h").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need")
         maps = [*maps, bitmap(often.select("h"), bits)]
+        del local, often
+    release(spark)
     sent = spark.sparkContext.broadcast([*maps, maps[-1]])
     exact = known.mapInArrow(_exact(sent), "lang string, phrase string, c long")
     found = exact.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= support)
     found = Stored(found.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("k"), "f"), "phrases")
+    del exact
+    release(spark)
     return found.df, shares.df.groupBy("lang").agg(F.max("n").alias("n"))
 
 
