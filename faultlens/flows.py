@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import csv
 import shutil
 from dataclasses import asdict
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import artifacts
 from .operators import cases, logs, models, profile, ranking, recipes, relate, scoring, validate, windowing
 from .schemas import COHORT, ENTITY, FEATURE_KEY, Modality
 from .settings import METHODS, AnalysisSettings, RuntimeSettings
-from .sources import corpus, files, range_api
+from .sources import case_scan, corpus, files, range_api
 
 
 def analyze(features: DataFrame, reference_end: float | DataFrame, settings: AnalysisSettings, folder: Path, eda_only: bool = False) -> DataFrame | None:
@@ -152,12 +153,14 @@ def run_internal(
         artifacts.write_csv(logs.log_coverage(records), folder, "log_coverage")
         artifacts.write_csv(logs.log_quality(records), folder, "log_quality")
         artifacts.write_csv(logs.record_counts(records, w), folder, "log_record_counts")
-        parser = logs.ParserConfig.of(own["parser"]) if "parser" in own else logs.ParserConfig()
-        events = artifacts.write_parquet(logs.parse(records, parser), folder, "parsed_log_events")
-        artifacts.write_csv(logs.parse_quality(events), folder, "log_parse_quality")
-        artifacts.write_csv(events.where("family = 'cdr_raw'"), folder, "cdr_fields", grows=True)
-        artifacts.write_json(folder / "log_parser.json", asdict(parser))
-        parts += [logs.message_features(events, w), logs.basic_features(records, w, own.get("error_pattern", "error|exception|fail"))]
+        parts.append(logs.basic_features(records, w, own.get("error_pattern", "error|exception|fail")))
+        if "parser" in own:  # without one, messages stay unparsed
+            parser = logs.ParserConfig.of(own["parser"])
+            events = artifacts.write_parquet(logs.parse(records, parser), folder, "parsed_log_events")
+            artifacts.write_csv(logs.parse_quality(events), folder, "log_parse_quality")
+            artifacts.write_csv(events.where("family = 'cdr_raw'"), folder, "cdr_fields", grows=True)
+            artifacts.write_json(folder / "log_parser.json", asdict(parser))
+            parts.append(logs.message_features(events, w))
     features = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     features = windowing.trimmed(features, start, end, w)
     if config.get("relationships", {}).get("enabled"):
@@ -169,26 +172,41 @@ def run_internal(
 
 
 def case_features(spark: SparkSession, found: list[corpus.Case], config: dict, settings: AnalysisSettings, folder: Path) -> tuple[DataFrame, list[dict]]:
-    """Feature rows of all cases, with columns ``case`` and ``boundary``: one frame, one plan for what follows."""
-    parts, qualities = [], []
-    for c in found:
-        frame, quality, rejected = corpus.read_metrics(spark, c.metric_file, settings.max_rows, **corpus.read_options(config.get("rcaeval_input", {}), c.case))
+    """Feature rows of all cases, with columns ``case`` and ``boundary``: one frame, one plan for what follows.
+
+    The CSV files of all cases are one scan; cases of a Parquet catalogue are read one by one.
+    """
+    parts, qualities, w = [], [], settings.window_seconds
+    options = config.get("rcaeval_input", {})
+    if own := [c for c in found if c.source_format == "csv"]:
+        got = case_scan.scan(spark, own, options, settings.max_rows)
+        rows = [r.asDict() for r in got.report.orderBy(*case_scan.KEYS).collect()]  # a row for each case
+        if bad := [r for r in rows if r["error"]]:
+            raise ValueError("; ".join(f"{r['dataset']} {r['case']}: {r['error']}" for r in bad))
+        qualities += [{k: v for k, v in r.items() if k not in ("error", "aligned", "inject_time")} for r in rows]
+        if any(r["rejected_rows"] for r in rows):
+            artifacts.write_csv(got.rejected, folder, "quarantine", grows=True)
+        long = got.long.withColumn("entity_id", F.substring_index("metric", "_", 1))
+        windows = cases.case_windows(long, case_scan.KEYS, w).join(got.report.select(*case_scan.KEYS, "inject_time", F.col("end").alias("last_time")), case_scan.KEYS)
+        parts.append(_case_rows(cases.without_leakage(windows, F.col("inject_time"), F.col("last_time"), w), F.concat_ws("/", *case_scan.KEYS)))
+    for c in (c for c in found if c.source_format != "csv"):
+        frame, quality, rejected = corpus.read_metrics(spark, c.metric_file, settings.max_rows, **corpus.read_options(options, c.case))
         qualities.append({"case": c.case, "dataset": c.dataset, **quality})
         if rejected is not None:
             artifacts.write_csv(rejected, folder, f"quarantine/{c.dataset}/{c.case}", grows=True)
         if not quality["start"] < c.inject_time < quality["end"]:
             raise ValueError(f"{c.case}: the injection lies outside the data")
-        names = [n for n in frame.columns if n != "time"]
-        long = cases.long_case(frame, names, [])
-        windows = cases.case_windows(long, [], settings.window_seconds)
-        kept = cases.without_leakage(windows, F.lit(float(c.inject_time)), F.lit(float(quality["end"])), settings.window_seconds)
-        parts.append(kept.select(
-            F.lit(f"{c.dataset}/{c.case}").alias("system_id"), "entity_id", F.col("metric").alias("series_id"), F.col("metric").alias("feature_name"), F.lit("{}").alias("dimensions"),
-            "window_end", "value", "boundary",
-        ))
+        long = cases.long_case(frame, [n for n in frame.columns if n != "time"], [])
+        kept = cases.without_leakage(cases.case_windows(long, [], w), F.lit(float(c.inject_time)), F.lit(float(quality["end"])), w)
+        parts.append(_case_rows(kept, F.lit(f"{c.dataset}/{c.case}")))
     return reduce(DataFrame.unionByName, parts), qualities
 
 
+def _case_rows(windows: DataFrame, system: Column) -> DataFrame:
+    metric = F.col("metric")
+    return windows.select(system.alias("system_id"), "entity_id", metric.alias("series_id"), metric.alias("feature_name"), F.lit("{}").alias("dimensions"), "window_end", "value", "boundary")
+
+
 def run_benchmark(
     spark: SparkSession, config: dict, output: str | Path, root: str | Path, expected: dict[str, list[str]], datasets: list[str] | None = None, smoke_cases: int | None = None,
     inventory_only: bool = False, eda_only: bool = False,
@@ -225,23 +243,34 @@ def preflight(spark: SparkSession, config: dict, output: str | Path, root: str |
     settings = AnalysisSettings.of(config.get("analysis", {}))
     folder = artifacts.new_folder(output)
     found, _ = corpus.inventory(spark, root, expected, datasets)
-    rows = []
-    for c in found:
-        options = corpus.read_options(config.get("rcaeval_input", {}), c.case)
+    options, rows = config.get("rcaeval_input", {}), []
+    if own := [c for c in found if c.source_format == "csv"]:
+        for r in case_scan.scan(spark, own, options, settings.max_rows).report.collect():  # a row for each case
+            row = r.asDict()
+            status = "ERROR" if row["error"] else "READY_WITH_CLOCK_ALIGNMENT" if row["aligned"] else "READY_WITH_QUARANTINE" if row["rejected_rows"] else "READY"
+            rows.append({"case": row["case"], "dataset": row["dataset"], "status": status, "error": row["error"] or "", **{k: v for k, v in row.items() if k not in ("case", "dataset", "error", "aligned", "inject_time")}})
+    for c in (c for c in found if c.source_format != "csv"):
+        own_options = corpus.read_options(options, c.case)
         row = {"case": c.case, "dataset": c.dataset, "status": "READY", "error": ""}
         try:
-            _, quality, rejected = corpus.read_metrics(spark, c.metric_file, settings.max_rows, **options)
+            _, quality, rejected = corpus.read_metrics(spark, c.metric_file, settings.max_rows, **own_options)
             if not quality["start"] < c.inject_time < quality["end"]:
                 raise ValueError("the injection lies outside the data")
             row |= quality
-            if options.get("duplicate_time_policy") == "align_blocks":
+            if own_options.get("duplicate_time_policy") == "align_blocks":
                 row["status"] = "READY_WITH_CLOCK_ALIGNMENT"
             elif rejected is not None:
                 row["status"] = "READY_WITH_QUARANTINE"
         except Exception as e:  # noqa: BLE001 - every case is reported
             row |= {"status": "ERROR", "error": str(e).splitlines()[0][:300]}
         rows.append(row)
-        artifacts.write_json(folder / "preflight.json", rows)
+    rows.sort(key=lambda r: (r["dataset"], r["case"]))
+    artifacts.write_json(folder / "preflight.json", rows)
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    with (folder / "preflight.csv").open("w", newline="") as f:
+        out = csv.DictWriter(f, names)
+        out.writeheader()
+        out.writerows(rows)
     summary = {s: sum(r["status"] == s for r in rows) for s in sorted({r["status"] for r in rows})}
     artifacts.write_json(folder / "summary.json", {"cases": len(rows), "statuses": summary})
     return rows

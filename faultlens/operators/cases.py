@@ -14,22 +14,25 @@ LATEST = 1e11
 
 
 def merge_equal_clocks(df: DataFrame, clocks: list[str], out: str = "time", record: str | None = None) -> DataFrame:
-    """One clock of several that must agree wherever two are present; needs a row with two.
+    """One clock of several: each must agree with the time that the clocks before it give, and share a row with it.
 
-    record: a column that numbers the rows, of which an error names the first five.
+    record: a column that numbers the rows, of which an error names the first five. NaN is a missing time.
     """
-    ts = [F.col(c).cast("double") for c in clocks]
-    least, most = (F.least(*ts), F.greatest(*ts)) if len(ts) > 1 else (ts[0], ts[0])
-    present = reduce(lambda a, b: a + b, [t.isNotNull().cast("int") for t in ts])
-    infinite = reduce(lambda a, b: a | b, [F.coalesce(F.abs(t) == float("inf"), F.lit(False)) for t in ts])
-    found = df.agg(F.count_if(least != most).alias("conflicts"), F.count_if(present > 1).alias("overlap"), F.count_if(infinite).alias("infinite")).first()
+    raw = [F.col(c).cast("double") for c in clocks]
+    ts = [F.when(~F.isnan(t), t) for t in raw]
+    before = [F.coalesce(*ts[:k]) for k in range(1, len(ts))]
+    either = lambda parts: reduce(lambda a, b: a | b, parts, F.lit(False))
+    differ = either([F.coalesce(t != b, F.lit(False)) for t, b in zip(ts[1:], before, strict=True)])
+    infinite = either([F.coalesce(F.abs(t) == float("inf"), F.lit(False)) for t in ts])
+    shared = [F.count_if(t.isNotNull() & b.isNotNull()).alias(f"s{k}") for k, (t, b) in enumerate(zip(ts[1:], before, strict=True))]
+    found = df.agg(F.count_if(differ).alias("conflicts"), F.count_if(infinite).alias("infinite"), *shared).first()
     if found["infinite"]:
         raise ValueError(f"{found['infinite']} rows with an infinite timestamp")
     if found["conflicts"]:
-        rows = [r[0] for r in df.where(least != most).select(record).orderBy(record).limit(5).collect()] if record else []
+        rows = [r[0] for r in df.where(differ).select(record).orderBy(record).limit(5).collect()] if record else []
         raise ValueError(f"{found['conflicts']} rows whose clocks differ" + (f", first {rows}" if rows else ""))
-    if len(ts) > 1 and not found["overlap"]:
-        raise ValueError("clocks never overlap")
+    if alone := [clocks[k + 1] for k in range(len(shared)) if not found[f"s{k}"]]:
+        raise ValueError(f"clocks never overlap: {alone[0]} with those before it")
     return df.withColumn(out, finite(F.coalesce(*ts))).drop(*[c for c in clocks if c != out])
 
 

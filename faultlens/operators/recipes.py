@@ -96,7 +96,7 @@ def calculate(records: DataFrame, recipes: list[dict], window_seconds: int, min_
     computed = cells.select(*COHORT, "window_end", F.explode(F.array_compact(F.array(*parts))).alias("c")).select(*COHORT, "window_end", "c.*")
     good = plan.where("status = 'ok'").select(*COHORT, "j")
     computed = computed.join(good, [*COHORT, "j"], "left_semi")
-    identity = F.concat_ws("|", *COHORT, "feature_name")
+    identity = F.to_json(F.array(*COHORT, "feature_name"))
     features = computed.select(
         "system_id", "entity_id", F.left(F.sha2(identity, 256), F.lit(24)).alias("series_id"), "feature_name", "dimensions", "window_end", "value", "unit", "target_status"
     )

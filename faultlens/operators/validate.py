@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,27 +58,31 @@ def sample_quality(records: DataFrame) -> DataFrame:
 def validate(records: DataFrame) -> tuple[DataFrame, dict]:
     """Clean records (one row a sample, missing values NULL) and a quality summary; raises on a broken contract."""
     require(records, METRIC_REQUIRED)
-    if records.isEmpty():
-        raise ValueError("no metric rows")
     r = records.withColumn("timestamp", F.col("timestamp").cast("double")).withColumn("value", F.col("value").cast("double"))
     r = r.withColumn("cadence_seconds", F.col("cadence_seconds").cast("double"))
     bad_time = finite(F.col("timestamp")).isNull() | (F.coalesce(finite(F.col("cadence_seconds")), F.lit(0.0)) <= 0)
-    identity = [blank(c) for c in ("system_id", "entity_id", "series_id", "metric")]
-    found = r.agg(
-        F.count("*").alias("rows"), F.count_if(identity[0] | identity[1] | identity[2] | identity[3]).alias("identity"), F.count_if(bad_time).alias("time"),
+    identity = reduce(lambda a, b: a | b, [blank(c) for c in ("system_id", "entity_id", "series_id", "metric", "dimensions")])
+    rows = r.agg(
+        F.count("*").alias("rows"), F.count_if(identity).alias("identity"), F.count_if(bad_time).alias("time"),
         F.count_if(~F.coalesce(F.col("kind"), F.lit("")).isin(KINDS)).alias("kind"), F.count_if(finite(F.col("value")).isNull()).alias("nonfinite"),
-    ).first()
+    )
+    twice = duplicates(r).agg(F.sum(F.col("rows") - 1).alias("extra"), F.count_if("conflict").alias("conflicts"))
+    series = sample_quality(r).agg(F.sum("resets").alias("resets"), F.sum("long_gaps").alias("gaps"), F.count("*").alias("series"))
+    # One action for all checks: each gives a row of counters.
+    counted = [metadata_conflicts(r).agg(F.count("*").alias("changing")), rows, twice, series]
+    named = [d.select(F.explode(F.create_map(*[x for c in d.columns for x in (F.lit(c), F.coalesce(F.col(c), F.lit(0)).cast("long"))])).alias("what", "n")) for d in counted]
+    found = {x["what"]: x["n"] for x in reduce(DataFrame.union, named).collect()}
+    if not found["rows"]:
+        raise ValueError("no metric rows")
     for what, why in (("identity", "blank identity"), ("time", "bad timestamp or cadence"), ("kind", f"kind must be one of {KINDS}")):
         if found[what]:
             raise ValueError(f"{why} in {found[what]} rows")
-    if not metadata_conflicts(r).isEmpty():
+    if found["changing"]:
         raise ValueError("metadata change within a series")
-    twice = duplicates(r).agg(F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).alias("extra"), F.count_if("conflict").alias("conflicts")).first()
-    if twice["conflicts"]:
-        raise ValueError(f"{twice['conflicts']} samples have differing values")
+    if found["conflicts"]:
+        raise ValueError(f"{found['conflicts']} samples have differing values")
     clean = r.withColumn("value", finite(F.col("value"))).dropDuplicates(SAMPLE)
-    totals = sample_quality(r).agg(F.sum("resets").alias("resets"), F.sum("long_gaps").alias("gaps"), F.count("*").alias("series")).first()
     return clean, {
-        "rows": found["rows"], "series": totals["series"], "exact_duplicates": twice["extra"], "nonfinite": found["nonfinite"],
-        "counter_resets": totals["resets"], "long_gaps": totals["gaps"],
+        "rows": found["rows"], "series": found["series"], "exact_duplicates": found["extra"], "nonfinite": found["nonfinite"],
+        "counter_resets": found["resets"], "long_gaps": found["gaps"],
     }

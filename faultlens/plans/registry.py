@@ -536,17 +536,19 @@ def unpivot_wide_case(spark, d):
     return rounded(cases.long_case(wide, [f"{f}_value" for f in fr.FIELDS], []))
 
 
-CLOCKS = """c AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN CAST(event_id AS DOUBLE) END AS t0, CASE WHEN event_id % 4 <> 0 THEN CAST(event_id AS DOUBLE) END AS t1, value AS a, value * 2 AS b FROM events)"""
+CLOCKS = """c AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN CAST(event_id AS DOUBLE) END AS t0, CASE WHEN event_id % 4 <> 0 THEN CAST(event_id AS DOUBLE) END AS t1,
+  CASE WHEN event_id % 3 = 0 THEN CAST('nan' AS DOUBLE) WHEN event_id % 7 <> 0 THEN CAST(event_id AS DOUBLE) END AS t2, value AS a, value * 2 AS b FROM events)"""
 
 
 def _clocks(spark, d):
     t = lambda n: F.when(F.col("event_id") % n != 0, F.col("event_id").cast("double").cast("string"))
-    return table(spark, d, "events").select("event_id", t(5).alias("t0"), t(4).alias("t1"), F.col("value").alias("a"), (F.col("value") * 2).alias("b"))
+    third = F.when(F.col("event_id") % 3 == 0, "NaN").otherwise(t(7))
+    return table(spark, d, "events").select("event_id", t(5).alias("t0"), t(4).alias("t1"), third.alias("t2"), F.col("value").alias("a"), (F.col("value") * 2).alias("b"))
 
 
-@query(f"WITH {CLOCKS} SELECT event_id, coalesce(t0, t1) AS time, a, b FROM c")
+@query(f"WITH {CLOCKS} SELECT event_id, coalesce(t0, t1, CASE WHEN NOT isnan(t2) THEN t2 END) AS time, a, b FROM c")
 def clock_merge(spark, d):
-    return cases.merge_equal_clocks(_clocks(spark, d), ["t0", "t1"])
+    return cases.merge_equal_clocks(_clocks(spark, d), ["t0", "t1", "t2"])
 
 
 @query(f"WITH {CLOCKS}, x AS (SELECT t0 AS time, a FROM c WHERE t0 IS NOT NULL), y AS (SELECT t1 AS time, b FROM c WHERE t1 IS NOT NULL) SELECT coalesce(x.time, y.time) AS time, a, b FROM x FULL JOIN y ON x.time = y.time")

@@ -8,10 +8,10 @@ from collections import Counter
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import finite
+from ..functions.numeric import MISSING_TEXTS, finite
 from ..operators import cases
 
 SCENARIO = re.compile(r"(?P<service>.+)_(?P<fault>cpu|mem|disk|delay|loss|socket|f[1-5])(?:_(?P<n>\d+))?")
@@ -180,7 +180,7 @@ def read_metrics(
         if raw.limit(max_rows + 1).count() > max_rows:
             raise ValueError(f"{path} has more than {max_rows} rows")
     # Positional names keep repeated headers apart.
-    raw = raw.toDF(*[f"p{i}" for i in range(len(header))]).withColumn(RECORD, F.monotonically_increasing_id() + 1)
+    raw = _with_record(raw.toDF(*[f"p{i}" for i in range(len(header))]), path)
     clocks = [i for i, n in enumerate(header) if n == "time"]
     names = {i: n for i, n in enumerate(header) if n.strip() and not n.startswith("Unnamed:") and i not in clocks}
     if len(set(names.values())) != len(names):
@@ -189,7 +189,7 @@ def read_metrics(
         raise ValueError("no time column")
     if expected_time_columns is not None and [i + 1 for i in clocks] != list(expected_time_columns):
         raise ValueError(f"time columns at {[i + 1 for i in clocks]}, not {expected_time_columns}")
-    number = lambda i: F.when(F.trim(F.col(f"p{i}").cast("string")) != "", F.col(f"p{i}")).cast("double")
+    number = lambda i: F.when(~F.trim(F.col(f"p{i}").cast("string")).isin(*MISSING_TEXTS), F.col(f"p{i}")).cast("double")
     typed = raw.select(RECORD, *[number(i).alias(f"t{i}") for i in clocks], *[number(i).alias(n) for i, n in names.items()])
     rejected, recovered = None, 0
     if duplicate_time_policy == "align_blocks":
@@ -216,6 +216,18 @@ def read_metrics(
     return clean, quality, rejected if lost else None
 
 
+def _with_record(raw: DataFrame, path: str) -> DataFrame:
+    """``raw`` with its record numbers: places in the file, whatever its splits."""
+    from . import records
+
+    if not path.endswith(".parquet"):
+        return records.numbered(records.placed(raw), RECORD).drop("__file")
+    rows = raw.select(*raw.columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    order = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("__file").count().select("__file", F.coalesce(F.sum("count").over(order), F.lit(0)).alias("__before"))  # a row for each file of the case
+    return rows.join(F.broadcast(before), "__file").withColumn(RECORD, F.col("__before") + F.col("__row") + 1).drop("__file", "__row", "__before")
+
+
 def modality_summary(spark: SparkSession, path: str | None) -> dict:
     """Columns, rows and hash of a log or trace file; these are never ranked."""
     from ..artifacts import file_sha256

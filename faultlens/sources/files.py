@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timeparse import epoch_seconds
 from ..operators.validate import within_budget
 from ..schemas import METRIC, METRIC_REQUIRED
+from . import records
 
 UNQUOTED = "\u0001"
 #: Bytes up to which a table is dealt anew; a larger one has work enough in its own splits.
@@ -59,9 +60,11 @@ def log_csv(spark: SparkSession, root: str | Path, sources: list[dict], max_rows
         encoding = "UTF-8" if encoding.lower() in ("utf-8-sig", "utf-8") else encoding
         sep = source.get("delimiter", ",")
         header = header_of(spark, str(path), sep, encoding)
-        options = {"header": True, "enforceSchema": True, "multiLine": True, "escape": '"', "emptyValue": "", "nullValue": UNQUOTED, "sep": sep, "encoding": encoding}
+        options = {"escape": '"', "emptyValue": "", "nullValue": UNQUOTED, "sep": sep}
         positional = [f"c{i}" for i in range(len(header))]
-        raw = spark.read.options(**options).schema(", ".join(f"{c} string" for c in positional)).csv(str(path))
+        # Records of several lines, of any number of splits; the first one is the header.
+        found = records.csv_records(spark, str(path), encoding).where("number > 1")
+        raw = found.select((F.col("number") - 1).alias("source_record"), F.from_csv("value", ", ".join(f"{c} string" for c in positional), options).alias("r")).select("source_record", "r.*")
         at = dict(zip(header, positional, strict=True))
         entity = source.get("entity_column")
         for needed in (source["timestamp_column"], source["text_column"], *([entity] if entity else [])):
@@ -69,15 +72,12 @@ def log_csv(spark: SparkSession, root: str | Path, sources: list[dict], max_rows
                 raise ValueError(f"{source['file']}: no column {needed}")
         zone = source.get("timezone", "Asia/Ho_Chi_Minh")
         stamp = F.col(at[source["timestamp_column"]])
-        # One file is one partition here (multiLine), so that its order gives the record numbers.
-        order = Window.partitionBy("source_file").orderBy("__i")
         rows = raw.select(
             epoch_seconds(stamp, source.get("time_unit", "iso"), zone).alias("timestamp"), F.coalesce(F.col(at[source["text_column"]]), F.lit("")).alias("text"),
             F.lit(source["system_id"]).alias("system_id"), (F.coalesce(F.col(at[entity]), F.lit("")) if entity else F.lit("system")).alias("entity_id"),
-            F.lit(path.name).alias("source_file"), F.monotonically_increasing_id().alias("__i"), F.lit(zone).alias("source_timezone"),
+            F.lit(path.name).alias("source_file"), "source_record", F.lit(zone).alias("source_timezone"),
             F.lit(source.get("cdr_service_id", "")).alias("expected_cdr_service_id"),
         )
-        rows = rows.withColumn("source_record", F.row_number().over(order).cast("long")).drop("__i")
         out = rows if out is None else out.unionByName(rows)
     out = within_budget(out, max_rows, "logs")
     if not out.where("timestamp IS NULL").isEmpty():

@@ -4,7 +4,7 @@ from faultlens.operators import logs
 from faultlens.schemas import LOG
 from faultlens.sources import files
 
-HEAD = "2026-08-24 01:00:00.155 a.b.Writer [INFO] [main] MSISDN_CHECK: 84, sessionId=[0012] createDate: 2026-08-24 01:00:00.146"
+HEAD = "2027-03-11 19:42:07.318 a.b.Writer [INFO] [main] MSISDN_CHECK: 84, sessionId=[0012] createDate: 2027-03-11 19:42:07.306"
 RAW = "CdrUtils.toRawCdr: " + ";".join(["0007"] + ["x"] * 8 + ["12.5"] + ["y"] * 12)
 WRITE = "Write cdr service id: 7000003 to file : /data/out"
 
@@ -22,7 +22,7 @@ def test_families_and_fields(spark):
     assert [e["family"] for e in (raw, write, head)] == ["cdr_raw", "cdr_write", "application_log"]
     assert (raw["call_id"], raw["resource_charge1"], raw["cdr_field_count"], raw["cdr_service_id"]) == ("0007", 12.5, 22, "7000003")
     assert (head["session_id"], head["thread"], head["level"]) == ("0012", "main", "INFO")
-    assert head["logger_create_delay_ms"] == pytest.approx(9, abs=0.1)
+    assert head["logger_create_delay_ms"] == pytest.approx(12, abs=0.1)
     assert write["output_path"] == "/data/out"
 
 
@@ -31,9 +31,9 @@ def test_statuses(spark):
     assert events(spark, f"{longer}\n{WRITE}")[0]["parse_status"] == "cdr_field_count_mismatch"
     assert events(spark, f"{RAW}\n{WRITE}", expected="7000004")[0]["parse_status"] == "cdr_service_mismatch"
     assert events(spark, RAW)[0]["parse_status"] == "cdr_schema_unknown"
-    late = HEAD.replace("00.146", "01.000")
+    late = HEAD.replace("07.306", "08.100")
     assert events(spark, late)[0]["logger_create_delay_ms"] < 0
-    assert events(spark, HEAD.replace("2026-08-24 01:00:00.155", "2026-13-24 01:00:00.155"))[0]["parse_status"] == "invalid_event_time"
+    assert events(spark, HEAD.replace("2027-03-11 19:42:07.318", "2027-13-11 19:42:07.318"))[0]["parse_status"] == "invalid_event_time"
     assert [e["family"] for e in events(spark, "who knows\n\nCustHis_Rollback")] == ["unparsed", "custhis_rollback"]
     assert [e["message"] for e in events(spark, "")] == [""]
 

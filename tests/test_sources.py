@@ -100,14 +100,19 @@ def test_frame_checks(spark, tmp_path):
 
 @pytest.fixture
 def tree(tmp_path):
-    lines = ["time,adservice_cpu,cartservice_cpu"] + [f"{t},{1 + t % 30 / 100 + 10 * (t >= 1200)},{2 + t % 30 / 100}" for t in range(0, 1801, 10)]
-    folder = tmp_path / "data/RE1-OB/RE1-OB/adservice_cpu/1"
-    case_csv(folder / "data.csv", *lines)
-    (folder / "inject_time.txt").write_text("1200")
+    """A queue that fills up from the injection on, beside two that go on as before."""
+    lines = ["time,orders_mem,payment_mem,user_mem"]
+    for k in range(160):
+        t = 7200 + 15 * k
+        full = 40 if t >= 8700 else 0
+        lines.append(f"{t},{50 + k % 7},{30 + k % 5 + full},{12 + k % 3}")
+    folder = tmp_path / "data/RE1-SS/RE1-SS/payment_mem/2"
+    case_csv(folder / "simple_data.csv", *lines)
+    (folder / "inject_time.txt").write_text("8700\n")
     return tmp_path / "data"
 
 
-EXPECTED = {"RE1-OB": ["adservice_cpu/1"]}
+EXPECTED = {"RE1-SS": ["payment_mem/2"]}
 ANALYSIS = {"analysis": {"window_seconds": 60, "min_reference_points": 5}}
 
 
@@ -117,21 +122,21 @@ def test_benchmark_end_to_end(spark, tree, tmp_path):
     manifest = json.loads((tmp_path / "run/manifest.json").read_text())
     assert manifest["files"]["inventory.json"] == file_sha256(tmp_path / "run/inventory.json")
     found = spark.read.parquet(str(tmp_path / "run/evidence.parquet"))
-    assert {(r["lo"] > 1200, r["hi"] <= 1800) for r in found.selectExpr("min(peak_window_end) lo", "max(peak_window_end) hi").collect()} == {(True, True)}
+    assert {(r["lo"] > 8700, r["hi"] <= 9585) for r in found.selectExpr("min(peak_window_end) lo", "max(peak_window_end) hi").collect()} == {(True, True)}
     with pytest.raises(FileExistsError):
         flows.run_benchmark(spark, ANALYSIS, tmp_path / "run", tree, EXPECTED)
 
 
 def test_inventory_gate(spark, tree, tmp_path):
     with pytest.raises(ValueError, match="missing"):
-        corpus.inventory(spark, tree, {"RE1-OB": ["adservice_cpu/1", "adservice_cpu/2"]})
+        corpus.inventory(spark, tree, {"RE1-SS": ["payment_mem/2", "payment_mem/3"]})
     with pytest.raises(ValueError, match="unknown"):
         corpus.inventory(spark, tree, EXPECTED, ["RE9"])
     with pytest.raises(ValueError, match="unexpected"):
-        corpus.inventory(spark, tree, {"RE1-OB": []})
+        corpus.inventory(spark, tree, {"RE1-SS": []})
     rows = flows.preflight(spark, ANALYSIS, tmp_path / "pre", tree, EXPECTED)
     assert [r["status"] for r in rows] == ["READY"]
-    (tree / "RE1-OB/RE1-OB/adservice_cpu/1/inject_time.txt").write_text("5000")
+    (tree / "RE1-SS/RE1-SS/payment_mem/2/inject_time.txt").write_text("99000")
     assert flows.preflight(spark, ANALYSIS, tmp_path / "pre2", tree, EXPECTED)[0]["status"] == "ERROR"
 
 
