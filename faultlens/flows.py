@@ -127,7 +127,7 @@ def run_internal(
         clean, quality = validate.validate(records)
         clean = artifacts.write_parquet(clean, folder, "metrics")
         artifacts.write_json(folder / "metric_quality.json", quality)
-        artifacts.write_csv(profile.distribution(clean, ["system_id", "series_id"]), folder, "raw_distribution")
+        artifacts.write_csv(profile.distribution(clean, ["system_id", "series_id"], large=True), folder, "raw_distribution")
         rows = windowing.resample(clean, w, settings.min_coverage_ratio)
         if config.get("feature_calculation", {}).get("enabled"):
             spec = config["feature_calculation"].get("recipes") or recipes.shipped()

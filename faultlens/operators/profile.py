@@ -9,28 +9,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import at_quantiles, average_rank, finite, pearson
+from .quantiles import beside, quantiles
 
 QUANTILES = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 LEAST_PAIRS = 5
 
 
-def distribution(rows: DataFrame, by: list[str], reference=None) -> DataFrame:
-    """Summary of each feature; fences are fitted on ``reference`` rows (all, if none is given) and applied to all."""
+def distribution(rows: DataFrame, by: list[str], reference=None, large: bool = False) -> DataFrame:
+    """Summary of each feature; fences are fitted on ``reference`` rows (all, if none is given) and applied to all.
+
+    large: groups of raw samples or records, of any size, whose quantiles need more passes and no buffer. Without it a
+    group is what a feature has in its windows, of which one aggregation holds the distinct values.
+    """
     raw = F.col("value").cast("double")
     rows = rows.withColumn("v", finite(raw)).withColumn("inf", F.abs(raw) == float("inf"))
     base = F.col("v") if reference is None else F.when(reference, F.col("v"))
-    fences = rows.groupBy(*by).agg(at_quantiles(base, 0.25, 0.75).alias("f"))
-    spread = F.col("f")[1] - F.col("f")[0]
-    fences = fences.select(*by, (F.col("f")[0] - 1.5 * spread).alias("iqr_lower"), (F.col("f")[1] + 1.5 * spread).alias("iqr_upper"))
     v, n = F.col("v"), F.count("v")
-    out = rows.join(fences, by).groupBy(*by).agg(
-        n.alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), at_quantiles(v, *QUANTILES.values()).alias("q"), F.max(v).alias("max"),
+    if large:
+        found = quantiles(rows, by, {"q1": (base, 0.25), "q3": (base, 0.75), **{k: (v, q) for k, q in QUANTILES.items()}})
+        later = [F.first(k).alias(k) for k in QUANTILES]
+    else:
+        found = rows.groupBy(*by).agg(at_quantiles(base, 0.25, 0.75).alias("f")).withColumn("q1", F.col("f")[0]).withColumn("q3", F.col("f")[1])
+        later = [at_quantiles(v, *QUANTILES.values()).alias("q")]
+    spread = F.col("q3") - F.col("q1")
+    found = found.withColumn("iqr_lower", F.col("q1") - 1.5 * spread).withColumn("iqr_upper", F.col("q3") + 1.5 * spread)
+    out = beside(rows, found, by, ["iqr_lower", "iqr_upper", *(QUANTILES if large else [])]).groupBy(*by).agg(
+        n.alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.avg(v.isNull().cast("double")).alias("missing_ratio"), F.count_distinct(v).alias("unique_count"), F.count_if(v.isNull()).alias("missing_count"),
-        F.try_divide(F.count_if(v == 0).cast("double"), n).alias("zero_ratio"), (F.count_distinct(v) == 1).alias("constant"), (n == 0).alias("all_missing"),
+        F.try_divide(F.count_if(v == 0).cast("double"), n).alias("zero_ratio"), (F.min(v) == F.max(v)).alias("same"), (n == 0).alias("all_missing"),
         F.count_if("inf").alias("infinite_count"), F.first("iqr_lower").alias("iqr_lower"), F.first("iqr_upper").alias("iqr_upper"),
-        F.count_if((v < F.col("iqr_lower")) | (v > F.col("iqr_upper"))).alias("iqr_outlier_count"),
+        F.count_if((v < F.col("iqr_lower")) | (v > F.col("iqr_upper"))).alias("iqr_outlier_count"), *later,
     )
-    return out.withColumns({k: F.col("q")[i] for i, k in enumerate(QUANTILES)}).drop("q")
+    out = out.withColumn("constant", F.coalesce("same", F.lit(False))).drop("same")
+    return out if large else out.withColumns({k: F.col("q")[i] for i, k in enumerate(QUANTILES)}).drop("q")
 
 
 def contrast(rows: DataFrame, by: list[str], reference) -> DataFrame:

@@ -326,7 +326,7 @@ def distribution_summary(spark, d):
 SELECT g.entity_id, round(any_value(q1 - 1.5 * (q3 - q1)), 9) AS iqr_lower, round(any_value(q3 + 1.5 * (q3 - q1)), 9) AS iqr_upper,
 count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS iqr_outlier_count FROM g JOIN fe USING (entity_id) GROUP BY ALL""")
 def iqr_fences(spark, d):
-    return rounded(profile.distribution(fr.gauge(spark, d), ["entity_id"]).select("entity_id", "iqr_lower", "iqr_upper", "iqr_outlier_count"))
+    return rounded(profile.distribution(fr.gauge(spark, d), ["entity_id"], large=True).select("entity_id", "iqr_lower", "iqr_upper", "iqr_outlier_count"))
 
 
 def _half(p: str, op: str) -> str:
@@ -380,7 +380,7 @@ def log_coverage(spark, d):
 
 @query(f"WITH {fr.LOGS}, x AS (SELECT length(head || tail) AS v FROM lg) SELECT 'shop' AS system_id, count(v) AS count, round(avg(v), 9) AS mean, CAST(min(v) AS DOUBLE) AS min, CAST(max(v) AS DOUBLE) AS max, quantile_cont(CAST(v AS DOUBLE), 0.5) AS p50, quantile_cont(CAST(v AS DOUBLE), 0.95) AS p95 FROM x")
 def text_length(spark, d):
-    return rounded(profile.distribution(profile.text_lengths(fr.logs(spark, d)), ["system_id"]).select("system_id", "count", "mean", "min", "max", "p50", "p95"))
+    return rounded(profile.distribution(profile.text_lengths(fr.logs(spark, d)), ["system_id"], large=True).select("system_id", "count", "mean", "min", "max", "p50", "p95"))
 
 
 @query(f"WITH {fr.LOGS}, x AS (SELECT entity_id, t, head || tail AS text FROM lg UNION ALL SELECT entity_id, t, head || tail FROM lg WHERE event_id % 10 = 0) SELECT 'shop' AS system_id, count(*) AS rows, count(*) FILTER (WHERE trim(text) = '') AS blank_messages, count(*) - count(DISTINCT (entity_id, t, text)) AS exact_duplicates FROM x")

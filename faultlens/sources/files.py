@@ -20,7 +20,7 @@ SMALL = 1 << 30
 def spread(df: DataFrame, limit: int = SMALL) -> DataFrame:
     """``df`` dealt over all cores, before work that keeps a core busy for each row, if its files have fewer splits than there are cores and at most ``limit`` bytes."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= limit and df.rdd.getNumPartitions() < cores else df
 
 

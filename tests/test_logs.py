@@ -57,11 +57,11 @@ def test_silent_windows_stay_absent(spark):
 
 
 def test_log_csv(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('﻿@timestamp,message\n"Aug 24, 2026 @ 01:00:00.146","one\ntwo ""x"""\n2026-10-09T07:00:00,\n', encoding="utf-8")
+    (tmp_path / "a.csv").write_text('﻿@timestamp,message\n"Mar 11, 2027 @ 19:42:07.306","one\ntwo ""x"""\n2027-03-12T07:30:00,\n', encoding="utf-8")
     source = {"file": "a.csv", "system_id": "s", "timestamp_column": "@timestamp", "text_column": "message"}
     rows = files.log_csv(spark, tmp_path, [source]).orderBy("source_record").collect()
     assert [r["source_record"] for r in rows] == [1, 2] and rows[0]["text"] == 'one\ntwo "x"' and rows[1]["text"] == ""
-    assert rows[1]["timestamp"] == 1791504000.0  # 07:00 in UTC+7
+    assert rows[1]["timestamp"] == 1804811400.0  # 07:30 in UTC+7
     with pytest.raises(ValueError, match="outside"):
         files.log_csv(spark, tmp_path, [source | {"file": "../b.csv"}])
     with pytest.raises(ValueError, match="no column"):
