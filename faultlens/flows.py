@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import artifacts
-from .operators import cases, logs, models, profile, ranking, recipes, relate, scoring, validate, windowing
+from .operators import cases, logs, models, plots, profile, ranking, recipes, relate, scoring, validate, windowing
 from .schemas import COHORT, ENTITY, FEATURE_KEY, Modality
 from .settings import METHODS, AnalysisSettings, RuntimeSettings
 from .sources import case_scan, corpus, files, range_api
@@ -68,8 +68,14 @@ def profiles(grid: DataFrame, is_reference, settings: AnalysisSettings, folder:
     for scope, mask in (("reference", is_reference), ("current", ~is_reference)):
         own = rows.where(mask)
         artifacts.write_csv(profile.pair_counts(own, ENTITY, "feature"), folder, f"{scope}_pair_counts")
-        artifacts.write_csv(profile.correlation_matrix(own, ENTITY, "feature"), folder, f"{scope}_correlation")
+        matrix = profile.correlation_matrix(own, ENTITY, "feature")
+        artifacts.write_csv(matrix, folder, f"{scope}_correlation")
+        if settings.eda_max_visual_entities:
+            artifacts.write_csv(plots.heat_map(matrix, plots.chosen(rows, "feature", settings.eda_max_visual_entities, 20), ENTITY, "feature"), folder, f"plots/{scope}_heat_map")
     artifacts.write_csv(profile.histogram(grid, FEATURE_KEY), folder, "histogram")
+    if settings.eda_max_visual_entities:
+        shown = plots.chosen(named, "feature", settings.eda_max_visual_entities, settings.eda_max_visual_features)
+        artifacts.write_csv(plots.timeline(named.join(shown, [*ENTITY, "feature"]), [*ENTITY, "feature", "label"]), folder, "plots/timeline")
 
 
 def _by_entity():
@@ -94,11 +100,19 @@ def relationship_report(features: DataFrame, config: dict, reference_end: float,
     pairs = artifacts.write_parquet(pairs, folder, "correlations")
     artifacts.write_csv(pairs, folder, "correlations", grows=True)
     artifacts.write_csv(relate.correlation_change(pairs), folder, "correlation_changes")
+    artifacts.write_csv(plots.timeline(grid, [*COHORT, "feature_name"]), folder, "plots/timeline")
+    period = F.when(F.col("window_end") <= reference_end, "reference").otherwise("current").alias("period")
+    if len(fields) > 1:
+        artifacts.write_csv(plots.scatter(plots.paired(grid.withColumn("period", period), [*COHORT, "period"], fields), [*COHORT, "period", "left", "right"]), folder, "plots/scatter")
+        artifacts.write_csv(plots.lag_curves(pairs, fields), folder, "plots/lag_curves")
     wide = relate.wide_fields(grid, fields)
     decided = [relate.evaluate_rule(wide, r, reference_end, config.get("min_reference_points", 20)) for r in rules]
     out = reduce(DataFrame.unionByName, decided) if decided else None
     if out is not None:
         artifacts.write_csv(out, folder, "decisions", grows=True)
+        artifacts.write_csv(plots.thresholds(out), folder, "plots/thresholds")
+    status.unpersist()
+    grid.unpersist()
     return out
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, window_end
 from ..functions.timeparse import epoch_seconds
-from ..operators import cases, logs, models, profile, ranking, recipes, relate, scoring, validate, windowing
+from ..operators import cases, logs, models, plots, profile, ranking, recipes, relate, scoring, validate, windowing
 from ..schemas import COHORT, ENTITY, FEATURE_KEY
 from ..sources import range_api
 from . import frames as fr
@@ -370,6 +370,37 @@ def histogram(spark, d):
     return rounded(profile.histogram(fr.counts(spark, d), ["feature_name"]))
 
 
+# Plot data
+
+
+@query(f"""WITH {fr.GAUGE}, s AS (SELECT entity_id, CAST(floor(t) AS BIGINT) AS a, v FROM g WHERE v IS NOT NULL), e AS (SELECT entity_id, min(a) AS lo, max(a) AS hi FROM s GROUP BY ALL),
+b AS (SELECT s.*, CAST(least(39, ((a - lo) * 40) // greatest(hi - lo, 1)) AS INTEGER) AS bucket FROM s JOIN e USING (entity_id))
+SELECT entity_id, bucket, min(a) AS first_at, max(a) AS last_at, {r('"first" "last" least largest')}, n FROM (SELECT entity_id, bucket, a, min(a) OVER w AS m, max(a) OVER w AS x, first_value(v) OVER (PARTITION BY entity_id, bucket ORDER BY a, v) AS "first",
+first_value(v) OVER (PARTITION BY entity_id, bucket ORDER BY a DESC, v) AS "last", min(v) OVER w AS least, max(v) OVER w AS largest, count(*) OVER w AS n FROM b WINDOW w AS (PARTITION BY entity_id, bucket)) GROUP BY entity_id, bucket, "first", "last", least, largest, n""")
+def plot_timeline(spark, d):
+    return rounded(plots.timeline(fr.gauge(spark, d), ["entity_id"], 40, "timestamp"))
+
+
+def _bin(c, bins):
+    return f"CAST(least({bins - 1}, coalesce(floor(({c} - {c}_lo) / nullif(({c}_hi - {c}_lo) / {bins}, 0)), 0)) AS INTEGER)"
+
+
+@query(f"""WITH {fr.COUNTS}, w AS (SELECT window_end, max(value) FILTER (WHERE feature_name = 'click') AS a, max(value) FILTER (WHERE feature_name = 'error') AS b, max(value) FILTER (WHERE feature_name = 'purchase') AS c FROM f GROUP BY ALL),
+p AS (SELECT 'click' AS l, 'error' AS r, a AS x, b AS y FROM w UNION ALL SELECT 'click', 'purchase', a, c FROM w UNION ALL SELECT 'error', 'purchase', b, c FROM w), q AS (SELECT * FROM p WHERE x IS NOT NULL AND y IS NOT NULL),
+e AS (SELECT l, r, min(x) AS x_lo, max(x) AS x_hi, min(y) AS y_lo, max(y) AS y_hi FROM q GROUP BY ALL), b AS (SELECT q.*, e.* EXCLUDE (l, r), {_bin('x', 8)} AS x_bin, {_bin('y', 8)} AS y_bin FROM q JOIN e USING (l, r))
+SELECT 'shop' AS system_id, l AS "left", r AS "right", x_bin, y_bin, count(*) AS n, round(any_value(x_lo + x_bin * ((x_hi - x_lo) / 8)), 6) AS x_start, round(any_value(y_lo + y_bin * ((y_hi - y_lo) / 8)), 6) AS y_start FROM b GROUP BY ALL""")
+def plot_scatter(spark, d):
+    fields = ["click", "error", "purchase"]
+    return rounded(plots.scatter(plots.paired(fr.counts(spark, d), ["system_id"], fields), ["system_id", "left", "right"], 8))
+
+
+@query(f"""WITH {CORRELATED}, nu AS (SELECT *, row_number() OVER (ORDER BY feature_name) AS i FROM (SELECT DISTINCT feature_name FROM f)), t AS (SELECT * FROM co UNION ALL SELECT system_id, entity_id, "right", "left", n, pearson, spearman FROM co)
+SELECT system_id, entity_id, "left", "right", n, pearson, spearman, CAST(a.i AS INTEGER) AS left_number, CAST(b.i AS INTEGER) AS right_number FROM t JOIN nu a ON a.feature_name = "left" JOIN nu b ON b.feature_name = "right" WHERE a.i <= 4 AND b.i <= 4""")
+def plot_heat_map(spark, d):
+    rows = fr.counts(spark, d)
+    return rounded(plots.heat_map(profile.correlation_matrix(rows, ENTITY), plots.chosen(rows, "feature_name", 1, 4), ENTITY))
+
+
 # Logs
 
 
@@ -478,6 +509,16 @@ def rule_threshold_quantile(spark, d):
     return rounded(relate.evaluate_rule(relate.wide_fields(_count_grid(spark, d), fr.FIELDS), rule, REFERENCE_END, 5).drop("timestamp_utc"))
 
 
+@query(f"""WITH de AS ({_rule_sql("gap", "CASE WHEN a > 0 THEN abs(a - b) / a END", "CASE WHEN count(value) FILTER (WHERE NOT cur) >= 5 THEN quantile_cont(value, 0.6) FILTER (WHERE NOT cur) END", "reference_quantile", "relative_gap", "upper", 2, "purchase")}),
+en AS (SELECT dimensions, min(window_end) AS lo, max(window_end) AS hi FROM de GROUP BY ALL), bu AS (SELECT de.*, CAST(least(24, ((window_end - lo) * 25) // greatest(hi - lo, 1)) AS INTEGER) AS bucket,
+list_position(['reference', 'within_threshold', 'unknown', 'watch', 'anomaly_candidate'], status) AS k FROM de JOIN en USING (dimensions))
+SELECT system_id, entity_id, dimensions, rule, bucket, count(*) AS n, min(value) AS least, max(value) AS largest, any_value(threshold) AS threshold, arg_max(status, k) AS status, min(window_end) FILTER (WHERE k = top) AS status_at
+FROM (SELECT *, max(k) OVER (PARTITION BY dimensions, bucket) AS top FROM bu) GROUP BY system_id, entity_id, dimensions, rule, bucket""")
+def plot_thresholds(spark, d):
+    rule = {"name": "gap", "left": "click", "right": "purchase", "operation": "relative_gap", "quantile": 0.6, "consecutive_windows": 2}
+    return rounded(plots.thresholds(relate.evaluate_rule(relate.wide_fields(_count_grid(spark, d), fr.FIELDS), rule, REFERENCE_END, 5), 25))
+
+
 @query(_rule_sql("low", "CASE WHEN b > 0 THEN a / b END", "CAST(1.0 AS DOUBLE)", "fixed", "ratio", "lower", 3, "purchase"))
 def rule_fixed(spark, d):
     rule = {"name": "low", "left": "click", "right": "purchase", "operation": "ratio", "threshold_mode": "fixed", "threshold": 1.0, "direction": "lower"}
@@ -510,6 +551,12 @@ def lag_correlation(spark, d):
     return rounded(_lagged(spark, d))
 
 
+@query(f"""WITH {LAGGED} SELECT system_id, entity_id, dimensions, "left", "right", period, lag_windows, n_pairs, {r("pearson")} FROM lc
+WHERE ("left", "right") IN (('click', 'error'), ('click', 'purchase'), ('click', 'signup'), ('click', 'view'), ('error', 'purchase'), ('error', 'signup'))""")
+def plot_lag_curves(spark, d):
+    return rounded(plots.lag_curves(_lagged(spark, d), fr.FIELDS))
+
+
 @query(f"""WITH {LAGGED}, z0 AS (SELECT * FROM lc WHERE lag_windows = 0) SELECT a.system_id, a.entity_id, a.dimensions, a."left", a."right", a.n_pairs AS reference_n_pairs, b.n_pairs AS current_n_pairs,
 round(a.pearson, 6) AS reference_pearson, round(b.pearson, 6) AS current_pearson, round(a.spearman, 6) AS reference_spearman, round(b.spearman, 6) AS current_spearman,
 round(b.pearson - a.pearson, 6) AS pearson_change, round(b.spearman - a.spearman, 6) AS spearman_change FROM z0 a JOIN z0 b ON a.dimensions = b.dimensions AND a."left" = b."left" AND a."right" = b."right" AND a.period = 'reference' AND b.period = 'current'""")
