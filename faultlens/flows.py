@@ -39,8 +39,11 @@ def analyze(features: DataFrame, reference_end: float | DataFrame, settings: Ana
             return None
         plain = [m for m in settings.methods if m in scoring.PLAIN_METHODS]
         slow = [m for m in settings.methods if m not in scoring.PLAIN_METHODS]
-        more = (lambda f: models.model_peaks(f, reference_end, slow, settings.pca_components, settings.forest_trees, settings.forest_samples, settings.random_seed)) if slow else None
         filled = scoring.imputed(grid, eligible)
+        # Models are written and applied as they were written.
+        stored = models.fit_models(filled, reference_end, slow, settings.pca_components, settings.forest_trees, settings.forest_samples, settings.random_seed)
+        stored = {m: artifacts.write_parquet(df, folder, f"model_{m}") for m, df in stored.items()}
+        more = (lambda f: models.apply_models(f, reference_end, stored, settings.pca_components, settings.forest_samples)) if slow else None
         artifacts.write_parquet(filled.where(is_reference), folder, "reference", ENTITY)
         artifacts.write_parquet(scoring.fitted(filled, reference_end), folder, "model")
         found = scoring.evidence(grid, reference_end, settings.min_reference_points, settings.min_coverage_ratio, plain, more)

@@ -68,14 +68,64 @@ def test_missing_current_never_scores(spark):
     assert one(found) == one(again)
 
 
-def test_forest_and_residuals():
+def walked(value, tree):
+    node = 0
+    while tree["cut"][node] is not None:
+        node = 2 * node + (1 if value <= tree["cut"][node] else 2)
+    return tree["path"][node]
+
+
+def test_models_against_plain_numpy(spark):
+    rng = np.random.default_rng(5)
+    n, end = 1100, 1100 * 60
+    base = rng.normal(size=(n + 40, 2)) @ rng.normal(size=(2, 6)) + 0.1 * rng.normal(size=(n + 40, 6))
+    base[n + 7, 2] += 9
+    columns = {f"m{j}": [None if rng.random() < 0.05 else float(v) for v in base[:, j]] for j in range(6)}
+    g = windowing.dense_grid(frame(spark, columns), 60)
+    filled = scoring.imputed(g, scoring.eligibility(g, end, 5, 0.5))
+    rows = filled.orderBy("feature_name", "window_end").collect()
+    x, seen = (np.array([[r[c] if r[c] is not None else np.nan for r in rows if r["feature_name"] == m] for m in sorted(columns)], dtype=float).T for c in ("x", "value"))
+    ref, cur = x[:n], x[n:]
+    centre = np.median(ref, axis=0)
+    spread = np.maximum(ref.std(axis=0), np.maximum(abs(centre) * 1e-6, 1e-9))
+    main = np.linalg.svd(np.clip((ref - centre) / spread, -100, 100)[:: n // 512], full_matrices=False)[2][:2]
+    t = (cur - centre) / spread
+    want = np.where(np.isnan(seen[n:]), np.nan, abs(t - t @ main.T @ main))
+    stored = models.fit_models(filled, end, ["pca", "isolation_forest"], 2, 8, 64, 3)
+    got = {(r["feature_name"], r["window_end"]): r["score"] for r in models.pca_scores(filled, stored["pca"], end, 5).collect()}
+    assert len(got) == (~np.isnan(want)).sum()
+    for j, m in enumerate(sorted(columns)):
+        for i in range(40):
+            if not np.isnan(want[i, j]):
+                assert got[m, (n + i + 1) * 60] == pytest.approx(want[i, j], abs=1e-9)
+    trees = {r["feature_name"]: r for r in stored["isolation_forest"].collect()}
+    for r in models.forest_scores(filled, stored["isolation_forest"], end, 64).collect():
+        own = trees[r["feature_name"]]
+        assert len(own["trees"]) == 8 and r["score"] == pytest.approx(2 ** -(np.mean([walked(r["value"], tree) for tree in own["trees"]]) / own["norm"]), rel=1e-12)
+    for row in trees.values():
+        for tree in row["trees"]:
+            leaves = [k for k, c in enumerate(tree["cut"]) if c is None]
+            assert len(tree["cut"]) == 127 and all(c is None or lo < c for c, lo in [(tree["cut"][0], min(v for v in columns[row["feature_name"]] if v is not None))]) and leaves
+
+
+def test_stored_models_give_the_same_peaks(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    g = windowing.dense_grid(frame(spark, {k: [float(v) for v in rng.normal(size=60)] for k in "abc"}), 60)
+    filled = scoring.imputed(g, scoring.eligibility(g, 2400, 5, 0.5))
+    fitted = models.fit_models(filled, 2400, ["pca", "isolation_forest"])
+    for m, df in fitted.items():
+        df.write.parquet(str(tmp_path / m))
+    kept = {m: spark.read.parquet(str(tmp_path / m)) for m in fitted}
+    one = lambda df: sorted((r["method"], r["feature_name"], round(r["score"], 9), r["peak_window_end"]) for r in df.collect())
+    assert one(models.apply_models(filled, 2400, kept)) == one(models.model_peaks(filled.repartition(7), 2400, ["pca", "isolation_forest"]))
+
+
+def test_forest_sets_far_values_apart():
     rng = np.random.default_rng(1)
     ref = rng.normal(size=300)
-    s = models.forest_scores(ref, np.array([0.0, 8.0]), 32, 256, 1)
-    assert s[1] > 0.6 > s[0]
-    plane = rng.normal(size=(200, 1)) @ np.array([[1.0, 2.0, -1.0, 0.5]])
-    off = models.residuals(plane, np.array([[1.0, 2.0, -1.0, 0.5], [1.0, -2.0, 1.0, 3.0]]), 2)
-    assert off[0].max() < off[1].max()
+    trees = [dict(zip(("cut", "path"), models.grow(rng.choice(ref, 256, replace=False), 8, rng), strict=True)) for _ in range(32)]
+    near, far = (2 ** -(np.mean([walked(v, t) for t in trees]) / models.path_norm(256)) for v in (0.0, 8.0))
+    assert far > 0.6 > near
 
 
 def test_iqr_fences_come_from_the_reference(spark):
