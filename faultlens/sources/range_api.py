@@ -8,6 +8,7 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable
 
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,28 +57,56 @@ def series_id(*parts: Column) -> Column:
     return F.left(F.sha2(F.to_json(F.array(*parts)), 256), F.lit(24))
 
 
+def fault(body: str, entity_label: str) -> str | None:
+    """What is wrong with a response, or None."""
+    try:
+        answer = json.loads(body)
+        fine = answer["status"] == "success" and not answer.get("isPartial") and not answer.get("warnings") and answer["data"]["resultType"] == "matrix"
+        series = answer["data"]["result"]
+    except (ValueError, KeyError, TypeError):
+        fine = False
+    if not fine:
+        return "a response failed, is partial, has warnings or is no matrix"
+    return f"a series lacks the label {entity_label}" if any(not s["metric"].get(entity_label) for s in series) else None
+
+
+def _records(bodies: DataFrame) -> DataFrame:
+    """body, system, metric, kind, unit, cadence, label, dims (sorted names) of each response -> canonical metric records."""
+    own = ["system", "metric", "kind", "unit", "cadence", "label", "dims"]
+    series = bodies.select(*own, F.from_json("body", RESPONSE).alias("b")).select(*own, F.explode("b.data.result").alias("s")).select(*own, F.col("s.metric").alias("m"), F.col("s.values").alias("values"))
+    text = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", "$1")  # noqa: E731 (a JSON string)
+    pair = lambda k: F.concat(text(k), F.lit(":"), text(F.coalesce(F.try_element_at("m", k), F.lit(""))))
+    dimensions = F.concat(F.lit("{"), F.array_join(F.transform("dims", pair), ","), F.lit("}"))
+    labels = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("m"))))
+    rows = series.select(*own, F.try_element_at("m", F.col("label")).alias("entity_id"), dimensions.alias("dimensions"), labels.alias("labels"), F.explode("values").alias("p"))
+    return rows.select(
+        F.col("p")[0].cast("double").alias("timestamp"), finite(F.col("p")[1].cast("double")).alias("value"), F.col("system").alias("system_id"), "entity_id",
+        series_id(F.col("system"), F.col("metric"), F.col("labels")).alias("series_id"), "metric", "kind", "unit", F.col("cadence").alias("cadence_seconds"), "dimensions", "labels",
+    )
+
+
+SPEC = "request int, system string, metric string, kind string, unit string, cadence double, label string, dims array<string>"
+
+
+def _spec(request: int, system: str, metric: dict, entity_label: str, cadence_seconds: float) -> tuple:
+    return request, system, metric["name"], metric["kind"], metric.get("unit", ""), float(cadence_seconds), entity_label, sorted(metric.get("comparison_dimensions", []))
+
+
 def decode(bodies: DataFrame, system: str, metric: dict, entity_label: str, cadence_seconds: float) -> DataFrame:
     """Column ``body`` of response texts to canonical metric records; raises on a failed or partial response."""
     parsed = bodies.select(F.from_json("body", RESPONSE).alias("b")).select("b.*")
-    bad = parsed.where(
-        ~F.coalesce((F.col("status") == "success") & ~F.coalesce("isPartial", F.lit(False)) & (F.coalesce(F.size("warnings"), F.lit(0)) <= 0) & (F.col("data.resultType") == "matrix"), F.lit(False))
-    )
-    if not bad.isEmpty():
+    good = (F.col("status") == "success") & ~F.coalesce("isPartial", F.lit(False)) & (F.coalesce(F.size("warnings"), F.lit(0)) <= 0) & (F.col("data.resultType") == "matrix")
+    entity = lambda s: F.coalesce(F.try_element_at(s["metric"], F.lit(entity_label)), F.lit(""))
+    bare = F.coalesce(F.exists("data.result", lambda s: entity(s) == ""), F.lit(False))
+    found = parsed.agg(F.count_if(~F.coalesce(good, F.lit(False))).alias("bad"), F.count_if(bare).alias("bare")).first()
+    if found["bad"]:
         raise ValueError("a response failed, is partial, has warnings or is no matrix")
-    series = parsed.select(F.explode("data.result").alias("s")).select("s.*")
-    entity = F.try_element_at("metric", F.lit(entity_label))
-    if not series.where(entity.isNull() | (entity == "")).isEmpty():
+    if found["bare"]:
         raise ValueError(f"a series lacks the label {entity_label}")
-    names = sorted(metric.get("comparison_dimensions", []))
-    quoted = lambda k: F.concat(F.lit(json.dumps(k) + ":"), F.to_json(F.array(F.coalesce(F.try_element_at("metric", F.lit(k)), F.lit("")))))
-    inner = F.concat_ws(",", *[F.regexp_replace(quoted(k), r"\[(.*)\]$", "$1") for k in names]) if names else F.lit("")
-    labels = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("metric"))))
-    rows = series.select(entity.alias("entity_id"), F.concat(F.lit("{"), inner, F.lit("}")).alias("dimensions"), labels.alias("labels"), F.explode("values").alias("p"))
-    return rows.select(
-        F.col("p")[0].cast("double").alias("timestamp"), finite(F.col("p")[1].cast("double")).alias("value"), F.lit(system).alias("system_id"), "entity_id",
-        series_id(F.lit(system), F.lit(metric["name"]), F.col("labels")).alias("series_id"), F.lit(metric["name"]).alias("metric"), F.lit(metric["kind"]).alias("kind"),
-        F.lit(metric.get("unit", "")).alias("unit"), F.lit(float(cadence_seconds)).alias("cadence_seconds"), "dimensions", "labels",
-    )
+    names = [c.split()[0] for c in SPEC.split(", ")][1:]
+    values = _spec(0, system, metric, entity_label, cadence_seconds)[1:]
+    lit = lambda v: F.lit(v) if not isinstance(v, list) else F.array(*map(F.lit, v)).cast("array<string>")
+    return _records(bodies.select("body", *[lit(v).alias(n) for n, v in zip(names, values, strict=True)]))
 
 
 def get_json(url: str, authorization: str | None = None, timeout_seconds: float = 60) -> str:
@@ -90,15 +119,8 @@ def range_url(base: str, query: str, start: float, end: float, step: int) -> str
     return base.rstrip("/") + "/api/v1/query_range?" + urllib.parse.urlencode({"query": query, "start": start, "end": end, "step": step, "deny_partial_response": 1})
 
 
-def export(
-    spark: SparkSession, config: dict, api_url: str, start: float, end: float, authorization: str | None = None, transport: Callable[[str, str | None], str] = get_json,
-    max_rows: int = 500_000, raw: str | None = None,
-) -> DataFrame:
-    """Every system, metric and chunk as canonical records; all requests are rows of one frame, fetched by the executors.
-
-    ``transport(url, authorization)`` returns a response's text. The responses are written to
-    ``raw`` (a folder that all machines share) and read from there; without it they are cached.
-    """
+def requests(config: dict, api_url: str, start: float, end: float) -> tuple[list[tuple[int, str]], list[tuple]]:
+    """(spec number, url) of every system, metric and chunk, and the specs; raises on a setting that isn't right."""
     if not api_url:
         raise ValueError("the API's address is not set")
     step, chunk = config.get("step_seconds", 60), config.get("chunk_seconds", 900)
@@ -110,29 +132,67 @@ def export(
         for metric in config["metrics"]:
             text = selector(metric["name"], system.get("match_labels", {}), metric.get("match_labels"))
             asked += [(len(specs), range_url(api_url, text, a, b, step)) for a, b in spans]
-            specs.append((system["system_id"], metric))
+            specs.append(_spec(len(specs), system["system_id"], metric, metric.get("entity_label", config.get("entity_label", "pod_id")), metric.get("cadence_seconds", step)))
     if not asked:
         raise ValueError("the export is empty")
-    urls = spark.createDataFrame(asked, "request int, url string").repartition(min(len(asked), 1000))
+    return asked, specs
+
 
-    def fetch(batches):
-        import pyarrow as pa
+class RangeSource(DataSource):
+    """``spark.read.format("metric_range")``: a partition for each system, metric and chunk; rows of request, url, body.
 
-        for batch in batches:
-            bodies = [transport(u, authorization) for u in batch.column("url").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("request"), batch.column("url"), pa.array(bodies, pa.string())], ["request", "url", "body"])
+    Options: api_url, start, end, config (JSON of systems, metrics and steps), token (for the Authorization header).
+    A response that failed, is partial or lacks its label fails its task.
+    """
+
+    transport = staticmethod(get_json)
+
+    @classmethod
+    def name(cls) -> str:
+        return "metric_range"
+
+    def schema(self) -> str:
+        return "request int, url string, body string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return RangeReader(dict(self.options), type(self).transport)
+
+
+class RangeReader(DataSourceReader):
+    def __init__(self, options: dict, transport: Callable[[str, str | None], str]):
+        self.transport, self.token = transport, options.get("token")
+        self.asked, specs = requests(json.loads(options["config"]), options["api_url"], float(options["start"]), float(options["end"]))
+        self.labels = [s[6] for s in specs]
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(a) for a in self.asked]
+
+    def read(self, partition: InputPartition):
+        request, url = partition.value
+        body = self.transport(url, self.token)
+        if wrong := fault(body, self.labels[request]):
+            raise ValueError(wrong)
+        yield request, url, body
 
-    answers = urls.mapInArrow(fetch, "request int, url string, body string")
+
+def export(
+    spark: SparkSession, config: dict, api_url: str, start: float, end: float, authorization: str | None = None, transport: Callable[[str, str | None], str] = get_json,
+    max_rows: int = 500_000, raw: str | None = None,
+) -> DataFrame:
+    """Every system, metric and chunk as canonical records: one scan of the data source, fetched by the executors.
+
+    ``transport(url, authorization)`` returns a response's text. The responses are written to ``raw``
+    (a folder that all machines share) and read from there; without it, what reads the result asks anew.
+    """
+    _, specs = requests(config, api_url, start, end)
+    spark.dataSource.register(type("RangeSource", (RangeSource,), {"transport": staticmethod(transport)}))
+    options = {"api_url": api_url, "start": str(start), "end": str(end), "config": json.dumps(config), **({"token": authorization} if authorization else {})}
+    answers = spark.read.format("metric_range").options(**options).load()
     if raw:
         answers.write.parquet(raw)
         answers = spark.read.parquet(raw)
-    else:
-        answers = answers.persist()
-    out = None
-    for k, (system_id, metric) in enumerate(specs):
-        label = metric.get("entity_label", config.get("entity_label", "pod_id"))
-        rows = decode(answers.where(F.col("request") == k), system_id, metric, label, metric.get("cadence_seconds", step))
-        out = rows if out is None else out.unionByName(rows)
+    out = _records(answers.join(F.broadcast(spark.createDataFrame(specs, SPEC)), "request"))  # as many specs as the configuration names
+    out = within_budget(out, max_rows, "the export")
     if out.isEmpty():
         raise ValueError("the export is empty")
-    return within_budget(out, max_rows, "the export")
+    return out

@@ -217,6 +217,28 @@ def test_export_and_internal_flow(spark, tmp_path):
         flows.run_internal(spark, {}, tmp_path / "x", runtime, 0)
 
 
+def test_range_source_reads_each_chunk_as_a_partition(spark):
+    def transport(url, authorization):
+        assert authorization == "Bearer x"
+        name = "b" if "%7B__name__" in url or "beta" in url else "a"
+        return json.dumps({"status": "success", "data": {"resultType": "matrix", "result": [{"metric": {"pod_id": name, "zone": 'z"1'}, "values": [[0, "1"], [10, "2"]]}]}})
+
+    config = {"step_seconds": 10, "chunk_seconds": 300, "systems": [{"system_id": s, "match_labels": {"job": s}} for s in ("s1", "s2")], "metrics": [METRIC, METRIC | {"name": "beta", "kind": "counter"}]}
+    rows = range_api.export(spark, config, "http://none", 0, 900, "Bearer x", transport)
+    asked, specs = range_api.requests(config, "http://none", 0, 900)
+    assert len(specs) == 4 and len(asked) == 16
+    options = {"api_url": "http://none", "start": "0", "end": "900", "config": json.dumps(config), "token": "Bearer x"}
+    source = spark.read.format("metric_range").options(**options).load()
+    assert source.rdd.getNumPartitions() == 16 and source.select("url").distinct().count() == 16
+    assert {(r["system_id"], r["metric"], r["kind"], r["entity_id"], r["count"]) for r in rows.groupBy("system_id", "metric", "kind", "entity_id").count().collect()} == {
+        (s, m, k, e, 8) for s in ("s1", "s2") for m, k, e in (("cpu", "gauge", "a"), ("beta", "counter", "b"))
+    }
+    assert {r["dimensions"] for r in rows.collect()} == {'{"rack":"","zone":"z\\"1"}'}
+    for body, why in ((answer(isPartial=True), "partial"), ("no json", "failed"), (answer(data={"resultType": "matrix", "result": [{"metric": {}, "values": []}]}), "lacks the label")):
+        with pytest.raises(Exception, match=why):
+            range_api.export(spark, config, "http://none", 0, 900, None, lambda url, token, body=body: body)
+
+
 def test_settings_and_cli(tmp_path, monkeypatch):
     for bad in ({"window_seconds": 0}, {"min_reference_points": 4}, {"min_coverage_ratio": 0}, {"max_rows": 0}, {"forest_trees": 0}, {"methods": ["odd"]}, {"methods": []}):
         with pytest.raises(ValueError):
