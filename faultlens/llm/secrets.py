@@ -2,8 +2,8 @@
 
 The patterns give the base spans. Besides them, every long token is scored by the
 log-likelihood ratio of two first-order character models, one of random strings and
-one of ordinary identifiers, both trained from labelled samples; tokens above the
-threshold of which a base span leaves two characters or more are added as kind ``markov``. All of it is
+one of ordinary identifiers, both trained from labelled samples (made by rule, or a table that
+load_samples() reads), part of which is held out to choose the threshold; tokens from it on of which a base span leaves two characters or more are added as kind ``markov``. All of it is
 DataFrame functions within a row; there is no shuffle.
 
 Positions are code points, end exclusive. Defined results: a null text is empty and
@@ -16,8 +16,12 @@ from __future__ import annotations
 import json
 import math
 import random
+import zlib
+from bisect import bisect_left
+from dataclasses import dataclass
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, packed, unpacked, without
@@ -28,12 +32,19 @@ PATTERNS = {
     "access": (r"AKIA[A-Z0-9]+", 0, 18),
     "hex": (r"[0-9a-f]{16,}", 0, 16),  # a run of 16 and more is what [0-9a-f]+ finds there
 }
+#: The matches of ``access`` that are long enough.
+ACCESS = "AKIA[A-Z0-9]{14,}"
 KINDS = [*PATTERNS, "markov"]
 #: No two runs of these meet, so a token is a whole run.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+LEAST_TOKEN = 20
+TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_TOKEN},}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Mean log-likelihood ratio of a character, in thousandths of a nat, from which a token counts as a secret.
-THRESHOLD = 900
+#: Labelled strings that are not learned from but choose the threshold: one in so many, by a hash of the string.
+HELD_OUT = 4
+#: What an ordinary string taken for a secret costs, in secrets missed.
+FALSE_COST = 10
+#: Labelled strings that load_samples() takes at most.
+SAMPLES = 20_000
 
 #: Ordinary material of the identifier sample.
 PLAIN_WORDS = (
@@ -55,18 +66,36 @@ PLAIN_WORDS = (
 ).split()
 
 
+#: Common words of other languages, for the same.
+FOREIGN_WORDS = (
+    "adresse anfrage anzeige auftrag ausgabe beispiel benutzer bericht datei eingabe ergebnis fehler fenster gruppe kunde nachricht rechnung schnittstelle speicher verbindung verzeichnis zeitplan "
+    "acheteur affichage ajouter bibliotheque chemin commande compte connexion courrier dossier erreur facture fichier horaire langage message nombre parametre reponse utilisateur valeur "
+    "archivo busqueda cabecera cliente conexion contrasena cuenta direccion entrega factura grupo idioma mensaje nombre pantalla parametro pedido registro respuesta servidor usuario ventana"
+).split()
+# How keys of known formats begin, the letters that follow (0 to 61 of ALPHABET, or all 64) and how many.
+KEY_FORMATS = [("ghp_", 62, 36), ("sk_live_", 62, 24), ("AIza", 64, 35), ("eyJ", 64, 60), ("glpat-", 62, 20), ("npm_", 62, 36)]
+
+
 def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
-    """(string, 1 if random): random strings over the alphabets of keys; identifiers, paths and rules made of words."""
+    """(string, 1 if random): keys of several alphabets and of known formats; identifiers, paths and rules made of words of four languages."""
     rng, out = random.Random(seed), []
     for i in range(n):
         letters = [ALPHABET[:62], ALPHABET[:64], ALPHABET[:26] + ALPHABET[52:62], ALPHABET[26:62], ALPHABET[52:62] + "abcdef"][i % 5]
-        out.append(("".join(rng.choices(letters, k=rng.randint(20, 64))), 1))
-        parts = rng.choices(PLAIN_WORDS, k=rng.randint(2, 6))
-        style = i % 6
+        if i % 4 == 3:
+            front, size, length = KEY_FORMATS[i // 4 % len(KEY_FORMATS)]
+            out.append((front + "".join(rng.choices(ALPHABET[:size], k=length)), 1))
+        else:
+            out.append(("".join(rng.choices(letters, k=rng.randint(20, 64))), 1))
+        parts = rng.choices(PLAIN_WORDS if rng.random() < 0.7 else FOREIGN_WORDS, k=rng.randint(2, 6))
+        style = i % 8
         if style == 0:
             text = parts[0] + "".join(p.title() for p in parts[1:])
         elif style == 5:
             text = "".join(parts)
+        elif style == 6:
+            text = "/" + "/".join(parts) + rng.choice(["/", "/v2", "-2021", ""])
+        elif style == 7:
+            text = "-".join(p.title() for p in parts) + rng.choice(["", "=" + parts[0], "_" + str(rng.randint(1, 99))])
         else:
             text = ["_", "-", "/", "_"][style - 1].join(parts)
             text = text.upper() if style == 4 else text
@@ -76,6 +105,12 @@ def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
     return out
 
 
+def load_samples(spark: SparkSession, path: str, limit: int = SAMPLES) -> list[tuple[str, int]]:
+    """Labelled strings of a Parquet table (text, label: 1 for a secret); of more than ``limit`` rows those of the least hashes."""
+    rows = spark.read.parquet(path).where("text IS NOT NULL AND label IN (0, 1)").select("text", F.col("label").cast("int").alias("label")).distinct()
+    return [(r["text"], r["label"]) for r in rows.orderBy(F.xxhash64("text"), "text", "label").limit(limit).collect()]
+
+
 def train(samples: list[tuple[str, int]]) -> list[int]:
     """ratio[a * n + b]: thousandths of ln P(b | a, random) / P(b | a, identifier), with add-half smoothing."""
     n = len(ALPHABET)
@@ -92,6 +127,39 @@ def train(samples: list[tuple[str, int]]) -> list[int]:
     return out
 
 
+@dataclass(frozen=True)
+class Model:
+    """ratio: as train() gives it. threshold: mean ratio of a character from which a token is a secret. Both error rates are of held-out strings."""
+
+    ratio: tuple[int, ...]
+    threshold: int
+    false_positives: float
+    false_negatives: float
+
+
+def mean_ratio(text: str, ratio: tuple[int, ...]) -> float:
+    at = [ALPHABET.find(c) for c in text]
+    return sum(ratio[a * len(ALPHABET) + b] for a, b in zip(at, at[1:], strict=False)) / (len(text) - 1)
+
+
+def fit(samples: list[tuple[str, int]]) -> Model:
+    """Learns from most of the strings and chooses the threshold on the others: that of the least cost, of several the highest."""
+    held = [(t, y) for t, y in samples if zlib.crc32(t.encode()) % HELD_OUT == 0 and len(t) >= LEAST_TOKEN and all(c in ALPHABET for c in t)]
+    ratio = tuple(train([(t, y) for t, y in samples if zlib.crc32(t.encode()) % HELD_OUT]))
+    scores = [sorted(mean_ratio(t, ratio) for t, own in held if own == y) for y in (0, 1)]
+    if not all(scores):
+        raise ValueError("the labelled strings need both kinds among those held out")
+    share = lambda y, t: bisect_left(scores[y], t) / len(scores[y])  # noqa: E731 (scores below t)
+    cost = lambda t: FALSE_COST * (1 - share(0, t)) + share(1, t)
+    best = min((cost(t), -t) for t in range(0, 3000, 10))
+    return Model(ratio, -best[1], 1 - share(0, -best[1]), share(1, -best[1]))
+
+
+@lru_cache(maxsize=1)
+def default_model() -> Model:
+    return fit(labelled_samples())
+
+
 def running(values: Column, start: int, join) -> Column:
     """For each element what ``join`` makes of all before it. In blocks of about the root of the size, so that no list of all is copied for each element."""
     zero, none = F.lit(start), F.array().cast("array<int>")
@@ -141,14 +209,15 @@ def _at_least(pattern: str, group: int, least: int):
     return lambda m: F.length(F.regexp_extract(m, pattern, group)) >= least
 
 
-def scan(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, samples: list[tuple[str, int]] | None = None) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", model: Model | None = None) -> DataFrame:
     """Adds ``base`` and ``spans`` (array<struct<s,e,kind,t>>, by start, then kind as listed) to every row."""
-    model = F.from_json(F.lit(json.dumps(train(samples or labelled_samples()))), "array<int>")
+    own = model or default_model()
+    table = F.from_json(F.lit(json.dumps(own.ratio)), "array<int>")
     t = F.coalesce(F.col(text), F.lit(""))
     found = {}
     for kind, (pattern, group, least) in PATTERNS.items():
         found[kind] = _spans(t, pattern, kind, _at_least(pattern, group, least))
-    found["markov"] = _spans(t, TOKEN, "markov", lambda m: ratio(m, model) >= threshold)
+    found["markov"] = _spans(t, TOKEN, "markov", lambda m: ratio(m, table) >= own.threshold)
     order = F.array(*map(F.lit, KINDS))
     rank = lambda x: F.array_position(order, x["kind"])
 
@@ -157,8 +226,11 @@ def scan(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, sample
         return F.transform(F.array_sort(keyed), lambda x: F.struct(x["s"], x["e"], x["kind"], x["t"]))
 
     out = without(docs, ["base", "spans"]).withColumns({f"__{k}": v for k, v in found.items()}).withColumn("base", ordered(F.concat(*[f"__{k}" for k in PATTERNS])))
-    # One character beside a base span is no pair of characters, so the model says nothing of it.
-    clear = F.filter("__markov", lambda x: ~F.exists(F.col("base"), lambda b: F.least(b["e"], x["e"]) - F.greatest(b["s"], x["s"]) >= x["e"] - x["s"] - 1))
+    # One character that the base spans of a kind leave is no pair of characters, so the model says nothing of it.
+    # Runs of the other two kinds lie within a token or not at all: its own text tells what they leave.
+    assigned = lambda x: F.exists("__assign", lambda b: F.least(b["e"], x["e"]) - F.greatest(b["s"], x["s"]) >= x["e"] - x["s"] - 1)
+    left = lambda x, pattern: F.length(F.regexp_replace(x["t"], pattern, ""))
+    clear = F.filter("__markov", lambda x: (left(x, PATTERNS["hex"][0]) > 1) & (left(x, ACCESS) > 1) & ~assigned(x))
     return out.withColumn("spans", ordered(F.concat("base", clear))).drop(*[f"__{k}" for k in KINDS])
 
 

@@ -197,16 +197,37 @@ def test_packing_against_plain_best_fit(spark):
 def test_markov_ratio_against_a_plain_version(spark):
     rng = random.Random(36)
     tokens = ["".join(rng.choices(secrets.ALPHABET[:64], k=rng.randint(20, 40))) for _ in range(25)] + ["_".join(rng.choices(secrets.PLAIN_WORDS, k=4)) for _ in range(25)]
-    table = secrets.train(secrets.labelled_samples())
+    model = secrets.default_model()
+    table = model.ratio
+    assert model.false_positives < 0.01 and model.false_negatives < 0.05
     at = {c: i for i, c in enumerate(secrets.ALPHABET)}
     docs = documents(spark, [f"({t}) {t[:19]}" for t in tokens])
     rows = {r["doc_id"]: r["s"] for r in secrets.scan(docs).select("doc_id", F.filter("spans", lambda x: x["kind"] == "markov").alias("s")).collect()}
     for i, t in enumerate(tokens):
         mean = sum(table[at[a] * len(at) + at[b]] for a, b in zip(t, t[1:], strict=False)) / (len(t) - 1)
-        assert [(x["s"], x["e"]) for x in rows[i]] == ([(1, 1 + len(t))] if mean >= secrets.THRESHOLD else []), t
+        assert [(x["s"], x["e"]) for x in rows[i]] == ([(1, 1 + len(t))] if mean >= model.threshold else []), t
     assert 20 < sum(map(bool, rows.values())) < 30
 
 
+def test_markov_spans_of_the_query(spark, tmp_path):
+    rng = random.Random(37)
+    key = lambda n: "".join(rng.choices(secrets.ALPHABET[:62], k=n))
+    texts = [f"see {key(32)} there" for _ in range(40)] + [f"see {'_'.join(rng.choices(secrets.PLAIN_WORDS, k=5))} there" for _ in range(40)]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in queries.op4_secret_scans(spark, str(tmp_path)).collect()}
+    assert all(r["n_assign"] + r["n_access"] + r["n_hex"] == 0 for r in rows.values())
+    assert sum(rows[i]["spans"] == "markov:4:36" for i in range(40)) >= 39 and all(rows[i]["spans"] == "" for i in range(40, 80))
+    # Own labelled strings: letters only are keys here, digits are not.
+    samples = [("".join(rng.choices(c, k=30)), y) for _ in range(300) for c, y in (("abcdefghij", 1), ("0123456789", 0))]
+    spark.createDataFrame([*samples, (None, 1), ("x", None)], "text string, label int").write.parquet(str(tmp_path / "labels"))
+    own = secrets.fit(secrets.load_samples(spark, str(tmp_path / "labels")))
+    assert len(secrets.load_samples(spark, str(tmp_path / "labels"), 50)) == 50 and own.false_positives == own.false_negatives == 0
+    found = secrets.scan(documents(spark, ["jihgfedcbajihgfedcbaji 98765432109876543210987"]), model=own).first()
+    assert secrets.written(F.col("spans")) is not None and [(x["s"], x["e"]) for x in found["spans"] if x["kind"] == "markov"] == [(0, 22)]
+    with pytest.raises(ValueError, match="both kinds"):
+        secrets.fit([("a" * 30, 1)])
+
+
 def test_very_many_secrets_in_one_text(spark):
     n = 60_000
     text = "é " + " ".join(f"{i:016x}" for i in range(n))
