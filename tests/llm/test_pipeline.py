@@ -91,7 +91,7 @@ def test_stages_take_empty_input(spark, tmp_path, k):
 def test_query_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     got = queries.queries()[name](spark, DIR)
     columns = sorted(got.columns)
