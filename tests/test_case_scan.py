@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from faultlens import flows
+from faultlens.settings import AnalysisSettings
 from faultlens.sources import case_scan, corpus, records
 
 
@@ -131,3 +133,30 @@ def test_records_with_line_breaks_in_split_files(spark, tmp_path, split_at_64k):
     parsed = found.select("number", F.from_csv("value", "id string, message string", {"escape": '"', "emptyValue": "", "nullValue": "\u0001"}).alias("r")).select("number", "r.*")
     got = [(r["number"], r["id"], r["message"] or "") for r in parsed.orderBy("number").collect()]
     assert got == [(k, *r) for k, r in enumerate([("id", "message"), *wanted], 1)]
+
+
+def test_flows_read_all_cases_at_once(spark, tmp_path):
+    root = tmp_path / "data" / "RE1-SS"
+    for service, extra in (("carts", []), ("user", [",7,1"]), ("orders", ["oops,1,1"])):
+        folder = root / f"{service}_cpu" / "1"
+        folder.mkdir(parents=True)
+        (folder / "inject_time.txt").write_text("9000")
+        (folder / "simple_data.csv").write_text("\n".join([f"time,{service}_cpu,front_mem", *[f"{t},{t % 7},{t % 5}" for t in range(8000, 10_000, 20)], *extra]) + "\n")
+    expected = {"RE1-SS": ["carts_cpu/1", "orders_cpu/1", "user_cpu/1"]}
+    config = {"rcaeval_input": {"missing_time_policy": "quarantine"}}
+    rows = flows.preflight(spark, config, tmp_path / "pre", tmp_path / "data", expected)
+    assert [(r["case"], r["status"], r["rejected_rows"]) for r in rows] == [("carts_cpu/1", "READY", 0), ("orders_cpu/1", "ERROR", 1), ("user_cpu/1", "READY_WITH_QUARANTINE", 1)]
+    assert "no numbers" in rows[1]["error"]
+    with open(tmp_path / "pre" / "preflight.csv", newline="") as f:
+        assert [r["case"] for r in csv.DictReader(f)] == [r["case"] for r in rows]
+    found, _ = corpus.inventory(spark, tmp_path / "data", expected)
+    (tmp_path / "run").mkdir()
+    with pytest.raises(ValueError, match="RE1-SS orders_cpu/1: 1 values that are no numbers"):
+        flows.case_features(spark, found, config, AnalysisSettings(window_seconds=60), tmp_path / "run")
+    features, quality = flows.case_features(spark, [c for c in found if c.case != "orders_cpu/1"], config, AnalysisSettings(window_seconds=60), tmp_path / "run")
+    assert [(q["case"], q["rows"], q["rejected_rows"]) for q in quality] == [("carts_cpu/1", 100, 0), ("user_cpu/1", 100, 1)]
+    kept = features.collect()
+    assert {(r["system_id"], r["entity_id"]) for r in kept} == {("RE1-SS/carts_cpu/1", "carts"), ("RE1-SS/carts_cpu/1", "front"), ("RE1-SS/user_cpu/1", "user"), ("RE1-SS/user_cpu/1", "front")}
+    assert {r["boundary"] for r in kept} == {9000} and all(not 9000 < r["window_end"] <= 9060 and r["window_end"] <= 9980 for r in kept)
+    lost = spark.read.options(header=True, escape='"').csv(str(tmp_path / "run" / "quarantine.csv")).collect()
+    assert [(r["case"], r["source_record_number"], r["reason"], r["line"]) for r in lost] == [("user_cpu/1", "101", "missing time", ",7,1")]
