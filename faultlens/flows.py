@@ -189,11 +189,11 @@ def run_internal(
 
 
 def case_features(spark: SparkSession, found: list[corpus.Case], config: dict, settings: AnalysisSettings, folder: Path) -> tuple[DataFrame, list[dict]]:
-    """Feature rows of all cases, with columns ``case`` and ``boundary``: one frame, one plan for what follows.
+    """Feature rows of all cases, with a column ``boundary``, written as case_features: one plan for what follows.
 
     The CSV files of all cases are one scan; cases of a Parquet catalogue are read one by one.
     """
-    parts, qualities, w = [], [], settings.window_seconds
+    parts, qualities, w, got = [], [], settings.window_seconds, None
     options = config.get("rcaeval_input", {})
     if own := [c for c in found if c.source_format == "csv"]:
         got = case_scan.scan(spark, own, options, settings.max_rows)
@@ -216,7 +216,10 @@ def case_features(spark: SparkSession, found: list[corpus.Case], config: dict, s
         long = cases.long_case(frame, [n for n in frame.columns if n != "time"], [])
         kept = cases.without_leakage(cases.case_windows(long, [], w), F.lit(float(c.inject_time)), F.lit(float(quality["end"])), w)
         parts.append(_case_rows(kept, F.lit(f"{c.dataset}/{c.case}")))
-    return reduce(DataFrame.unionByName, parts), qualities
+    features = artifacts.write_parquet(reduce(DataFrame.unionByName, parts), folder, "case_features")
+    if got:
+        got.release()
+    return features, qualities
 
 
 def _case_rows(windows: DataFrame, system: Column) -> DataFrame:
@@ -238,7 +241,6 @@ def run_benchmark(
         return None
     features, quality = case_features(spark, found, config, settings, folder)
     artifacts.write_json(folder / "metric_quality.json", quality)
-    features = artifacts.write_parquet(features, folder, "case_features")
     artifacts.write_json(folder / "modalities.json", {f"{c.dataset}/{c.case}": {k: corpus.modality_summary(spark, getattr(c, f"{k}_file")) for k in ("logs", "traces")} for c in found})
     boundary = features.groupBy("system_id").agg(F.max("boundary").alias("boundary"))
     # The reference ends at each case's own time.
@@ -262,7 +264,10 @@ def preflight(spark: SparkSession, config: dict, output: str | Path, root: str |
     found, _ = corpus.inventory(spark, root, expected, datasets)
     options, rows = config.get("rcaeval_input", {}), []
     if own := [c for c in found if c.source_format == "csv"]:
-        for r in case_scan.scan(spark, own, options, settings.max_rows).report.collect():  # a row for each case
+        got = case_scan.scan(spark, own, options, settings.max_rows)
+        found_rows = got.report.collect()  # a row for each case
+        got.release()
+        for r in found_rows:
             row = r.asDict()
             status = "ERROR" if row["error"] else "READY_WITH_CLOCK_ALIGNMENT" if row["aligned"] else "READY_WITH_QUARANTINE" if row["rejected_rows"] else "READY"
             rows.append({"case": row["case"], "dataset": row["dataset"], "status": status, "error": row["error"] or "", **{k: v for k, v in row.items() if k not in ("case", "dataset", "error", "aligned", "inject_time")}})

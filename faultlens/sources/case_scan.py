@@ -32,6 +32,12 @@ class Scan:
     rejected: DataFrame
     report: DataFrame
     headers: DataFrame
+    kept: list[DataFrame]
+
+    def release(self) -> None:
+        """Gives up what is kept in memory, a row for each case; what is read from the scan later is computed anew."""
+        for df in self.kept:
+            df.unpersist()
 
 
 def _path(c: Column) -> Column:
@@ -158,4 +164,4 @@ def scan(spark: SparkSession, found: list[Case], config: dict | None = None, max
     whole = F.to_json(F.map_from_entries(F.filter(pair, lambda p: p["value"].isNotNull())))
     reason = F.when(F.col("aligned"), "no own clock").otherwise("missing time")
     rejected = named.where(lost).select(*KEYS, F.col("record").alias("source_record_number"), F.col("n").alias("clock_occurrence"), reason.alias("reason"), whole.alias("values"), F.col("value").alias("line"))
-    return Scan(long, rejected, report, cases.select(*KEYS, "names"))
+    return Scan(long, rejected, report, cases.select(*KEYS, "names"), [cases, report])
