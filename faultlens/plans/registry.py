@@ -401,6 +401,13 @@ def plot_heat_map(spark, d):
     return rounded(plots.heat_map(profile.correlation_matrix(rows, ENTITY), plots.chosen(rows, "feature_name", 1, 4), ENTITY))
 
 
+@query(f"""WITH {fr.GRID}, n AS (SELECT DISTINCT system_id, entity_id, series_id AS feature FROM grid), e AS (SELECT DISTINCT system_id, entity_id FROM n ORDER BY ALL LIMIT 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY system_id, entity_id ORDER BY feature) AS INTEGER) AS number FROM n JOIN e USING (system_id, entity_id))
+SELECT system_id, entity_id, feature, number, number || ': ' || left(split_part(feature, '|', 1), 40) AS label FROM r WHERE number <= 2""")
+def plot_features(spark, d):
+    return plots.chosen(fr.grid(spark, d).withColumn("feature", F.col("series_id")), "feature", 2, 2)
+
+
 # Logs
 
 
