@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stored, release, small_side
-from .text_hash import CHUNK, mix, slices
+from .text_hash import CHUNK, mix, slices, word_hashes
 
 SHARDS = 3
 SUPPORT = 30
@@ -51,17 +51,6 @@ FOLD = bytes(_FOLD)
 STOP = b"\xff"
 
 
-class Numbers(dict):
-    """Numbers of words, in the order in which they are met; -1 ends a piece."""
-
-    def __init__(self):
-        super().__init__({STOP: -1})
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self) - 1
-        return n
-
-
 def numbered(text: bytes, limit: int = 2 * CHUNK) -> Iterator[tuple[np.ndarray, list[bytes], int]]:
     """Word numbers of ``text`` with -1 between pieces, the words, and how many numbers at the front were there before."""
     text, at, before = text.translate(FOLD), 0, []
@@ -71,21 +60,31 @@ def numbered(text: bytes, limit: int = 2 * CHUNK) -> Iterator[tuple[np.ndarray,
             cut = max(text.rfind(b" ", at, at + limit), text.rfind(STOP, at, at + limit))
             later = [x for x in (text.find(b" ", at + limit), text.find(STOP, at + limit)) if x >= 0]
             end = cut + 1 if cut >= 0 else min(later) + 1 if later else end
-        numbers = Numbers()
-        front = [numbers[w] for w in before]
-        parts = text[at:end].replace(STOP, b" \xff ").split()
-        ids = np.fromiter(map(numbers.__getitem__, parts), np.int64, len(parts))
-        ids = np.concatenate([np.array(front, dtype=np.int64), ids])
-        words = list(numbers)[1:]
-        yield ids, words, len(front)
-        tail = ids[-(LONGEST - 1) :].tolist()
-        before = [words[i] if i >= 0 else STOP for i in tail]
+        part = b" ".join([*before, text[at:end].replace(STOP, b" \xff ")])
+        found = pc.split_pattern(pa.array([part], pa.large_binary()), b" ").flatten().dictionary_encode()
+        known, ids = found.dictionary, found.indices.to_numpy()
+        # Two spaces have an empty text between them, which is no word.
+        none, stop = (pc.index(known, pa.scalar(x, pa.large_binary())).as_py() for x in (b"", STOP))
+        plain = np.ones(len(known), dtype=bool)
+        plain[[i for i in (none, stop) if i >= 0]] = False
+        ids = np.where(plain, np.cumsum(plain) - 1, -1)[ids if none < 0 else ids[ids != none]]
+        words = _listed(known.filter(pa.array(plain)))
+        yield ids, words, len(before)
+        before = [words[i] if i >= 0 else STOP for i in ids[-(LONGEST - 1) :].tolist()]
         at = end
 
 
+def _listed(words: pa.Array) -> list[bytes]:
+    """Words, which hold no space, as a list: one text is made and split, which is faster than a value each."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(b" ", words.type))
+    return joined[0].as_py().split(b" ") if len(words) else []
+
+
 def hashed(words: list[bytes], lang: str) -> np.ndarray:
-    salt = xxhash.xxh64_intdigest(lang.encode())
-    return np.array([xxhash.xxh64_intdigest(w, seed=salt) for w in words] or [0], dtype=np.uint64)
+    """Hashes of words, all at once; long words go in by a hash of their own."""
+    short = b" ".join([w if len(w) <= 64 else xxhash.xxh64_hexdigest(w).encode() for w in words])
+    salt = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
+    return mix(word_hashes(pa.array([short], pa.large_binary()).view(pa.large_string()))[0] ^ salt) if words else np.zeros(1, dtype=np.uint64)
 
 
 def grown(ids: np.ndarray, own: np.ndarray, maps: list[np.ndarray], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -127,7 +126,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, int, by
 
 
 def _local(levels: list[int], bitmaps):
-    """Counts of hashed phrases of the given numbers of words within each shard."""
+    """Counts of hashed phrases of the given numbers of words within each shard; a slot is a shard and, in its low 32 bits, what it needs."""
 
     def run(batches):
         maps = [np.frombuffer(b, dtype=np.uint64) for b in bitmaps.value]
@@ -135,9 +134,7 @@ def _local(levels: list[int], bitmaps):
             for ids, words, fresh in numbered(text):
                 found = [h[at + k > fresh] for k, at, h, _ in grown(ids, hashed(words, lang), maps, max(levels)) if k in levels]
                 h, c = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_pydict({
-                    "shard": pa.array(np.full(len(h), shard, dtype=np.int32)), "h": pa.array(h.view(np.int64)), "c": pa.array(c.astype(np.int64)), "need": pa.array(np.full(len(h), need, dtype=np.int64)),
-                })
+                yield pa.RecordBatch.from_pydict({"slot": pa.array(np.full(len(h), (shard << 32) + need, dtype=np.int64)), "h": pa.array(h.view(np.int64)), "c": pa.array(c.astype(np.int64))})
 
     return run
 
@@ -160,13 +157,17 @@ def _exact(bitmaps):
         maps = [np.frombuffer(b, dtype=np.uint64) for b in bitmaps.value]
         for _, lang, _, text in _runs(batches):
             for ids, words, fresh in numbered(text):
-                known, code = pa.array(words, pa.binary()).cast(pa.string()), np.zeros(len(ids), dtype=np.int64)
+                known, code = pa.array(words, pa.binary()).cast(pa.string()), ids
                 for k, at, _, kept in grown(ids, hashed(words, lang), maps, LONGEST):
-                    # Pairs of a shorter phrase's number and a word's, numbered anew.
-                    _, first, code = np.unique(code[kept] * (len(words) + 1) + ids[at + k - 1], return_index=True, return_inverse=True)
-                    c = np.bincount(code[at + k > fresh], minlength=len(first))
-                    named = [pc.take(known, pa.array(ids[at[first[c > 0]] + i])) for i in range(k)]
-                    phrases = pc.binary_join_element_wise(*named, " ") if k > 1 else named[0]
+                    if k == 1:
+                        code = ids[at]
+                        c = np.bincount(code[at >= fresh], minlength=len(words))
+                        phrases = known.filter(pa.array(c > 0))
+                    else:
+                        # Pairs of a shorter phrase's number and a word's, numbered anew.
+                        _, first, code = np.unique(code[kept] * (len(words) + 1) + ids[at + k - 1], return_index=True, return_inverse=True)
+                        c = np.bincount(code[at + k > fresh], minlength=len(first))
+                        phrases = pc.binary_join_element_wise(*(pc.take(known, pa.array(ids[at[first[c > 0]] + i])) for i in range(k)), " ")
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(phrases), pa.string()), "phrase": phrases, "c": pa.array(c[c > 0].astype(np.int64))})
 
     return run
@@ -201,8 +202,8 @@ def frequent(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, bits
     for levels in ([2], [3, 4]):
         release(spark)  # a pass doesn't need what the one before it shuffled
         sent = spark.sparkContext.broadcast(maps)
-        local = known.mapInArrow(_local(levels, sent), "shard int, h long, c long, need long")
-        often = local.groupBy("shard", "h").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need")
+        local = known.mapInArrow(_local(levels, sent), "slot long, h long, c long")
+        often = local.groupBy("slot", "h").agg(F.sum("c").alias("c")).where("c >= (slot & 4294967295L)")
         maps = [*maps, bitmap(often.select("h"), bits)]
         del local, often
     release(spark)

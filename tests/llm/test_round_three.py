@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from faultlens.llm import chat_tree, phrases, whitening
@@ -238,6 +240,34 @@ def test_texts_are_cut_without_loss(limit):
         assert got == want
 
 
+def test_words_are_numbered_and_hashed_at_once():
+    """Each pass does this to every text: a step of Python for each word was most of what op13 took. Tells it by the time of such steps."""
+    rng = random.Random(15)
+    own = ["w%x" % rng.getrandbits(24) for _ in range(40_000)]
+    text = " ".join(own[min(int(rng.expovariate(1 / 6000)), 39_999)] + rng.choice(["", "", "", "."]) for _ in range(300_000)).encode()
+
+    def plain():
+        numbers = {}
+        ids = [numbers.setdefault(w, len(numbers)) for w in text.translate(phrases.FOLD).replace(phrases.STOP, b" \xff ").split()]
+        return np.array(ids), np.array([xxhash.xxh64_intdigest(w) for w in numbers], dtype=np.uint64)
+
+    def took(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    both = [(took(lambda: [phrases.hashed(words, "en") for _, words, _ in phrases.numbered(text)]), took(plain)) for _ in range(7)]
+    assert min(b[0] for b in both) < 0.7 * min(b[1] for b in both)
+
+
+def test_long_words_have_hashes_of_their_own():
+    words = [b"x" * n for n in (1, 63, 64, 65, 66, 3 << 20)] + [b"x" * 65 + b"y", b"y" + b"x" * 65, "ΑΒΓ".encode()]
+    apart = np.concatenate([phrases.hashed([w], "en") for w in words])
+    assert phrases.hashed(words, "en").tolist() == apart.tolist()
+    assert len(set(apart.tolist()) | set(phrases.hashed(words, "fr").tolist())) == 2 * len(words)
+    assert [(ids.tolist(), found, fresh) for ids, found, fresh in phrases.numbered(b"  A\t" + words[5] + b" ,a .", 1 << 30)] == [([0, 1, -1, 0, -1], [b"a", words[5]], 0)]
+
+
 def test_collocations_without_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert phrases.collocations(docs).collect() == []
